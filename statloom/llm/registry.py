@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 
-from statloom.llm import secrets
+from pyspark.sql import functions as F
+
+from statloom.llm import language_id, secrets
 from statloom.llm.frames import table
 
 QUERIES: dict = {}
@@ -31,3 +33,10 @@ def oracle_sql() -> dict:
 @query("op5_secret_scan")
 def op5_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.find_spans(table(spark, sf_dir, "documents")))
+
+
+@query("op8_language_id")
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs)
+    return language_id.predict(docs, model).select("doc_id", (~language_id.learned_from("doc_id")).alias("held_out"), "lang_pred", "score")
