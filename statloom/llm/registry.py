@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.llm import language_id, secrets
+from statloom.llm import decontaminate, language_id, secrets
 from statloom.llm.frames import table
 
 QUERIES: dict = {}
@@ -40,3 +40,8 @@ def op8_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs)
     return language_id.predict(docs, model).select("doc_id", (~language_id.learned_from("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op3_decontaminate", decontaminate.oracle())
+def op3_decontaminate(spark, sf_dir):
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
