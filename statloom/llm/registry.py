@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.llm import decontaminate, language_id, secrets
+from statloom.llm import decontaminate, language_id, mixing, secrets, units
 from statloom.llm.frames import table
 
 QUERIES: dict = {}
@@ -45,3 +45,18 @@ def op8_language_id(spark, sf_dir):
 @query("op3_decontaminate", decontaminate.oracle())
 def op3_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+@query("op1_mix_sources", mixing.oracle())
+def op1_mix_sources(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op6_substring_dedup", units.oracle("repeats"))
+def op6_substring_dedup(spark, sf_dir):
+    return units.report(units.drop_repeats(table(spark, sf_dir, "documents")))
+
+
+@query("op9_line_dedup", units.oracle("templates"))
+def op9_line_dedup(spark, sf_dir):
+    return units.report(units.drop_templates(table(spark, sf_dir, "documents")))
