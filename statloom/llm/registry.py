@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.llm import decontaminate, language_id, mixing, secrets, units
+from statloom.llm import decontaminate, language_id, mixing, ngram_join, secrets, units
 from statloom.llm.frames import table
 
 QUERIES: dict = {}
@@ -60,3 +60,8 @@ def op6_substring_dedup(spark, sf_dir):
 @query("op9_line_dedup", units.oracle("templates"))
 def op9_line_dedup(spark, sf_dir):
     return units.report(units.drop_templates(table(spark, sf_dir, "documents")))
+
+
+@query("op2_ngram_join", ngram_join.oracle())
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents")).drop("class_id")
