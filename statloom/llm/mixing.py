@@ -117,7 +117,7 @@ def mix(docs: DataFrame, target: Target = Target(), id_col: str = "doc_id", sour
     plan = plan.select("source", "weight", F.floor(F.col("budget") / F.col("tokens")).alias("passes"), (F.col("budget") % F.col("tokens")).alias("left"))
     before = F.sum("tokens").over(W.partitionBy("source").orderBy("block").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("tokens")
     dealt = blocks.withColumn("before", before).join(plan, "source", "left")
-    dealt = materialize(dealt.select("source", "block", "weight", F.coalesce("passes", F.lit(0)).alias("passes"), (F.coalesce("left", F.lit(0)) - F.col("before")).alias("room"), "tokens"))
+    dealt = materialize(dealt.select("source", "block", "weight", F.coalesce("passes", F.lit(0)).alias("passes"), (F.coalesce("left", F.lit(-1)) - F.col("before")).alias("room"), "tokens"))
     if real.count() <= BROADCAST_SOURCES:
         # a block is whole, cut or empty by its number alone, so a row for each source says it all
         cut = dealt.groupBy("source").agg(
