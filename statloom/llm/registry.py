@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.llm import decontaminate, language_id, mixing, ngram_join, secrets, units
+from statloom.llm import decontaminate, language_id, mixing, ngram_join, secrets, units, window_dedup
 from statloom.llm.frames import table
 
 QUERIES: dict = {}
@@ -65,3 +65,8 @@ def op9_line_dedup(spark, sf_dir):
 @query("op2_ngram_join", ngram_join.oracle())
 def op2_ngram_join(spark, sf_dir):
     return ngram_join.join(table(spark, sf_dir, "documents")).drop("class_id")
+
+
+@query("op10_suffix_dedup")
+def op10_suffix_dedup(spark, sf_dir):
+    return window_dedup.report(table(spark, sf_dir, "documents"))
