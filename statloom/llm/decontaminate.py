@@ -13,14 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.frames import keyed
+from statloom.llm.frames import keyed, materialize
 
 WINDOW = 10
 #: The window table is broadcast up to this size; beyond it the probe is a shuffled join that AQE splits where a window is hot.
 BROADCAST_BYTES = 64 << 20
+ANCHOR = 3
 
 # Words are what stands between these characters; A-Z is folded first.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,25 +40,34 @@ def windows(benchmark: DataFrame, size: int = WINDOW, id_col: str = "item_id", t
     return out.select("item_id", F.xxhash64("window").alias("key"), "window")
 
 
-def _window_keys(n: int) -> Column:
-    """The hash of every window of ``n`` words of ``w``."""
-    return F.transform(F.sequence(F.lit(1), F.size("w") - F.lit(n - 1)), lambda i: F.xxhash64(F.slice("w", i, n)))
+def _anchor(first: Column, rest, n: int) -> Column:
+    """The probe key of a window: the hash of its first ``n`` words."""
+    return F.xxhash64(first, *[rest(k) for k in range(1, n)])
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Verified occurrences (id, at, len, key) of benchmark windows, ``at`` from 0, and the window table itself."""
+    """Verified occurrences (id, at, len, key) of benchmark windows, ``at`` from 0, and the window table itself.
+
+    Documents are probed by the hash of three words, which stays in generated code, and only where that is found are all words of the
+    window compared. Windows of one or two words, if there are any, are probed by as many.
+    """
     table = windows(benchmark, size, item_col, item_text)
-    probe = table.select("key", "window").distinct().withColumn("len", F.size("window"))
-    shape = probe.agg(F.collect_set("len").alias("lens"), F.sum(F.lit(64) + F.aggregate("window", F.lit(0), lambda a, w: a + F.octet_length(w) + F.lit(24))).alias("bytes")).collect()[0]
-    lens = sorted(shape["lens"])
+    probe = table.select("key", "window").distinct().withColumn("len", F.size("window")).withColumn("n", F.least("len", F.lit(ANCHOR)))
+    shape = probe.agg(F.collect_set("n").alias("ns"), F.sum(F.lit(64) + F.aggregate("window", F.lit(0), lambda a, w: a + F.octet_length(w) + F.lit(24))).alias("bytes")).collect()[0]
     small = (shape["bytes"] or 0) <= BROADCAST_BYTES
     base = docs.select(id_col, words(text_col).alias("w"))
     found = None
-    for n in lens:  # the full length, and each shorter one that a short item has
-        keys = base.filter(F.size("w") >= n).select(id_col, "w", F.posexplode(_window_keys(n)).alias("at", "key"))
-        side = probe.filter(F.col("len") == n)
-        joined = keys.join(F.broadcast(side) if small else side, "key").filter(F.slice("w", F.col("at") + 1, n) == F.col("window"))
-        one = joined.select(id_col, F.col("at").cast("long").alias("at"), F.lit(n).alias("len"), "key")
+    for n in sorted(shape["ns"]):
+        side = probe.filter(F.col("n") == n).select("key", "window", "len", _anchor(F.get("window", F.lit(0)), lambda k: F.get("window", F.lit(k)), n).alias("anchor"))
+        at = base.select(id_col, "w", F.posexplode("w").alias("at", "word")).filter(F.col("at") <= F.size("w") - F.lit(n))
+        at = at.select(id_col, "w", "at", _anchor(F.col("word"), lambda k: F.get("w", F.col("at") + F.lit(k)), n).alias("anchor"))
+        if small:
+            same = F.slice("w", F.col("at") + 1, F.col("len")) == F.col("window")
+            joined = at.join(F.broadcast(side), "anchor").filter(same)
+        else:  # rows that are shuffled carry the window, not the document
+            at = at.select(id_col, "at", "anchor", F.slice("w", F.col("at") + 1, size).alias("w"))
+            joined = at.join(side, "anchor").filter(F.slice("w", F.lit(1), F.col("len")) == F.col("window"))
+        one = joined.select(id_col, F.col("at").cast("long").alias("at"), "len", "key")
         found = one if found is None else found.unionByName(one)
     if found is None:
         found = base.select(id_col, F.lit(0).cast("long").alias("at"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("key")).filter(F.lit(False))
@@ -80,11 +91,11 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: st
             F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(acc, F.lit(-1))["at"].alias("at"), F.greatest(F.try_element_at(acc, F.lit(-1))["end"], x["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(x))),
     )
-    merged = by_doc.select(id_col, "keys", spans.alias("spans"))
+    merged = materialize(by_doc.select(id_col, "keys", spans.alias("spans")))
     items = merged.select(id_col, F.explode("keys").alias("key")).join(table.select("key", "item_id"), "key").groupBy(id_col).agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     hit = merged.join(items, id_col).select(id_col, "spans", "items")
     return (
-        docs.select(id_col, F.size(words(text_col)).cast("long").alias("n_words"))
+        docs.select(id_col, F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
         .join(hit, id_col, "left")
         .select(
             id_col,
