@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.llm import decontaminate, language_id, mixing, ngram_join, secrets, units, window_dedup
+from statloom.llm import decontaminate, embed_dedup, language_id, mixing, ngram_join, secrets, units, window_dedup
 from statloom.llm.frames import table
 
 QUERIES: dict = {}
@@ -70,3 +70,8 @@ def op2_ngram_join(spark, sf_dir):
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark, sf_dir):
     return window_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_embedding_dedup")
+def op4_embedding_dedup(spark, sf_dir):
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
