@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from statloom.session import materialize, ship, shuffle_partitions
 
-__all__ = ["components", "keyed", "materialize", "parts", "ship", "shuffle_partitions", "table"]
+__all__ = ["components", "keyed", "materialize", "parts", "ship", "shuffle_partitions", "slices", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,5 +63,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     raise RuntimeError("components did not settle")
 
 
+def slices(batches, rows: int = 256):
+    """Smaller batches, so that what a task makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], T.StructType.fromDDL(schema))
