@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.llm import decontaminate, embed_dedup, language_id, mixing, ngram_join, secrets, units, window_dedup
+from statloom.llm import decontaminate, embed_dedup, language_id, lm_score, mixing, ngram_join, secrets, units, window_dedup
 from statloom.llm.frames import table
 
 QUERIES: dict = {}
@@ -75,3 +75,8 @@ def op10_suffix_dedup(spark, sf_dir):
 @query("op4_embedding_dedup")
 def op4_embedding_dedup(spark, sf_dir):
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_lm_score")
+def op7_lm_score(spark, sf_dir):
+    return lm_score.score(table(spark, sf_dir, "documents"))
