@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.frames import keyed, materialize, ship
+from statloom.llm.frames import keyed, materialize, ship, slices
 
 #: So many of the most frequent keys are broadcast; the rows' size is fixed, so this bounds the broadcast.
 HOT_KEYS = 2000
@@ -26,24 +26,42 @@ _SPACES = r"[\x20\x09-\x0D]+"
 VARIABLE = "<*>"
 
 
-def normalised(unit: Column) -> Column:
-    """A-Z folded, runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(F.translate(unit, _UPPER, _LOWER), _SPACES, " "))
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def template(line: Column, depth: int = 3) -> Column:
+def normalised(folded: Column) -> Column:
+    """Runs of white space as one space, none at the ends; A-Z are folded before the text is split."""
+    return F.trim(F.regexp_replace(folded, _SPACES, " "))
+
+
+def digest(unit: Column) -> Column:
+    return F.md5(unit.cast("binary"))
+
+
+def template(depth: int = 3):
     """The leaf of a line in a tree of fixed depth: token count, ``depth`` leading tokens, then the rest of the generalised line.
 
-    Tokens with a digit are variable fields and become ``<*>`` at every level; empty lines have no leaf (null).
+    Tokens with a digit are variable fields and become ``<*>`` at every level.
     """
-    tokens = F.transform(F.split(normalised(line), " "), lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
-    path = F.concat_ws("/", F.size(tokens).cast("string"), F.array_join(F.slice(tokens, 1, depth), "/"), F.md5(F.array_join(F.slice(tokens, depth + 1, 1 << 30), " ").cast("binary")))
-    return F.when(normalised(line) != "", F.md5(path.cast("binary")))
+
+    def path(tokens: Column) -> Column:
+        rest = F.md5(F.array_join(F.slice(tokens, depth + 1, 1 << 30), " ").cast("binary"))
+        return F.concat_ws("/", F.size(tokens).cast("string"), F.array_join(F.slice(tokens, 1, depth), "/"), rest)
+
+    def leaf(line: Column) -> Column:
+        tokens = F.transform(F.split(line, " "), lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
+        return F.md5(_let(tokens, path).cast("binary"))
+
+    return leaf
 
 
 def _units(docs: DataFrame, id_col: str, text_col: str, separator: str, key) -> DataFrame:
-    lines = F.split(F.col(text_col), separator, -1)
-    return docs.filter(F.col(text_col).isNotNull()).select(id_col, F.posexplode(lines).alias("pos", "unit")).select(id_col, "pos", key(F.col("unit")).alias("key")).filter("key is not null")
+    """Rows (id, pos, key) of all units that are not empty, written once for the passes over them."""
+    lines = F.transform(F.split(F.translate(F.col(text_col), _UPPER, _LOWER), separator, -1), normalised)
+    rows = docs.filter(F.col(text_col).isNotNull()).select(id_col, F.posexplode(lines).alias("pos", "unit")).filter("unit <> ''")
+    return materialize(rows.select(id_col, "pos", key(F.col("unit")).alias("key")))
 
 
 def _repeated(units: DataFrame, repeats: DataFrame, condition: str) -> DataFrame:
@@ -65,7 +83,7 @@ def _rebuild(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str, se
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches):
             kept, sizes, spans = [], [], []
             for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if text is None:
@@ -100,7 +118,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ``separator`` is a newline for lines or two for paragraphs. Result: id, kept, n_units, spans.
     """
     docs = keyed(docs, id_col, text_col)
-    units = _units(docs, id_col, text_col, separator, lambda u: F.when(normalised(u) != "", F.md5(normalised(u).cast("binary"))))
+    units = _units(docs, id_col, text_col, separator, digest)
     first = units.groupBy("key").agg(F.min(F.struct(F.col(id_col).alias("d"), F.col("pos").alias("p"))).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     dropped = _repeated(units, first, f"not ({id_col} = first.d and pos = first.p)").select(id_col, "pos")
     return _rebuild(docs, dropped, id_col, text_col, separator)
@@ -112,7 +130,7 @@ def drop_templates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Result: id, kept, n_units, spans.
     """
     docs = keyed(docs, id_col, text_col)
-    units = _units(docs, id_col, text_col, "\n", lambda u: template(u, depth))
+    units = _units(docs, id_col, text_col, "\n", template(depth))
     by_doc = units.groupBy("key", id_col).agg(F.count(F.lit(1)).alias("c"))
     often = by_doc.groupBy("key").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
     dropped = _repeated(units, often, f"{id_col} <> first" if keep_first else "true").select(id_col, "pos")
