@@ -1,15 +1,62 @@
-"""A corpus pipeline over ``documents``; see STAGES."""
+"""A corpus pipeline over ``documents``: language ID, line dedup, near-duplicate join, benchmark decontamination, mixing.
+
+Each stage takes the documents that its predecessor kept and returns documents with the same columns; the last returns the mix, one
+row for each document left with the number of passes in which it is drawn.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import functions as F
+
+from statloom.llm import decontaminate, language_id, mixing, ngram_join, units
+from statloom.session import materialize
+
+#: A document is rejected when no language can be determined, or with less than this probability for the best one.
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def identify_language(spark, docs, sf_dir):
+    """Documents whose language the model is sure enough of; learned from the labels of those not held out."""
+    found = language_id.predict(docs, language_id.fit(docs), keep=tuple(docs.columns))
+    return found.filter((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)).select(docs.columns)
+
+
+def drop_line_templates(spark, docs, sf_dir):
+    """Lines whose template recurs go, but for the first document that has it; documents of which nothing is left go too."""
+    rebuilt = units.drop_templates(docs).filter(F.length(F.trim(F.coalesce("kept", F.lit("")))) > 0).select("doc_id", "kept")
+    columns = [F.col("kept").alias("text") if c == "text" else F.length("kept").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return docs.drop("text").dropDuplicates(["doc_id"]).join(rebuilt, "doc_id").select(columns)
+
+
+def join_near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near-duplicates, the one of smallest id."""
+    return ngram_join.keep_one(docs)
+
+
+def decontaminate_documents(spark, docs, sf_dir):
+    """Documents in which no window of the benchmark occurs."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix_sources(spark, docs, sf_dir):
+    """The mix: each document's source weight and the passes in which it is drawn."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", drop_line_templates),
+    ("ngram_join", join_near_duplicates),
+    ("decontaminate", decontaminate_documents),
+    ("mix_sources", mix_sources),
+]
+
+#: The first stage's classifier has no SQL; the stages are tested one by one against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply the stages to documents, each over what its predecessor kept."""
-    from statloom.session import materialize
-
+    """The stages in order over documents, each one's result written before the next reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

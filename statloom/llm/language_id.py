@@ -145,7 +145,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), *[F.col(c) for c in keep if c != text_col], F.col(text_col).cast("string").alias(text_col), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), *[F.col(c) for c in keep if c not in (id_col, text_col)], F.col(text_col).cast("string").alias(text_col), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
     fields = [f for f in rows.schema.fields if f.name != "_letter" and (f.name != text_col or text_col in keep)]
     names = [f.name for f in fields]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
