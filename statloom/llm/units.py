@@ -46,13 +46,14 @@ def template(depth: int = 3):
     Tokens with a digit are variable fields and become ``<*>`` at every level.
     """
 
-    def path(tokens: Column) -> Column:
-        rest = F.md5(F.array_join(F.slice(tokens, depth + 1, 1 << 30), " ").cast("binary"))
-        return F.concat_ws("/", F.size(tokens).cast("string"), F.array_join(F.slice(tokens, 1, depth), "/"), rest)
+    def path(masked: Column) -> Column:
+        leading = F.substring_index(masked, " ", depth)
+        count = F.length(masked) - F.length(F.replace(masked, F.lit(" "), F.lit(""))) + 1
+        rest = F.substring(masked, F.length(leading) + 2, F.length(masked))
+        return F.md5(F.concat_ws("/", count.cast("string"), F.replace(leading, F.lit(" "), F.lit("/")), digest(rest)).cast("binary"))
 
     def leaf(line: Column) -> Column:
-        tokens = F.transform(F.split(line, " "), lambda t: F.when(t.rlike("[0-9]"), F.lit(VARIABLE)).otherwise(t))
-        return F.md5(_let(tokens, path).cast("binary"))
+        return _let(F.when(line.rlike("[0-9]"), F.regexp_replace(line, "[^ ]*[0-9][^ ]*", VARIABLE)).otherwise(line), path)
 
     return leaf
 
