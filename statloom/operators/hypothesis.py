@@ -318,15 +318,15 @@ def quade(df: DataFrame, value: str, treatment: str, block: str, by: list[str] =
     d = _clean(df, value).select(*by, treatment, block, value)
     r = average_ranks(d, value, "r", [*by, block])
     span = average_ranks(d.groupBy(*by, block).agg((F.max(value) - F.min(value)).alias("range")), "range", "q", by).select(*by, block, "q")
-    size = d.groupBy(*by).agg(F.countDistinct(treatment).cast("double").alias("k"), F.countDistinct(block).cast("double").alias("b"))
+    size = d.groupBy(*by).agg(F.countDistinct(treatment).cast("double").alias("_k"), F.countDistinct(block).cast("double").alias("_b"))
     r = r.join(span, [*by, block])
-    r = r.join(size, by) if by else r.crossJoin(size)
-    r = r.withColumn("s", F.col("q") * (F.col("r") - (F.col("k") + 1) / 2))
-    t = r.groupBy(*by, treatment).agg(F.sum("s").alias("st"), F.sum(F.col("s") * F.col("s")).alias("a"), F.first("k").alias("k"), F.first("b").alias("b"))
-    s = t.groupBy(*by).agg(F.sum("a").alias("a"), F.sum(F.col("st") * F.col("st")).alias("sq"), F.first("k").alias("k"), F.first("b").alias("b"))
-    s = s.withColumn("bb", F.col("sq") / F.col("b"))
-    s = s.withColumn("statistic", F.try_divide((F.col("b") - 1) * F.col("bb"), F.col("a") - F.col("bb"))).withColumn("df1", F.col("k") - 1).withColumn("df2", (F.col("b") - 1) * (F.col("k") - 1))
-    return s.withColumn("p_value", pv.p_f(F.col("statistic"), F.col("df1"), F.col("df2"))).drop("a", "sq", "bb")
+    r = r.join(size, by) if by else r.crossJoin(F.broadcast(size))
+    r = r.withColumn("_s", F.col("q") * (F.col("r") - (F.col("_k") + 1) / 2))
+    t = r.groupBy(*by, treatment).agg(F.sum("_s").alias("_st"), F.sum(F.col("_s") * F.col("_s")).alias("_a"), F.first("_k").alias("_k"), F.first("_b").alias("_b"))
+    s = t.groupBy(*by).agg(F.sum("_a").alias("_a"), F.sum(F.col("_st") * F.col("_st")).alias("_sq"), F.first("_k").alias("_k"), F.first("_b").alias("_b"))
+    between = F.col("_sq") / F.col("_b")
+    s = s.withColumn("statistic", F.try_divide((F.col("_b") - 1) * between, F.col("_a") - between)).withColumn("df1", F.col("_k") - 1).withColumn("df2", (F.col("_b") - 1) * (F.col("_k") - 1))
+    return s.withColumn("p_value", pv.p_f(F.col("statistic"), F.col("df1"), F.col("df2"))).select(*by, "statistic", "df1", "df2", "p_value")
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str] = ()) -> DataFrame:

@@ -37,7 +37,7 @@ def bh(df: DataFrame, p: str, key: str, out: str = "q", by: list[str] = (), fact
         m = tested.count()
         ranked = running_sum(tested.withColumn("_one", F.lit(1)), "_one", ["_p", key], "_rank").withColumn("_m", F.lit(m))
         ranked = ranked.withColumn("_v", F.col("_p") * F.col("_m") / F.col("_rank") * (factor if factor is not None else F.lit(1.0))).drop("_one")
-        ranked = running_min_from_end(ranked, "_v", ["_p", key], out)
+        ranked = running_min_from_end(ranked, "_v", ["_rank"], out)
     ranked = ranked.withColumn(out, F.when(value.isNotNull(), F.least(out, F.lit(1.0)))) if missing_as_one else ranked.withColumn(out, F.least(out, F.lit(1.0)))
     return ranked.drop("_p", "_rank", "_m", "_v").unionByName(rest.drop("_p").withColumn(out, F.lit(None).cast("double")))
 

@@ -1,21 +1,9 @@
-"""Named queries over the star-schema tables, with the SQL each must agree with."""
+"""All named queries over the star-schema tables, with the SQL each must agree with."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-
-
-def query(name: str, oracle: str | None = None):
-    """Register a query under ``name``; ``oracle`` is equivalent DuckDB SQL where SQL can express it."""
-
-    def add(fn):
-        QUERIES[name] = fn
-        if oracle:
-            ORACLES[name] = oracle
-        return fn
-
-    return add
+from statloom.plans import tests_queries  # noqa: F401  (registers its queries)
+from statloom.plans.registry import ORACLES, QUERIES
 
 
 def queries() -> dict:
