@@ -30,7 +30,7 @@ from statloom.llm import text as tx
 from statloom.llm.frames import ship, shuffle_partitions
 
 ORDERS = (2, 3, 5)
-TABLE_BITS = (19, 20, 21)
+TABLE_BITS = (18, 19, 20)
 GATES = 4
 #: Weights that every document starts with, one for each order, and how far a step goes.
 START, RATE = (0.20, 0.35, 0.60), 0.02
@@ -94,18 +94,24 @@ def _symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return laid[keep] - 1, np.append(offs[:-1] + np.arange(len(lens)), offs[-1] + len(lens)), contexts
 
 
-def _slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    h = (context ^ (node * _I(0xC2B2AE35))) * _I(0x27D4EB2F)
-    h ^= h >> _I(15)
+def _slot(context: np.ndarray, mixed: np.ndarray, bits: int) -> np.ndarray:
+    """The slot of a decision: both arguments are hashes already, so one multiplication spreads their sum."""
+    h = context ^ mixed
     h *= _I(0x9E3779B1)
-    return h >> _I(32 - bits)
+    h >>= _I(32 - bits)
+    return h
+
+
+def _mixed(node: np.ndarray) -> np.ndarray:
+    return tx.mix(node.astype(_U) + _U(1)).astype(_I)
 
 
 class Counts:
     """Decisions by slot and bit of each order, over the documents of a task."""
 
     def __init__(self, tree):
-        self.depth, self.node, self.bit = tree
+        self.depth, node, self.bit = tree
+        self.mixed = _mixed(node)
         self.tables = [np.zeros(2 << b, np.uint32) for b in TABLE_BITS]
 
     def add(self, data: np.ndarray, offs: np.ndarray) -> None:
@@ -117,9 +123,12 @@ class Counts:
                 symbols, contexts = symbols[live], [c[live] for c in contexts]
             if not len(symbols):
                 break
-            node, bit = self.node[symbols, k], self.bit[symbols, k]
+            mixed, bit = self.mixed[:, k][symbols], self.bit[:, k][symbols]
             for o in range(len(ORDERS)):
-                slots[o].append((_slot(contexts[o], node, TABLE_BITS[o]) << _I(1)) | bit)
+                slot = _slot(contexts[o], mixed, TABLE_BITS[o])
+                slot <<= _I(1)
+                slot |= bit
+                slots[o].append(slot)
         for o, found in enumerate(slots):
             if found:
                 self.tables[o] += np.bincount(np.concatenate(found), minlength=2 << TABLE_BITS[o]).astype(np.uint32)
@@ -139,6 +148,8 @@ def _odds(counts: np.ndarray) -> np.ndarray:
 class Model:
     def __init__(self, tree, tables: list[np.ndarray]):
         self.depth, self.node, self.bit = tree
+        self.mixed = _mixed(self.node)
+        self.sign = self.bit.astype(np.float32) * np.float32(2) - np.float32(1)
         self.tables = tables
 
     def log10(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -176,11 +187,11 @@ class Model:
             if not len(symbols):
                 break
             gate = min(k, GATES - 1)
-            node, sign = self.node[symbols, k], self.bit[symbols, k].astype(np.float32) * np.float32(2) - np.float32(1)
+            mixed, sign = self.mixed[:, k][symbols], self.sign[:, k][symbols]
             count = np.diff(bounds)
-            odds = [t[_slot(c, node, b)] for t, c, b in zip(self.tables, contexts, TABLE_BITS)]
-            z = np.zeros(len(symbols), np.float32)
-            for o in range(len(ORDERS)):
+            odds = [t.take(_slot(c, mixed, b)) for t, c, b in zip(self.tables, contexts, TABLE_BITS)]
+            z = odds[0] * np.repeat(weights[own, gate, 0], count)
+            for o in range(1, len(ORDERS)):
                 z += odds[o] * np.repeat(weights[own, gate, o], count)
             z *= sign
             np.clip(z, -20, 20, out=z)

@@ -62,8 +62,8 @@ def sequential(model, text):
                 ctx.append(h)
             s = data[pos]
             for k in range(model.depth[s]):
-                node, bit, gate = int(model.node[s, k]), int(model.bit[s, k]), min(k, lm.GATES - 1)
-                odds = np.array([float(t[int(lm._slot(np.array([c], np.uint32), np.array([node], np.uint32), b)[0])]) for t, c, b in zip(model.tables, ctx, lm.TABLE_BITS)])
+                mixed, bit, gate = model.mixed[s, k : k + 1], int(model.bit[s, k]), min(k, lm.GATES - 1)
+                odds = np.array([float(t[int(lm._slot(np.array([c], np.uint32), mixed, b)[0])]) for t, c, b in zip(model.tables, ctx, lm.TABLE_BITS)])
                 z = float(w[gate] @ odds)
                 p = 1 / (1 + math.exp(-z))
                 total += math.log10(p if bit else 1 - p)
