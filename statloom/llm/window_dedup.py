@@ -136,7 +136,7 @@ def _first_of(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _read(n_parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _codes()
-        for batch in batches:
+        for batch in slices(batches, 3000):
             ids = np.array(batch.column(0), np.int64)
             data, offs = tx.utf8(batch.column(1))
             found = []
