@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statloom.llm import text as tx
-from statloom.llm.frames import components, keyed, materialize, parts, ship
+from statloom.llm.frames import components, keyed, materialize, parts, ship, slices
 
 SHINGLE = 5
 #: Two sets link when NUM * intersection >= DEN * union: a similarity of 0.8.
@@ -88,7 +88,7 @@ def _prefixes(n_parts: int):
     """Map: each batch of documents gives one blob of (prefix hash, class) for each part, and one of (id, class, size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 3000):
             ids = np.array(batch.column(0), np.int64)
             if not len(ids):
                 continue
@@ -252,7 +252,7 @@ def traverse(leaves: list[Node]) -> list[tuple]:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """block, leaf, id, whole set and bitmap of each member."""
-    for batch in batches:
+    for batch in slices(batches, 1000):
         sets, offs = document_sets(*tx.utf8(batch.column("text")))
         own = [sets[offs[i] : offs[i + 1]] for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("leaf"), batch.column("id"), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([_bitmap(s).tobytes() for s in own], pa.binary())], names=["block", "leaf", "id", "tokens", "bitmap"])
