@@ -428,7 +428,12 @@ def two_stage(df: DataFrame, y: str, exogenous: list[str], endogenous: list[str]
     """Two-stage least squares from one pass of cross products of (exogenous, endogenous, instruments, y)."""
     d = complete(df, y, *exogenous, *endogenous, *instruments)
     every = [*exogenous, *instruments, *endogenous]
-    r = moments(d, every, {"y": F.col(y).cast("double")}).collect()[0]
+    # centred columns keep the digits of the cross products; the intercept moves back at the end
+    mean = _centres(d, every, y, None) if ONE in exogenous else {}
+    names = [t if t == ONE else f"_c{i}" for i, t in enumerate(every)]
+    moved = d.select("*", *[(_col(t) - F.lit(mean.get(t, 0.0))).alias(n) for t, n in zip(every, names) if t != ONE])
+    yc = F.col(y).cast("double") - F.lit(mean.get(y, 0.0))
+    r = moments(moved, names, {"y": yc}).collect()[0]
     a, v = gram(r, len(every)), np.array([r[f"ty_{i}"] for i in range(len(every))])
     z = list(range(len(exogenous) + len(instruments)))
     x = list(range(len(exogenous))) + list(range(len(z), len(every)))
@@ -437,14 +442,24 @@ def two_stage(df: DataFrame, y: str, exogenous: list[str], endogenous: list[str]
     bread = np.linalg.inv(xx)
     beta = bread @ first.T @ v[z]
     terms = [*exogenous, *endogenous]
-    resid = F.col(y).cast("double") - _eta(terms, beta, None)
-    fitted = d
+    resid = yc
+    for i, b in zip(x, beta):
+        resid = resid - _col(names[i]) * F.lit(float(b))
+    fitted = moved
     for i in range(len(x)):
         col = F.lit(0.0)
-        for j, t in enumerate([*exogenous, *instruments]):
-            col = col + _col(t) * F.lit(float(first[j, i]))
+        for j in z:
+            col = col + _col(names[j]) * F.lit(float(first[j, i]))
         fitted = fitted.withColumn(f"_h{i}", col)
     cov, groups = _sandwich(fitted, [f"_h{i}" for i in range(len(x))], resid, bread, cluster)
+    if mean:
+        back = np.eye(len(x))
+        one = terms.index(ONE)
+        for i, t in enumerate(terms):
+            if t != ONE:
+                back[one, i] = -mean[t]
+        beta, cov = back @ beta, back @ cov @ back.T
+        beta[one] += mean[y]
     n, p = int(r["n"]), len(x)
     factor = {"HC0": 1.0, "CR0": 1.0, "HC1": n / (n - p), "CR1": groups / max(groups - 1, 1) * (n - 1) / (n - p)}[kind]
     # first-stage partial R2 and F of each endogenous term, given the exogenous ones

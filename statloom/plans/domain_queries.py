@@ -23,12 +23,12 @@ def _long(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("f", "v")).withColumn("v", F.col("v").cast("double"))
 
 
-@query("transform_zscore", f"SELECT vec_id, f, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS v FROM ({_LONG}) WINDOW w AS (PARTITION BY f)")
+@query("transform_zscore", f"SELECT vec_id, f, (v - avg(v) OVER w) / stddev_samp(v) OVER w AS v FROM ({_LONG}) WINDOW w AS (PARTITION BY f)", floats=("v",))
 def transform_zscore(spark, sf):
     return tr.apply(_long(spark, sf), "zscore()", "f", "v").select("vec_id", "f", "v")
 
 
-@query("transform_winsor", f"WITH d AS ({_LONG}), q AS (SELECT f, quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.95) AS b FROM d GROUP BY f) SELECT vec_id, f, least(greatest(v, a), b) AS v FROM d JOIN q USING (f)")
+@query("transform_winsor", f"WITH d AS ({_LONG}), q AS (SELECT f, quantile_cont(v, 0.05) AS a, quantile_cont(v, 0.95) AS b FROM d GROUP BY f) SELECT vec_id, f, least(greatest(v, a), b) AS v FROM d JOIN q USING (f)", floats=("v",))
 def transform_winsor(spark, sf):
     return tr.apply(_long(spark, sf), "winsor()", "f", "v").select("vec_id", "f", "v")
 
@@ -37,6 +37,7 @@ def transform_winsor(spark, sf):
     "transform_winsor_mad",
     f"""WITH d AS ({_LONG}), q AS (SELECT f, median(v) AS m FROM d GROUP BY f), s AS (SELECT f, any_value(m) AS m, median(abs(v - m)) * 1.482602218505602 AS s FROM d JOIN q USING (f) GROUP BY f)
         SELECT vec_id, f, CASE WHEN s > 0 THEN least(greatest(v, m - 2 * s), m + 2 * s) ELSE v END AS v FROM d JOIN s USING (f)""",
+    floats=("v",),
 )
 def transform_winsor_mad(spark, sf):
     return tr.apply(_long(spark, sf), "winsor_mad(k=2)", "f", "v").select("vec_id", "f", "v")
@@ -49,17 +50,17 @@ def _rows(spark, sf):
     return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_returnflag").alias("f"), F.col("l_discount").alias("d"), F.col("l_quantity").alias("q"))
 
 
-@query("transform_mvalue", f"SELECT id, f, log2(least(greatest(d, 1e-6), 1 - 1e-6) / (1 - least(greatest(d, 1e-6), 1 - 1e-6))) AS d FROM ({_ROWS})")
+@query("transform_mvalue", f"SELECT id, f, log2(least(greatest(d, 1e-6), 1 - 1e-6) / (1 - least(greatest(d, 1e-6), 1 - 1e-6))) AS d FROM ({_ROWS})", floats=("d",))
 def transform_mvalue(spark, sf):
     return tr.apply(_rows(spark, sf), "mvalue()", "f", "d").select("id", "f", "d")
 
 
-@query("transform_log1p", f"SELECT id, f, ln(1 + q) AS q FROM ({_ROWS})")
+@query("transform_log1p", f"SELECT id, f, ln(1 + q) AS q FROM ({_ROWS})", floats=("q",))
 def transform_log1p(spark, sf):
     return tr.apply(_rows(spark, sf), "log1p()", "f", "q").select("id", "f", "q")
 
 
-@query("transform_log", f"SELECT id, f, ln(q + 0.5) / ln(10) AS q FROM ({_ROWS})")
+@query("transform_log", f"SELECT id, f, ln(q + 0.5) / ln(10) AS q FROM ({_ROWS})", floats=("q",))
 def transform_log(spark, sf):
     return tr.apply(_rows(spark, sf), "log(shift=0.5, base=10)", "f", "q").select("id", "f", "q")
 
@@ -81,7 +82,7 @@ def robust_effect_qc(spark, sf):
 
 @query(
     "ewas_regions",
-    """WITH e AS (SELECT event_type AS c, CAST(epoch(ts) AS BIGINT) AS x, event_id FROM events), n AS (SELECT *, CASE WHEN x - lag(x) OVER w > 3600 OR lag(x) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY c ORDER BY x, event_id)),
+    """WITH e AS (SELECT event_type AS c, CAST(floor(epoch(ts)) AS BIGINT) AS x, event_id FROM events), n AS (SELECT *, CASE WHEN x - lag(x) OVER w > 3600 OR lag(x) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM e WINDOW w AS (PARTITION BY c ORDER BY x, event_id)),
        r AS (SELECT *, sum(new) OVER (PARTITION BY c ORDER BY x, event_id ROWS UNBOUNDED PRECEDING) AS region FROM n)
        SELECT c, CAST(region AS BIGINT) AS region, count(*) AS probes, min(x) AS start, max(x) AS "end" FROM r GROUP BY c, region HAVING count(*) >= 2""",
 )
@@ -102,7 +103,7 @@ def _doses(spark, sf):
 _STATS = f"""SELECT variant_id, count(*) AS called, sum(dosage) / (2 * count(*)) AS af, least(sum(dosage) / (2 * count(*)), 1 - sum(dosage) / (2 * count(*))) AS maf, coalesce(var_samp(dosage), 0) AS variance FROM ({_DOSE}) GROUP BY 1"""
 
 
-@query("variant_statistics", f"SELECT variant_id, called, af, maf, 2 * called * maf AS mac, variance FROM ({_STATS})")
+@query("variant_statistics", f"SELECT variant_id, called, af, maf, 2 * called * maf AS mac, variance FROM ({_STATS})", floats=("af", "maf", "mac", "variance",))
 def variant_statistics(spark, sf):
     return ge.variant_statistics(_doses(spark, sf)).select("variant_id", "called", "af", "maf", "mac", "variance")
 
@@ -133,6 +134,7 @@ def _panel(spark, sf):
     f"""WITH d AS ({_PANEL}), s AS (SELECT variant_id, sum(dosage) / (2 * count(*)) AS p FROM d GROUP BY 1 HAVING var_samp(dosage) > 0 AND least(sum(dosage) / (2 * count(*)), 1 - sum(dosage) / (2 * count(*))) >= 0.01),
         z AS (SELECT variant_id, sample_id, (dosage - 2 * p) / sqrt(2 * p * (1 - p)) AS z FROM d JOIN s USING (variant_id))
         SELECT x.sample_id AS a, y.sample_id AS b, sum(x.z * y.z) / (SELECT count(*) FROM s) AS value FROM z x JOIN z y ON x.variant_id = y.variant_id AND x.sample_id <= y.sample_id GROUP BY 1, 2""",
+    floats=("value",),
 )
 def grm_pairs(spark, sf):
     return ge.grm(_panel(spark, sf))
@@ -141,6 +143,7 @@ def grm_pairs(spark, sf):
 @query(
     "ld_pairs",
     f"SELECT x.variant_id AS a, y.variant_id AS b, corr(x.dosage, y.dosage) AS r FROM ({_PANEL}) x JOIN ({_PANEL}) y ON x.sample_id = y.sample_id AND x.variant_id < y.variant_id AND y.variant_id - x.variant_id <= 5 GROUP BY 1, 2",
+    floats=("r",),
 )
 def ld_pairs(spark, sf):
     d = _panel(spark, sf).withColumn("chromosome", F.lit("1")).withColumn("position", F.col("variant_id").cast("long"))
@@ -154,7 +157,7 @@ def ld_clump(spark, sf):
     return ge.clump(hits, ge.ld_pairs(d, 20), r2=0.01)
 
 
-@query("prs_score", f"SELECT vec_id AS sample_id, sum(v * (f - 31.5)) AS score FROM ({_LONG}) GROUP BY 1")
+@query("prs_score", f"SELECT vec_id AS sample_id, sum(v * (f - 31.5)) AS score FROM ({_LONG}) GROUP BY 1", floats=("score",))
 def prs_score(spark, sf):
     d = _long(spark, sf).select(F.col("f").alias("variant_id"), F.col("vec_id").alias("sample_id"), F.col("v").alias("dosage"))
     w = spark.range(64).select(F.col("id").cast("int").alias("variant_id"), (F.col("id") - 31.5).alias("weight"))
@@ -169,6 +172,7 @@ _LBF = f"SELECT brand AS v, nation % 2 AS trait, (ln(1 - r) + r * z * z) / 2 AS
     f"""WITH l AS ({_LBF}), a AS (SELECT x.v, x.l AS l1, y.l AS l2 FROM l x JOIN l y ON x.v = y.v WHERE x.trait = 0 AND y.trait = 1), s AS (SELECT count(*) AS n, sum(exp(l1)) AS s1, sum(exp(l2)) AS s2, sum(exp(l1 + l2)) AS s4 FROM a),
         h3 AS (SELECT sum(exp(x.l1 + y.l2)) AS s3 FROM a x JOIN a y ON x.v <> y.v), h AS (SELECT n, 1.0 AS h0, 1e-4 * s1 AS h1, 1e-4 * s2 AS h2, 1e-8 * s3 AS h3, 1e-5 * s4 AS h4 FROM s, h3)
         SELECT 0 AS g, n, h0 / (h0 + h1 + h2 + h3 + h4) AS h0, h1 / (h0 + h1 + h2 + h3 + h4) AS h1, h2 / (h0 + h1 + h2 + h3 + h4) AS h2, h3 / (h0 + h1 + h2 + h3 + h4) AS h3, h4 / (h0 + h1 + h2 + h3 + h4) AS h4 FROM h""",
+    floats=("h0", "h1", "h2", "h3", "h4",),
 )
 def coloc_pairs(spark, sf):
     e = effects(spark, sf).withColumn("trait", F.col("nation") % 2)
@@ -198,6 +202,7 @@ def _pv(spark, sf):
 @query(
     "acat_combine",
     f"SELECT brand, count(*) AS k, avg(CASE WHEN p < 1e-8 THEN 1 / (p * pi()) ELSE tan(pi() * (0.5 - p)) END) AS statistic, 0.5 - atan(avg(CASE WHEN p < 1e-8 THEN 1 / (p * pi()) ELSE tan(pi() * (0.5 - p)) END)) / pi() AS p_value FROM ({_PV}) WHERE p < 1 GROUP BY brand",
+    floats=("statistic", "p_value",),
 )
 def acat_combine(spark, sf):
     return st.acat(_pv(spark, sf).filter("p < 1"), ["brand"], "p")
@@ -206,6 +211,7 @@ def acat_combine(spark, sf):
 @query(
     "score_meta",
     f"SELECT brand AS variant_id, count(*) AS cohorts, sum(effect / (se * se)) AS u, sum(1 / (se * se)) AS v, sum(effect / (se * se)) / sqrt(sum(1 / (se * se))) AS statistic, string_agg(CASE WHEN effect > 0 THEN '+' WHEN effect < 0 THEN '-' ELSE '0' END, '' ORDER BY nation) AS direction FROM ({_EFFECTS}) GROUP BY 1",
+    floats=("u", "v", "statistic",),
 )
 def score_meta(spark, sf):
     e = effects(spark, sf).select(F.col("brand").alias("variant_id"), F.col("nation").alias("cohort"), (F.col("effect") / (F.col("se") * F.col("se"))).alias("u"), (1 / (F.col("se") * F.col("se"))).alias("v"))
@@ -227,7 +233,7 @@ def set_tests_burden_skat(spark, sf):
 # -- networks, space, cells -------------------------------------------------------------------------------------------------------------------
 
 
-@query("corr_network", f"SELECT x.f AS a, y.f AS b, corr(x.v, y.v) AS r, count(*) AS n FROM ({_LONG}) x JOIN ({_LONG}) y ON x.vec_id = y.vec_id AND x.f < y.f GROUP BY 1, 2")
+@query("corr_network", f"SELECT x.f AS a, y.f AS b, corr(x.v, y.v) AS r, count(*) AS n FROM ({_LONG}) x JOIN ({_LONG}) y ON x.vec_id = y.vec_id AND x.f < y.f GROUP BY 1, 2", floats=("r",))
 def corr_network(spark, sf):
     return gr.correlation_pairs(_long(spark, sf), "vec_id", "f", "v")
 
@@ -236,6 +242,7 @@ def corr_network(spark, sf):
     "diff_corr_fisher_z",
     f"""WITH d AS (SELECT * FROM ({_LONG}) WHERE f < 12), c AS (SELECT x.vec_id % 2 AS g, x.f AS a, y.f AS b, corr(x.v, y.v) AS r, count(*) AS n FROM d x JOIN d y ON x.vec_id = y.vec_id AND x.f < y.f GROUP BY 1, 2, 3)
         SELECT p.a, p.b, (atanh(p.r) - atanh(q.r)) / sqrt(1.0 / (p.n - 3) + 1.0 / (q.n - 3)) AS statistic FROM c p JOIN c q ON p.a = q.a AND p.b = q.b WHERE p.g = 0 AND q.g = 1""",
+    floats=("statistic",),
 )
 def diff_corr_fisher_z(spark, sf):
     d = _long(spark, sf).filter("f < 12").withColumn("g", F.col("vec_id") % 2)
@@ -261,7 +268,7 @@ def _points(spark, sf):
     return e.select(F.col("vec_id").alias("node"), *[F.col("embedding")[k].cast("double").alias(n) for k, n in enumerate("xyv")], "label")
 
 
-@query("spatial_radius_edges", _EDGES)
+@query("spatial_radius_edges", _EDGES, floats=("distance",))
 def spatial_radius_edges(spark, sf):
     return gr.radius_edges(_points(spark, sf), 0.03)
 
@@ -270,6 +277,7 @@ def spatial_radius_edges(spark, sf):
     "knn_edges",
     f"""WITH e AS ({_EDGES}), d AS (SELECT source, target, distance FROM e UNION ALL SELECT target, source, distance FROM e), k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY distance, target) AS k FROM d)
         SELECT DISTINCT least(source, target) AS source, greatest(source, target) AS target, distance FROM k WHERE k <= 3""",
+    floats=("distance",),
 )
 def knn_edges(spark, sf):
     return gr.knn_edges(_points(spark, sf), 3, 0.03)
@@ -280,6 +288,7 @@ def knn_edges(spark, sf):
     f"""WITH p AS ({_PTS}), e AS ({_EDGES}), m AS (SELECT avg(v) AS m, sum(v * v) - count(*) * avg(v) * avg(v) AS ss, count(*) AS n FROM p),
         s AS (SELECT count(*)::DOUBLE AS k, sum((a.v - m) * (b.v - m)) AS c, sum(power(a.v - b.v, 2)) AS q, any_value(n) AS n, any_value(ss) AS ss FROM e JOIN p a ON e.source = a.node JOIN p b ON e.target = b.node, m)
         SELECT 'v' AS feature_id, k AS edges, n * c / (k * ss) AS moran_i, (n - 1) * q / (2 * k * ss) AS geary_c FROM s""",
+    floats=("edges", "moran_i", "geary_c",),
 )
 def moran_geary(spark, sf):
     p = _points(spark, sf)
@@ -306,6 +315,7 @@ def _counts(spark, sf):
     "sc_qc",
     f"""SELECT obs_id, library, features, m / library AS mito_share, concat_ws(';', CASE WHEN library < 60 THEN 'low_library' END, CASE WHEN features < 5 THEN 'low_features' END, CASE WHEN m / library > 0.21 THEN 'high_mitochondrial' END) AS reasons
         FROM (SELECT obs_id, CAST(sum(count) AS BIGINT) AS library, count(*) AS features, sum(CASE WHEN feature_id = 'click' THEN count ELSE 0 END)::DOUBLE AS m FROM ({_COUNTS}) GROUP BY 1)""",
+    floats=("mito_share",),
 )
 def sc_qc(spark, sf):
     out = gr.cell_qc(_counts(spark, sf), spark.createDataFrame([("click",)], "feature_id string"), 60, 5, 0.21)
@@ -323,6 +333,7 @@ def sc_pseudobulk(spark, sf):
     "sc_abundance",
     """WITH k AS (SELECT user_id AS sample, event_type AS label, count(*) AS k FROM events GROUP BY 1, 2), n AS (SELECT sample, sum(k) AS n FROM k GROUP BY 1)
        SELECT n.sample, t.label, coalesce(k, 0) AS k, CAST(n AS BIGINT) AS n, asin(sqrt(coalesce(k, 0) / n::DOUBLE)) AS value FROM n CROSS JOIN (SELECT DISTINCT label FROM k) t LEFT JOIN k ON k.sample = n.sample AND k.label = t.label""",
+    floats=("value",),
 )
 def sc_abundance(spark, sf):
     return gr.relative_abundance(table(spark, sf, "events").select(F.col("user_id").alias("sample"), F.col("event_type").alias("label")), "sample", "label")
@@ -333,6 +344,7 @@ def sc_abundance(spark, sf):
     f"""WITH c AS ({_COUNTS}), l AS (SELECT obs_id, sum(count) AS lib FROM c GROUP BY 1), s AS (SELECT 'a' AS set_id, unnest(['click', 'view', 'nope']) AS g UNION ALL SELECT 'b', unnest(['purchase', 'click'])), m AS (SELECT * FROM s WHERE g IN (SELECT feature_id FROM c)),
         k AS (SELECT set_id, count(*) AS members FROM m GROUP BY 1 HAVING count(*) >= 2)
         SELECT l.obs_id, m.set_id, any_value(members) AS members, avg(log2((coalesce(count, 0) + 0.5) * 1e6 / (lib + 1))) AS score FROM l CROSS JOIN m JOIN k USING (set_id) LEFT JOIN c ON c.obs_id = l.obs_id AND c.feature_id = m.g GROUP BY 1, 2""",
+    floats=("score",),
 )
 def sc_pathway_score(spark, sf):
     sets = spark.createDataFrame([("a", "click"), ("a", "view"), ("a", "nope"), ("b", "purchase"), ("b", "click")], "set_id string, gene string")
@@ -348,6 +360,7 @@ _UNIVERSE = "SELECT p_partkey AS gene, p_brand AS set_id, p_size > 40 AS sel FRO
     "ora_enrichment",
     f"""WITH u AS ({_UNIVERSE}), t AS (SELECT count(*) AS n, count(*) FILTER (sel) AS k FROM u), s AS (SELECT set_id, count(*) AS size, count(*) FILTER (sel) AS overlap FROM u GROUP BY 1)
         SELECT set_id, size, overlap, size * k / n::DOUBLE AS expected, CASE WHEN (k - overlap) * (size - overlap) <> 0 THEN overlap * (n - size - k + overlap)::DOUBLE / ((k - overlap) * (size - overlap)) END AS odds_ratio, overlap / (size * k / n::DOUBLE) AS fold FROM s, t""",
+    floats=("expected", "odds_ratio", "fold",),
 )
 def ora_enrichment(spark, sf):
     p = table(spark, sf, "part")
@@ -379,6 +392,7 @@ def annotate_left_join(spark, sf):
     "replication_join",
     f"""WITH e AS ({_EFFECTS}), d AS (SELECT * FROM e WHERE nation % 2 = 0), r AS (SELECT * FROM e WHERE nation % 2 = 1), m AS (SELECT brand, avg(effect) AS a FROM d GROUP BY 1), n AS (SELECT brand, avg(effect) AS b FROM r GROUP BY 1)
         SELECT coalesce(m.brand, n.brand) AS feature, a, b, CASE WHEN b IS NULL THEN 'discovery_only' WHEN a IS NULL THEN 'replication_only' WHEN sign(a) = sign(b) THEN 'same_sign' ELSE 'opposite_sign' END AS status FROM m FULL JOIN n ON m.brand = n.brand""",
+    floats=("a", "b",),
 )
 def replication_join(spark, sf):
     from statloom.operators.study import replicate
@@ -401,6 +415,7 @@ def candidate_rank(spark, sf):
 @query(
     "effect_comparison",
     f"SELECT a.nation AS first, b.nation AS second, count(*) AS shared, corr(a.effect, b.effect) AS r, avg(CASE WHEN sign(a.effect) = sign(b.effect) THEN 1.0 ELSE 0 END) AS same_sign FROM ({_EFFECTS}) a JOIN ({_EFFECTS}) b ON a.brand = b.brand AND a.nation < b.nation GROUP BY 1, 2 HAVING count(*) >= 3",
+    floats=("r", "same_sign",),
 )
 def effect_comparison(spark, sf):
     from statloom.operators.study import compare_effects
@@ -432,12 +447,12 @@ _ACF = f"""WITH d AS (SELECT s, t, v - avg(v) OVER (PARTITION BY s) AS c FROM ({
     a AS (SELECT s, CAST(k AS INTEGER) AS lag, count(*) AS n, coalesce(sum(c * p), 0) / sum(c * c) AS acf FROM l GROUP BY s, k)"""
 
 
-@query("acf_by_type", f"{_ACF} SELECT s, lag, n, acf FROM a")
+@query("acf_by_type", f"{_ACF} SELECT s, lag, n, acf FROM a", floats=("acf",))
 def acf_by_type(spark, sf):
     return series.autocorrelation(_hourly(spark, sf), ["s"], "t", "v", 5).select("s", "lag", "n", "acf")
 
 
-@query("acf_ljung_box", f"{_ACF} SELECT s, any_value(n) * (any_value(n) + 2.0) * sum(acf * acf / (n - lag)) AS statistic, 5.0::DOUBLE AS df FROM a GROUP BY s")
+@query("acf_ljung_box", f"{_ACF} SELECT s, any_value(n) * (any_value(n) + 2.0) * sum(acf * acf / (n - lag)) AS statistic, 5.0::DOUBLE AS df FROM a GROUP BY s", floats=("statistic", "df",))
 def acf_ljung_box(spark, sf):
     return series.ljung_box(series.autocorrelation(_hourly(spark, sf), ["s"], "t", "v", 5), ["s"]).select("s", "statistic", "df")
 
@@ -464,6 +479,7 @@ def _surv(spark, sf):
     "cox_risk_sets",
     f"""WITH d AS ({_SURV}), c AS (SELECT t, count(*) FILTER (e) AS deaths, count(*) AS n, sum(x) AS sx, sum(x * x) AS sxx FROM d GROUP BY t)
         SELECT t, deaths, CAST(sum(n) OVER w AS BIGINT) AS at_risk, sum(sx) OVER w AS cx0, sum(sxx) OVER w AS cx0_0 FROM c WINDOW w AS (ORDER BY t DESC ROWS UNBOUNDED PRECEDING) QUALIFY deaths > 0""",
+    floats=("t", "cx0", "cx0_0",),
 )
 def cox_risk_sets(spark, sf):
     return series.risk_sets(_surv(spark, sf), "t", "e", ["x"]).select("t", "deaths", "at_risk", "cx0", "cx0_0")
@@ -473,6 +489,7 @@ def cox_risk_sets(spark, sf):
     "kaplan_meier",
     f"""WITH d AS ({_SURV}), c AS (SELECT g, t, count(*) FILTER (e) AS deaths, count(*) AS n FROM d GROUP BY g, t), r AS (SELECT g, t, deaths, CAST(sum(n) OVER (PARTITION BY g ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS at_risk FROM c QUALIFY deaths > 0)
         SELECT g, t, deaths, at_risk, CASE WHEN max(CASE WHEN deaths = at_risk THEN 1 ELSE 0 END) OVER w = 1 THEN 0.0 ELSE exp(sum(CASE WHEN deaths < at_risk THEN ln(1 - deaths / at_risk::DOUBLE) ELSE 0 END) OVER w) END AS survival FROM r WINDOW w AS (PARTITION BY g ORDER BY t ROWS UNBOUNDED PRECEDING)""",
+    floats=("t", "survival",),
 )
 def kaplan_meier(spark, sf):
     return series.kaplan_meier(_surv(spark, sf), "t", "e", ["g"])
@@ -488,6 +505,7 @@ def cox_regression(spark, sf):
     f"""WITH d AS ({_SURV}), c AS (SELECT t, count(*) FILTER (e) AS m, count(*) FILTER (e AND g = 'O') AS m1, count(*) AS k, count(*) FILTER (g = 'O') AS k1 FROM d GROUP BY t),
         r AS (SELECT m, m1, sum(k) OVER w AS n, sum(k1) OVER w AS n1 FROM c WINDOW w AS (ORDER BY t DESC ROWS UNBOUNDED PRECEDING))
         SELECT power(sum(m1 - m * n1 / n::DOUBLE), 2) / sum(CASE WHEN n > 1 THEN m * (n1 / n::DOUBLE) * (1 - n1 / n::DOUBLE) * (n - m) / (n - 1.0) ELSE 0 END) AS statistic FROM r WHERE m > 0""",
+    floats=("statistic",), rest=False,
 )
 def log_rank(spark, sf):
     return series.log_rank(_surv(spark, sf), "t", "e", "g").select("statistic")

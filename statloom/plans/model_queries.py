@@ -21,7 +21,7 @@ def effects(spark, sf):
     return fit.filter("status = 'ok'").select("brand", "nation", "n", F.col("estimate").alias("effect"), "se")
 
 
-@query("effects_by_brand_nation", f"SELECT brand, nation, n, effect, se FROM ({_EFFECTS})")
+@query("effects_by_brand_nation", f"SELECT brand, nation, n, effect, se FROM ({_EFFECTS})", floats=("effect", "se",))
 def effects_by_brand_nation(spark, sf):
     return effects(spark, sf)
 
@@ -30,7 +30,7 @@ _POOL = f"""WITH e AS ({_EFFECTS}), s AS (SELECT brand, count(*) AS k, sum(1 / (
     q AS (SELECT brand, k, sw, sw2, mu, sum(power(effect - mu, 2) / (se * se)) AS q FROM e JOIN s USING (brand) GROUP BY ALL)"""
 
 
-@query("meta_fixed", f"{_POOL} SELECT brand AS feature, k, mu AS estimate, sqrt(1 / sw) AS se, q, greatest(0, 100 * (q - (k - 1)) / q) AS i2, greatest(1, q / (k - 1)) AS h2 FROM q")
+@query("meta_fixed", f"{_POOL} SELECT brand AS feature, k, mu AS estimate, sqrt(1 / sw) AS se, q, greatest(0, 100 * (q - (k - 1)) / q) AS i2, greatest(1, q / (k - 1)) AS h2 FROM q", floats=("estimate", "se", "q", "i2", "h2",))
 def meta_fixed(spark, sf):
     return meta.pool(effects(spark, sf), "brand", "nation", "effect", "se").select("feature", "k", "estimate", "se", "q", "i2", "h2")
 
@@ -40,7 +40,7 @@ _DL = f"""{_POOL}, t AS (SELECT *, greatest(0, (q - (k - 1)) / (sw - sw2 / sw))
     string_agg(CASE WHEN effect > 0 THEN '+' WHEN effect < 0 THEN '-' ELSE '0' END, '' ORDER BY nation) AS direction FROM e JOIN t USING (brand) GROUP BY brand"""
 
 
-@query("meta_dl", _DL)
+@query("meta_dl", _DL, floats=("tau2", "estimate", "se",))
 def meta_dl(spark, sf):
     return meta.pool(effects(spark, sf), "brand", "nation", "effect", "se", "dl").select("feature", "k", "tau2", "estimate", "se", "direction")
 
@@ -59,6 +59,7 @@ def meta_reml(spark, sf):
     "meta_leave_one_out",
     f"""WITH e AS ({_EFFECTS}) SELECT a.brand AS feature, a.nation AS left_out, sum(b.effect / (b.se * b.se)) / sum(1 / (b.se * b.se)) AS estimate, sqrt(1 / sum(1 / (b.se * b.se))) AS se
         FROM e a JOIN e b ON a.brand = b.brand AND a.nation <> b.nation GROUP BY 1, 2""",
+    floats=("estimate", "se",),
 )
 def meta_leave_one_out(spark, sf):
     return meta.leave_one_out(effects(spark, sf), "brand", "nation", "effect", "se").select("feature", "left_out", "estimate", "se")
@@ -70,6 +71,7 @@ def meta_leave_one_out(spark, sf):
         r AS (SELECT brand, k, my, mx, s, sum((se - mx) * (effect - my) / (se * se)) / sum(power((se - mx) / se, 2)) AS slope, sum(power((se - mx) / se, 2)) AS sxx FROM e JOIN c USING (brand) GROUP BY ALL)
         SELECT brand AS feature, any_value(k) AS k, any_value(my - slope * mx) AS intercept, any_value(slope) AS slope, sqrt(sum(power((effect - my - slope * (se - mx)) / se, 2)) / (any_value(k) - 2) / any_value(sxx)) AS se
         FROM e JOIN r USING (brand) GROUP BY brand HAVING any_value(k) > 2""",
+    floats=("k", "intercept", "slope", "se",),
 )
 def meta_egger(spark, sf):
     return meta.egger(effects(spark, sf), "brand", "effect", "se").select("feature", "k", "intercept", "slope", "se")
@@ -79,6 +81,7 @@ def meta_egger(spark, sf):
     "meta_regression",
     f"""WITH e AS (SELECT *, nation::DOUBLE AS x FROM ({_EFFECTS})), c AS (SELECT brand, sum(x / (se * se)) / sum(1 / (se * se)) AS mx, sum(effect / (se * se)) / sum(1 / (se * se)) AS my FROM e GROUP BY 1)
         SELECT brand AS feature, count(*) AS k, sum((x - mx) * (effect - my) / (se * se)) / sum(power((x - mx) / se, 2)) AS slope, sqrt(1 / sum(power((x - mx) / se, 2))) AS se FROM e JOIN c USING (brand) GROUP BY brand""",
+    floats=("slope", "se",),
 )
 def meta_regression(spark, sf):
     e = effects(spark, sf).withColumn("x", F.col("nation").cast("double"))
@@ -89,6 +92,7 @@ def meta_regression(spark, sf):
     "rubin_pool",
     f"""WITH e AS (SELECT *, effect AS est FROM ({_EFFECTS})), s AS (SELECT brand, count(*)::DOUBLE AS m, avg(est) AS estimate, avg(se * se) AS within, coalesce(var_samp(est), 0) AS between FROM e GROUP BY 1)
         SELECT brand, estimate, within, between, sqrt(within + (1 + 1 / m) * between) AS se, (m - 1) / power((1 + 1 / m) * between / (within + (1 + 1 / m) * between), 2) AS df FROM s""",
+    floats=("estimate", "within", "between", "se", "df",),
 )
 def rubin_pool(spark, sf):
     return meta.rubin(effects(spark, sf), ["brand"], "effect", "se").select("brand", "estimate", "within", "between", "se", "df")
@@ -118,7 +122,7 @@ def harmonized(spark, sf):
     return x, y
 
 
-@query("mr_harmonize", f"SELECT exposure, outcome, variant, x AS beta_x, y AS beta_y FROM ({_HARM})")
+@query("mr_harmonize", f"SELECT exposure, outcome, variant, x AS beta_x, y AS beta_y FROM ({_HARM})", floats=("beta_x", "beta_y",))
 def mr_harmonize(spark, sf):
     x, y = harmonized(spark, sf)
     return mr.instruments(mr.harmonize(x.filter("effect_allele <> other_allele"), y)).select("exposure", "outcome", "variant", "beta_x", "beta_y")
@@ -133,6 +137,7 @@ def _inst(spark, sf):
     "mr_ivw",
     f"""WITH h AS ({_HARM}), b AS (SELECT exposure, outcome, count(*) AS n, sum(x * y / (sy * sy)) / sum(x * x / (sy * sy)) AS b, sum(x * x / (sy * sy)) AS sxx FROM h GROUP BY 1, 2 HAVING count(*) >= 2)
         SELECT h.exposure, h.outcome, any_value(n) AS n, any_value(b) AS estimate, sqrt(1 / any_value(sxx)) AS se, sum(power((y - b * x) / sy, 2)) AS q FROM h JOIN b USING (exposure, outcome) GROUP BY 1, 2""",
+    floats=("estimate", "se", "q",),
 )
 def mr_ivw(spark, sf):
     return mr.ivw(_inst(spark, sf), ["exposure", "outcome"]).select("exposure", "outcome", "n", "estimate", "se", "q")
@@ -142,6 +147,7 @@ def mr_ivw(spark, sf):
     "xwas_mr_grid",
     f"""WITH h AS ({_HARM}), b AS (SELECT exposure, outcome, count(*) AS n, sum(x * y / (sy * sy)) / sum(x * x / (sy * sy)) AS estimate, sqrt(1 / sum(x * x / (sy * sy))) AS se FROM h GROUP BY 1, 2 HAVING count(*) >= 3)
         SELECT exposure, outcome, n, estimate, se, estimate / se AS statistic FROM b""",
+    floats=("estimate", "se", "statistic",),
 )
 def xwas_mr_grid(spark, sf):
     x, y = harmonized(spark, sf)
@@ -154,6 +160,7 @@ def xwas_mr_grid(spark, sf):
     f"""WITH h AS (SELECT exposure, outcome, abs(x) AS x, sign(x) * y AS y, 1 / (sy * sy) AS w FROM ({_HARM})), c AS (SELECT exposure, outcome, count(*) AS n, sum(w) AS s, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM h GROUP BY 1, 2 HAVING count(*) >= 3)
         SELECT exposure, outcome, any_value(n) AS n, sum(w * (x - mx) * (y - my)) / sum(w * power(x - mx, 2)) AS estimate, any_value(my) - sum(w * (x - mx) * (y - my)) / sum(w * power(x - mx, 2)) * any_value(mx) AS intercept
         FROM h JOIN c USING (exposure, outcome) GROUP BY 1, 2""",
+    floats=("estimate", "intercept",),
 )
 def mr_egger(spark, sf):
     return mr.egger(_inst(spark, sf), ["exposure", "outcome"]).select("exposure", "outcome", "n", "estimate", "intercept")
@@ -166,6 +173,7 @@ def mr_egger(spark, sf):
         n AS (SELECT *, lead(a) OVER w2 AS na, lead(r) OVER w2 AS nr, row_number() OVER w2 AS i, count(*) OVER (PARTITION BY exposure, outcome) AS n FROM p WINDOW w2 AS (PARTITION BY exposure, outcome ORDER BY r, variant))
         SELECT exposure, outcome, n, CASE WHEN a > 0.5 OR na IS NULL THEN r ELSE r + (nr - r) * (0.5 - a) / (na - a) END AS estimate FROM n
         WHERE n >= 3 AND ((a <= 0.5 AND (na > 0.5 OR na IS NULL)) OR (i = 1 AND a > 0.5))""",
+    floats=("estimate",),
 )
 def mr_weighted_median(spark, sf):
     return mr.weighted_median(_inst(spark, sf), ["exposure", "outcome"]).select("exposure", "outcome", "n", "estimate")
@@ -175,6 +183,7 @@ def mr_weighted_median(spark, sf):
     "mr_leave_one_out",
     f"""WITH h AS (SELECT * FROM ({_HARM}) WHERE exposure = 'x0' AND outcome = 'y1'), s AS (SELECT count(*) AS n, sum(x * x / (sy * sy)) AS sxx, sum(x * y / (sy * sy)) AS sxy FROM h)
         SELECT exposure, outcome, variant AS left_out, (sxy - x * y / (sy * sy)) / (sxx - x * x / (sy * sy)) AS estimate FROM h, s WHERE n >= 3""",
+    floats=("estimate",),
 )
 def mr_leave_one_out(spark, sf):
     return mr.leave_one_out(_inst(spark, sf).filter("exposure = 'x0' and outcome = 'y1'"), ["exposure", "outcome"]).select("exposure", "outcome", "left_out", "estimate")
@@ -182,10 +191,10 @@ def mr_leave_one_out(spark, sf):
 
 @query(
     "mr_steiger",
-    f"""SELECT exposure, outcome, count(*) FILTER (power(x / sx, 2) / (power(x / sx, 2) + 998) > power(y / sy, 2) / (power(y / sy, 2) + 998)) AS retained, count(*) AS n FROM ({_HARM}) GROUP BY 1, 2""",
+    f"""SELECT exposure, outcome, count(*) FILTER (power(x / sx, 2) / (power(x / sx, 2) + 998) > power(y / sy, 2) / (power(y / sy, 2) + 998) + 1e-9) AS retained, count(*) AS n FROM ({_HARM}) GROUP BY 1, 2""",
 )
 def mr_steiger(spark, sf):
-    return mr.steiger(_inst(spark, sf), 1000, 1000).groupBy("exposure", "outcome").agg(F.count_if("retained").alias("retained"), F.count(F.lit(1)).alias("n"))
+    return mr.steiger(_inst(spark, sf), 1000, 1000).groupBy("exposure", "outcome").agg(F.count_if(F.col("r2_x") > F.col("r2_y") + 1e-9).alias("retained"), F.count(F.lit(1)).alias("n"))
 
 
 @query("mr_presso")
@@ -202,6 +211,7 @@ def mr_contamination_mixture(spark, sf):
     "ols_simple",
     """SELECT l_returnflag, count(*) AS n, regr_slope(l_extendedprice, l_quantity) AS estimate,
        sqrt((regr_syy(l_extendedprice, l_quantity) - regr_slope(l_extendedprice, l_quantity) * regr_sxy(l_extendedprice, l_quantity)) / (count(*) - 2) / regr_sxx(l_extendedprice, l_quantity)) AS se FROM lineitem GROUP BY 1""",
+    floats=("estimate", "se",),
 )
 def ols_simple(spark, sf):
     return rg.ols_by(table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity", ["l_returnflag"]).select("l_returnflag", "n", "estimate", "se")
@@ -213,7 +223,7 @@ _TWO = """WITH m AS (SELECT avg(l_extendedprice) AS my, avg(l_quantity) AS m1, a
     b AS (SELECT (c * u - b * v) / (a * c - b * b) AS b1, (a * v - b * u) / (a * c - b * b) AS b2, my, m1, m2 FROM s)"""
 
 
-@query("ols_two_predictor", f"{_TWO} SELECT 'l_quantity' AS term, b1 AS estimate FROM b UNION ALL SELECT 'l_discount', b2 FROM b UNION ALL SELECT '(Intercept)', my - b1 * m1 - b2 * m2 FROM b")
+@query("ols_two_predictor", f"{_TWO} SELECT 'l_quantity' AS term, b1 AS estimate FROM b UNION ALL SELECT 'l_discount', b2 FROM b UNION ALL SELECT '(Intercept)', my - b1 * m1 - b2 * m2 FROM b", floats=("estimate",))
 def ols_two_predictor(spark, sf):
     return rg.ols(table(spark, sf, "lineitem"), "l_extendedprice", [rg.ONE, "l_quantity", "l_discount"]).frame(spark).select("term", "estimate")
 
@@ -223,6 +233,7 @@ def ols_two_predictor(spark, sf):
     """WITH m AS (SELECT sum(l_quantity * l_extendedprice) / sum(l_quantity) AS my, sum(l_quantity * l_discount) / sum(l_quantity) AS mx FROM lineitem),
        s AS (SELECT sum(l_quantity * (l_discount - mx) * (l_extendedprice - my)) / sum(l_quantity * power(l_discount - mx, 2)) AS b, any_value(my) AS my, any_value(mx) AS mx, sum(l_quantity * power(l_discount - mx, 2)) AS sxx, count(*) AS n FROM lineitem, m)
        SELECT 'l_discount' AS term, any_value(b) AS estimate, sqrt(sum(l_quantity * power(l_extendedprice - s.my - b * (l_discount - s.mx), 2)) / (any_value(n) - 2) / any_value(sxx)) AS se FROM lineitem, s""",
+    floats=("estimate", "se",),
 )
 def ols_weighted(spark, sf):
     return rg.ols(table(spark, sf, "lineitem"), "l_extendedprice", [rg.ONE, "l_discount"], weight="l_quantity").frame(spark).filter("term = 'l_discount'").select("term", "estimate", "se")
@@ -232,6 +243,7 @@ def ols_weighted(spark, sf):
     "ols_scan_features",
     """WITH d AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS f FROM embeddings)
        SELECT f AS feature_id, count(*) AS called, regr_slope(label, x) AS beta, sqrt((regr_syy(label, x) - regr_slope(label, x) * regr_sxy(label, x)) / (count(*) - 2) / regr_sxx(label, x)) AS standard_error FROM d GROUP BY 1""",
+    floats=("beta", "standard_error",),
 )
 def ols_scan_features(spark, sf):
     e = table(spark, sf, "embeddings")
@@ -255,6 +267,7 @@ def glm_poisson(spark, sf):
     "glm_logit_saturated",
     """WITH g AS (SELECT l_linestatus = 'O' AS x, avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0 END) AS p FROM lineitem GROUP BY 1), a AS (SELECT ln(p / (1 - p)) AS l FROM g WHERE NOT x), b AS (SELECT ln(p / (1 - p)) AS l FROM g WHERE x)
        SELECT '(Intercept)' AS term, l AS estimate FROM a UNION ALL SELECT 'x', b.l - a.l FROM a, b""",
+    floats=("estimate",),
 )
 def glm_logit_saturated(spark, sf):
     d = table(spark, sf, "lineitem").select((F.col("l_discount") > 0.05).cast("double").alias("y"), (F.col("l_linestatus") == "O").cast("double").alias("x"))
@@ -264,6 +277,7 @@ def glm_logit_saturated(spark, sf):
 @query(
     "iv_2sls",
     """SELECT 'l_quantity' AS term, covar_samp(l_linenumber, l_extendedprice) / covar_samp(l_linenumber, l_quantity) AS estimate FROM lineitem""",
+    floats=("estimate",),
 )
 def iv_2sls(spark, sf):
     return rg.two_stage(table(spark, sf, "lineitem"), "l_extendedprice", [rg.ONE], ["l_quantity"], ["l_linenumber"]).frame(spark).filter("term = 'l_quantity'").select("term", "estimate")
@@ -273,6 +287,7 @@ def iv_2sls(spark, sf):
     "ols_robust_hc0",
     """WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, avg(l_quantity) AS mx, regr_sxx(l_extendedprice, l_quantity) AS sxx FROM lineitem)
        SELECT 'l_quantity' AS term, sqrt(sum(power((l_quantity - mx) * (l_extendedprice - a - b * l_quantity), 2))) / any_value(sxx) AS se FROM lineitem, m""",
+    floats=("se",),
 )
 def ols_robust_hc0(spark, sf):
     return rg.ols_robust(table(spark, sf, "lineitem"), "l_extendedprice", [rg.ONE, "l_quantity"], "HC0").frame(spark).filter("term = 'l_quantity'").select("term", "se")
@@ -283,6 +298,7 @@ def ols_robust_hc0(spark, sf):
     """WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, avg(l_quantity) AS mx, regr_sxx(l_extendedprice, l_quantity) AS sxx FROM lineitem),
        c AS (SELECT l_suppkey, sum((l_quantity - mx) * (l_extendedprice - a - b * l_quantity)) AS u, any_value(sxx) AS sxx FROM lineitem, m GROUP BY 1)
        SELECT 'l_quantity' AS term, sqrt(sum(u * u)) / any_value(sxx) AS se FROM c""",
+    floats=("se",),
 )
 def ols_cluster_cr0(spark, sf):
     return rg.ols_robust(table(spark, sf, "lineitem"), "l_extendedprice", [rg.ONE, "l_quantity"], "CR0", "l_suppkey").frame(spark).filter("term = 'l_quantity'").select("term", "se")
@@ -299,6 +315,7 @@ def survey_logit(spark, sf):
     """WITH x AS (SELECT l_quantity AS t, l_discount AS m, l_extendedprice AS y FROM lineitem),
        s AS (SELECT regr_sxx(y, t) AS tt, regr_sxy(m, t) AS tm, regr_sxx(y, m) AS mm, regr_sxy(y, t) AS ty, regr_sxy(y, m) AS my FROM x)
        SELECT tm / tt AS a, (tt * my - tm * ty) / (tt * mm - tm * tm) AS b, (tm / tt) * (tt * my - tm * ty) / (tt * mm - tm * tm) AS indirect, ty / tt AS total FROM s""",
+    floats=("a", "b", "indirect", "total",), rest=False,
 )
 def mediation_sobel(spark, sf):
     r = rg.mediation(table(spark, sf, "lineitem"), "l_extendedprice", "l_quantity", "l_discount")

@@ -23,6 +23,7 @@ def _rank(v: str, p: str = "1") -> str:
        avg(l_extendedprice) FILTER (l_returnflag = 'A') AS m1, avg(l_extendedprice) FILTER (l_returnflag = 'R') AS m2,
        var_samp(l_extendedprice) FILTER (l_returnflag = 'A') AS v1, var_samp(l_extendedprice) FILTER (l_returnflag = 'R') AS v2
        FROM lineitem GROUP BY l_linestatus) WHERE n1 > 1 AND n2 > 1""",
+    floats=("estimate", "statistic", "df",),
 )
 def ttest_welch_by_flag(spark, sf):
     out = h.t_two_sample(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag", "A", "R", by=["l_linestatus"])
@@ -34,6 +35,7 @@ def ttest_welch_by_flag(spark, sf):
     """WITH g AS (SELECT o_orderpriority AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1),
        t AS (SELECT sum(n) AS n, count(*) AS k, sum(n * m) / sum(n) AS mu, sum((n - 1) * v) AS w FROM g)
        SELECT CAST(k - 1 AS DOUBLE) AS df1, CAST(n - k AS DOUBLE) AS df2, (SELECT sum(g.n * power(m - mu, 2)) FROM g) / (k - 1) / (w / (n - k)) AS statistic FROM t""",
+    floats=("df1", "df2", "statistic",), rest=False,
 )
 def anova_oneway_price(spark, sf):
     return h.anova(table(spark, sf, "orders"), "o_totalprice", "o_orderpriority").select("df1", "df2", "statistic")
@@ -45,6 +47,7 @@ def anova_oneway_price(spark, sf):
        t AS (SELECT count(*) AS k, sum(w) AS sw, sum(w * m) / sum(w) AS c FROM g),
        u AS (SELECT k, sum(w * power(m - c, 2)) AS q, sum(power(1 - w / sw, 2) / (n - 1)) / (k * k - 1) AS tmp FROM g, t GROUP BY k)
        SELECT CAST(k - 1 AS DOUBLE) AS df1, 1 / (3 * tmp) AS df2, q / (k - 1) / (1 + 2 * (k - 2) * tmp) AS statistic FROM u""",
+    floats=("df1", "df2", "statistic",), rest=False,
 )
 def anova_welch_price(spark, sf):
     return h.welch_anova(table(spark, sf, "orders"), "o_totalprice", "o_orderpriority").select("df1", "df2", "statistic")
@@ -54,6 +57,7 @@ def anova_welch_price(spark, sf):
     "bartlett_acctbal",
     """WITH g AS (SELECT count(*) - 1 AS d, var_samp(c_acctbal) AS v FROM customer GROUP BY c_mktsegment)
        SELECT CAST(count(*) - 1 AS DOUBLE) AS df, (sum(d) * ln(sum(d * v) / sum(d)) - sum(d * ln(v))) / (1 + (sum(1.0 / d) - 1.0 / sum(d)) / (3.0 * (count(*) - 1))) AS statistic FROM g""",
+    floats=("df", "statistic",), rest=False,
 )
 def bartlett_acctbal(spark, sf):
     return h.bartlett(table(spark, sf, "customer"), "c_acctbal", "c_mktsegment").select("df", "statistic")
@@ -63,6 +67,7 @@ def bartlett_acctbal(spark, sf):
     "variance_ratio_price",
     """SELECT l_linestatus, var_samp(l_extendedprice) FILTER (l_returnflag = 'A') / var_samp(l_extendedprice) FILTER (l_returnflag = 'N') AS statistic
        FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'A') > 1 AND count(*) FILTER (l_returnflag = 'N') > 1""",
+    floats=("statistic",),
 )
 def variance_ratio_price(spark, sf):
     out = h.variance_ratio(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag", "A", "N", by=["l_linestatus"])
@@ -72,6 +77,7 @@ def variance_ratio_price(spark, sf):
 @query(
     "ttest_one_sample_discount",
     """SELECT l_returnflag, (avg(l_discount) - 0.05) / sqrt(var_samp(l_discount) / count(*)) AS statistic, CAST(count(*) - 1 AS DOUBLE) AS df FROM lineitem GROUP BY 1""",
+    floats=("statistic", "df",),
 )
 def ttest_one_sample_discount(spark, sf):
     return h.t_one_sample(table(spark, sf, "lineitem"), "l_discount", 0.05, by=["l_returnflag"]).select("l_returnflag", "statistic", "df")
@@ -80,6 +86,7 @@ def ttest_one_sample_discount(spark, sf):
 @query(
     "ttest_paired_rates",
     """SELECT l_returnflag, avg(l_discount - l_tax) / sqrt(var_samp(l_discount - l_tax) / count(*)) AS statistic, CAST(count(*) - 1 AS DOUBLE) AS df FROM lineitem GROUP BY 1""",
+    floats=("statistic", "df",),
 )
 def ttest_paired_rates(spark, sf):
     return h.t_paired(table(spark, sf, "lineitem"), "l_discount", "l_tax", by=["l_returnflag"]).select("l_returnflag", "statistic", "df")
@@ -91,6 +98,7 @@ def ttest_paired_rates(spark, sf):
        r AS (SELECT a, sum(o) AS r FROM c GROUP BY 1), k AS (SELECT b, sum(o) AS k FROM c GROUP BY 1), n AS (SELECT sum(o) AS n FROM c)
        SELECT sum(power(coalesce(o, 0) - r * k / n, 2) / (r * k / n)) AS statistic, CAST((count(DISTINCT r.a) - 1) * (count(DISTINCT k.b) - 1) AS DOUBLE) AS df
        FROM r CROSS JOIN k CROSS JOIN n LEFT JOIN c ON c.a = r.a AND c.b = k.b""",
+    floats=("statistic", "df",), rest=False,
 )
 def chisq_independence_flag_status(spark, sf):
     return h.chi2_independence(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus").select("statistic", "df")
@@ -100,6 +108,7 @@ def chisq_independence_flag_status(spark, sf):
     "chisq_goodness_segments",
     """WITH c AS (SELECT count(*) AS o FROM customer GROUP BY c_mktsegment), n AS (SELECT sum(o) / count(*) AS e FROM c)
        SELECT sum(power(o - e, 2) / e) AS statistic, CAST(count(*) - 1 AS DOUBLE) AS df FROM c, n""",
+    floats=("statistic", "df",), rest=False,
 )
 def chisq_goodness_segments(spark, sf):
     c = table(spark, sf, "customer").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("o")).withColumn("e", F.lit(1.0))
@@ -116,6 +125,7 @@ _FLAGS = "l_quantity > 25 AS x, l_discount > 0.05 AS y"
         u AS (SELECT sum(a - (a + b) * (a + c) / n) AS delta, sum((a + b) * (c + d) / n * ((a + c) / n) * ((b + d) / (n - 1))) AS v, sum(a * d / n) / sum(b * c / n) AS odds_ratio, count(*) AS strata
         FROM (SELECT s, a::DOUBLE AS a, b::DOUBLE AS b, c::DOUBLE AS c, d::DOUBLE AS d, n::DOUBLE AS n FROM t))
         SELECT power(abs(delta) - CASE WHEN abs(delta) >= 0.5 THEN 0.5 ELSE 0 END, 2) / v AS statistic, odds_ratio, strata FROM u""",
+    floats=("statistic", "odds_ratio",),
 )
 def cmh_2x2xk(spark, sf):
     return h.cmh(table(spark, sf, "lineitem"), F.col("l_quantity") > 25, F.col("l_discount") > 0.05, "l_linenumber").select("statistic", "odds_ratio", "strata")
@@ -125,6 +135,7 @@ def cmh_2x2xk(spark, sf):
     "mcnemar_flags",
     f"""SELECT l_returnflag, power(abs(b - c) - CASE WHEN b <> c THEN 1 ELSE 0 END, 2) / (b + c) AS statistic FROM (
         SELECT l_returnflag, count(*) FILTER (x AND NOT y) AS b, count(*) FILTER (NOT x AND y) AS c FROM (SELECT l_returnflag, {_FLAGS} FROM lineitem) GROUP BY 1)""",
+    floats=("statistic",),
 )
 def mcnemar_flags(spark, sf):
     return h.mcnemar(table(spark, sf, "lineitem"), F.col("l_quantity") > 25, F.col("l_discount") > 0.05, by=["l_returnflag"]).select("l_returnflag", "statistic")
@@ -135,6 +146,7 @@ def mcnemar_flags(spark, sf):
     """WITH g AS (SELECT l_linestatus AS g, count(*) FILTER (l_discount > 0.05)::DOUBLE AS x, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1),
        s AS (SELECT sum(x) / sum(n) AS p, sum(1 / n) AS inv, max(x / n) - min(x / n) AS delta, count(*) AS k FROM g)
        SELECT sum(power(abs(x - n * p) - y, 2) / (n * p) + power(abs((n - x) - n * (1 - p)) - y, 2) / (n * (1 - p))) AS statistic FROM g, (SELECT p, least(0.5, delta / inv) AS y FROM s)""",
+    floats=("statistic",), rest=False,
 )
 def proportion_two_groups(spark, sf):
     return h.proportion(table(spark, sf, "lineitem"), F.col("l_discount") > 0.05, "l_linestatus").select("statistic")
@@ -145,6 +157,7 @@ def proportion_two_groups(spark, sf):
     """WITH g AS (SELECT l_linenumber AS s, count(*) FILTER (l_discount > 0.05)::DOUBLE AS x, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1),
        t AS (SELECT sum(x) / sum(n) AS p, sum(s * n) / sum(n) AS sbar FROM g)
        SELECT power(sum((s - sbar) * (x - n * p)), 2) / (any_value(p) * (1 - any_value(p)) * sum(n * power(s - sbar, 2))) AS statistic FROM g, t""",
+    floats=("statistic",), rest=False,
 )
 def proportion_trend(spark, sf):
     return h.proportion_trend(table(spark, sf, "lineitem"), F.col("l_discount") > 0.05, "l_linenumber").select("statistic")
@@ -156,6 +169,7 @@ def proportion_trend(spark, sf):
         s AS (SELECT count(*) FILTER (g = 'click') AS n1, count(*) FILTER (g = 'view') AS n2, sum(r) FILTER (g = 'click') AS rs, sum(t * t - 1.0) AS ties FROM r)
         SELECT rs - n1 * (n1 + 1) / 2.0 AS statistic, n1::DOUBLE AS n1, n2::DOUBLE AS n2, (c - sign(c) * 0.5) / sqrt(n1 * n2 / 12.0 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1.0)))) AS z
         FROM (SELECT *, rs - n1 * (n1 + 1) / 2.0 - n1 * n2 / 2.0 AS c FROM s)""",
+    floats=("statistic", "n1", "n2", "z",), rest=False,
 )
 def wilcoxon_rank_sum(spark, sf):
     return h.rank_sum(table(spark, sf, "events"), "value", "event_type", "click", "view").select("statistic", "n1", "n2", "z")
@@ -166,6 +180,7 @@ def wilcoxon_rank_sum(spark, sf):
     f"""WITH d AS (SELECT l_returnflag AS f, round(l_discount - l_tax, 2) AS d FROM lineitem WHERE round(l_discount - l_tax, 2) <> 0),
         r AS (SELECT f, d, {_rank("abs(d)", "f")} AS r FROM d)
         SELECT f AS l_returnflag, count(*)::DOUBLE AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS statistic FROM r GROUP BY f""",
+    floats=("n", "statistic",),
 )
 def wilcoxon_signed_rank(spark, sf):
     d = table(spark, sf, "lineitem").withColumn("d", F.round(F.col("l_discount") - F.col("l_tax"), 2))
@@ -177,6 +192,7 @@ def wilcoxon_signed_rank(spark, sf):
     f"""WITH r AS (SELECT o_orderpriority AS g, {_rank("o_totalprice")} AS r, count(*) OVER (PARTITION BY o_totalprice) AS t FROM orders),
         s AS (SELECT sum(r) AS rs, count(*) AS m, sum(t * t - 1.0) AS ties FROM r GROUP BY g), u AS (SELECT sum(rs * rs / m) AS q, sum(m)::DOUBLE AS n, sum(ties) AS ties, count(*) AS k FROM s)
         SELECT (12 * q / (n * (n + 1)) - 3 * (n + 1)) / (1 - ties / (n * n * n - n)) AS statistic, CAST(k - 1 AS DOUBLE) AS df FROM u""",
+    floats=("statistic", "df",), rest=False,
 )
 def kruskal_wallis(spark, sf):
     return h.kruskal_wallis(table(spark, sf, "orders"), "o_totalprice", "o_orderpriority").select("statistic", "df")
@@ -194,6 +210,7 @@ def _blocks(spark, sf):
     "friedman_blocks",
     f"""WITH r AS (SELECT b, t, {_rank("v", "b")} AS r FROM ({_BLOCKS})), s AS (SELECT sum(r) AS rs, count(*) AS b FROM r GROUP BY t)
         SELECT 12 * sum(power(rs - b * (k + 1) / 2.0, 2)) / (any_value(b) * k * (k + 1)) AS statistic, CAST(k - 1 AS DOUBLE) AS df FROM s, (SELECT count(*) AS k FROM s) GROUP BY k""",
+    floats=("statistic", "df",), rest=False,
 )
 def friedman_blocks(spark, sf):
     return h.friedman(_blocks(spark, sf), "v", "t", "b").select("statistic", "df")
@@ -205,6 +222,7 @@ def friedman_blocks(spark, sf):
         n AS (SELECT count(DISTINCT b)::DOUBLE AS nb, count(DISTINCT t)::DOUBLE AS k FROM x), s AS (SELECT t, q * (r - (k + 1) / 2) AS s, nb, k FROM r JOIN q USING (b), n),
         a AS (SELECT sum(s * s) AS a FROM s), bb AS (SELECT sum(st * st) / any_value(nb) AS bb, any_value(nb) AS nb, any_value(k) AS k FROM (SELECT t, sum(s) AS st, any_value(nb) AS nb, any_value(k) AS k FROM s GROUP BY t))
         SELECT (nb - 1) * bb / (a - bb) AS statistic, k - 1 AS df1, (nb - 1) * (k - 1) AS df2 FROM a, bb""",
+    floats=("statistic", "df1", "df2",), rest=False,
 )
 def quade_blocks(spark, sf):
     return h.quade(_blocks(spark, sf), "v", "t", "b").select("statistic", "df1", "df2")
@@ -214,6 +232,7 @@ def quade_blocks(spark, sf):
     "spearman_by_brand",
     f"""WITH r AS (SELECT p_brand, {_rank("l_quantity", "p_brand")} AS a, {_rank("l_extendedprice", "p_brand")} AS b FROM lineitem JOIN part ON l_partkey = p_partkey)
         SELECT p_brand, count(*)::DOUBLE AS n, corr(a, b) AS estimate FROM r GROUP BY 1""",
+    floats=("n", "estimate",),
 )
 def spearman_by_brand(spark, sf):
     j = table(spark, sf, "lineitem").join(table(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
@@ -224,6 +243,7 @@ def spearman_by_brand(spark, sf):
     "pearson_fisher_z",
     """SELECT l_returnflag, r AS estimate, r * sqrt(n - 2) / sqrt(1 - r * r) AS statistic, tanh(atanh(r) - 1.959963984540054 / sqrt(n - 3)) AS ci_low, tanh(atanh(r) + 1.959963984540054 / sqrt(n - 3)) AS ci_high
        FROM (SELECT l_returnflag, count(*)::DOUBLE AS n, corr(l_quantity, l_extendedprice) AS r FROM lineitem GROUP BY 1)""",
+    floats=("estimate", "statistic", "ci_low", "ci_high",),
 )
 def pearson_fisher_z(spark, sf):
     return h.pearson(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", by=["l_returnflag"]).select("l_returnflag", "estimate", "statistic", "ci_low", "ci_high")
@@ -234,6 +254,7 @@ def pearson_fisher_z(spark, sf):
     """WITH a AS (SELECT * FROM (SELECT event_type AS g, value AS x, user_id AS y, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events)),
        p AS (SELECT a.g, sign(a.x - b.x) * sign(a.y - b.y) AS s, CASE WHEN a.x = b.x THEN 1 ELSE 0 END AS tx, CASE WHEN a.y = b.y THEN 1 ELSE 0 END AS ty FROM a JOIN a b ON a.g = b.g AND a.i < b.i)
        SELECT g AS event_type, sum(s) / sqrt((count(*) - sum(tx)) * (count(*) - sum(ty))::DOUBLE) AS estimate FROM p GROUP BY g""",
+    floats=("estimate",),
 )
 def kendall_by_type(spark, sf):
     return h.kendall(table(spark, sf, "events").withColumn("u", F.col("user_id").cast("double")), "value", "u", by=["event_type"]).select("event_type", "estimate")
@@ -244,6 +265,7 @@ def kendall_by_type(spark, sf):
     """WITH c AS (SELECT value AS v, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'view') AS b FROM events WHERE event_type IN ('click', 'view') GROUP BY 1),
        u AS (SELECT sum(a) OVER w / (SELECT sum(a) FROM c)::DOUBLE AS fa, sum(b) OVER w / (SELECT sum(b) FROM c)::DOUBLE AS fb FROM c WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING))
        SELECT max(abs(fa - fb)) AS statistic FROM u""",
+    floats=("statistic",), rest=False,
 )
 def ks_two_sample(spark, sf):
     return h.ks_two_sample(table(spark, sf, "events"), "value", "event_type", "click", "view").select("statistic")
@@ -253,6 +275,7 @@ def ks_two_sample(spark, sf):
     "ansari_bradley",
     f"""WITH r AS (SELECT event_type AS g, {_rank("value")} AS r, count(*) OVER () AS n FROM events WHERE event_type IN ('click', 'view'))
         SELECT sum(least(r, n + 1 - r)) AS statistic, count(*)::DOUBLE AS m, any_value(n)::DOUBLE AS n FROM r WHERE g = 'click'""",
+    floats=("statistic", "m", "n",), rest=False,
 )
 def ansari_bradley(spark, sf):
     return h.ansari_bradley(table(spark, sf, "events"), "value", "event_type", "click", "view").select("statistic", "m", "n")
@@ -263,6 +286,7 @@ def ansari_bradley(spark, sf):
     f"""WITH r AS (SELECT event_type AS g, {_rank("value")} AS r, count(*) OVER () AS n FROM events WHERE event_type IN ('click', 'view'))
         SELECT sum(power(r - (n + 1) / 2.0, 2)) AS statistic, (sum(power(r - (n + 1) / 2.0, 2)) - count(*) * (any_value(n) * any_value(n) - 1) / 12.0) /
         sqrt(count(*) * (any_value(n) - count(*)) * (any_value(n) + 1.0) * (any_value(n) + 2) * (any_value(n) - 2) / 180) AS z FROM r WHERE g = 'click'""",
+    floats=("statistic", "z",), rest=False,
 )
 def mood_scale(spark, sf):
     return h.mood(table(spark, sf, "events"), "value", "event_type", "click", "view").select("statistic", "z")
@@ -281,6 +305,7 @@ def shapiro_by_user(spark, sf):
 @query(
     "binomial_exact_by_flag",
     """SELECT l_returnflag, count(*) FILTER (l_discount > 0.05) AS x, count(*) AS n, count(*) FILTER (l_discount > 0.05) / count(*)::DOUBLE AS estimate FROM lineitem GROUP BY 1""",
+    floats=("estimate",),
 )
 def binomial_exact_by_flag(spark, sf):
     return h.binomial_exact(table(spark, sf, "lineitem"), F.col("l_discount") > 0.05, 0.5, by=["l_returnflag"]).select("l_returnflag", "x", "n", "estimate")
@@ -290,6 +315,7 @@ def binomial_exact_by_flag(spark, sf):
     "poisson_rates",
     """SELECT l_linestatus, (count(*) FILTER (l_returnflag = 'A') / sum(l_quantity) FILTER (l_returnflag = 'A')) / (count(*) FILTER (l_returnflag = 'N') / sum(l_quantity) FILTER (l_returnflag = 'N')) AS rate_ratio
        FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'A') > 0 AND count(*) FILTER (l_returnflag = 'N') > 0""",
+    floats=("rate_ratio",),
 )
 def poisson_rates(spark, sf):
     d = table(spark, sf, "lineitem").withColumn("one", F.lit(1))
@@ -301,6 +327,7 @@ def poisson_rates(spark, sf):
     "fisher_exact_by_flag",
     f"""SELECT l_returnflag, count(*) FILTER (x AND y)::DOUBLE * count(*) FILTER (NOT x AND NOT y) / (count(*) FILTER (x AND NOT y)::DOUBLE * count(*) FILTER (NOT x AND y)) AS odds_ratio
         FROM (SELECT l_returnflag, {_FLAGS} FROM lineitem) GROUP BY 1""",
+    floats=("odds_ratio",),
 )
 def fisher_exact_by_flag(spark, sf):
     return h.fisher_2x2(table(spark, sf, "lineitem"), F.col("l_quantity") > 25, F.col("l_discount") > 0.05, by=["l_returnflag"]).select("l_returnflag", "odds_ratio")
@@ -311,6 +338,7 @@ def fisher_exact_by_flag(spark, sf):
     """SELECT l_linenumber, m1 - m2 AS md, v1 / n1 + v2 / n2 AS md_var, (1 - 3.0 / (4 * (n1 + n2 - 2) - 1)) * (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2)) AS g FROM (
        SELECT l_linenumber, count(*) FILTER (l_returnflag = 'A') AS n1, avg(l_extendedprice) FILTER (l_returnflag = 'A') AS m1, var_samp(l_extendedprice) FILTER (l_returnflag = 'A') AS v1,
        count(*) FILTER (l_returnflag = 'R') AS n2, avg(l_extendedprice) FILTER (l_returnflag = 'R') AS m2, var_samp(l_extendedprice) FILTER (l_returnflag = 'R') AS v2 FROM lineitem GROUP BY 1)""",
+    floats=("md", "md_var", "g",),
 )
 def effect_sizes_md_g(spark, sf):
     return h.effect_sizes(table(spark, sf, "lineitem"), "l_extendedprice", "l_returnflag", "A", "R", by=["l_linenumber"]).select("l_linenumber", "md", "md_var", "g")
@@ -321,6 +349,7 @@ def effect_sizes_md_g(spark, sf):
     """SELECT l_linenumber, ln(a * d / (b * c)) AS log_or, 1 / a + 1 / b + 1 / c + 1 / d AS log_or_var, ln(a / (a + b) / (c / (c + d))) AS log_rr, 1 / a - 1 / (a + b) + 1 / c - 1 / (c + d) AS log_rr_var FROM (
        SELECT l_linenumber, count(*) FILTER (l_returnflag = 'A' AND l_discount > 0.05)::DOUBLE AS a, count(*) FILTER (l_returnflag = 'A' AND l_discount <= 0.05)::DOUBLE AS b,
        count(*) FILTER (l_returnflag = 'R' AND l_discount > 0.05)::DOUBLE AS c, count(*) FILTER (l_returnflag = 'R' AND l_discount <= 0.05)::DOUBLE AS d FROM lineitem GROUP BY 1)""",
+    floats=("log_or", "log_or_var", "log_rr", "log_rr_var",),
 )
 def effect_sizes_or_rr(spark, sf):
     out = h.ratio_effects(table(spark, sf, "lineitem"), F.col("l_discount") > 0.05, "l_returnflag", "A", "R", by=["l_linenumber"])
@@ -341,12 +370,12 @@ def _family(spark, sf):
 _RANKED = f"SELECT *, row_number() OVER (ORDER BY p, id) AS r, count(*) OVER () AS m FROM ({_FAMILY})"
 
 
-@query("bh_adjust", f"SELECT id, p, least(1, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM ({_RANKED})")
+@query("bh_adjust", f"SELECT id, p, least(1, min(p * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM ({_RANKED})", floats=("p", "q",))
 def bh_adjust(spark, sf):
     return mt.bh(_family(spark, sf), "p", "id").select("id", "p", "q")
 
 
-@query("by_adjust", f"SELECT id, p, least(1, min(p * m / r * h) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM ({_RANKED}), (SELECT sum(1.0::DOUBLE / i) AS h FROM (SELECT row_number() OVER () AS i FROM lineitem))")
+@query("by_adjust", f"SELECT id, p, least(1, min(p * m / r * h) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM ({_RANKED}), (SELECT sum(1.0::DOUBLE / i) AS h FROM (SELECT row_number() OVER () AS i FROM lineitem))", floats=("p", "q",))
 def by_adjust(spark, sf):
     return mt.by_adjust(_family(spark, sf), "p", "id").select("id", "p", "q")
 
@@ -355,6 +384,7 @@ def by_adjust(spark, sf):
     "weighted_bh",
     f"""SELECT id, p, least(1, min(wp * m / r) OVER (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM (
         SELECT *, row_number() OVER (ORDER BY wp, id) AS r, count(*) OVER () AS m FROM (SELECT id, p, least(1.0, p * (SELECT avg(w) FROM ({_FAMILY})) / w) AS wp FROM ({_FAMILY})))""",
+    floats=("p", "q",),
 )
 def weighted_bh(spark, sf):
     return mt.weighted_bh(_family(spark, sf), "p", "w", "id").select("id", "p", "q")
@@ -364,6 +394,7 @@ def weighted_bh(spark, sf):
     "bh_by_family",
     f"""SELECT id, f, least(1, min(p * m / r) OVER (PARTITION BY f ORDER BY r DESC ROWS UNBOUNDED PRECEDING)) AS q FROM (
         SELECT *, row_number() OVER (PARTITION BY f ORDER BY p, id) AS r, count(*) OVER (PARTITION BY f) AS m FROM (SELECT id, p, id % 10 AS f FROM ({_FAMILY})))""",
+    floats=("q",),
 )
 def bh_by_family(spark, sf):
     return mt.bh(_family(spark, sf).withColumn("f", F.col("id") % 10), "p", "id", by=["f"]).select("id", "f", "q")
@@ -393,6 +424,7 @@ def _tree(spark, sf):
         c AS (SELECT here AS node, count(*) AS leaves FROM up GROUP BY 1), v AS (SELECT t.node, parent, least(1, p * (SELECT count(*) FROM leaf) / leaves) AS v, leaves FROM t JOIN c USING (node)),
         d AS (SELECT node, v AS adjusted FROM v WHERE parent IS NULL UNION ALL SELECT v.node, greatest(v.v, d.adjusted) FROM v JOIN d ON v.parent = d.node)
         SELECT node, leaves, adjusted FROM d JOIN v USING (node)""",
+    floats=("adjusted",),
 )
 def hierarchical_bonferroni(spark, sf):
     return mt.hierarchical_bonferroni(_tree(spark, sf)).select("node", "leaves", "adjusted")
