@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from statloom.llm import decontaminate, embed_dedup, language_id, lm_score, mixing, ngram_join, secrets, units, window_dedup
@@ -47,9 +46,9 @@ def op3_decontaminate(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
-@query("op1_mix_sources", mixing.oracle())
+@query("op1_mix_sources", f"SELECT * REPLACE (round(weight, 9) AS weight) FROM ({mixing.oracle()})")
 def op1_mix_sources(spark, sf_dir):
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
 
 
 @query("op6_substring_dedup", units.oracle("repeats"))
