@@ -226,3 +226,96 @@ def probe_enrichment(sets: DataFrame, probes: DataFrame, selected: Column, bins:
         return pd.Series([sp.wallenius_sf(int(np.floor(a)), int(b), int(t["n"] - b), int(t["k"]), float(o)) for a, b, o in zip(k, m, odds)])
 
     return s.withColumn("p_value", tail("weighted", "size", "odds"))
+
+
+# -- networks by permutation, by sparse regression, and space by sample ---------------------------------------------------------------
+
+
+def neighborhoods(edges: DataFrame, radius: int = 1, src: str = "source", dst: str = "target") -> DataFrame:
+    """(node, near): nodes reached in one to ``radius`` steps of an undirected graph, without the node itself."""
+    e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a <> b")
+    e = materialize(e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    reach = e.select(F.col("a").alias("node"), F.col("b").alias("near"))
+    front = reach
+    for _ in range(radius - 1):
+        front = front.join(e.withColumnRenamed("a", "near"), "near").select("node", F.col("b").alias("near")).filter("node <> near").distinct()
+        reach = materialize(reach.unionByName(front).distinct())
+    return reach
+
+
+def driver_permutation(edges: DataFrame, hits: DataFrame, radius: int = 1, permutations: int = 999, seed: int = 1) -> DataFrame:
+    """Hits near each node against hits dealt at random among nodes of like degree (powers of two): p = (x + 1) / (B + 1), adjusted.
+
+    Each permutation is a column of a hash order inside degree bins: labels move, the graph stays. Permutations are distributed.
+    """
+    near = materialize(neighborhoods(edges, radius))
+    degree = neighborhoods(edges, 1).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    nodes = materialize(degree.join(hits.select(F.col("node")).distinct().withColumn("_hit", F.lit(1)), "node", "left").select("node", "degree", F.coalesce("_hit", F.lit(0)).alias("hit"), F.floor(F.log2("degree")).alias("bin")))
+    quota = nodes.groupBy("bin").agg(F.sum("hit").alias("k"))
+    seen = near.join(nodes.select(F.col("node").alias("near"), "hit"), "near").groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.sum("hit").alias("observed"))
+    deals = nodes.join(F.broadcast(quota), "bin").filter("k > 0").select("node", "bin", "k", F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("run"))
+    order = W.partitionBy("run", "bin").orderBy(F.xxhash64(F.lit(seed), "run", F.col("node").cast("string")), "node")
+    dealt = deals.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.col("k")).select(F.col("node").alias("near"), "run")
+    counts = near.join(dealt, "near").groupBy("node", "run").agg(F.count(F.lit(1)).alias("n"))
+    over = counts.join(seen.select("node", "observed"), "node").filter(F.col("n") >= F.col("observed")).groupBy("node").agg(F.count(F.lit(1)).alias("x"))
+    out = nodes.join(seen, "node").join(over, "node", "left")
+    # permutations without any hit nearby reach an observed count of zero too
+    x = F.when(F.col("observed") == 0, F.lit(permutations)).otherwise(F.coalesce("x", F.lit(0)))
+    out = out.withColumn("p_value", (x + 1) / F.lit(permutations + 1.0)).select("node", "hit", "degree", "size", "observed", "p_value")
+    return bh(out, "p_value", "node", "q")
+
+
+def sparse_network(df: DataFrame, sample: str, feature: str, value: str, lam: float, rule: str = "and") -> DataFrame:
+    """Neighbourhood selection: each feature regressed on all others with an L1 penalty on one shared correlation matrix; edges by AND or OR."""
+    r = correlation_pairs(df, sample, feature, value)
+    kind = dict(df.dtypes)[feature]
+    ids = sorted(x[0] for x in df.select(feature).distinct().limit(5001).collect())
+    if len(ids) > 5000:
+        raise ValueError("more than 5000 features in one network")
+    place = {v: i for i, v in enumerate(ids)}
+    cor = np.eye(len(ids))
+    for x in r.select("a", "b", "r").collect():
+        cor[place[x["a"]], place[x["b"]]] = cor[place[x["b"]], place[x["a"]]] = x["r"]
+    shared = df.sparkSession.sparkContext.broadcast((ids, cor))
+
+    def fit(batches):
+        names, c = shared.value
+        for pdf in batches:
+            rows = []
+            for v in pdf["f"]:
+                j = names.index(v)
+                b = np.zeros(len(names))
+                for _ in range(10_000):
+                    most = 0.0
+                    for i in range(len(names)):
+                        if i == j:
+                            continue
+                        rho = c[i, j] - c[i] @ b + b[i]
+                        new = np.sign(rho) * max(abs(rho) - lam, 0.0)
+                        most = max(most, abs(new - b[i]))
+                        b[i] = new
+                    if most < 1e-9:
+                        break
+                rows += [(v, names[i], float(b[i])) for i in np.flatnonzero(np.abs(b) > 1e-10)]
+            yield pd.DataFrame(rows, columns=["target", "source", "beta"])
+
+    fits = df.select(F.col(feature).alias("f")).distinct().repartition(min(len(ids), 64)).mapInPandas(fit, f"target {kind}, source {kind}, beta double")
+    g = fits.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.abs("beta")).alias("s"))
+    return g.filter(F.col("n") >= (2 if rule == "and" else 1)).select("a", "b", (F.col("s") / 2).alias("weight"))
+
+
+def edge_fractions(edges: DataFrame, labels: DataFrame, sample: str = "sample_id", node: str = "node", label: str = "label") -> DataFrame:
+    """asin sqrt of the share of a sample's edges that join two labels, zeros included; ready for a regression over samples."""
+    a = labels.select(F.col(node).alias("source"), F.col(label).alias("la"), F.col(sample).alias("s"))
+    b = labels.select(F.col(node).alias("target"), F.col(label).alias("lb"))
+    c = edges.select("source", "target").join(a, "source").join(b, "target").groupBy("s", F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b")).agg(F.count(F.lit(1)).alias("k"))
+    n = c.groupBy("s").agg(F.sum("k").alias("n"))
+    every = n.crossJoin(F.broadcast(c.select("a", "b").distinct()))  # samples times pairs of labels is the size of the result
+    out = every.join(c, ["s", "a", "b"], "left").select(F.col("s").alias(sample), "a", "b", F.coalesce("k", F.lit(0)).alias("k"), "n")
+    return out.withColumn("value", F.asin(F.sqrt(F.col("k") / F.col("n"))))
+
+
+def distance_slopes(values: DataFrame, by: list[str], distance: str, value: str) -> DataFrame:
+    """Least-squares slope of a feature on a distance in each group (sample and feature) of three observations or more."""
+    s = values.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.regr_slope(value, distance).alias("slope"))
+    return s.filter("n >= 3")

@@ -52,7 +52,8 @@ def by_adjust(df: DataFrame, p: str, key: str, out: str = "q") -> DataFrame:
 def weighted_bh(df: DataFrame, p: str, weight: str, key: str, out: str = "q") -> DataFrame:
     """Weights are scaled to mean 1, each p divided by its weight (at most 1), then bh. Weights must be positive."""
     mean = df.filter(finite(p).isNotNull()).agg(F.avg(weight)).collect()[0][0] or 1.0
-    shifted = df.withColumn("_wp", F.least(F.lit(1.0), finite(p) * F.lit(float(mean)) / F.col(weight)))
+    scaled = finite(p) * F.lit(float(mean)) / F.col(weight)
+    shifted = df.withColumn("_wp", F.when(scaled.isNotNull(), F.least(F.lit(1.0), scaled)))  # least skips nulls
     return bh(shifted, "_wp", key, out).drop("_wp")
 
 

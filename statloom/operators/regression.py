@@ -146,7 +146,7 @@ def ols_by(df: DataFrame, y: str, x: str, by: list[str], weight: str | None = No
         dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
         base = j.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"), F.sum(F.col("w") * dx * dx).alias("sxx"), F.sum(F.col("w") * dy * dy).alias("syy"), F.sum(F.col("w") * dx * dy).alias("sxy"))
     out = base.withColumn("estimate", F.when(F.col("sxx") > 0, F.try_divide("sxy", "sxx"))).withColumn("rss", F.greatest(F.lit(0.0), F.col("syy") - F.col("estimate") * F.col("sxy")))
-    out = out.withColumn("df", (F.col("n") - 2).cast("double")).withColumn("se", F.when(F.col("n") > 2, F.sqrt(F.col("rss") / F.col("df") / F.col("sxx"))))
+    out = out.withColumn("df", (F.col("n") - 2).cast("double")).withColumn("se", F.when(F.col("n") > 2, F.sqrt(F.try_divide(F.try_divide(F.col("rss"), F.col("df")), F.col("sxx")))))
     out = out.withColumn("statistic", F.try_divide("estimate", "se")).withColumn("status", F.when(F.col("n") < 3, "too_few").when(F.col("sxx") <= 0, "constant").otherwise("ok"))
     return out.withColumn("p_value", pv.p_t(F.col("statistic"), F.col("df"))).select(*by, "n", "estimate", "se", "statistic", "df", "p_value", "status")
 
@@ -584,9 +584,9 @@ def scan(features: DataFrame, phenotype: DataFrame, y: str, covariates: list[str
     sums = sums.withColumn("left", F.col("sxx") - explained)
     dof = n - rank - 1
     ok = (F.col("left") > 1e-12 * F.col("xx")) & (F.col("sxx") > 0)
-    out = sums.withColumn("beta", F.when(ok, F.col("sxr") / F.col("left")))
+    out = sums.withColumn("beta", F.when(ok, F.try_divide("sxr", "left")))
     rss = F.greatest(F.lit(0.0), F.lit(float(fit.extra["rss"])) - F.col("beta") * F.col("sxr"))
-    out = out.withColumn("standard_error", F.sqrt(rss / F.lit(float(dof)) / F.col("left"))).withColumn("statistic", F.try_divide("beta", "standard_error")).withColumn("df", F.lit(float(dof)))
+    out = out.withColumn("standard_error", F.sqrt(F.try_divide(rss / F.lit(float(dof)), F.when(ok, F.col("left"))))).withColumn("statistic", F.try_divide("beta", "standard_error")).withColumn("df", F.lit(float(dof)))
     return out.withColumn("p_value", pv.p_t(F.col("statistic"), F.col("df"))).select("feature_id", "called", "beta", "standard_error", "statistic", "df", "p_value", F.when(ok, "ok").otherwise("non_estimable").alias("status"))
 
 

@@ -22,7 +22,7 @@ MAD_SCALE = 1.482602218505602
 def winsor(df: DataFrame, feature: str, value: str, lower: float = 0.05, upper: float = 0.95) -> DataFrame:
     """Clamp to the feature's quantiles (linear interpolation between order statistics)."""
     q = df.groupBy(feature).agg(F.percentile(finite(value), F.array(F.lit(lower), F.lit(upper))).alias("_q"))
-    return df.join(q, feature).withColumn(value, F.least(F.greatest(finite(value), F.col("_q")[0]), F.col("_q")[1])).drop("_q")
+    return df.join(q, feature).withColumn(value, F.when(finite(value).isNotNull(), F.least(F.greatest(finite(value), F.col("_q")[0]), F.col("_q")[1]))).drop("_q")
 
 
 def winsor_mad(df: DataFrame, feature: str, value: str, k: float = 4.0) -> DataFrame:
@@ -32,7 +32,7 @@ def winsor_mad(df: DataFrame, feature: str, value: str, k: float = 4.0) -> DataF
     mad = d.groupBy(feature).agg((F.percentile(F.abs(finite(value) - F.col("_m")), F.lit(0.5)) * MAD_SCALE).alias("_s"))
     d = d.join(mad, feature)
     clamp = F.least(F.greatest(finite(value), F.col("_m") - k * F.col("_s")), F.col("_m") + k * F.col("_s"))
-    return d.withColumn(value, F.when(F.col("_s") > 0, clamp).otherwise(finite(value))).drop("_m", "_s")
+    return d.withColumn(value, F.when((F.col("_s") > 0) & finite(value).isNotNull(), clamp).otherwise(finite(value))).drop("_m", "_s")
 
 
 def zscore(df: DataFrame, feature: str, value: str) -> DataFrame:
@@ -51,7 +51,7 @@ def log(df: DataFrame, feature: str, value: str, shift: float = 0.0, base: float
 
 def mvalue(df: DataFrame, feature: str, value: str, epsilon: float = 1e-6) -> DataFrame:
     """log2(b / (1 - b)) of shares kept within epsilon of 0 and 1."""
-    b = F.least(F.greatest(finite(value), F.lit(epsilon)), F.lit(1 - epsilon))
+    b = F.when(finite(value).isNotNull(), F.least(F.greatest(finite(value), F.lit(epsilon)), F.lit(1 - epsilon)))
     return df.withColumn(value, F.log2(b / (1 - b)))
 
 
@@ -122,7 +122,7 @@ def regions(df: DataFrame, chromosome: str, position: str, estimate: str, p: str
     w = W.partitionBy(chromosome).orderBy(position, feature)
     d = df.withColumn("_new", (F.col(position) - F.lag(position).over(w) > max_gap) | F.lag(position).over(w).isNull())
     d = d.withColumn("region", F.sum(F.col("_new").cast("long")).over(w.rowsBetween(W.unboundedPreceding, W.currentRow))).drop("_new")
-    tail = F.greatest(finite(p) / 2, F.lit(1e-300))
+    tail = F.when(finite(p).isNotNull(), F.greatest(finite(p) / 2, F.lit(1e-300)))
     d = d.withColumn("z", F.signum(estimate) * -pv.normal_quantile(tail))
     s = d.groupBy(chromosome, "region").agg(F.count(F.lit(1)).alias("probes"), F.min(position).alias("start"), F.max(position).alias("end"), F.sum("z").alias("sum_z")).filter(F.col("probes") >= min_probes)
     own = d.join(s.select(chromosome, "region"), [chromosome, "region"]).select(chromosome, "region", F.col(position).alias("_x"))
