@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from statloom.functions import pvalues as pv
 from statloom.functions import special as sp
 from statloom.operators.multiplicity import finite
+from statloom.session import materialize
 
 
 def studies(df: DataFrame, feature: str, cohort: str, effect: str, se: str) -> DataFrame:
@@ -35,7 +36,7 @@ def pool(df: DataFrame, feature: str, cohort: str, effect: str, se: str, method:
 
     ``method``: fixed, dl, pm or reml. ``test``: normal, t, hk (Hartung-Knapp) or mhk (modified). With one study that study passes through.
     """
-    s = studies(df, feature, cohort, effect, se)
+    s = materialize(studies(df, feature, cohort, effect, se))  # read twice: for the first weights and for the final ones
     if method in ("fixed", "dl"):
         base = _sums(s)
         df_ = F.col("k") - 1

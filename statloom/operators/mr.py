@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from statloom.functions import pvalues as pv
 from statloom.functions import special as sp
+from statloom.session import materialize
 
 _BASES = ("ACGT", "TGCA")
 
@@ -36,8 +37,8 @@ def harmonize(exposure: DataFrame, outcome: DataFrame, palindromic: str = "drop"
     x = x.withColumn("_nx", F.count(F.lit(1)).over(W.partitionBy(*keys, "variant")))
     okeys = [c for c in ("outcome",) if c in outcome.columns]
     y = outcome.select(*okeys, "variant", F.upper("effect_allele").alias("ya"), F.upper("other_allele").alias("yo"), F.col("beta").alias("beta_y0"), F.col("se").alias("se_y"), has(outcome).alias("eaf_y"))
-    n = y.groupBy(*okeys, "variant").agg(F.count(F.lit(1)).alias("_ny"))
-    y = y.join(n, [*okeys, "variant"]).dropDuplicates([*okeys, "variant"])
+    own = W.partitionBy(*okeys, "variant")
+    y = y.withColumn("_ny", F.count(F.lit(1)).over(own)).withColumn("_k", F.row_number().over(own.orderBy("beta_y0"))).filter("_k = 1").drop("_k")
     j = x.join(y, "variant", "left")
     xa, xo, ya, yo = (F.col(c) for c in ("xa", "xo", "ya", "yo"))
     same, swapped = (xa == ya) & (xo == yo), (xa == yo) & (xo == ya)
@@ -214,9 +215,10 @@ def generalized_ivw(df: DataFrame, ld: DataFrame, by: list[str], random: bool =
 
 def grid(exposures: DataFrame, outcomes: DataFrame, minimum: int = 3, threshold: float = 0.05, palindromic: str = "drop") -> tuple[DataFrame, DataFrame]:
     """All exposure-outcome pairs that share variants: an IVW screen of each, and full diagnostics of those under the threshold."""
-    h = instruments(harmonize(exposures, outcomes, palindromic))
+    h = materialize(instruments(harmonize(exposures, outcomes, palindromic)))
     pair = ["exposure", "outcome"]
     screen = ivw(h, pair, minimum=minimum)
+    screen = materialize(screen)
     hits = h.join(screen.filter(F.col("p_value") < threshold).select(*pair), pair)
     full = ivw(hits, pair, random=True, minimum=minimum).select(*pair, "n", F.col("estimate").alias("ivw"), F.col("se").alias("ivw_se"), "q", "mean_f")
     full = full.join(egger(hits, pair).select(*pair, F.col("estimate").alias("egger"), F.col("intercept"), "i2_gx"), pair, "left").join(weighted_median(hits, pair).select(*pair, F.col("estimate").alias("median")), pair, "left")

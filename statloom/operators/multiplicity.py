@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from statloom.operators.ordered import running_min_from_end, running_sum
+from statloom.operators.ordered import running_sum
+from statloom.session import materialize
 
 
 def finite(c: str | Column) -> Column:
@@ -34,10 +35,16 @@ def bh(df: DataFrame, p: str, key: str, out: str = "q", by: list[str] = (), fact
         ranked = ranked.withColumn("_v", F.col("_p") * F.col("_m") / F.col("_rank") * (factor if factor is not None else F.lit(1.0)))
         ranked = ranked.withColumn(out, F.min("_v").over(w.orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, W.currentRow)))
     else:
-        m = tested.count()
-        ranked = running_sum(tested.withColumn("_one", F.lit(1)), "_one", ["_p", key], "_rank").withColumn("_m", F.lit(m))
-        ranked = ranked.withColumn("_v", F.col("_p") * F.col("_m") / F.col("_rank") * (factor if factor is not None else F.lit(1.0))).drop("_one")
-        ranked = running_min_from_end(ranked, "_v", ["_rank"], out)
+        # one range partitioning serves ranks and running minima; a row for each partition carries counts and minima across
+        ranged = materialize(tested.repartitionByRange("_p", key).withColumn("_part", F.spark_partition_id()))
+        counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+        before = counts.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_n").over(W.partitionBy()).alias("_m"))
+        ranked = ranged.join(F.broadcast(before), "_part").withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy("_p", key)) + F.col("_before"))
+        ranked = ranked.withColumn("_v", F.col("_p") * F.col("_m") / F.col("_rank") * (factor if factor is not None else F.lit(1.0)))
+        least = ranked.groupBy("_part").agg(F.min("_v").alias("_least"))
+        after = least.select("_part", F.min("_least").over(W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)).alias("_after"))
+        own = F.min("_v").over(W.partitionBy("_part").orderBy(F.desc("_rank")).rowsBetween(W.unboundedPreceding, W.currentRow))
+        ranked = ranked.withColumn(out, own).join(F.broadcast(after), "_part").withColumn(out, F.least(out, "_after")).drop("_part", "_before", "_after")
     ranked = ranked.withColumn(out, F.when(value.isNotNull(), F.least(out, F.lit(1.0)))) if missing_as_one else ranked.withColumn(out, F.least(out, F.lit(1.0)))
     return ranked.drop("_p", "_rank", "_m", "_v").unionByName(rest.drop("_p").withColumn(out, F.lit(None).cast("double")))
 
@@ -82,8 +89,6 @@ def hierarchical_bonferroni(nodes: DataFrame, node: str = "node", parent: str =
 
     Levels are joined one by one, as many rounds as the tree is deep.
     """
-    from statloom.session import materialize
-
     edges = nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(p).alias("p"))
     inner = edges.filter("parent is not null").select(F.col("parent").alias("node")).distinct()
     # leaves under each node: every leaf hands itself to all its ancestors

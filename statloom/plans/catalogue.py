@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from statloom.plans import domain_queries, model_queries, tests_queries  # noqa: F401  (they register their queries)
+from statloom.plans import domain_queries, estimator_queries, model_queries, tests_queries  # noqa: F401  (they register their queries)
 from statloom.plans.registry import ORACLES, QUERIES
 
 
