@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,18 +74,22 @@ def tau2_iterative(s: DataFrame, method: str) -> DataFrame:
     kind = dict(rows.dtypes)["feature"]
 
     def run(batches):
-        for pdf in batches:
-            k = pdf["y"].map(len).to_numpy()
-            width = max(1, k.max()) if len(k) else 1
-            y, v = np.zeros((len(k), width)), np.full((len(k), width), np.inf)
-            for i, (a, b) in enumerate(zip(pdf["y"], pdf["v"])):
-                y[i, : len(a)], v[i, : len(b)] = a, b
+        for batch in batches:
+            ys, vs = batch.column("y"), batch.column("v")
+            k = np.diff(np.asarray(ys.offsets)).astype(np.int64)
+            if not len(k):
+                continue
+            # short rows are padded with infinite variances, which have no weight
+            at = (np.repeat(np.arange(len(k)), k), np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))
+            y, v = np.zeros((len(k), max(1, k.max()))), np.full((len(k), max(1, k.max())), np.inf)
+            y[at], v[at] = np.asarray(ys.flatten()), np.asarray(vs.flatten())
             tau2 = paule_mandel(y, v, k) if method == "pm" else reml(y, v, k)
             w = 1 / v
             mean = (w * y).sum(1) / w.sum(1)
-            yield pd.DataFrame({"feature": pdf["feature"], "k": k, "q": (w * (y - mean[:, None]) ** 2).sum(1), "tau2": np.where(k > 1, tau2, 0.0)})
+            q = (w * (y - mean[:, None]) ** 2).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column("feature"), pa.array(k), pa.array(q), pa.array(np.where(k > 1, tau2, 0.0))], names=["feature", "k", "q", "tau2"])
 
-    return rows.mapInPandas(run, f"feature {kind}, k long, q double, tau2 double")
+    return rows.mapInArrow(run, f"feature {kind}, k long, q double, tau2 double")
 
 
 def _q(y, v, tau2):
@@ -93,7 +98,7 @@ def _q(y, v, tau2):
     return (w * (y - mean[:, None]) ** 2).sum(1), w
 
 
-def paule_mandel(y, v, k, rounds: int = 200):
+def paule_mandel(y, v, k, rounds: int = 100):
     """Where Q(tau2) = k - 1, by bisection; 0 if Q(0) is not above that."""
     goal = k - 1
     low, high = np.zeros(len(k)), np.ones(len(k))
@@ -109,7 +114,7 @@ def paule_mandel(y, v, k, rounds: int = 200):
     return np.where(_q(y, v, np.zeros(len(k)))[0] <= goal, 0.0, (low + high) / 2)
 
 
-def reml(y, v, k, rounds: int = 160):
+def reml(y, v, k, rounds: int = 90):
     """Golden-section minimum of the restricted deviance over a bracket that grows fourfold; 0 where it is no worse."""
 
     def deviance(tau2):
