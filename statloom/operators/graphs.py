@@ -203,29 +203,54 @@ def over_representation(sets: DataFrame, universe: DataFrame, selected: Column,
     return bh(s, "p_value", "set_id", "q")
 
 
-def probe_enrichment(sets: DataFrame, probes: DataFrame, selected: Column, bins: int = 200) -> DataFrame:
-    """Over-representation corrected for probes per gene: fractional weights of probes that name several genes, a trend of selection on
-    the number of probes, and Wallenius' tail at the set's mean odds."""
+#: Genes of one platform are a bounded table; the trend over them is smoothed on the driver.
+MAX_GENES = 500_000
+
+
+def tricube_trend(selected: np.ndarray) -> np.ndarray:
+    """Moving average over ranks with a tricube kernel that spans half of them, renormalised at the ends."""
+    n = len(selected)
+    half = n // 4
+    if 2 * half + 1 > n:
+        half -= 1
+    if half <= 0:
+        return selected.astype(float)
+    width = 2 * half + 1
+    d = np.abs(np.arange(-half, half + 1)) / half * width / (width + 1.0)
+    kernel = (1 - d**3) ** 3
+    return np.convolve(selected, kernel, "same") / np.convolve(np.ones(n), kernel, "same")
+
+
+def probe_enrichment(sets: DataFrame, probes: DataFrame, selected: Column, separator: str = ";") -> DataFrame:
+    """Over-representation corrected for probes per gene: probes that name several genes count in fractions, selection odds come from a trend
+    over genes ranked by probes, and the tail is Wallenius' at the set's odds.
+
+    ``probes`` has probe and genes (joined by ``separator``). Columns: size, hits, weighted (fractional hits), odds, p_value, q.
+    """
     from statloom.functions import special as sp
 
-    p = probes.select("probe", F.explode(F.array_distinct(F.split("genes", ";"))).alias("gene"), selected.alias("sel")).filter("gene <> ''")
-    n = probes.select("probe", F.size(F.array_distinct(F.split("genes", ";"))).alias("_n"))
-    g = p.join(n, "probe").groupBy("gene").agg(F.sum(1 / F.col("_n")).alias("probes"), F.max("sel").alias("sel"), F.least(F.lit(1.0), F.max(F.when(F.col("sel"), 1 / F.col("_n")).otherwise(0.0))).alias("w"))
-    size = g.count()
-    half = max(1, size // 4)
-    ordered = g.withColumn("_o", F.row_number().over(W.orderBy("probes", "gene")))  # genes of one platform: a bounded table
-    trend = ordered.withColumn("pwf", F.avg(F.col("sel").cast("double")).over(W.orderBy("_o").rowsBetween(-half, half)))
-    genes = materialize(trend.select("gene", "sel", "w", "pwf"))
-    t = genes.agg(F.count(F.lit(1)).alias("n"), F.count_if("sel").alias("k"), F.avg("pwf").alias("m")).collect()[0]
-    s = sets.select("set_id", "gene").distinct().join(genes, "gene").groupBy("set_id").agg(F.count(F.lit(1)).alias("size"), F.sum(F.when(F.col("sel"), F.col("w")).otherwise(0.0)).alias("weighted"), F.avg("pwf").alias("in_pwf"))
-    rest = (F.lit(float(t["m"] or 0)) * t["n"] - F.col("in_pwf") * F.col("size")) / (F.lit(t["n"]) - F.col("size"))
-    s = s.withColumn("odds", F.coalesce(F.try_divide(F.col("in_pwf") * (1 - rest), rest * (1 - F.col("in_pwf"))), F.lit(1.0)))
+    named = F.array_distinct(F.filter(F.transform(F.split("genes", separator), lambda g: F.trim(g)), lambda g: g != ""))
+    p = probes.select("probe", named.alias("g"), F.coalesce(selected, F.lit(False)).alias("sel")).filter(F.size("g") > 0)
+    long = p.select(F.explode("g").alias("gene"), (1 / F.size("g")).alias("w"), "sel")
+    genes = long.groupBy("gene").agg(F.sum("w").alias("probes"), F.sum(F.when(F.col("sel"), F.col("w")).otherwise(0.0)).alias("hit"))
+    table = genes.limit(MAX_GENES + 1).toPandas()
+    if len(table) > MAX_GENES:
+        raise ValueError(f"more than {MAX_GENES} genes")
+    table["probes"] = table["probes"].round(12)
+    table = table.sort_values(["probes", "gene"], kind="stable").reset_index(drop=True)
+    chosen = (table["hit"] > 1e-12).to_numpy(float)
+    table["chance"], table["sel"], table["w"] = tricube_trend(chosen), chosen > 0, np.minimum(1.0, table["hit"].round(12))
+    universe = probes.sparkSession.createDataFrame(table[["gene", "chance", "sel", "w"]], "gene string, chance double, sel boolean, w double")
+    n, k, total = len(table), int(chosen.sum()), float(table["chance"].sum())
+    s = sets.select("set_id", "gene").distinct().join(universe, "gene").groupBy("set_id").agg(F.count(F.lit(1)).alias("size"), F.count_if("sel").alias("hits"), F.sum("w").alias("weighted"), F.sum("chance").alias("_in"))
+    inside, outside = F.col("_in") / F.col("size"), F.try_divide(F.lit(total) - F.col("_in"), F.lit(n) - F.col("size"))
+    s = s.withColumn("weighted", F.round("weighted", 12)).withColumn("odds", F.when((F.col("size") == n) | F.lit(k == 0), 1.0).otherwise(F.try_divide(inside, outside))).drop("_in")
 
     @F.pandas_udf("double")
-    def tail(k: pd.Series, m: pd.Series, odds: pd.Series) -> pd.Series:
-        return pd.Series([sp.wallenius_sf(int(np.floor(a)), int(b), int(t["n"] - b), int(t["k"]), float(o)) for a, b, o in zip(k, m, odds)])
+    def tail(hits: pd.Series, size: pd.Series, odds: pd.Series) -> pd.Series:
+        return pd.Series([sp.wallenius_sf(int(np.floor(a)), int(b), int(n - b), k, float(o)) for a, b, o in zip(hits, size, odds)])
 
-    return s.withColumn("p_value", tail("weighted", "size", "odds"))
+    return bh(s.withColumn("p_value", tail("weighted", "size", "odds")), "p_value", "set_id", "q")
 
 
 # -- networks by permutation, by sparse regression, and space by sample ---------------------------------------------------------------

@@ -139,3 +139,29 @@ def test_missing_values_stay_missing(spark):
         assert sorted(r.id for r in out.collect() if r.q is None) == [2, 3]
     e = ge.evidence_score(spark.createDataFrame([(0.5, None), (2.0, 1.0)], "a double, b double"), [{"column": "a", "weight": 1, "minimum": 0, "maximum": 1}, {"column": "b", "weight": 3, "minimum": 0, "maximum": 2, "direction": "lower"}]).collect()
     assert e[0].score is None and e[0].coverage == 0.25 and e[1].score == pytest.approx(0.25 + 0.375)
+
+
+def test_probe_enrichment_against_direct_computation(spark):
+    names = [f"G{i:02d}" for i in range(20)]
+    rows = []
+    for i in range(60):
+        g = [names[i % 20]] + ([names[(i * 7) % 20]] if i % 5 == 0 else [])
+        rows.append((f"p{i:02d}", ";".join(g), i % 6 == 0 or i in (1, 21)))
+    sets = {"a": names[:6], "b": names[6:9], "c": names[::4], "none": ["X"]}
+    c = {}
+    for _, g, sel in rows:
+        own = sorted(set(g.split(";")))
+        for x in own:
+            c.setdefault(x, [0.0, 0.0])
+            c[x][0] += 1 / len(own)
+            c[x][1] += sel / len(own)
+    order = sorted(sorted(c), key=lambda x: round(c[x][0], 12))
+    t = gr.tricube_trend(np.array([c[x][1] > 0 for x in order], float))
+    k = sum(c[x][1] > 0 for x in c)
+    out = {r.set_id: r for r in gr.probe_enrichment(spark.createDataFrame([(s, x) for s, v in sets.items() for x in v], "set_id string, gene string"), spark.createDataFrame(rows, "probe string, genes string, sel boolean"), F.col("sel")).collect()}
+    assert set(out) == {"a", "b", "c"}
+    for s in out:
+        m = np.array([x in sets[s] for x in order])
+        odds, hits = t[m].mean() / t[~m].mean(), sum(min(1.0, c[x][1]) for x in sets[s])
+        assert out[s].odds == pytest.approx(odds) and out[s].weighted == pytest.approx(hits)
+        assert out[s].p_value == pytest.approx(sp.wallenius_sf(int(hits + 1e-9), int(m.sum()), int((~m).sum()), k, odds))
