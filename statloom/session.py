@@ -47,11 +47,21 @@ def materialize(df: DataFrame) -> DataFrame:
     Unlike a cache or a local checkpoint the files outlive any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/statloom/{uuid.uuid4().hex}"
+    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _scratch(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/statloom/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application; results that are still lazy must be written first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_scratch(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _SHIPPED: set[str] = set()
 
 
