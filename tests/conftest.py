@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from statloom.session import session  # noqa: E402
+from statloom.session import clear, session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,4 +13,5 @@ def spark():
     spark = session(4, "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
+    clear(spark)
     spark.stop()
