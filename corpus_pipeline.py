@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from statloom.llm import decontaminate, language_id, mixing, ngram_join, units
 from statloom.session import materialize
 
-#: A document is rejected when no language can be determined, or with less than this probability for the best one.
-MIN_LANGUAGE_SCORE = 0.5
+#: A document is rejected when no language can be determined, or when the best one is hardly likelier than a guess among a few: short clean texts stay.
+MIN_LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark, docs, sf_dir):
