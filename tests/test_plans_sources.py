@@ -89,3 +89,34 @@ def test_results_and_stream(spark, tmp_path):
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "scan")).count() == 3
     assert sinks.annotate(ok, spark.createDataFrame([("a", "gene")], "feature_id string, g string"), "feature_id").filter(F.col("annot_g") == "").count() == 1
+
+
+@pytest.mark.parametrize("compression,bits,phased", [(0, 8, 0), (1, 8, 0), (1, 16, 1), (2, 11, 0)])
+def test_bgen(spark, tmp_path, compression, bits, phased):
+    import struct
+    import zlib
+
+    import numpy as np
+
+    top = 2**bits - 1
+    probs = [(top, 0), (0, top), (0, 0), (top // 4, top // 2)]
+    flat = "".join(format(v, f"0{bits}b")[::-1] for p in probs for v in p)
+    packed = np.packbits([int(c) for c in flat], bitorder="little").tobytes()
+    block = struct.pack("<IHBB", 4, 2, 2, 2) + bytes([2, 2, 2, 2 | 128]) + bytes([phased, bits]) + packed
+    body = block
+    if compression == 1:
+        body = struct.pack("<I", len(block)) + zlib.compress(block)
+    elif compression == 2:
+        zstandard = pytest.importorskip("zstandard")
+        body = struct.pack("<I", len(block)) + zstandard.ZstdCompressor().compress(block)
+    s = lambda t, w="<H": struct.pack(w, len(t)) + t.encode()
+    variant = s("id1") + s("rs9") + s("7") + struct.pack("<IH", 1234, 2) + s("A", "<I") + s("G", "<I") + struct.pack("<I", len(body)) + body
+    names = b"".join(s(f"p{i}") for i in range(4))
+    samples = struct.pack("<II", 8 + len(names), 4) + names
+    header = struct.pack("<III", 20, 2, 4) + b"bgen" + struct.pack("<I", compression | (2 << 2) | (1 << 31))
+    (tmp_path / "x.bgen").write_bytes(struct.pack("<I", len(header) + len(samples)) + header + samples + variant * 2)
+    rows = binary.bgen(spark, str(tmp_path / "x.bgen")).filter("sample_id <> 'none'").collect()
+    assert len(rows) == 8 and {(r.variant_id, r.chromosome, r.position, r.ref, r.alt) for r in rows} == {("rs9", "7", 1234, "A", "G")}
+    got = {r.sample_id: r.dosage for r in rows}
+    want = [2 - sum(p) / top if phased else p[1] / top + 2 * (1 - sum(p) / top) for p in probs]
+    assert [got["p0"], got["p1"], got["p2"]] == pytest.approx(want[:3]) and got["p3"] is None
