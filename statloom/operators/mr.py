@@ -213,6 +213,57 @@ def generalized_ivw(df: DataFrame, ld: DataFrame, by: list[str], random: bool =
     return both.groupBy(*by).applyInPandas(run, schema).withColumn("p_value", pv.p_normal(F.col("estimate") / F.col("se")))
 
 
+def overlap_aware(df: DataFrame, by: list[str], covariance: str, rounds: int = 100) -> DataFrame:
+    """Ratio estimate for samples that overlap: weights 1 / (se_y^2 + b^2 se_x^2 - 2 b c) with the effects' sampling covariance c, iterated in b.
+
+    ``covariance`` is a column; beyond se_x se_y it is an error. Instruments of one pair are a bounded group.
+    """
+    schema = ", ".join([f"`{c}` {dict(df.dtypes)[c]}" for c in by] + ["n long, estimate double, se double, rounds int, converged boolean"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, sx, sy, c = (pdf[k].to_numpy(float) for k in ("beta_x", "beta_y", "se_x", "se_y", covariance))
+        if (np.abs(c) > sx * sy).any():
+            raise ValueError("a sampling covariance is larger than the errors allow")
+        spread = lambda b: sy**2 + (b * sx) ** 2 - 2 * b * c
+        w, settled, k = 1 / sy**2, False, 0
+        b = (w * x * y).sum() / (w * x * x).sum()
+        while k < rounds and not settled:
+            k += 1
+            w = 1 / spread(b)
+            new = (w * x * y).sum() / (w * x * x).sum()
+            settled, b = abs(new - b) <= 1e-10 * (1 + abs(b)), new
+        return pd.DataFrame({**{v: [pdf[v].iloc[0]] for v in by}, "n": [len(x)], "estimate": [b], "se": [float(1 / np.sqrt((x * x / spread(b)).sum()))], "rounds": [k], "converged": [settled]})
+
+    out = df.filter(F.col(covariance).isNotNull()).groupBy(*by).applyInPandas(run, schema).filter("n >= 2")
+    return out.withColumn("p_value", pv.p_normal(F.col("estimate") / F.col("se")))
+
+
+def joint_outcomes(df: DataFrame, by: list[str], correlation: pd.DataFrame, outcome: str = "outcome") -> DataFrame:
+    """One exposure's ratio estimates on several outcomes tested together: chi-square of the estimates with their covariance.
+
+    ``correlation`` is the outcomes' sampling correlation, labelled on both sides; outcomes share their instruments by ``variant``.
+    """
+    labels = list(correlation.index)
+    r = correlation.loc[labels, labels].to_numpy(float)
+    sums = df.filter(F.col(outcome).isin(labels)).groupBy(*by, "variant").agg(F.first("beta_x").alias("x"), *[F.max(F.when(F.col(outcome) == F.lit(o), F.col("beta_y"))).alias(f"y{i}") for i, o in enumerate(labels)], *[F.max(F.when(F.col(outcome) == F.lit(o), F.col("se_y"))).alias(f"s{i}") for i, o in enumerate(labels)]).dropna()
+    k = len(labels)
+    x = F.col("x")
+    agg = sums.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(x * F.col(f"y{i}") / (F.col(f"s{i}") * F.col(f"s{i}"))).alias(f"u{i}") for i in range(k)], *[F.sum(x * x / (F.col(f"s{i}") * F.col(f"s{j}"))).alias(f"m{i}_{j}") for i in range(k) for j in range(k)])
+    schema = ", ".join([f"`{c}` {dict(df.dtypes)[c]}" for c in by] + ["n long, estimates array<double>, statistic double, df double"])
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for _, g in pdf.iterrows():
+                m = np.array([[g[f"m{i}_{j}"] for j in range(k)] for i in range(k)], float)
+                b = np.array([g[f"u{i}"] for i in range(k)], float) / np.diag(m)
+                v = m * r / np.outer(np.diag(m), np.diag(m))
+                rows.append({**{c: g[c] for c in by}, "n": g["n"], "estimates": b.tolist(), "statistic": float(b @ np.linalg.solve(v, b)), "df": float(k)})
+            yield pd.DataFrame(rows, columns=[*by, "n", "estimates", "statistic", "df"])
+
+    return agg.mapInPandas(run, schema).withColumn("p_value", pv.p_chi2(F.col("statistic"), F.col("df")))
+
+
 def grid(exposures: DataFrame, outcomes: DataFrame, minimum: int = 3, threshold: float = 0.05, palindromic: str = "drop") -> tuple[DataFrame, DataFrame]:
     """All exposure-outcome pairs that share variants: an IVW screen of each, and full diagnostics of those under the threshold."""
     h = materialize(instruments(harmonize(exposures, outcomes, palindromic)))

@@ -165,3 +165,21 @@ def test_probe_enrichment_against_direct_computation(spark):
         odds, hits = t[m].mean() / t[~m].mean(), sum(min(1.0, c[x][1]) for x in sets[s])
         assert out[s].odds == pytest.approx(odds) and out[s].weighted == pytest.approx(hits)
         assert out[s].p_value == pytest.approx(sp.wallenius_sf(int(hits + 1e-9), int(m.sum()), int((~m).sum()), k, odds))
+
+
+def test_overlap_and_joint_outcomes(spark):
+    import pandas as pd
+
+    from statloom.operators import mr
+
+    x, sx = np.array([0.22, 0.31, 0.45, 0.19, 0.38]), np.array([0.03, 0.04, 0.035, 0.025, 0.045])
+    y, sy = np.array([0.244, 0.277, 0.41, 0.238, 0.336]), np.array([0.04, 0.05, 0.045, 0.035, 0.055])
+    df = spark.createDataFrame([(1, f"v{i}", float(a), float(b), float(c), float(d), 0.3 * float(b * d)) for i, (a, b, c, d) in enumerate(zip(x, sx, y, sy))], "g int, variant string, beta_x double, se_x double, beta_y double, se_y double, cov double")
+    r = mr.overlap_aware(df, ["g"], "cov").collect()[0]
+    v = sy**2 + (r.estimate * sx) ** 2 - 2 * r.estimate * 0.3 * sx * sy
+    assert r.converged and r.estimate == pytest.approx((x * y / v).sum() / (x * x / v).sum(), rel=1e-8) and r.se == pytest.approx(1 / math.sqrt((x * x / v).sum()))
+    both = df.withColumn("outcome", F.lit("a")).unionByName(df.withColumn("outcome", F.lit("b")).withColumn("beta_y", F.col("beta_y") * 0.5))
+    plain = mr.ivw(df, ["g"]).collect()[0]
+    j = mr.joint_outcomes(both, ["g"], pd.DataFrame(np.eye(2), ["a", "b"], ["a", "b"])).collect()[0]
+    assert j.n == 5 and j.estimates == pytest.approx([plain.estimate, plain.estimate / 2])
+    assert j.statistic == pytest.approx((plain.estimate / plain.se) ** 2 * 1.25)
