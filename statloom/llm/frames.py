@@ -50,11 +50,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     for _ in range(max_rounds):
         # the smallest label next to each node, hooked onto the node and onto the node's present root
         near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy(F.col("u").alias("node")).agg(F.min("root").alias("near"))
-        seen = labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low"))
-        hooks = seen.groupBy(F.col("root").alias("node")).agg(F.min("low").alias("hook"))
-        step = seen.join(hooks, "node", "left").select("node", "root", F.least("low", F.coalesce("hook", "low")).alias("low"))
-        jump = step.select(F.col("node").alias("low"), F.col("low").alias("far"))
-        new = step.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("root"), F.col("root").alias("old"))
+        seen = materialize(labels.join(near, "node").select("node", "root", F.least("root", "near").alias("low")))
+        # many nodes share a root: both joins on it read written tables, so that AQE can split a hot one
+        hooks = materialize(seen.groupBy(F.col("root").alias("r")).agg(F.min("low").alias("hook")))
+        step = materialize(seen.join(hooks, seen["root"] == hooks["r"], "left").select("node", "root", F.least("low", F.coalesce("hook", "low")).alias("low")))
+        jump = step.select(F.col("node").alias("at"), F.col("low").alias("far"))
+        new = step.join(jump, step["low"] == jump["at"], "left").select("node", F.least("low", F.coalesce("far", "low")).alias("root"), F.col("root").alias("old"))
         new = materialize(new)
         changed = new.filter("root <> old").limit(1).count()
         labels = new.select("node", "root")
