@@ -3,7 +3,8 @@
 Two codebooks, one for each half of the vectors, span a grid of cells. Every vector is filed under the cell of its nearest codewords, every
 vector visits the cells nearest to it in multi-sequence order (by the sum of both halves' distances), and what it meets there is verified
 by cosine in double precision. How many cells are visited is the smallest number whose recall on a stated query set, compared with all rows,
-reaches the target. A pair is found if either vector visits the other's cell, and counts once for each.
+reaches the target. A pair is found if either vector visits the other's cell, and counts once for each. Where ``MOST_VISITS`` cells miss the
+target (a large group of near copies draws codewords and spreads over many cells), all vectors of a label are compared exactly in blocks.
 
 Equal vectors of a label are one class with a multiplicity. Cells that hold or attract many vectors are dealt to several tasks as blocks of
 members times visitors.
@@ -30,9 +31,12 @@ TARGET_RECALL = 0.995
 SAMPLE = 8192
 #: The query set on which recall is measured: so many vectors, by the same rule, each compared with all rows.
 QUERIES = 1024
+#: From so many visits on, exact blocks cost less than tours; the index is not used if its recall is still below the target.
 MOST_VISITS = 64
 #: Vectors a cell should hold, and the most that one side of a block holds.
 PER_CELL, BLOCK = 32, 256
+#: Vectors that one side of an exact block holds.
+EXACT_BLOCK = 2048
 MOST_CODES = 512
 
 
@@ -118,7 +122,10 @@ def _sample(classes: DataFrame, n: int, total: int) -> list:
 
 
 def _recall_visits(classes: DataFrame, index: Index, queries: list, threshold: float, target: float, size: int) -> tuple[int, float]:
-    """(visits, recall): the fewest visits that reach the target on the query set, each query compared with all rows of its label."""
+    """(visits, recall): the fewest visits that reach the target on the query set, each query compared with all rows of its label.
+
+    A recall below the target says that ``MOST_VISITS`` cells are not enough.
+    """
     vecs = np.stack([np.frombuffer(r["vec"], np.float64) for r in queries])
     shared = classes.sparkSession.sparkContext.broadcast((index, [r["id"] for r in queries], [r["label"] for r in queries], vecs, _batched(vecs, index, MOST_VISITS)))
 
@@ -203,6 +210,62 @@ def _meet(threshold: float):
     return run
 
 
+def _deal(blocks: dict[str, int]):
+    """Each class as a row of the blocks (i, j), i <= j, of its label in which its own part is compared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.array([blocks[x] for x in batch.column("label").to_pylist()], np.int64)
+            part = np.array(batch.column("h")) % n
+            for k in range(int(n.max(initial=0))):
+                live = np.flatnonzero(n > k)
+                own = batch.select(["id", "label", "size", "vec"]).take(pa.array(live))
+                i, j = np.minimum(part[live], k), np.maximum(part[live], k)
+                columns = [*own.columns, pa.array(part[live]), pa.array(i), pa.array(j)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "label", "size", "vec", "part", "i", "j"])
+
+    return run
+
+
+def _compare(threshold: float):
+    def run(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        """Links of one exact block: how many rows each class gains, and edges that connect the linked."""
+        ids, size, part = (np.array(group.column(c)) for c in ("id", "size", "part"))
+        i, j = key[1].as_py(), key[2].as_py()
+        x, y = np.flatnonzero(part == i), np.flatnonzero(part == j)
+        gain, root = np.zeros(len(ids), np.int64), ids.copy()
+        if len(x) and len(y):
+            vec = _matrix(group.column("vec"), 0)
+            hit = vec[x] @ vec[y].T >= threshold
+            if i == j:
+                np.fill_diagonal(hit, False)
+            gain[x] += hit @ size[y]
+            if i != j:
+                gain[y] += hit.T @ size[x]
+            far = np.iinfo(np.int64).max
+            while True:  # the smallest id spreads along links until nothing changes
+                before = root.copy()
+                for a in range(0, len(x), 256):
+                    s = x[a : a + 256]
+                    h = hit[a : a + 256]
+                    root[s] = np.minimum(root[s], np.where(h, root[y][None, :], far).min(1))
+                    root[y] = np.minimum(root[y], np.where(h, root[s][:, None], far).min(0))
+                if (root == before).all():
+                    break
+        live, tied = np.flatnonzero(gain), np.flatnonzero(root != ids)
+        a, b = [*ids[live].tolist(), *ids[tied].tolist()], [None] * len(live) + root[tied].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "gain": pa.array([*gain[live].tolist(), *[0] * len(tied)], pa.int64())})
+
+    return run
+
+
+def _exact(classes: DataFrame, threshold: float) -> DataFrame:
+    """As ``_links``, every class compared with all others of its label."""
+    blocks = {r["label"]: -(-r["n"] // EXACT_BLOCK) for r in classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    dealt = classes.select("id", "label", "size", "vec", "h").mapInArrow(_deal(blocks), "id long, label string, size long, vec binary, part long, i long, j long")
+    return dealt.groupBy("label", "i", "j").applyInArrow(_compare(threshold), "a long, b long, gain long")
+
+
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
     """One row for each vector: id, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -234,7 +297,9 @@ def _links(classes: DataFrame, size: int, threshold: float, target: float) -> Da
         sample = classes.limit(SAMPLE).select("id", "label", "vec").collect()
     k = int(np.clip(np.ceil(np.sqrt(total / PER_CELL)), 1, MOST_CODES))
     index = Index(np.stack([np.frombuffer(r["vec"], np.float64) for r in sample]), k)
-    visits, _ = _recall_visits(classes, index, sample[:QUERIES], threshold, target, size)
+    visits, reached = _recall_visits(classes, index, sample[:QUERIES], threshold, target, size)
+    if reached < target:
+        return _exact(classes, threshold)
     shared = spark.sparkContext.broadcast(index)
     filed = classes.select("id", "label", "vec", "size").mapInArrow(_file(shared, visits, size), "id long, label string, cell long, visitor boolean, size long, tour binary, vec binary")
     filed = materialize(filed)

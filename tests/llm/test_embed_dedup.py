@@ -61,6 +61,17 @@ def test_generated_table_recall_and_precision(spark):
     assert ed.recall(spark.read.parquet(f"{sf}/embeddings.parquet"), df) >= 0.9
 
 
+def test_hot_group_over_more_cells_than_visits_is_compared_exactly(spark, monkeypatch):
+    monkeypatch.setattr(ed, "PER_CELL", 1)
+    monkeypatch.setattr(ed, "EXACT_BLOCK", 200, raising=False)
+    rng = np.random.default_rng(7)
+    hot = rng.normal(size=64)
+    rows = [((hot + rng.normal(size=64) * 0.2).tolist(), 0) for _ in range(500)] + [(rng.normal(size=64).tolist(), k % 2) for k in range(600)]
+    rows = [(i * 3 + 1, v, l) for i, (v, l) in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert got(ed.near_duplicates(frame)) == brute(rows)
+
+
 def test_sequence_is_the_order_of_summed_distances():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 10))
