@@ -5,8 +5,8 @@ predictors, hashed contexts of the last 2, 3 and 5 bytes, give a log-odds from c
 tree) picks the weights that add them up, and each document refines its own weights by online gradient steps as it is read. The sum of log
 probabilities over the bytes gives total bits per byte. Beside it stands the add-one unigram score over words.
 
-Counts travel as one blob for each task and part, so what is gathered follows the corpus; the predictors' tables have a fixed size
-(``TABLE_BITS``). The ``FREQUENT`` commonest words, a bound by construction, are broadcast with their counts; occurrences of all other words are
+Counts travel as one blob for each task and part, so what is gathered follows the corpus; the predictors' tables have twice as many slots as
+the corpus has different decisions (at least ``TABLE_BITS``). The ``FREQUENT`` commonest words, a bound by construction, are broadcast with their counts; occurrences of all other words are
 dealt by word, counted there, and their sums go back to their documents. No word's occurrences beyond the training share of a
 frequent one meet in a task.
 
@@ -30,7 +30,10 @@ from statloom.llm import text as tx
 from statloom.llm.frames import ship, shuffle_partitions
 
 ORDERS = (2, 3, 5)
-TABLE_BITS = (18, 19, 20)
+#: The least table of each order, as a power of two, and the most (slot and bit share 32 bits).
+TABLE_BITS, MOST_BITS = (19, 20, 21), 31
+#: One in so many contexts, by hash, is kept to count the different decisions of the corpus.
+SAMPLED = 64
 GATES = 4
 #: Weights that every document starts with, one for each order, and how far a step goes.
 START, RATE = (0.20, 0.35, 0.60), 0.02
@@ -106,13 +109,28 @@ def _mixed(node: np.ndarray) -> np.ndarray:
     return tx.mix(node.astype(_U) + _U(1)).astype(_I)
 
 
+def table_bits(tree, seen: np.ndarray) -> list[int]:
+    """Size of each order's table, for two slots a decision, from the sampled contexts and the symbols after them (``_histogram``)."""
+    depth, node, _ = tree
+    seen = seen - _SEEN
+    order, context, symbol = seen >> 41, seen >> 9 & 0xFFFFFFFF, seen & 511
+    bits = []
+    for o, least in enumerate(TABLE_BITS):
+        own = order == o
+        c, s = context[own], symbol[own]
+        met = [np.unique(c[depth[s] > k] << 9 | node[s[depth[s] > k], k]) for k in range(depth.max())]
+        decisions = SAMPLED * len(np.unique(np.concatenate(met)))
+        bits.append(min(MOST_BITS, max(least, int(np.ceil(np.log2(2 * decisions + 1))))))
+    return bits
+
+
 class Counts:
     """Decisions by slot and bit of each order, over the documents of a task."""
 
-    def __init__(self, tree):
+    def __init__(self, tree, bits: list[int]):
         self.depth, node, self.bit = tree
-        self.mixed = _mixed(node)
-        self.tables = [np.zeros(2 << b, np.uint32) for b in TABLE_BITS]
+        self.mixed, self.bits = _mixed(node), bits
+        self.tables = [np.zeros(2 << b, np.uint32) for b in bits]
 
     def add(self, data: np.ndarray, offs: np.ndarray) -> None:
         symbols, _, contexts = _symbols(data, offs)
@@ -125,13 +143,17 @@ class Counts:
                 break
             mixed, bit = self.mixed[:, k][symbols], self.bit[:, k][symbols]
             for o in range(len(ORDERS)):
-                slot = _slot(contexts[o], mixed, TABLE_BITS[o])
+                slot = _slot(contexts[o], mixed, self.bits[o])
                 slot <<= _I(1)
                 slot |= bit
                 slots[o].append(slot)
         for o, found in enumerate(slots):
             if found:
-                self.tables[o] += np.bincount(np.concatenate(found), minlength=2 << TABLE_BITS[o]).astype(np.uint32)
+                slot = np.concatenate(found)
+                if self.bits[o] > 21:  # a histogram as long as the table would cost more than the table
+                    np.add.at(self.tables[o], slot, _I(1))
+                else:
+                    self.tables[o] += np.bincount(slot, minlength=len(self.tables[o])).astype(np.uint32)
 
     def blobs(self) -> list[bytes]:
         """The tables in ``SLICES`` compressed slices."""
@@ -150,7 +172,7 @@ class Model:
         self.depth, self.node, self.bit = tree
         self.mixed = _mixed(self.node)
         self.sign = self.bit.astype(np.float32) * np.float32(2) - np.float32(1)
-        self.tables = tables
+        self.tables, self.bits = tables, [len(t).bit_length() - 1 for t in tables]
 
     def log10(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """log10 probability of each document."""
@@ -189,7 +211,7 @@ class Model:
             gate = min(k, GATES - 1)
             mixed, sign = self.mixed[:, k][symbols], self.sign[:, k][symbols]
             count = np.diff(bounds)
-            odds = [t.take(_slot(c, mixed, b)) for t, c, b in zip(self.tables, contexts, TABLE_BITS)]
+            odds = [t.take(_slot(c, mixed, b)) for t, c, b in zip(self.tables, contexts, self.bits)]
             z = odds[0] * np.repeat(weights[own, gate, 0], count)
             for o in range(1, len(ORDERS)):
                 z += odds[o] * np.repeat(weights[own, gate, o], count)
@@ -245,22 +267,31 @@ def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, np.repeat(np.arange(len(offs) - 1), np.diff(first))
 
 
+#: From here on the histogram's keys are sampled contexts: order, context and the symbol after it.
+_SEEN = 1 << 44
+
+
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    count = np.zeros(END + 1, np.int64)
+    """Symbols with their counts, and the sampled contexts with the symbols that follow (n = 0)."""
+    count, seen = np.zeros(END + 1, np.int64), np.zeros(0, np.int64)
     for batch in batches:
-        data, _ = tx.utf8(batch.column("text"))
-        for a in range(0, len(data), 1 << 20):
-            count[:END] += np.bincount(data[a : a + (1 << 20)], minlength=END)
-        count[END] += batch.num_rows
+        for _, _, data, offs in _pieces(batch):
+            symbols, _, contexts = _symbols(data, offs)
+            count += np.bincount(symbols, minlength=END + 1)
+            for o, c in enumerate(contexts):
+                kept = np.flatnonzero(c & _I(SAMPLED - 1) == 0)
+                found = _SEEN + (o << 41) + (c[kept].astype(np.int64) << 9) + symbols[kept]
+                seen = np.union1d(seen, found)
     live = np.flatnonzero(count)
-    yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(count[live])], names=["symbol", "n"])
+    keys, n = np.concatenate([live, seen]), np.concatenate([count[live], np.zeros(len(seen), np.int64)])
+    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["symbol", "n"])
 
 
-def _count(tree, n_parts: int):
+def _count(tree, bits: list[int], n_parts: int):
     """Words and decisions of the training documents of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decisions, words, counts, docs, held = Counts(tree), [], [], 0, 0
+        decisions, words, counts, docs, held = Counts(tree, bits), [], [], 0, 0
 
         def merged():
             word, place = np.unique(np.concatenate(words), return_inverse=True)
@@ -335,12 +366,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_ou
     ship(spark)
     rows = docs.filter(~_held_out(id_col, held_out)).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     histogram = np.zeros(END + 1, np.int64)
-    for r in rows.mapInArrow(_histogram, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
-        histogram[r["symbol"]] = r["n"]
+    found = rows.mapInArrow(_histogram, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).toArrow()
+    key, n = np.array(found.column("symbol"), np.int64), np.array(found.column("n"), np.int64)
+    histogram[key[key <= END]] = n[key <= END]
     tree = code_tree(histogram)
+    bits = table_bits(tree, key[key > END])
     n_parts = shuffle_partitions(spark)
-    got = rows.mapInArrow(_count(tree, n_parts), _ROWS).repartition("key").mapInArrow(_sum_up(n_parts), _ROWS).collect()
-    tables = [np.zeros((SLICES, (1 << b) // SLICES), np.float32) for b in TABLE_BITS]
+    got = rows.mapInArrow(_count(tree, bits, n_parts), _ROWS).repartition("key").mapInArrow(_sum_up(n_parts), _ROWS).collect()
+    tables = [np.zeros((SLICES, (1 << b) // SLICES), np.float32) for b in bits]
     tokens = types = 0
     best = [np.zeros((0, 2), np.int64)]
     for r in got:

@@ -104,6 +104,21 @@ def test_held_out_text_costs_less_than_raw_and_than_shuffled_bytes(spark):
     assert r["sum(score)"] > r["sum(base_score)"] * 1.3
 
 
+def test_tables_have_a_slot_for_each_decision_of_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TABLE_BITS", (6, 6, 6))
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("abcdefghijklmnop"), 300)) for _ in range(150)]
+    fitted = lm.fit(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), held_out=(7, 9))
+    model = fitted.model
+    for o, order in ((1, 3), (2, 5)):
+        met = set()
+        for t in texts:
+            data = [0] * order + [b + 1 for b in t.encode()] + [lm.END + 1]
+            for i in range(order, len(data)):
+                met |= {(*data[i - order : i], int(x)) for x in model.node[data[i] - 1, : model.depth[data[i] - 1]]}
+        assert len(met) <= len(model.tables[o]) <= 8 * len(met)
+
+
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(frame).count() == 0
