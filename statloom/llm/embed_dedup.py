@@ -31,6 +31,8 @@ TARGET_RECALL = 0.995
 SAMPLE = 8192
 #: The query set on which recall is measured: so many vectors, by the same rule, each compared with all rows.
 QUERIES = 1024
+#: So many queries must have a link; otherwise more rows are queries.
+LINKED = 100
 #: From so many visits on, exact blocks cost less than tours; the index is not used if its recall is still below the target.
 MOST_VISITS = 64
 #: Vectors a cell should hold, and the most that one side of a block holds.
@@ -121,37 +123,68 @@ def _sample(classes: DataFrame, n: int, total: int) -> list:
     return classes.filter(F.col("h") <= F.lit(limit)).orderBy("h", "id").limit(n).select("id", "label", "vec").collect()
 
 
-def _recall_visits(classes: DataFrame, index: Index, queries: list, threshold: float, target: float, size: int) -> tuple[int, float]:
-    """(visits, recall): the fewest visits that reach the target on the query set, each query compared with all rows of its label.
-
-    A recall below the target says that ``MOST_VISITS`` cells are not enough.
-    """
+def _ranks(classes: DataFrame, index: Index, queries: list, threshold: float, size: int) -> np.ndarray:
+    """Of each query, compared with all rows of its label, how many links each further visit meets; the last column are those never met."""
     vecs = np.stack([np.frombuffer(r["vec"], np.float64) for r in queries])
+    width = MOST_VISITS + 1
     shared = classes.sparkSession.sparkContext.broadcast((index, [r["id"] for r in queries], [r["label"] for r in queries], vecs, _batched(vecs, index, MOST_VISITS)))
 
     def ranks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, ids, labels, q, seq = shared.value
-        found = np.zeros(MOST_VISITS + 1, np.int64)
+        found = np.zeros(len(ids) * width, np.int64)
         labels, ids = np.array(labels), np.array(ids)
+        step = max(1, (1 << 21) // len(ids))
         for batch in batches:
             x, label, key = _matrix(batch.column("vec"), size), np.array(batch.column("label").to_pylist()), np.array(batch.column("id"))
             cells = _batched(x, own, 1)[:, 0]
-            for a in range(0, len(x), 2048):
-                s = slice(a, a + 2048)
+            for a in range(0, len(x), step):
+                s = slice(a, a + step)
                 hit = (q @ x[s].T >= threshold) & (labels[:, None] == label[s][None, :]) & (ids[:, None] != key[s][None, :])
                 i, j = np.nonzero(hit)
                 at = seq[i] == cells[s][j][:, None]
-                found += np.bincount(np.where(at.any(1), at.argmax(1), MOST_VISITS), minlength=MOST_VISITS + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(MOST_VISITS + 1)), pa.array(found)], names=["rank", "n"])
-
-    got = {r["rank"]: r["n"] for r in classes.mapInArrow(ranks, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n")).collect()}
-    n = np.array([got.get(k, 0) for k in range(MOST_VISITS + 1)])
-    if not n.sum():
-        return 4, 1.0
-    reach = np.cumsum(n[:MOST_VISITS]) / n.sum()
+                found += np.bincount(i * width + np.where(at.any(1), at.argmax(1), width - 1), minlength=len(found))
+        live = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(live), pa.array(found[live])], names=["at", "n"])
+
+    n = np.zeros(len(queries) * width, np.int64)
+    for r in classes.mapInArrow(ranks, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+        n[r["at"]] = r["n"]
+    return n.reshape(-1, width)
+
+
+def _need(n: np.ndarray, target: float) -> tuple[int, float]:
+    """(visits, recall): the fewest visits for which both the recall over all links and the mean recall of the queries reach the target.
+
+    A hot group's links grow with its square, so that they alone would decide the first.
+    """
+    n = n[n.sum(1) > 0]
+    if not len(n):
+        return 2, 1.0
+    met = np.cumsum(n[:, :-1], axis=1)
+    reach = np.minimum(met.sum(0) / n.sum(), (met / n.sum(1)[:, None]).mean(0))
     enough = np.flatnonzero(reach >= target)
-    visits = int(enough[0]) + 1 if len(enough) else MOST_VISITS
-    return max(2, visits), float(reach[max(2, visits) - 1])
+    visits = max(2, int(enough[0]) + 1 if len(enough) else reach.size)
+    return visits, float(reach[min(visits, reach.size) - 1])
+
+
+def _recall_visits(classes: DataFrame, index: Index, queries: list, threshold: float, target: float, size: int, total: int) -> tuple[int, float]:
+    """(visits, recall) by ``_need``, each query compared with all rows of its label.
+
+    If fewer than ``LINKED`` queries have a link, further rows are queries until so many have one or all rows were compared.
+    A recall below the target says that ``MOST_VISITS`` cells are not enough.
+    """
+    n = _ranks(classes, index, queries, threshold, size)
+    if (n.sum(1) > 0).sum() < LINKED and len(queries) < total:
+        n, pieces = n[:0], -(-total // SAMPLE)
+        bound = [-(2**63) + (2**64 * k) // pieces for k in range(pieces + 1)]
+        for low, high in zip(bound, bound[1:]):
+            more = classes.filter((F.col("h") >= F.lit(low)) & (F.col("h") <= F.lit(high - 1))).select("id", "label", "vec").collect()
+            if more:
+                got = _ranks(classes, index, more, threshold, size)
+                n = np.concatenate([n, got[got.sum(1) > 0]])
+            if len(n) >= LINKED:
+                break
+    return _need(n, target)
 
 
 def _file(shared, visits: int, size: int):
@@ -297,7 +330,7 @@ def _links(classes: DataFrame, size: int, threshold: float, target: float) -> Da
         sample = classes.limit(SAMPLE).select("id", "label", "vec").collect()
     k = int(np.clip(np.ceil(np.sqrt(total / PER_CELL)), 1, MOST_CODES))
     index = Index(np.stack([np.frombuffer(r["vec"], np.float64) for r in sample]), k)
-    visits, reached = _recall_visits(classes, index, sample[:QUERIES], threshold, target, size)
+    visits, reached = _recall_visits(classes, index, sample[:QUERIES], threshold, target, size, total)
     if reached < target:
         return _exact(classes, threshold)
     shared = spark.sparkContext.broadcast(index)

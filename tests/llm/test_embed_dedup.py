@@ -72,6 +72,23 @@ def test_hot_group_over_more_cells_than_visits_is_compared_exactly(spark, monkey
     assert got(ed.near_duplicates(frame)) == brute(rows)
 
 
+def test_rare_links_outside_the_query_set_are_measured(spark, monkeypatch):
+    monkeypatch.setattr(ed, "PER_CELL", 1)
+    monkeypatch.setattr(ed, "QUERIES", 4)
+    rng = np.random.default_rng(11)
+    rows = [(rng.normal(size=32).tolist(), 0) for _ in range(400)]
+    rows += [((np.array(v) + rng.normal(size=32) * 0.3).tolist(), 0) for v, _ in rows[:40]]
+    rows = [(i, v, l) for i, (v, l) in enumerate(rows)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert got(ed.near_duplicates(frame, target=1.0)) == brute(rows)
+
+
+def test_small_groups_count_as_much_as_a_hot_one():
+    n = np.zeros((100, ed.MOST_VISITS + 1), np.int64)
+    n[0, 0], n[1:, 10] = 10**6, 3
+    assert ed._need(n, 0.995) == (11, 1.0)
+
+
 def test_sequence_is_the_order_of_summed_distances():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 10))
