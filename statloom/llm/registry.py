@@ -51,12 +51,12 @@ def op1_mix_sources(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("weight", F.round("weight", 9))
 
 
-@query("op6_substring_dedup", units.oracle("repeats"))
+@query("op6_substring_dedup", units.oracle_repeats())
 def op6_substring_dedup(spark, sf_dir):
     return units.report(units.drop_repeats(table(spark, sf_dir, "documents")))
 
 
-@query("op9_line_dedup", units.oracle("templates"))
+@query("op9_line_dedup", units.oracle_templates())
 def op9_line_dedup(spark, sf_dir):
     return units.report(units.drop_templates(table(spark, sf_dir, "documents")))
 

@@ -23,7 +23,7 @@ def test_stages_against_brute_force(spark):
     docs = spark.createDataFrame(rows, docs.schema)
     two = cp.drop_line_templates(spark, docs, SF)
     assert two.columns == columns
-    names, want = duck(units.oracle("templates"), SF, {"documents": docs.toPandas()})
+    names, want = duck(units.oracle_templates(long_docs=10), SF, {"documents": docs.toPandas()})
     gone = {r[names.index("doc_id")]: r[names.index("n_removed")] for r in want}
     rows = two.collect()
     assert all(r.n_chars == len(r.text) for r in rows)
