@@ -1,7 +1,7 @@
 """Benchmark decontamination, in DataFrame operations only.
 
-Windows of the benchmark items are hashed and broadcast; every document's word windows are hashed in place, probed, and each hit is
-verified word by word before it counts.
+The benchmark's windows are a broadcast hash set; every document's word windows are hashed in place and probed in it, and each hit is
+verified word by word before it counts. A set above ``BROADCAST_BYTES`` is joined by a shuffle of the hashes instead.
 
 Defined results: a null or empty text has no words and is clean; an item without words has no window. An item of fewer words than the
 window is one window of its own length. Rows that repeat a key count once (see ``frames.keyed``); rows with a null key are left out.
@@ -13,12 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.frames import keyed, materialize
+from statloom.llm.frames import fresh, keyed, materialize
 
 WINDOW = 10
 #: The window table is broadcast up to this size; beyond it the probe is a shuffled join that AQE splits where a window is hot.
 BROADCAST_BYTES = 64 << 20
-ANCHOR = 3
 
 # Words are what stands between these characters; A-Z is folded first.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -40,33 +39,29 @@ def windows(benchmark: DataFrame, size: int = WINDOW, id_col: str = "item_id", t
     return out.select("item_id", F.xxhash64("window").alias("key"), "window")
 
 
-def _anchor(first: Column, rest, n: int) -> Column:
-    """The probe key of a window: the hash of its first ``n`` words."""
-    return F.xxhash64(first, *[rest(k) for k in range(1, n)])
-
-
 def hits(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Verified occurrences (id, at, len, key) of benchmark windows, ``at`` from 0, and the window table itself.
 
-    Documents are probed by the hash of three words, which stays in generated code, and only where that is found are all words of the
-    window compared. Windows of one or two words, if there are any, are probed by as many.
+    Every position of a document is hashed with the words that follow it, in generated code, and probed in the set of window hashes; where it is
+    found, all words are compared. Windows shorter than ``size`` (of items with fewer words) take one pass more for each length.
     """
     table = windows(benchmark, size, item_col, item_text)
-    probe = table.select("key", "window").distinct().withColumn("len", F.size("window")).withColumn("n", F.least("len", F.lit(ANCHOR)))
-    shape = probe.agg(F.collect_set("n").alias("ns"), F.sum(F.lit(64) + F.aggregate("window", F.lit(0), lambda a, w: a + F.octet_length(w) + F.lit(24))).alias("bytes")).collect()[0]
+    probe = table.select("key", "window").distinct().withColumn("len", F.size("window"))
+    shape = probe.agg(F.collect_set("len").alias("lens"), F.sum(F.lit(64) + F.aggregate("window", F.lit(0), lambda a, w: a + F.octet_length(w) + F.lit(24))).alias("bytes")).collect()[0]
     small = (shape["bytes"] or 0) <= BROADCAST_BYTES
     base = docs.select(id_col, words(text_col).alias("w"))
     found = None
-    for n in sorted(shape["ns"]):
-        side = probe.filter(F.col("n") == n).select("key", "window", "len", _anchor(F.get("window", F.lit(0)), lambda k: F.get("window", F.lit(k)), n).alias("anchor"))
+    for n in sorted(shape["lens"]):
+        side = probe.filter(F.col("len") == n).select("key", "window", "len")
         at = base.select(id_col, "w", F.posexplode("w").alias("at", "word")).filter(F.col("at") <= F.size("w") - F.lit(n))
-        at = at.select(id_col, "w", "at", _anchor(F.col("word"), lambda k: F.get("w", F.col("at") + F.lit(k)), n).alias("anchor"))
+        following = [F.get("w", F.col("at") + F.lit(k)) for k in range(1, n)]
+        at = at.select(id_col, "w", "at", F.xxhash64("word", *following).alias("key"))  # the hash of the words one by one is that of their array
+        same = F.slice("w", F.col("at") + 1, n) == F.col("window")
         if small:
-            same = F.slice("w", F.col("at") + 1, F.col("len")) == F.col("window")
-            joined = at.join(F.broadcast(side), "anchor").filter(same)
-        else:  # rows that are shuffled carry the window, not the document
-            at = at.select(id_col, "at", "anchor", F.slice("w", F.col("at") + 1, size).alias("w"))
-            joined = at.join(side, "anchor").filter(F.slice("w", F.lit(1), F.col("len")) == F.col("window"))
+            joined = at.join(F.broadcast(side), "key").filter(same)
+        else:  # positions are dealt by hash without their words; the few that are found fetch them
+            met = at.select(id_col, "at", "key").join(side, "key")
+            joined = met.join(base, id_col).filter(same)
         one = joined.select(id_col, F.col("at").cast("long").alias("at"), "len", "key")
         found = one if found is None else found.unionByName(one)
     if found is None:
@@ -79,7 +74,11 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: st
 
     Hits are first gathered for each document where they are found (map-side combine), so a window that many documents share is spread by document.
     """
-    docs = keyed(docs, id_col, text_col)
+    return _report(keyed(docs, id_col, text_col), benchmark, size, id_col, text_col, item_col, item_text)
+
+
+def _report(docs: DataFrame, benchmark: DataFrame, size: int, id_col: str, text_col: str, item_col: str, item_text: str) -> DataFrame:
+    """``report`` of documents that have a key of any type, each once."""
     found, table = hits(docs, benchmark, size, id_col, text_col, item_col, item_text)
     by_doc = found.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("at", (F.col("at") + F.col("len")).alias("end")))).alias("h"), F.collect_set("key").alias("keys"))
     # sorted ranges; a range that begins before the farthest end so far adds only what lies beyond it
@@ -109,18 +108,24 @@ def report(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: st
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", mode: str = "documents", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """``docs`` without contaminated documents, or with ``mode='spans'`` without the hit words (the kept words joined by spaces)."""
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, text_col: str = "text", mode: str = "documents", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without contaminated documents, or with ``mode='spans'`` without the hit words (the kept words joined by spaces).
+
+    Every row is judged by its own text, so null or repeated ids need no rule: all rows come back but the contaminated ones.
+    """
     if mode not in ("documents", "spans"):
         raise ValueError("mode is 'documents' or 'spans'")
+    key, own, hit = fresh(docs, "text_key"), fresh(docs, "words"), fresh(docs, "hit_spans")
+    rows = docs.withColumn(key, F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
     if mode == "documents":
-        found, _ = hits(docs, benchmark, size, id_col, text_col, item_col, item_text)
-        return docs.join(found.select(F.col(id_col)).distinct(), id_col, "left_anti").select(docs.columns)
-    spans = report(docs, benchmark, size, id_col, text_col, item_col, item_text).filter("contaminated").select(id_col, F.col("spans").alias("_hit_spans"))
-    w = words(text_col)
-    kept = F.filter(w, lambda x, i: ~F.exists("_hit_spans", lambda s: (i >= s["at"]) & (i < s["end"])))
-    columns = [F.when(F.col("_hit_spans").isNull(), F.col(text_col)).otherwise(F.array_join(kept, " ")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
-    return docs.join(spans, id_col, "left").select(columns)
+        found, _ = hits(rows, benchmark, size, key, text_col, item_col, item_text)
+        return rows.join(found.select(F.col(key)).distinct(), key, "left_anti").select(docs.columns)
+    texts = rows.select(key, F.col(text_col).alias("text")).dropDuplicates([key])
+    spans = _report(texts, benchmark, size, key, "text", item_col, item_text).filter("contaminated").select(key, F.col("spans").alias(hit))
+    rows = rows.join(spans, key, "left").withColumn(own, F.when(F.col(hit).isNotNull(), words(text_col)))
+    kept = F.filter(own, lambda x, i: ~F.exists(hit, lambda s: (i >= s["at"]) & (i < s["end"])))
+    columns = [F.when(F.col(hit).isNull(), F.col(text_col)).otherwise(F.array_join(kept, " ")).alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    return rows.select(columns)
 
 
 def oracle(size: int = WINDOW) -> str:

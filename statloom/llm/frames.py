@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from statloom.session import materialize, ship, shuffle_partitions
 
-__all__ = ["components", "keyed", "materialize", "parts", "ship", "shuffle_partitions", "slices", "table"]
+__all__ = ["components", "fresh", "keyed", "materialize", "parts", "ship", "shuffle_partitions", "slices", "table", "whole_rows"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,27 @@ def parts(spark: SparkSession, factor: int = 4) -> int:
     return factor * shuffle_partitions(spark)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_rows(docs: DataFrame, key: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with all its columns, one whole row for each key: of rows that repeat a key, the one whose text, then whose other columns as JSON sort first.
+
+    Rows with a null key are left out, as documents are told apart by it. The pass that chooses runs only if a key is repeated.
+    """
+    rows = docs.filter(F.col(key).isNotNull())
+    if not rows.groupBy(key).agg(F.count(F.lit(1)).alias(fresh(docs, "n"))).filter(F.col(fresh(docs, "n")) > 1).limit(1).count():
+        return rows
+    order = F.struct(F.col(text_col).isNull(), F.col(text_col), F.to_json(F.struct(*[F.col(c) for c in docs.columns])))
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), order).alias(fresh(docs, "row")))
+    return first.select([F.col(fresh(docs, "row"))[c].alias(c) for c in docs.columns])
+
+
 def keyed(docs: DataFrame, key: str = "doc_id", *columns: str) -> DataFrame:
     """``key`` as long and the named columns, one row for each key.
 

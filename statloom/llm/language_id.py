@@ -17,15 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statloom.llm.frames import ship
+from statloom.llm.frames import fresh, ship
 from statloom.llm.text import pieces, utf8
 
 ORDERS = (1, 2, 3)
-#: The model learns from at most about this many labelled rows, those with the smallest hash of their id.
+#: The model learns from about this many labelled rows at most: an equal share for each label, those with the smallest hashes of their ids, one at least.
 MAX_TRAINING_ROWS = 20_000
-BITS = 18
-#: At most so many languages, those with the most training rows.
-MAX_LANGUAGES = 256
+#: Hashed n-grams, as a power of two: so many, or as many as keep the matrix (n-grams by languages) at ``MATRIX`` cells, ``LEAST_BITS`` at least.
+BITS, LEAST_BITS, MATRIX = 18, 10, 1 << 26
 UNDETERMINED = "und"
 
 _U32 = np.uint32
@@ -88,72 +87,89 @@ class Model:
         return out
 
 
+def matrix_bits(languages: int, bits: int = BITS) -> int:
+    """Fewer hashed n-grams for very many languages, so that the matrix stays bounded and no language is left out."""
+    return max(min(bits, LEAST_BITS), min(bits, (MATRIX // max(languages, 1)).bit_length() - 1))
+
+
+def _sampled(rows: DataFrame, labels: list, max_rows: int) -> DataFrame:
+    """An equal share of ``max_rows`` for each label by the smallest hashes; ``labels`` has label, count and least hash."""
+    share = max(1, max_rows // len(labels))
+    cut = [r for r in labels if r["count"] > share]
+    if not cut:
+        return rows
+    # of n even hashes, those below share / n of their range are about the `share` smallest; the least one always counts
+    bound = [(r["label"], max(r["least"], -(1 << 63) + (share * (1 << 64)) // r["count"])) for r in cut]
+    bounds = rows.sparkSession.createDataFrame(bound, "label string, bound long")
+    return rows.join(F.broadcast(bounds) if len(bound) <= 100_000 else bounds, "label", "left").filter("bound is null or hash <= bound").drop("bound")
+
+
 def fit(docs: DataFrame, label_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, max_rows: int = MAX_TRAINING_ROWS, held_out: tuple[int, int] | None = (4, 2)) -> Model:
-    """Learn from the labelled rows that ``held_out`` = (modulus, remainder) leaves, at most about ``max_rows`` of them."""
+    """Learn from the labelled rows that ``held_out`` = (modulus, remainder) leaves, about ``max_rows`` of them, stratified by label.
+
+    Every label is learned, from one row at least; the priors are the labels' shares of all these rows, not of the sample.
+    """
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).cast("string").alias("text"))
     rows = rows.filter("id is not null and label is not null and text is not null")
     if held_out:
         rows = rows.filter(learned_from("id", *held_out))
-    classes = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["label"] for r in classes)
+    rows = rows.withColumn("hash", F.xxhash64("id"))
+    labels = rows.groupBy("label").agg(F.count(F.lit(1)).alias("count"), F.min("hash").alias("least")).orderBy("label").collect()
+    languages = [r["label"] for r in labels]
+    bits = matrix_bits(len(languages), bits)
     if not languages:
         return Model([], np.zeros((0, 1 << bits), np.float32), np.zeros(0), bits)
-    share = min(1.0, max_rows / sum(r["count"] for r in classes))
-    if share < 1:
-        rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20))))
+    rows = _sampled(rows, labels, max_rows)
     place = {x: k for k, x in enumerate(languages)}
     slices, width = 16, (1 << bits) // 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(languages), 1 << bits), np.int64)
-        seen = np.zeros(len(languages), np.int64)
+        seen = False
         for batch in batches:
-            label = np.array([place.get(x, -1) for x in batch.column(0).to_pylist()], np.int64)
-            for k in range(len(languages)):
-                own = batch.column(1).filter(pa.array(label == k))
-                seen[k] += len(own)
-                data, offs = utf8(own)
+            label = np.array([place[x] for x in batch.column(0).to_pylist()], np.int64)
+            for k in np.unique(label):
+                seen = True
+                data, offs = utf8(batch.column(1).filter(pa.array(label == k)))
                 for i, j in pieces(offs):
                     points, _ = _code_points(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                     for order in ORDERS:
                         sums[k] += np.bincount(_grams(points, order, bits), minlength=1 << bits)
-        if seen.any():
+        if seen:
             part = sums.reshape(len(languages), slices, width)
-            blobs = [np.ascontiguousarray(part[:, s]).tobytes() for s in range(slices)]
-            zero = np.zeros(len(languages), np.int64).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array(blobs, pa.binary()), pa.array([seen.tobytes()] + [zero] * (slices - 1), pa.binary())], names=["slice", "counts", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([np.ascontiguousarray(part[:, s]).tobytes() for s in range(slices)], pa.binary())], names=["slice", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         sums = sum(np.frombuffer(x.as_buffer(), np.int64) for x in group.column("counts"))
-        seen = sum(np.frombuffer(x.as_buffer(), np.int64) for x in group.column("seen"))
-        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([sums.tobytes()], pa.binary()), "seen": pa.array([seen.tobytes()], pa.binary())})
+        return pa.table({"slice": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([sums.tobytes()], pa.binary())})
 
-    schema = "slice int, counts binary, seen binary"
-    got = rows.filter(F.col("label").isin(languages)).select("label", "text").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()
-    counts, seen = np.zeros((len(languages), slices, width)), np.zeros(len(languages))
+    schema = "slice int, counts binary"
+    got = rows.select("label", "text").mapInArrow(count, schema).groupBy("slice").applyInArrow(add, schema).collect()
+    counts = np.zeros((len(languages), slices, width))
     for r in got:
         counts[:, r["slice"]] = np.frombuffer(r["counts"], np.int64).reshape(len(languages), width)
-        seen += np.frombuffer(r["seen"], np.int64)
     counts = counts.reshape(len(languages), 1 << bits)
     log_probability = np.log((counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * (1 << bits)))
-    return Model(languages, log_probability.astype(np.float32), np.log((seen + 1) / (seen + 1).sum()), bits)
+    prior = np.array([r["count"] for r in labels], np.float64) + 1
+    return Model(languages, log_probability.astype(np.float32), np.log(prior / prior.sum()), bits)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``id_col``, the columns ``keep``, ``lang_pred`` and ``score`` for every row; one narrow pass."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``id_col``, the columns ``keep`` and two more for every row, the language and its score; one narrow pass. Columns kept must not have those ``names``."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), *[F.col(c) for c in keep if c not in (id_col, text_col)], F.col(text_col).cast("string").alias(text_col), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("_letter"))
-    fields = [f for f in rows.schema.fields if f.name != "_letter" and (f.name != text_col or text_col in keep)]
-    names = [f.name for f in fields]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
+    has_letter = fresh(docs, "letter")
+    rows = docs.select(F.col(id_col).cast("long").alias(id_col), *[F.col(c) for c in keep if c not in (id_col, text_col)], F.col(text_col).cast("string").alias(text_col), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(has_letter))
+    fields = [f for f in rows.schema.fields if f.name != has_letter and (f.name != text_col or text_col in keep)]
+    kept = [f.name for f in fields]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{names[0]}` string", f"`{names[1]}` double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            letter = np.array(batch.column("_letter"))
+            letter = np.array(batch.column(has_letter))
             if own.languages:
                 p = own.score(*utf8(batch.column(text_col)))
                 best = p.argmax(axis=1)
@@ -161,6 +177,6 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
                 scores = np.where(letter, p[np.arange(len(best)), best], 0.0)
             else:
                 languages, scores = np.full(batch.num_rows, UNDETERMINED, object), np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *names])
 
     return rows.mapInArrow(score, schema)

@@ -2,9 +2,10 @@
 
 Documents are sets of hashed word shingles. Equal sets are one class. Classes that can have a partner at all are found by a prefix
 filter: the smallest hashes of two linked sets share at least some of their members, so a class whose prefix shares too few with any other is
-done. The others fall into blocks (connected through the rarest of the shared hashes). In a block, leaves of documents and the nodes above them
-hold OR- and AND-combined bitmaps and size ranges; a dual traversal drops node pairs whose largest possible overlap is too small,
-and the remaining pairs of leaves are compared exactly.
+done. The others fall into blocks (connected through the rarest of the shared hashes), which deal the work and decide no link. In every block,
+leaves of documents and the nodes above them hold OR- and AND-combined bitmaps and size ranges; a dual traversal drops node pairs whose largest
+possible overlap is too small, and the remaining pairs of leaves are compared exactly. In large blocks, documents linked with one pivot are
+known to be connected, and nodes that hold only such documents are not compared with each other.
 
 Nothing is capped, every bound is a bound, and links are decided on whole sets. Shingles and sets are compared by hash: 64 bits for a
 shingle within a pair, 128 bits for equal sets.
@@ -29,8 +30,11 @@ from statloom.llm.frames import components, keyed, materialize, parts, ship, sli
 SHINGLE = 5
 #: Two sets link when NUM * intersection >= DEN * union: a similarity of 0.8.
 NUM, DEN = 100, 80
-LEAF = 128
+#: Sets in a leaf that one task compares, and in a leaf of the tree within that task.
+LEAF, SMALL_LEAF = 128, 8
 FANOUT = 8
+#: Rounds in which blocks above ``LEAF`` sets are thinned by a pivot; what is left unattached goes through the tree all the same.
+PIVOTS = 4
 BITS = 2048
 _U = np.uint64
 _WORDS = tx.word_table(tx.SPACE_BYTES)
@@ -116,44 +120,75 @@ def _prefixes(n_parts: int):
     return run
 
 
-def _gather(batches, kinds=(0,)):
-    """All blobs of a partition by kind; other rows are handed on as they are."""
-    found: list = []
+def _by_key(batches: Iterator[pa.RecordBatch], kind: int):
+    """Of a partition sorted by key: (key, [(a, b, c), ...]) of the rows of ``kind``, one key at a time, and other rows as batches.
+
+    Memory follows one key, not the partition.
+    """
+    key, found = None, []
     for batch in batches:
-        kind = np.array(batch.column("kind"))
-        other = np.flatnonzero(~np.isin(kind, kinds))
+        kinds = np.array(batch.column("kind"))
+        other = np.flatnonzero(kinds != kind)
         if len(other):
-            yield batch.take(pa.array(other))
-        for r in np.flatnonzero(np.isin(kind, kinds)):
-            found.append((batch.column("key")[r].as_py(), *[batch.column(c)[r].as_buffer() if batch.column(c)[r].is_valid else b"" for c in "abc"]))
-    return found
+            yield None, batch.take(pa.array(other))
+        keys = np.array(batch.column("key"), np.int64)
+        for r in np.flatnonzero(kinds == kind).tolist():
+            if keys[r] != key and found:
+                yield key, found
+                found = []
+            key = int(keys[r])
+            found.append(tuple(batch.column(c)[r].as_buffer().to_pybytes() if batch.column(c)[r].is_valid else b"" for c in "abc"))
+    if found:
+        yield key, found
+
+
+#: Entries that a task packs before it sends them on.
+PACK = 1 << 19
+
+
+def _shared(n_parts: int):
+    """Reduce by hash: hashes in the prefixes of two classes or more go on to their classes, with the number of classes.
+
+    Entries (class, hash, count) are packed into a blob for each part of the classes, so the rows follow tasks times parts, not classes times hashes.
+    """
 
+    def pack(entries: list) -> pa.RecordBatch:
+        token, own, count = (np.concatenate(x) for x in zip(*entries))
+        part = (tx.mix(own) % _U(n_parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        token, own, count = token[order], own[order], count[order]
+        cut = np.searchsorted(part[order], np.arange(n_parts + 1))
+        live = np.flatnonzero(np.diff(cut))
+        return _rows(live, np.full(len(live), 2), *[[x[cut[p] : cut[p + 1]].tobytes() for p in live] for x in (token, own, count)])
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce by hash: hashes in the prefixes of two classes or more go on to their classes, with the number of classes."""
-    blobs = yield from _gather(batches)
-    if not blobs:
-        return
-    token = np.concatenate([(np.frombuffer(a, np.uint32).astype(_U) << _U(8)) | np.frombuffer(b, np.uint8) for _, a, b, _ in blobs])
-    part = np.repeat(np.array([k for k, *_ in blobs], _U), [len(b) for _, _, b, _ in blobs])
-    token |= (part & _U(0x7FFFFF)) << _U(40)
-    own = np.concatenate([np.frombuffer(c, _U) for *_, c in blobs])
-    del blobs, part
-    order = np.lexsort((own, token))
-    token, own = token[order], own[order]
-    new = np.concatenate([[True], (token[1:] != token[:-1]) | (own[1:] != own[:-1])])
-    token, own = token[new], own[new]
-    head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-    count = np.diff(np.append(head, len(token)))
-    keep = np.repeat(count, count) >= 2
-    token, own, count = token[keep], own[keep], np.repeat(count, count)[keep]
-    order = np.argsort(own, kind="stable")
-    token, own, count = token[order], own[order], count[order].astype(np.uint32)
-    head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-    stop = np.append(head[1:], len(own))
-    for i in range(0, len(head), 20_000):
-        h, s = head[i : i + 20_000], stop[i : i + 20_000]
-        yield _rows(own[h].view(np.int64), np.full(len(h), 2), [token[x:y].tobytes() for x, y in zip(h, s)], [count[x:y].tobytes() for x, y in zip(h, s)], [None] * len(h))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, held = [], 0
+        for part, blobs in _by_key(batches, 0):
+            if part is None:
+                yield blobs
+                continue
+            token = np.concatenate([(np.frombuffer(a, np.uint32).astype(_U) << _U(8)) | np.frombuffer(b, np.uint8) for a, b, _ in blobs])
+            own = np.concatenate([np.frombuffer(c, _U) for *_, c in blobs])
+            del blobs
+            token |= _U(part & 0x7FFFFF) << _U(40)
+            order = np.lexsort((own, token))
+            token, own = token[order], own[order]
+            new = np.concatenate([[True], (token[1:] != token[:-1]) | (own[1:] != own[:-1])])
+            token, own = token[new], own[new]
+            head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            count = np.diff(np.append(head, len(token)))
+            count = np.repeat(count, count)
+            keep = count >= 2
+            if keep.any():
+                entries.append((token[keep], own[keep], count[keep].astype(np.uint32)))
+                held += int(keep.sum())
+            if held >= PACK:
+                yield pack(entries)
+                entries, held = [], 0
+        if entries:
+            yield pack(entries)
+
+    return run
 
 
 _ANSWER = "kind int, doc_id long, k1 long, k2 long, n long, tid long"
@@ -168,33 +203,25 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays = [pa.array(np.zeros(n, np.int64) if c is None else c, pa.int64()) for c in columns]
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind), pa.int32()), *arrays], names=names)
 
-    keys, tokens, counts = [], [], []
-    for batch in batches:
-        kind = np.array(batch.column("kind"))
-        for r in np.flatnonzero(kind == 1):
-            m = np.frombuffer(batch.column("a")[r].as_buffer(), np.int64).reshape(-1, 4)
-            yield out(1, m[:, 0], m[:, 1], m[:, 2], m[:, 3], None)
-        rest = np.flatnonzero(kind == 2)
-        if len(rest):
-            own = np.array(batch.column("key"), np.int64)[rest]
-            t = [np.frombuffer(batch.column("a")[r].as_buffer(), _U) for r in rest]
-            tokens += t
-            counts += [np.frombuffer(batch.column("b")[r].as_buffer(), np.uint32) for r in rest]
-            keys.append(np.repeat(own, [len(x) for x in t]))
-    if not keys:
-        return
-    key, token, count = np.concatenate(keys), np.concatenate(tokens), np.concatenate(counts)
-    order = np.lexsort((token, count, key))
-    key, token = key[order], token[order]
-    head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    have = np.diff(np.append(head, len(key)))
-    n = _SIZES[(key[head].view(_U) & _U(0xFF)).astype(np.int64)]
-    least = _shared_least(_at_least(n))
-    rank = np.arange(len(key)) - np.repeat(head, have)
-    # two linked classes share `least` of their shared hashes, so the have - least + 1 rarest of each share one
-    keep = rank <= np.repeat(have - least, have)
-    if keep.any():
-        yield out(2, None, key[keep], None, None, token[keep].view(np.int64))
+    for part, found in _by_key(batches, 2):
+        if part is None:
+            for r in range(found.num_rows):
+                m = np.frombuffer(found.column("a")[r].as_buffer(), np.int64).reshape(-1, 4)
+                yield out(1, m[:, 0], m[:, 1], m[:, 2], m[:, 3], None)
+            continue
+        token, key, count = (np.concatenate([np.frombuffer(x[k], t) for x in found]) for k, t in enumerate((_U, np.int64, np.uint32)))
+        del found
+        order = np.lexsort((token, count, key))
+        key, token = key[order], token[order]
+        head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        have = np.diff(np.append(head, len(key)))
+        n = _SIZES[(key[head].view(_U) & _U(0xFF)).astype(np.int64)]
+        least = _shared_least(_at_least(n))
+        rank = np.arange(len(key)) - np.repeat(head, have)
+        # two linked classes share `least` of their shared hashes, so the have - least + 1 rarest of each share one
+        keep = rank <= np.repeat(have - least, have)
+        if keep.any():
+            yield out(2, None, key[keep], None, None, token[keep].view(np.int64))
 
 
 def _bitmap(tokens: np.ndarray) -> np.ndarray:
@@ -208,16 +235,25 @@ def _ones(x: np.ndarray) -> np.ndarray:
 
 
 class Node:
-    """Sizes low..high, bitmaps all (OR) and both (AND), slack: the most members of a set that share a bit with another."""
+    """Sizes low..high, bitmaps all (OR) and both (AND), slack: the most members of a set that share a bit with another.
+
+    root: the component that all sets below are known to be in, if any.
+    """
 
-    __slots__ = ("low", "high", "all", "both", "slack", "leaf", "children")
+    __slots__ = ("low", "high", "all", "both", "slack", "leaf", "children", "root")
 
-    def __init__(self, low, high, every, both, slack, leaf=None, children=()):
-        self.low, self.high, self.all, self.both, self.slack, self.leaf, self.children = low, high, every, both, slack, leaf, children
+    def __init__(self, low, high, every, both, slack, leaf=None, children=(), root=None):
+        self.low, self.high, self.all, self.both, self.slack, self.leaf, self.children, self.root = low, high, every, both, slack, leaf, children, root
 
     @staticmethod
     def over(children: list[Node]) -> Node:
-        return Node(min(c.low for c in children), max(c.high for c in children), np.bitwise_or.reduce([c.all for c in children]), np.bitwise_and.reduce([c.both for c in children]), max(c.slack for c in children), children=tuple(children))
+        every, both = np.bitwise_or.reduce([c.all for c in children]), np.bitwise_and.reduce([c.both for c in children])
+        roots = {c.root for c in children}
+        return Node(min(c.low for c in children), max(c.high for c in children), every, both, max(c.slack for c in children), children=tuple(children), root=roots.pop() if len(roots) == 1 else None)
+
+    @staticmethod
+    def of(size: np.ndarray, maps: np.ndarray, leaf) -> Node:
+        return Node(int(size.min()), int(size.max()), np.bitwise_or.reduce(maps), np.bitwise_and.reduce(maps), int((size - _ones(maps)).max()), leaf=leaf)
 
 
 def possible(x: Node, y: Node) -> bool:
@@ -231,13 +267,13 @@ def possible(x: Node, y: Node) -> bool:
 
 def traverse(leaves: list[Node]) -> list[tuple]:
     """Pairs of leaves (each with itself too) that can hold a link: a tree over the leaves, walked against itself."""
-    level = sorted(leaves, key=lambda x: (x.low, x.high))
+    level = sorted(leaves, key=lambda x: (x.root is None, x.root, x.low, x.high))
     while len(level) > 1:
         level = [Node.over(level[i : i + FANOUT]) for i in range(0, len(level), FANOUT)]
     found, todo = [], [(level[0], level[0])]
     while todo:
         x, y = todo.pop()
-        if x is not y and not possible(x, y):
+        if x.root is not None and x.root == y.root or x is not y and not possible(x, y):
             continue
         if x.leaf is not None and y.leaf is not None:
             found.append((x.leaf, y.leaf))
@@ -251,26 +287,55 @@ def traverse(leaves: list[Node]) -> list[tuple]:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """block, leaf, id, whole set and bitmap of each member."""
+    """block, id, whole set and bitmap of each member, and how many members its block has."""
     for batch in slices(batches, 1000):
         sets, offs = document_sets(*tx.utf8(batch.column("text")))
         own = [sets[offs[i] : offs[i + 1]] for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("leaf"), batch.column("id"), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([_bitmap(s).tobytes() for s in own], pa.binary())], names=["block", "leaf", "id", "tokens", "bitmap"])
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("whole"), batch.column("id"), pa.array([s.tobytes() for s in own], pa.binary()), pa.array([_bitmap(s).tobytes() for s in own], pa.binary())], names=["block", "whole", "id", "tokens", "bitmap"])
+
+
+def _sets(column) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), _U) for x in column]
+
+
+def _attach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Members of large blocks with the pivot they are linked with, if they are."""
+    for batch in batches:
+        root = []
+        for x, y, pivot in zip(_sets(batch.column("tokens")), _sets(batch.column("pivot_tokens")), batch.column("pivot").to_pylist()):
+            shared = len(np.intersect1d(x, y, assume_unique=True))
+            root.append(pivot if NUM * shared >= DEN * (len(x) + len(y) - shared) else None)
+        yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("id"), pa.array(root, pa.int64())], names=["block", "id", "root"])
 
 
 def _leaf(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     size = np.array([len(x.as_buffer()) // 8 for x in group.column("tokens")])
-    maps = np.stack([np.frombuffer(x.as_buffer(), _U) for x in group.column("bitmap")])
-    node = [size.min(), size.max(), (size - _ones(maps)).max()]
-    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "leaf": pa.array([key[1].as_py()], pa.int64()), "low": [int(node[0])], "high": [int(node[1])], "slack": [int(node[2])], "every": [np.bitwise_or.reduce(maps).tobytes()], "both": [np.bitwise_and.reduce(maps).tobytes()]})
+    node = Node.of(size, np.stack(_sets(group.column("bitmap"))), None)
+    return pa.table({"block": pa.array([key[0].as_py()], pa.int64()), "leaf": pa.array([key[1].as_py()], pa.int64()), "root": pa.array([group.column("root")[0].as_py()], pa.int64()), "low": [node.low], "high": [node.high], "slack": [node.slack], "every": [node.all.tobytes()], "both": [node.both.tobytes()]})
 
 
 def _walk(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
-    nodes = [Node(r["low"], r["high"], np.frombuffer(r["every"], _U), np.frombuffer(r["both"], _U), r["slack"], leaf=r["leaf"]) for r in group.to_pylist()]
+    nodes = [Node(r["low"], r["high"], np.frombuffer(r["every"], _U), np.frombuffer(r["both"], _U), r["slack"], leaf=r["leaf"], root=r["root"]) for r in group.to_pylist()]
     found = traverse(nodes)
     return pa.table({"block": pa.array([key[0].as_py()] * len(found), pa.int64()), "x": pa.array([a for a, _ in found], pa.int64()), "y": pa.array([b for _, b in found], pa.int64())})
 
 
+def tree_links(sets: list[np.ndarray], maps: np.ndarray, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of linked sets (with ``side``, of those between side False and side True): a signature tree over them, then ``linked`` on what it leaves."""
+    size = np.array([len(s) for s in sets])
+    order = np.lexsort((size, side)) if side is not None else np.argsort(size, kind="stable")
+    groups = [order[i : i + SMALL_LEAF] for i in range(0, len(order), SMALL_LEAF)]
+    found = traverse([Node.of(size[g], maps[g], k) for k, g in enumerate(groups)])
+    if side is not None:
+        found = [(x, y) for x, y in found if not side[groups[x]].all() or not side[groups[y]].all()]
+        found = [(x, y) for x, y in found if side[groups[x]].any() or side[groups[y]].any()]
+    live = np.unique(np.concatenate([groups[k] for pair in found for k in pair])) if found else np.zeros(0, np.int64)
+    if len(live) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    a, b = linked([sets[k] for k in live], None if side is None else side[live])
+    return live[a], live[b]
+
+
 def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of linked sets: of all pairs, or with ``side`` of those between side False and side True."""
     size = np.array([len(s) for s in sets])
@@ -315,8 +380,9 @@ def _compare(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     order = np.argsort(ids)
     ids = ids[order]
     sets = [np.frombuffer(group.column("tokens")[int(r)].as_buffer(), _U) for r in order]
+    maps = np.stack([np.frombuffer(group.column("bitmap")[int(r)].as_buffer(), _U) for r in order])
     side = None if key[1] == key[2] else np.array(group.column("leaf"), np.int64)[order] == key[2].as_py()
-    a, b = linked(sets, side)
+    a, b = tree_links(sets, maps, side)
     pairs = _spanning(a, b, len(ids))
     return pa.table({"a": pa.array([int(ids[x]) for x, _ in pairs], pa.int64()), "b": pa.array([int(ids[y]) for _, y in pairs], pa.int64())})
 
@@ -326,8 +392,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = docs.sparkSession
     ship(spark)
     n_parts = parts(spark)
-    shared = docs.mapInArrow(_prefixes(n_parts), _SCHEMA).repartition("key").mapInArrow(_shared, _SCHEMA)
-    found = materialize(shared.repartition("key").mapInArrow(_candidates, _ANSWER))
+    shared = docs.mapInArrow(_prefixes(n_parts), _SCHEMA).repartition("key").sortWithinPartitions("key").mapInArrow(_shared(n_parts), _SCHEMA)
+    found = materialize(shared.repartition("key").sortWithinPartitions("key").mapInArrow(_candidates, _ANSWER))
     meta = found.filter("kind = 1").select("doc_id", "k1", "k2", "n")
     hashes = found.filter("kind = 2").select("tid", "k1")
     # all classes that hold a hash hang on the smallest of them: as many edges as rows, with the hash's least class by map-side combine
@@ -336,23 +402,59 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return meta, components(edges).select(F.col("node").alias("k1"), F.col("root").alias("block"))
 
 
+def _pivoted(large: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(block, id, root) of the members of large blocks and their links (a, b) with the pivots.
+
+    A round links the unattached members of a block that has more than ``LEAF`` of them with one of these, its pivot. Members of one pivot are
+    connected, so the tree need not compare them: a group of near copies costs one comparison each instead of one for each pair.
+    """
+    left = large.select("block", "id")
+    attached = None
+    for _ in range(PIVOTS):
+        crowd = left.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("pivot")).filter(F.col("n") > LEAF).select("block", "pivot")
+        crowd = materialize(crowd)
+        if not crowd.limit(1).count():
+            break
+        pivots = materialize(large.select("id", F.col("tokens").alias("pivot_tokens")).join(crowd, F.col("id") == F.col("pivot")).select("block", "pivot", "pivot_tokens"))
+        own = large.join(left, ["block", "id"]).select("block", "id", "tokens").join(pivots, "block")
+        met = materialize(own.select("block", "id", "tokens", "pivot", "pivot_tokens").mapInArrow(_attach, "block long, id long, root long"))
+        new = met.filter("root is not null")
+        attached = new if attached is None else attached.unionByName(new)
+        left = left.join(new, ["block", "id"], "left_anti")
+    if attached is None:
+        return left.withColumn("root", F.lit(None).cast("long")), None
+    return left.withColumn("root", F.lit(None).cast("long")).unionByName(attached), attached.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
+
+
 def links(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Links (a, b) among ``members`` (id, block, n) that connect all that are linked; ``docs`` has (id, text)."""
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1.12)))).cast("long")
-    sized = members.withColumn("band", band)
-    width = sized.groupBy("block", "band").agg(F.count(F.lit(1)).alias("members"))
-    slots = F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / F.lit(LEAF)).cast("long"))
+    """Links (a, b) among ``members`` (id, block, n) that connect all that are linked; ``docs`` has (id, text).
+
+    Every block goes through a signature tree. A block of up to ``LEAF`` sets is one leaf, whose tree is built by the task that compares it; the
+    leaves of larger blocks are the lowest level of a tree that is walked first, and each pair of leaves that it leaves is again a tree of its own.
+    """
     whole = members.groupBy("block").agg(F.count(F.lit(1)).alias("whole"))
-    leaf = F.when(F.col("whole") <= LEAF, F.lit(-1)).otherwise(F.col("band") * F.lit(1 << 40) + slots).cast("long")
-    placed = sized.join(width, ["block", "band"]).join(whole, "block").select("block", leaf.alias("leaf"), "id")
-    signed = materialize(docs.join(placed, "id").select("block", "leaf", "id", "text").mapInArrow(_signatures, "block long, leaf long, id long, tokens binary, bitmap binary"))
-    alone = signed.filter("leaf = -1").select("block", F.col("leaf").alias("x"), F.col("leaf").alias("y"), "id", "leaf", "tokens")
-    large = signed.filter("leaf <> -1")
-    nodes = large.select("block", "leaf", "tokens", "bitmap").groupBy("block", "leaf").applyInArrow(_leaf, "block long, leaf long, low long, high long, slack long, every binary, both binary")
+    placed = members.join(whole, "block").select("block", "whole", "id")
+    signed = materialize(docs.join(placed, "id").select("block", "whole", "id", "text").mapInArrow(_signatures, "block long, whole long, id long, tokens binary, bitmap binary"))
+    alone = signed.filter(F.col("whole") <= LEAF).select("block", F.lit(-1).cast("long").alias("x"), F.lit(-1).cast("long").alias("y"), "id", F.lit(-1).cast("long").alias("leaf"), "tokens", "bitmap")
+    found = "a long, b long"
+    if not whole.filter(F.col("whole") > LEAF).limit(1).count():
+        return alone.groupBy("block", "x", "y").applyInArrow(_compare, found)
+    large = signed.filter(F.col("whole") > LEAF)
+    rooted, known = _pivoted(large)
+    rooted = materialize(rooted)
+    band = F.floor(F.log((F.octet_length("tokens") / F.lit(8)).cast("double")) / F.lit(float(np.log(1.12)))).cast("long")
+    sized = materialize(large.join(rooted, ["block", "id"]).withColumn("band", band))
+    width = sized.groupBy("block", "band", "root").agg(F.count(F.lit(1)).alias("members"))
+    width = materialize(width.withColumn("slots", F.ceil(F.col("members") / F.lit(LEAF)).cast("long")).withColumn("first", F.xxhash64("band", F.coalesce("root", F.lit(-1)))))
+    same = sized.alias("s").join(width.alias("w"), (F.col("s.block") == F.col("w.block")) & (F.col("s.band") == F.col("w.band")) & F.col("s.root").eqNullSafe(F.col("w.root")))
+    leaf = F.xxhash64("w.first", F.pmod(F.xxhash64("s.id"), F.col("w.slots")), F.lit("leaf"))
+    leaves = materialize(same.select("s.block", leaf.alias("leaf"), "s.root", "s.id", "s.tokens", "s.bitmap"))
+    nodes = leaves.select("block", "leaf", "root", "tokens", "bitmap").groupBy("block", "leaf").applyInArrow(_leaf, "block long, leaf long, root long, low long, high long, slack long, every binary, both binary")
     pairs = materialize(nodes.groupBy("block").applyInArrow(_walk, "block long, x long, y long"))
     ends = pairs.select("block", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("leaf"))
-    dealt = large.select("block", "leaf", "id", "tokens").join(ends, ["block", "leaf"]).select("block", "x", "y", "id", "leaf", "tokens")
-    return alone.unionByName(dealt).groupBy("block", "x", "y").applyInArrow(_compare, "a long, b long")
+    dealt = leaves.select("block", "leaf", "id", "tokens", "bitmap").join(ends, ["block", "leaf"]).select("block", "x", "y", "id", "leaf", "tokens", "bitmap")
+    compared = alone.unionByName(dealt).groupBy("block", "x", "y").applyInArrow(_compare, found)
+    return compared if known is None else compared.unionByName(known)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -88,3 +88,13 @@ def test_repeated_ids_count_once(spark):
     d = spark.createDataFrame([(1, "x y"), (1, "a b"), (1, None), (None, "a b")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b")], "item_id long, text string")
     assert [(r.doc_id, r.n_hit) for r in dc.report(d, b).collect()] == [(1, 2)]
+
+
+def test_rows_without_an_id_or_with_a_repeated_one_are_judged_by_their_text(spark):
+    bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+    rows = [(None, "zero one two three four", 1), (None, "nothing here", 2), (7, "One, two; three four!", 3), (7, "clean text", 4), (8, None, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_key int")
+    assert sorted(r.text_key for r in dc.clean(docs, bench, 4).collect()) == [2, 4, 5]
+    spans = {r.text_key: r.text for r in dc.clean(docs, bench, 4, mode="spans").collect()}
+    assert spans == {1: "zero", 2: "nothing here", 3: "", 4: "clean text", 5: None}
+    assert dc.clean(docs.limit(0), bench, 4).count() == 0 and dc.clean(docs, bench.limit(0), 4).count() == 5

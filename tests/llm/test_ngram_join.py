@@ -59,7 +59,7 @@ def texts(seed, n=160):
     return out + [(2, None), (5, "")]
 
 
-@pytest.mark.parametrize("seed,leaf", [(1, 128), (2, 4)])
+@pytest.mark.parametrize("seed,leaf", [(1, 128), (2, 4), (3, 12)])
 def test_random_near_copies_match_brute_force(spark, seed, leaf, monkeypatch):
     monkeypatch.setattr(nj, "LEAF", leaf)
     docs = texts(seed)
@@ -100,3 +100,22 @@ def test_empty_repeated_and_null_ids(spark):
     frame = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, "A\tb"), (3, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in nj.join(frame).collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
     assert nj.join(frame.limit(0)).count() == 0
+
+
+def test_a_tree_leaves_the_links_of_any_two_sets():
+    rng = np.random.default_rng(8)
+    base = [np.unique(rng.integers(0, 1 << 62, rng.integers(5, 200)).astype(np.uint64)) for _ in range(12)]
+    sets = [np.unique(np.concatenate([b[rng.random(len(b)) < 0.97], rng.integers(0, 1 << 62, 2).astype(np.uint64)])) for b in base for _ in range(5)]
+    maps = np.stack([nj._bitmap(s) for s in sets])
+    pairs = lambda found: {tuple(sorted(p)) for p in zip(*(x.tolist() for x in found))}
+    assert pairs(nj.tree_links(sets, maps)) == pairs(nj.linked(sets)) != set()
+    side = rng.random(len(sets)) < 0.5
+    assert pairs(nj.tree_links(sets, maps, side)) == pairs(nj.linked(sets, side)) != set()
+
+
+def test_pivots_spare_the_pairs_of_a_hot_group(spark, monkeypatch):
+    monkeypatch.setattr(nj, "LEAF", 8)
+    words = [f"w{k}" for k in range(200)]
+    docs = [(i, " ".join(words[:i] + ["x"] + words[i:])) for i in range(100)] + [(500 + i, " ".join(["y"] * 3 + words[: 150 + i])) for i in range(40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in nj.join(frame).collect()} == brute(docs)

@@ -23,7 +23,7 @@ def test_stages_against_brute_force(spark):
     docs = spark.createDataFrame(rows, docs.schema)
     two = cp.drop_line_templates(spark, docs, SF)
     assert two.columns == columns
-    names, want = duck(units.oracle_templates(long_docs=10), SF, {"documents": docs.toPandas()})
+    names, want = duck(units.oracle_templates(min_docs=cp.TEMPLATE_DOCS, long_docs=cp.TEMPLATE_DOCS), SF, {"documents": docs.toPandas()})
     gone = {r[names.index("doc_id")]: r[names.index("n_removed")] for r in want}
     rows = two.collect()
     assert all(r.n_chars == len(r.text) for r in rows)
@@ -58,3 +58,24 @@ def test_empty_documents(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    base = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(12).collect()]
+    extra = [(None, "a text without an id that is long enough to have a language", "en", "src0", 1), (base[0][0], "zz later of two texts", "en", "src1", 2), (9001, None, "en", "src0", None), (9002, "", "en", "src0", 0)]
+    names = ["lang_pred", "score", "lang_score", "letter", "_letter", "kept", "n", "row", "text_key", "words", "block", "size"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, *names) for r in [*base, *extra, base[1]]], schema)
+    left = docs
+    for name, stage in cp.STAGES[:-1]:
+        left = stage(spark, left, SF)
+        rows = left.collect()
+        assert left.columns == docs.columns, name
+        assert len({r.doc_id for r in rows}) == len(rows) and all(r.doc_id is not None and r.text and [r[n] for n in names] == names for r in rows), name
+        left = spark.createDataFrame(rows, schema)
+        alone = [r.doc_id for r in stage(spark, docs, SF).collect()]  # each stage keeps the rules on its own
+        assert len(set(alone)) == len(alone) and None not in alone, name
+    assert left.count() > 5
+    assert {r.doc_id: r.text for r in left.collect()}[base[0][0]] == min(base[0][1], "zz later of two texts")
+    mixed = cp.mix_sources(spark, docs, SF).collect()
+    assert len({r.doc_id for r in mixed}) == len(mixed) == 14
