@@ -1,15 +1,16 @@
 """Suffix-array dedup: a depth-limited radix sort of suffixes finds every byte string of the threshold length that repeats.
 
-Suffixes are ordered by digits, most significant first, and only as far as equal groups still hold more than one:
+Suffixes are ordered most significant digit first, only through ``DEPTH`` bytes, and only as far as equal groups still hold more than one:
 
-1. Every window of ``DEPTH`` bytes is filed under its anchor, the 32-byte string of smallest hash in it. Consecutive windows with one anchor
-   are a segment, so equal windows lie under equal anchors at equal distances. First digit: the anchor.
-2. Second digit: the whole segment. Equal segments are repeats as a whole; only the earliest stays. Equal segments of one batch are settled where
-   they are read, so a passage that many documents share sends one row for each batch.
-3. Anchors under which different segments remain are ordered through all ``DEPTH`` bytes: their windows are compared one by one.
+1. The bucket pass. Every window of ``DEPTH`` bytes (a suffix cut off there) is filed under its anchor, the 32-byte string of smallest hash in
+   it, so that equal windows lie in one bucket; a bucket is dealt to one task. Consecutive windows with one anchor travel as one segment.
+   Of equal segments only the earliest stays. Equal segments of one batch are settled where they are read, so a passage that many
+   documents share sends one row for each batch. Buckets with one segment are done.
+2. The digit passes (``repeated_windows``). The windows of every other bucket are ordered by their bytes, ``DIGIT`` at a time from the first;
+   what is alone after a digit is dropped, and what is left after the last are exactly the repeated windows.
 
-Groups with one member end at the digit that shows it; nothing else is sent on. Digits are compared by hash: 112 bits for segments, 128 for windows.
-One task holds what is filed under one anchor, 26 bytes for each different segment.
+A row for each suffix would be 16 bytes for each byte of text, so anchors only say which suffixes are sorted together. Segments are compared by
+a hash of 112 bits, windows by their bytes. One task holds a bucket: 26 bytes for each different segment, then the bytes of those that are open.
 
 Defined results: a null or empty text has no bytes and the digest of none. Bytes are those of UTF-8, so kept bytes need not be valid text.
 Rows that repeat an id count as one document (see ``frames.keyed``), rows with a null id are left out. Other columns are not read.
@@ -32,6 +33,9 @@ DEPTH = 100
 ANCHOR = 32
 #: Longer documents are cut into overlapping stretches of so many windows; a cut only moves work from step 2 to step 3.
 STRETCH = 1 << 22
+#: Bytes of a digit of the radix sort (1, 2, 4 or 8), and windows that are sorted together.
+DIGIT = 8
+LOT = 1 << 20
 _U = np.uint64
 _SPOT = _U((1 << 24) - 1)
 _SEGMENT = np.dtype([("seg", "<u8"), ("hi", "<u4"), ("lo", "u1"), ("id", "<i8"), ("at", "<u4"), ("n", "u1")])
@@ -167,35 +171,39 @@ def _read(n_parts: int):
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce by anchor: all but the earliest of equal segments go; earliest ones under a shared anchor stay open."""
-    blobs, keys = [], []
+    """Reduce by anchor, over a partition sorted by key: all but the earliest of equal segments go; earliest ones under a shared anchor stay open."""
+
+    def reduce(part: int, blobs: list) -> Iterator[pa.RecordBatch]:
+        rows = np.concatenate(blobs)
+        gram = _U(part & 0x7FFFFF) << _U(40) | rows["hi"].astype(_U) << _U(8) | rows["lo"]
+        order, new = _first_of(rows["at"], rows["id"], rows["seg"], gram)
+        again = rows[order[~new]]
+        yield from _gone(again["id"], again["at"], again["at"].astype(np.int64) + again["n"] - 1 + DEPTH)
+        head = order[new]
+        g = gram[head]
+        if len(g) < 2:
+            return
+        same = g[1:] == g[:-1]
+        shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+        rows, g = rows[head[shared]], g[shared]
+        for i in range(0, len(g), 100_000):
+            r = rows[i : i + 100_000]
+            yield _batch(_OPEN, r["id"], r["at"].astype(np.int64), r["n"].astype(np.int64), g[i : i + 100_000].view(np.int64))
+
+    part, blobs = None, []
     for batch in batches:
-        kind = np.array(batch.column("kind"))
+        kind, key = np.array(batch.column("kind")), np.array(batch.column("key"), np.int64)
         other = np.flatnonzero(kind != _SEGS)
         if len(other):
             yield batch.take(pa.array(other))
-        for r in np.flatnonzero(kind == _SEGS):
+        for r in np.flatnonzero(kind == _SEGS).tolist():
+            if key[r] != part and blobs:
+                yield from reduce(part, blobs)
+                blobs = []
+            part = int(key[r])
             blobs.append(np.frombuffer(batch.column("blob")[r].as_buffer(), _SEGMENT).copy())
-            keys.append(batch.column("key")[r].as_py())
-    if not blobs:
-        return
-    part = np.repeat(np.array(keys, _U), [len(b) for b in blobs])
-    rows = np.concatenate(blobs)
-    del blobs
-    gram = (part & _U(0x7FFFFF)) << _U(40) | rows["hi"].astype(_U) << _U(8) | rows["lo"]
-    order, new = _first_of(rows["at"], rows["id"], rows["seg"], gram)
-    again = rows[order[~new]]
-    yield from _gone(again["id"], again["at"], again["at"].astype(np.int64) + again["n"] - 1 + DEPTH)
-    head = order[new]
-    g = gram[head]
-    if len(g) < 2:
-        return
-    same = g[1:] == g[:-1]
-    shared = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    rows, g = rows[head[shared]], g[shared]
-    for i in range(0, len(g), 100_000):
-        r = rows[i : i + 100_000]
-        yield _batch(_OPEN, r["id"], r["at"].astype(np.int64), r["n"].astype(np.int64), g[i : i + 100_000].view(np.int64))
+    if blobs:
+        yield from reduce(part, blobs)
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,34 +222,61 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _batch(_TEXT, key, at, n, gram, blob)
 
 
+def repeated_windows(data: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of ``DEPTH`` bytes at ``start`` that occur more than once: their indices in the order of their bytes, and the group of each.
+
+    Most significant digit first: a pass orders what is left by the next ``DIGIT`` bytes within the groups so far and drops every suffix that
+    is alone; it ends after ``DEPTH`` bytes, so equal groups are exactly the repeated windows. Digits are the bytes themselves.
+    """
+    live, group = np.arange(len(start)), np.zeros(len(start), np.int64)
+    digits = np.ndarray(max(0, len(data) - DIGIT + 1), f">u{DIGIT}", data, strides=(1,))
+    for depth in [*range(0, DEPTH - DIGIT, DIGIT), DEPTH - DIGIT]:  # the last digit may overlap the one before
+        if not len(live):
+            break
+        digit = digits[start[live] + depth].astype(_U)
+        order = np.lexsort((digit, group))
+        digit, old, live = digit[order], group[order], live[order]
+        new = np.concatenate([[True], (digit[1:] != digit[:-1]) | (old[1:] != old[:-1])])
+        alone = new & np.append(new[1:], True)
+        group = np.cumsum(new)[~alone]
+        live = live[~alone]
+    return live, group
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce by anchor: windows of open segments in order of all their bytes; all but the earliest of equal ones go."""
-    ids, at, n, blobs = [], [], [], []
+    """Reduce by anchor, over a partition sorted by it: windows of open segments are radix sorted; all but the earliest of equal ones go.
+
+    Whole anchors are taken together until they have ``LOT`` windows, so memory follows a lot or one anchor, not the partition.
+    """
+
+    def settle(rows: list) -> Iterator[pa.RecordBatch]:
+        ids, at, n = (np.array(x, np.int64) for x in zip(*(r[:3] for r in rows)))
+        data = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
+        offs = np.concatenate([[0], np.cumsum(n - 1 + DEPTH)])
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        live, group = repeated_windows(data, np.repeat(offs[:-1], n) + within)
+        if not len(live):
+            return
+        doc, place = np.repeat(ids, n), np.repeat(at, n) + within
+        order = np.lexsort((place[live], doc[live], group))
+        live, group = live[order], group[order]
+        again = np.sort(live[1:][group[1:] == group[:-1]])
+        # neighbouring windows of a segment are one stretch
+        head = np.concatenate([[True], (again[1:] != again[:-1] + 1) | (within[again[1:]] == 0)])
+        last = np.append(np.flatnonzero(head)[1:] - 1, len(again) - 1)
+        yield from _gone(doc[again[head]], place[again[head]], place[again[last]] + DEPTH)
+
+    rows, gram, held = [], None, 0
     for batch in batches:
-        ids.append(np.array(batch.column("key"), np.int64))
-        at.append(np.array(batch.column("at"), np.int64))
-        n.append(np.array(batch.column("n"), np.int64))
-        blobs.append(np.frombuffer(tx.pc.binary_join(pa.array([batch.column("blob").to_pylist()], pa.list_(pa.binary())), b"")[0].as_buffer(), np.uint8))
-    if not ids:
-        return
-    ids, at, n, data = (np.concatenate(x) for x in (ids, at, n, blobs))
-    offs = np.concatenate([[0], np.cumsum(n - 1 + DEPTH)])
-    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    start = np.repeat(offs[:-1], n) + within
-    hashes = []
-    for second in (False, True):
-        prefix = tx.prefix_hash(data, _codes(second))
-        hashes.append(tx.span_hash(prefix, start, start + DEPTH))
-        del prefix
-    doc, place = np.repeat(ids, n), np.repeat(at, n) + within
-    order, new = _first_of(place, doc, hashes[1], hashes[0])
-    again = np.sort(order[~new])
-    if not len(again):
-        return
-    # neighbouring windows of a segment are one stretch
-    head = np.concatenate([[True], (again[1:] != again[:-1] + 1) | (within[again[1:]] == 0)])
-    last = np.append(np.flatnonzero(head)[1:] - 1, len(again) - 1)
-    yield from _gone(doc[again[head]], place[again[head]], place[again[last]] + DEPTH)
+        for key, at, n, own, blob in zip(*(batch.column(c).to_pylist() for c in ("key", "at", "n", "gram", "blob"))):
+            if own != gram and held >= LOT:
+                yield from settle(rows)
+                rows, held = [], 0
+            gram = own
+            rows.append((key, at, n, blob))
+            held += n
+    if rows:
+        yield from settle(rows)
 
 
 def _runs(blobs, n: int) -> np.ndarray:
@@ -288,10 +323,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_
     spark = docs.sparkSession
     ship(spark)
     rows = keyed(docs, id_col, text_col).select(id_col, F.col(text_col).cast("string").alias(text_col))
-    settled = materialize(rows.mapInArrow(_read(parts(spark)), _ROWS).repartition("key").mapInArrow(_settle, _ROWS))
+    settled = materialize(rows.mapInArrow(_read(parts(spark)), _ROWS).repartition("key").sortWithinPartitions("key").mapInArrow(_settle, _ROWS))
     open_ = settled.filter(F.col("kind") == _OPEN).groupBy(F.col("key").alias(id_col)).agg(F.collect_list(F.struct("at", "n", "gram")).alias("own"))
     cut = rows.join(open_, id_col).select(id_col, text_col, "own").mapInArrow(_cut_out, _ROWS)
-    compared = cut.repartition("gram").mapInArrow(_compare, _ROWS)
+    compared = cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(_compare, _ROWS)
     gone = settled.filter(F.col("kind") == _GONE).select(F.col("key").alias(id_col), "blob").unionByName(compared.select(F.col("key").alias(id_col), "blob"))
     gone = gone.groupBy(id_col).agg(F.collect_list("blob").alias("gone"))
     schema = f"`{id_col}` long, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>, kept_sha256 string" + (", kept binary" if keep_bytes else "")
