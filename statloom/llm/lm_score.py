@@ -1,9 +1,11 @@
 """LM scoring by online logistic context mixing.
 
-A text is its bytes and an end mark. Each symbol is a path of binary decisions in a code tree fitted to the corpus; for every decision three
-predictors, hashed contexts of the last 2, 3 and 5 bytes, give a log-odds from counts over all training documents. A gate (the depth in the
-tree) picks the weights that add them up, and each document refines its own weights by online gradient steps as it is read. The sum of log
-probabilities over the bytes gives total bits per byte. Beside it stands the add-one unigram score over words.
+A text is its bytes and an end mark. Each symbol is a path of binary decisions in a code tree fitted to the corpus. Four predictors give log-odds
+for every decision: hashed contexts of the last 2, 3 and 5 bytes, with odds from counts over all training documents, and a match predictor that
+learns from the text itself, symbol by symbol: what followed the last place where the same ``MATCH`` symbols stood, the surer the longer it has
+been right. A gate (the depth in the tree) picks the weights that add them up. Each document starts with the same weights and refines them by
+online gradient steps as it is read: after 8 symbols, then after twice as many each time, at most ``LAST_BLOCK``. The sum of log probabilities
+over the bytes gives total bits per byte. Beside it stands the add-one unigram score over words.
 
 Counts travel as one blob for each task and part, so what is gathered follows the corpus; the predictors' tables have twice as many slots as
 the corpus has different decisions (at least ``TABLE_BITS``). The ``FREQUENT`` commonest words, a bound by construction, are broadcast with their counts; occurrences of all other words are
@@ -35,14 +37,18 @@ TABLE_BITS, MOST_BITS = (19, 20, 21), 31
 #: One in so many contexts, by hash, is kept to count the different decisions of the corpus.
 SAMPLED = 64
 GATES = 4
-#: Weights that every document starts with, one for each order, and how far a step goes.
-START, RATE = (0.20, 0.35, 0.60), 0.02
-FIRST_BLOCK, LAST_BLOCK = 128, 4096
+#: Weights that every document starts with, one for each order and one for the match predictor, and how far a step goes.
+START, RATE = (0.20, 0.35, 0.60, 0.50), 0.02
+#: Symbols after which a document's weights take a step: few at first, twice as many each time, never more than the second.
+FIRST_BLOCK, LAST_BLOCK = 8, 1024
+#: The match predictor: symbols that must agree with an earlier place of the same text, its log-odds, and the longest run that adds to them.
+MATCH, MATCH_ODDS, MATCH_RUN = 6, 0.25, 16
 FREQUENT = 1 << 17
 SLICES = 32
 PIECE = 2 << 20
 END = 256
-_PAD = max(ORDERS)
+#: No guess, in place of a symbol.
+_NONE = END + 1
 _END_WORD = np.uint64(0x8E9D5A3B17C4F261)
 _U, _I = np.uint64, np.uint32
 _WORDS = tx.word_table(tx.SPACE_BYTES)
@@ -75,20 +81,20 @@ def code_tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return depth, node, bit
 
 
-def _symbols(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+def _symbols(data: np.ndarray, offs: np.ndarray, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Symbols of all documents (bytes, then the end mark), where each document begins, and the hashed contexts of every symbol."""
-    lens = np.diff(offs)
-    start = np.arange(len(lens)) * (_PAD + 1) + offs[:-1] + _PAD
-    laid = np.zeros(len(data) + len(lens) * (_PAD + 1), np.uint16)
+    pad, lens = max(orders), np.diff(offs)
+    start = np.arange(len(lens)) * (pad + 1) + offs[:-1] + pad
+    laid = np.zeros(len(data) + len(lens) * (pad + 1), np.uint16)
     doc = np.repeat(np.arange(len(lens)), lens)
-    laid[np.arange(len(data)) + (doc + 1) * (_PAD + 1) - 1] = data.astype(np.uint16) + 1  # 0 stands before the text
+    laid[np.arange(len(data)) + (doc + 1) * (pad + 1) - 1] = data.astype(np.uint16) + 1  # 0 stands before the text
     ends = start + lens
     laid[ends] = END + 1
     keep = np.ones(len(laid), np.bool_)
-    for k in range(1, _PAD + 1):
+    for k in range(1, pad + 1):
         keep[start - k] = False
     contexts = []
-    for order in ORDERS:
+    for order in orders:
         h = np.full(len(laid), order * 0x9E3779B1 & 0xFFFFFFFF, _I)
         for k in range(1, order + 1):
             h[k:] = (h[k:] ^ laid[:-k]) * _I(0x85EBCA6B)
@@ -167,16 +173,46 @@ def _odds(counts: np.ndarray) -> np.ndarray:
     return np.log((n[:, 1] + 0.3) / (n[:, 0] + 0.3)).astype(np.float32)
 
 
+def matches(symbols: np.ndarray, first: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What each document itself has to say: the symbol that came after the last earlier place with the same ``MATCH`` symbols before it
+    (``_NONE`` if there is none), and how many such guesses in a row were right up to here.
+
+    ``context`` is the hash of those symbols. A guess depends on nothing but the document up to its place.
+    """
+    n, docs = len(symbols), len(first) - 1
+    guess = np.full(n, _NONE, np.int64)
+    bits = max(1, n.bit_length())
+    doc = np.repeat(np.arange(docs, dtype=_U), np.diff(first))
+    key = doc << _U(24 + bits) | (context >> _I(8)).astype(_U) << _U(bits) | np.arange(n, dtype=_U)
+    key.sort()
+    at = (key & _U((1 << bits) - 1)).astype(np.int64)
+    key >>= _U(bits)
+    same = np.flatnonzero((key[1:] == key[:-1]) & (context[at[1:]] == context[at[:-1]]))
+    guess[at[same + 1]] = symbols[at[same]]
+    right = guess == symbols
+    wrong = np.maximum.accumulate(np.where(right, -1, np.arange(n)))  # the last wrong guess, this place included
+    run = np.arange(n) - 1 - np.append(-1, wrong[:-1])
+    return guess, np.minimum(run, MATCH_RUN)
+
+
 class Model:
+    """Predictors by slot, learned from the corpus and fixed, and a match predictor that learns from each document as it is read."""
+
     def __init__(self, tree, tables: list[np.ndarray]):
         self.depth, self.node, self.bit = tree
         self.mixed = _mixed(self.node)
         self.sign = self.bit.astype(np.float32) * np.float32(2) - np.float32(1)
+        # paths of guesses: no node where a path has ended, nor on that of no guess
+        ended = np.arange(self.node.shape[1])[None, :] >= self.depth[:, None]
+        self.guessed = np.concatenate([np.where(ended, -1, self.node.astype(np.int64)), np.full((1, self.node.shape[1]), -1)]).astype(np.int32)
+        self.guessed_sign = np.concatenate([self.sign, np.zeros((1, self.sign.shape[1]), np.float32)])
         self.tables, self.bits = tables, [len(t).bit_length() - 1 for t in tables]
 
     def log10(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """log10 probability of each document."""
-        symbols, first, contexts = _symbols(data, offs)
+        symbols, first, contexts = _symbols(data, offs, (*ORDERS, MATCH))
+        guess, run = matches(symbols, first, contexts.pop())
+        strength = (np.float32(MATCH_ODDS) * (run + 1)).astype(np.float32)
         docs = len(offs) - 1
         total = np.zeros(docs)
         weights = np.tile(np.array(START, np.float32), (docs, GATES, 1))
@@ -191,29 +227,31 @@ class Model:
                 pick = slice(None)
             else:
                 pick = np.repeat(first[own] + at - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            self._block(own, n, symbols[pick], [c[pick] for c in contexts], weights, total)
+            self._block(own, n, symbols[pick], [c[pick] for c in contexts], guess[pick], strength[pick], weights, total)
             at += block
             block = min(2 * block, LAST_BLOCK)
         return total / np.log(10)
 
-    def _block(self, own, n, symbols, contexts, weights, total) -> None:
+    def _block(self, own, n, symbols, contexts, guess, strength, weights, total) -> None:
         """One block of each document in ``own``: score it with the weights so far, then refine them."""
         bounds = np.concatenate([[0], np.cumsum(n)])
-        steps, seen = np.zeros((len(own), GATES, len(ORDERS)), np.float32), np.zeros((len(own), GATES), np.float32)
+        steps, seen = np.zeros((len(own), GATES, len(START)), np.float32), np.zeros((len(own), GATES), np.float32)
         for k in range(self.depth.max()):
             live = self.depth[symbols] > k
             if not live.all():
                 kept = np.concatenate([[0], np.cumsum(live)])
                 bounds = kept[bounds]
-                symbols, contexts = symbols[live], [c[live] for c in contexts]
+                symbols, contexts, guess, strength = symbols[live], [c[live] for c in contexts], guess[live], strength[live]
             if not len(symbols):
                 break
             gate = min(k, GATES - 1)
             mixed, sign = self.mixed[:, k][symbols], self.sign[:, k][symbols]
             count = np.diff(bounds)
             odds = [t.take(_slot(c, mixed, b)) for t, c, b in zip(self.tables, contexts, self.bits)]
+            # the guess speaks as long as its path is that of the decisions so far
+            odds.append(strength * self.guessed_sign[:, k][guess] * (self.guessed[:, k][guess] == self.node[:, k][symbols]))
             z = odds[0] * np.repeat(weights[own, gate, 0], count)
-            for o in range(1, len(ORDERS)):
+            for o in range(1, len(START)):
                 z += odds[o] * np.repeat(weights[own, gate, o], count)
             z *= sign
             np.clip(z, -20, 20, out=z)
@@ -224,7 +262,7 @@ class Model:
             cuts = bounds[:-1][some]
             total[own[some]] -= np.add.reduceat(np.log(z), cuts, dtype=np.float64)
             miss = (1 - 1 / z) * sign
-            for o in range(len(ORDERS)):
+            for o in range(len(START)):
                 steps[some, gate, o] += np.add.reduceat(miss * odds[o], cuts)
             seen[some, gate] += count[some]
         weights[own] += np.float32(RATE) * steps / np.sqrt(np.maximum(seen, 1))[:, :, None]
@@ -239,7 +277,7 @@ _ROWS = "key long, kind int, chunk long, blob binary"
 _WORD_COUNT = np.dtype([("word", "<u8"), ("n", "<u4")])
 _USE = np.dtype([("word", "<u8"), ("doc", "<u4")])
 _PART_SUM = np.dtype([("doc", "<u4"), ("known", "<u4"), ("log", "<f8")])
-_DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("held", "u1"), ("tokens", "<i8"), ("known", "<i8"), ("log", "<f8"), ("score", "<f8")])
+_DOC = np.dtype([("id", "<i8"), ("null", "u1"), ("held", "u1"), ("tokens", "<i8"), ("known", "<i8"), ("log", "<f8"), ("score", "<f8"), ("bytes", "<i8")])
 
 
 def _rows(key, kind, chunk, blob) -> pa.RecordBatch:
@@ -420,6 +458,7 @@ def _score(shared, n_parts: int):
                 use["word"], use["doc"] = words[~hit], doc[~hit] + i
                 rare.append(use)
                 out["score"][i:j] = fitted.model.log10(data, offs)
+                out["bytes"][i:j] = np.diff(offs)
             yield _rows([chunk], 2, chunk, [out.tobytes()])
             use = np.concatenate(rare)
             # a use by a training document counts: marked in the highest bit of the document's number
@@ -478,13 +517,17 @@ def _finish(fitted_tokens: int, fitted_types: int):
                 out["known"] += np.bincount(s["doc"], weights=s["known"], minlength=len(out)).astype(np.int64)
             base = out["log"] - out["tokens"] * np.log10(fitted_tokens + fitted_types + 1.0)
             columns = [pa.array(out["id"], mask=out["null"].astype(bool)), pa.array(out["held"].astype(bool)), pa.array(out["tokens"]), pa.array(out["known"]), pa.array(np.full(len(out), fitted_tokens)), pa.array(base), pa.array(out["score"])]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            empty = out["bytes"] == 0
+            rate = -out["score"] * np.log2(10) / np.maximum(out["bytes"], 1)
+            columns += [pa.array(out["bytes"]), pa.array(rate, mask=empty)]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte"])
 
     return run
 
 
 def score(docs: DataFrame, fitted: Fitted | None = None, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2)) -> DataFrame:
-    """One row for each input row: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities).
+    """One row for each input row: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities),
+    n_bytes and bits_per_byte (of the score, the end mark included; null for an empty text).
 
     With ``fitted`` from other documents, words outside its commonest count only what ``docs`` itself trains on.
     """
@@ -494,11 +537,11 @@ def score(docs: DataFrame, fitted: Fitted | None = None, id_col: str = "doc_id",
     n_parts = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), _held_out(id_col, held_out).alias("held"))
     scored = rows.mapInArrow(_score(shared, n_parts), _ROWS).repartition("key").mapInArrow(_look_up, _ROWS)
-    schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
     return scored.repartition("chunk").mapInArrow(_finish(fitted.tokens, fitted.types), schema).withColumnRenamed("id", id_col)
 
 
-def bits_per_byte(scored: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``scored`` with the bytes of each text and its bits per byte (null for empty texts)."""
-    size = docs.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n_bytes"))
-    return scored.join(size, id_col).withColumn("bits_per_byte", F.try_divide(-F.col("score") * F.lit(float(np.log2(10))), F.col("n_bytes")))
+def bits_per_byte(scored: DataFrame, *by: str) -> DataFrame:
+    """Total bits per byte of what was scored, or of each group of the columns ``by``: one pass, however ids repeat."""
+    total = F.try_divide(-F.sum("score") * F.lit(float(np.log2(10))), F.sum("n_bytes")).alias("bits_per_byte")
+    return scored.groupBy(*by).agg(F.sum("n_bytes").alias("n_bytes"), total)
