@@ -180,7 +180,7 @@ def matches(symbols: np.ndarray, first: np.ndarray, context: np.ndarray) -> tupl
     ``context`` is the hash of those symbols. A guess depends on nothing but the document up to its place.
     """
     n, docs = len(symbols), len(first) - 1
-    guess = np.full(n, _NONE, np.int64)
+    guess = np.full(n, _NONE, np.int16)
     bits = max(1, n.bit_length())
     doc = np.repeat(np.arange(docs, dtype=_U), np.diff(first))
     key = doc << _U(24 + bits) | (context >> _I(8)).astype(_U) << _U(bits) | np.arange(n, dtype=_U)
@@ -190,8 +190,9 @@ def matches(symbols: np.ndarray, first: np.ndarray, context: np.ndarray) -> tupl
     same = np.flatnonzero((key[1:] == key[:-1]) & (context[at[1:]] == context[at[:-1]]))
     guess[at[same + 1]] = symbols[at[same]]
     right = guess == symbols
-    wrong = np.maximum.accumulate(np.where(right, -1, np.arange(n)))  # the last wrong guess, this place included
-    run = np.arange(n) - 1 - np.append(-1, wrong[:-1])
+    place = np.arange(n, dtype=np.int32)
+    wrong = np.maximum.accumulate(np.where(right, np.int32(-1), place))  # the last wrong guess, this place included
+    run = place - np.int32(1) - np.append(np.int32(-1), wrong[:-1]).astype(np.int32)
     return guess, np.minimum(run, MATCH_RUN)
 
 
@@ -294,9 +295,9 @@ def _dealt(rows: np.ndarray, n_parts: int, kind: int, chunk: int, extra: bytes =
         yield _rows(live, kind, chunk, [extra + rows[cut[p] : cut[p + 1]].tobytes() for p in live])
 
 
-def _pieces(batch: pa.RecordBatch):
+def _pieces(batch: pa.RecordBatch, limit: int = PIECE):
     data, offs = tx.utf8(batch.column("text"))
-    for i, j in tx.pieces(offs, PIECE):
+    for i, j in tx.pieces(offs, limit):
         yield i, j, data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]
 
 
@@ -446,7 +447,7 @@ def _score(shared, n_parts: int):
             out["id"] = np.array(tx.pc.fill_null(ids, 0))
             out["held"] = np.array(batch.column("held"))
             rare = []
-            for i, j, data, offs in _pieces(batch):
+            for i, j, data, offs in _pieces(batch, PIECE // 2):
                 words, doc = _words(data, offs)
                 words, doc = np.concatenate([words, np.full(j - i, _END_WORD)]), np.concatenate([doc, np.arange(j - i)])
                 at = np.minimum(np.searchsorted(fitted.words, words), max(0, len(fitted.words) - 1))
