@@ -40,7 +40,7 @@ GATES = 4
 #: Weights that every document starts with, one for each order and one for the match predictor, and how far a step goes.
 START, RATE = (0.20, 0.35, 0.60, 0.50), 0.02
 #: Symbols after which a document's weights take a step: few at first, twice as many each time, never more than the second.
-FIRST_BLOCK, LAST_BLOCK = 8, 1024
+FIRST_BLOCK, LAST_BLOCK = 8, 2048
 #: The match predictor: symbols that must agree with an earlier place of the same text, its log-odds, and the longest run that adds to them.
 MATCH, MATCH_ODDS, MATCH_RUN = 6, 0.25, 16
 FREQUENT = 1 << 17
@@ -205,14 +205,16 @@ class Model:
         self.sign = self.bit.astype(np.float32) * np.float32(2) - np.float32(1)
         # paths of guesses: no node where a path has ended, nor on that of no guess
         ended = np.arange(self.node.shape[1])[None, :] >= self.depth[:, None]
-        self.guessed = np.concatenate([np.where(ended, -1, self.node.astype(np.int64)), np.full((1, self.node.shape[1]), -1)]).astype(np.int32)
-        self.guessed_sign = np.concatenate([self.sign, np.zeros((1, self.sign.shape[1]), np.float32)])
+        self.guessed = np.concatenate([np.where(ended, -1, self.node.astype(np.int64)), np.full((1, self.node.shape[1]), -1)]).astype(np.int32).T.copy()
+        self.guessed_sign = np.concatenate([self.sign, np.zeros((1, self.sign.shape[1]), np.float32)]).T.copy()
+        self.mixed_at, self.sign_at, self.path = self.mixed.T.copy(), self.sign.T.copy(), self.node.astype(np.int32).T.copy()
         self.tables, self.bits = tables, [len(t).bit_length() - 1 for t in tables]
 
     def log10(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         """log10 probability of each document."""
         symbols, first, contexts = _symbols(data, offs, (*ORDERS, MATCH))
         guess, run = matches(symbols, first, contexts.pop())
+        symbols, guess = symbols.astype(np.intp), guess.astype(np.intp)
         strength = (np.float32(MATCH_ODDS) * (run + 1)).astype(np.float32)
         docs = len(offs) - 1
         total = np.zeros(docs)
@@ -246,11 +248,14 @@ class Model:
             if not len(symbols):
                 break
             gate = min(k, GATES - 1)
-            mixed, sign = self.mixed[:, k][symbols], self.sign[:, k][symbols]
+            mixed, sign = self.mixed_at[k].take(symbols), self.sign_at[k].take(symbols)
             count = np.diff(bounds)
             odds = [t.take(_slot(c, mixed, b)) for t, c, b in zip(self.tables, contexts, self.bits)]
             # the guess speaks as long as its path is that of the decisions so far
-            odds.append(strength * self.guessed_sign[:, k][guess] * (self.guessed[:, k][guess] == self.node[:, k][symbols]))
+            match = self.guessed_sign[k].take(guess)
+            match *= strength
+            match *= self.guessed[k].take(guess) == self.path[k].take(symbols)
+            odds.append(match)
             z = odds[0] * np.repeat(weights[own, gate, 0], count)
             for o in range(1, len(START)):
                 z += odds[o] * np.repeat(weights[own, gate, o], count)
