@@ -87,14 +87,25 @@ def autocorrelation(edges: DataFrame, values: DataFrame, node: str = "node", fea
     return j.select(F.col("f").alias(feature), "edges", F.try_divide(F.col("n_nodes") * F.col("cross"), F.col("edges") * F.col("ss")).alias("moran_i"), F.try_divide((F.col("n_nodes") - 1) * F.col("square"), 2 * F.col("edges") * F.col("ss")).alias("geary_c"))
 
 
+#: Edges that a permutation test takes at most; beyond, it raises.
+MOST_EDGES = 5_000_000
+
+
 def moran_permutation(edges: DataFrame, values: DataFrame, permutations: int = 999, seed: int = 7, node: str = "node", feature: str = "feature_id", value: str = "value") -> DataFrame:
-    """Upper-tail permutation p (x + 1) / (B + 1) of Moran's I; features are distributed, the edge list is sent to each task."""
-    ids = edges.select("source", "target").collect()
+    """Upper-tail permutation p (x + 1) / (B + 1) of Moran's I; features are distributed, the edge list is sent to each task.
+
+    A permutation needs every edge, so the list is broadcast; more than ``MOST_EDGES`` are refused.
+    """
+    ids = edges.select("source", "target").limit(MOST_EDGES + 1).toPandas()
+    if len(ids) > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges")
+    shared = edges.sparkSession.sparkContext.broadcast((ids["source"].to_numpy(), ids["target"].to_numpy()))
     kind = dict(values.dtypes)[feature]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = {n: i for i, n in enumerate(pdf[node])}
-        e = np.array([(place[a], place[b]) for a, b in ids if a in place and b in place])
+        place = pd.Index(pdf[node])
+        e = np.stack([place.get_indexer(end) for end in shared.value], 1)
+        e = e[(e >= 0).all(1)]
         v = pdf[value].to_numpy(float)
         v = v - v.mean()
         rng = np.random.default_rng([seed, abs(hash(str(pdf[feature].iloc[0]))) % (1 << 32)])

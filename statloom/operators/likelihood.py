@@ -232,9 +232,15 @@ def negative_binomial(df: DataFrame, y: str, terms: list[str]) -> rg.Fit:
     return maximize(df, list(dict.fromkeys([y, *[t for t in terms if t != rg.ONE]])), loglik, np.append(first.beta, 0.0), [*terms, "log(size)"])
 
 
+#: Categories that a multinomial fit takes at most; beyond, it raises.
+MOST_CATEGORIES = 1000
+
+
 def multinomial(df: DataFrame, y: str, terms: list[str]) -> rg.Fit:
-    """Logits of every category against the first in order."""
-    values = sorted(r[0] for r in df.filter(F.col(y).isNotNull()).select(y).distinct().limit(200).collect())
+    """Logits of every category against the first in order; more than ``MOST_CATEGORIES`` are refused, as each has parameters of its own."""
+    values = sorted(r[0] for r in df.filter(F.col(y).isNotNull()).select(y).distinct().limit(MOST_CATEGORIES + 1).collect())
+    if len(values) > MOST_CATEGORIES:
+        raise ValueError(f"{y} has more than {MOST_CATEGORIES} categories")
     k = len(terms)
 
     def loglik(theta, data):

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from statloom.functions import pvalues as pv
@@ -23,37 +23,42 @@ def studies(df: DataFrame, feature: str, cohort: str, effect: str, se: str) -> D
     return df.select(F.col(feature).alias("feature"), F.col(cohort).alias("cohort"), finite(effect).alias("y"), finite(se).alias("_se")).filter("y is not null and _se > 0").select("feature", "cohort", "y", (F.col("_se") * F.col("_se")).alias("v"))
 
 
-def _sums(s: DataFrame) -> DataFrame:
-    w = 1 / F.col("v")
-    # centred on the feature's first effect, so that Q does not lose its digits to cancellation
-    return s.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("k"), F.min_by("y", "cohort").alias("y0"), F.sum(w).alias("sw"), F.sum(w * w).alias("sw2"),
-        F.sum(w * F.col("y")).alias("swy"), F.sum(w * F.col("y") * F.col("y")).alias("swyy"),
-    )
+def _total(values, term) -> Column:
+    """The sum of ``term`` over a column of study structs."""
+    return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + term(x))
 
 
-def pool(df: DataFrame, feature: str, cohort: str, effect: str, se: str, method: str = "fixed", test: str = "normal", min_cohorts: int = 1) -> DataFrame:
+def pool(df: DataFrame, feature: str, cohort: str, effect: str, se: str, method: str = "fixed", test: str = "normal", min_cohorts: int = 1, cohorts: list | None = None) -> DataFrame:
     """One row for each feature: k, estimate, se, statistic, p_value, tau2, q, i2, h2, direction, status.
 
     ``method``: fixed, dl, pm or reml. ``test``: normal, t, hk (Hartung-Knapp) or mhk (modified). With one study that study passes through.
+    ``direction`` has a sign for every cohort, ``?`` where the feature has no usable effect: the order of ``cohorts``, or by name if it is not given.
+
+    A feature's studies are gathered once; Q is the sum of squared deviations from the mean, so large effects with small SEs keep their digits.
     """
-    s = materialize(studies(df, feature, cohort, effect, se))  # read twice: for the first weights and for the final ones
+    if cohorts is None:  # as many as studies were pooled, not as rows; the table is then read twice
+        df = materialize(df.select(*dict.fromkeys([feature, cohort, effect, se])))
+        cohorts = [r[0] for r in df.select(F.col(cohort).alias("c")).filter("c is not null").distinct().orderBy("c").collect()]
+    s = studies(df, feature, cohort, effect, se)
     if method in ("fixed", "dl"):
-        base = _sums(s)
-        df_ = F.col("k") - 1
-        mean = F.col("swy") / F.col("sw")
-        base = base.withColumn("q", F.greatest(F.lit(0.0), F.col("swyy") - F.col("swy") * mean))
+        base = s.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("cohort", "y", "v"))).alias("d")).withColumn("k", F.size("d").cast("long"))
+        base = base.withColumn("sw", _total("d", lambda x: 1 / x["v"])).withColumn("mean", _total("d", lambda x: x["y"] / x["v"]) / F.col("sw"))
+        base = base.withColumn("q", _total("d", lambda x: (x["y"] - F.col("mean")) * (x["y"] - F.col("mean")) / x["v"]))
         tau2 = F.lit(0.0)
         if method == "dl":
-            tau2 = F.when(F.col("k") > 1, F.greatest(F.lit(0.0), F.try_divide(F.col("q") - df_, F.col("sw") - F.col("sw2") / F.col("sw")))).otherwise(0.0)
+            spread = F.col("sw") - _total("d", lambda x: 1 / (x["v"] * x["v"])) / F.col("sw")
+            tau2 = F.when(F.col("k") > 1, F.greatest(F.lit(0.0), F.coalesce(F.try_divide(F.col("q") - (F.col("k") - 1), spread), F.lit(0.0)))).otherwise(0.0)
         base = base.withColumn("tau2", tau2)
     else:
         base = tau2_iterative(s, method)
-    again = s.join(base.select("feature", "tau2"), "feature").withColumn("w", 1 / (F.col("v") + F.col("tau2")))
-    r = again.groupBy("feature").agg(F.sum("w").alias("rw"), F.sum(F.col("w") * F.col("y")).alias("rwy"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("rwyy"), F.array_sort(F.collect_list(F.struct("cohort", F.signum("y").alias("s")))).alias("d"))
-    out = base.join(r, "feature").withColumn("estimate", F.col("rwy") / F.col("rw"))
-    qr = F.greatest(F.lit(0.0), F.col("rwyy") - F.col("rwy") * F.col("estimate"))
-    scale = {"normal": F.lit(1.0), "t": F.lit(1.0), "hk": qr / (F.col("k") - 1), "mhk": F.greatest(F.lit(1.0), qr / (F.col("k") - 1))}[test]
+    out = base.withColumn("rw", _total("d", lambda x: 1 / (x["v"] + F.col("tau2"))))
+    out = out.withColumn("estimate", _total("d", lambda x: x["y"] / (x["v"] + F.col("tau2"))) / F.col("rw"))
+    scale = F.lit(1.0)
+    if test in ("hk", "mhk"):
+        scale = _total("d", lambda x: (x["y"] - F.col("estimate")) * (x["y"] - F.col("estimate")) / (x["v"] + F.col("tau2"))) / (F.col("k") - 1)
+        scale = scale if test == "hk" else F.greatest(F.lit(1.0), scale)
+    elif test not in ("normal", "t"):
+        raise ValueError("test is 'normal', 't', 'hk' or 'mhk'")
     out = out.withColumn("se", F.sqrt(F.when(F.col("k") > 1, scale).otherwise(1.0) / F.col("rw"))).withColumn("statistic", F.try_divide("estimate", "se"))
     p = pv.p_normal(F.col("statistic"))
     if test != "normal":
@@ -61,17 +66,20 @@ def pool(df: DataFrame, feature: str, cohort: str, effect: str, se: str, method:
     many = F.col("k") > 1
     out = out.withColumn("p_value", p).withColumn("q", F.when(many, F.col("q"))).withColumn("i2", F.when(many, F.greatest(F.lit(0.0), F.coalesce(F.try_divide(100 * (F.col("q") - (F.col("k") - 1)), F.col("q")), F.lit(0.0)))))
     out = out.withColumn("h2", F.when(many, F.greatest(F.lit(1.0), F.col("q") / (F.col("k") - 1)))).withColumn("tau2", F.when(many, F.col("tau2")))
-    sign = F.transform("d", lambda x: F.when(x["s"] > 0, "+").when(x["s"] < 0, "-").otherwise("0"))
-    out = out.withColumn("direction", F.array_join(sign, "")).withColumn("status", F.when(F.col("k") < min_cohorts, "below_min_cohorts").when(F.col("k") == 1, "single_cohort").otherwise("ok"))
+    every = F.array(*[F.lit(c) for c in cohorts]).cast(f"array<{dict(s.dtypes)['cohort']}>")
+    y = lambda c: F.get(F.filter("d", lambda x: x["cohort"] == c), F.lit(0))["y"]
+    signs = F.transform(every, lambda c: F.when(y(c) > 0, "+").when(y(c) < 0, "-").when(y(c) == 0, "0").otherwise("?"))
+    out = out.withColumn("direction", F.array_join(signs, "")).withColumn("status", F.when(F.col("k") < min_cohorts, "below_min_cohorts").when(F.col("k") == 1, "single_cohort").otherwise("ok"))
     drop = F.col("status") == "below_min_cohorts"
     values = [F.when(~drop, F.col(c)).alias(c) for c in ("estimate", "se", "statistic", "p_value", "tau2", "q", "i2", "h2")]
     return out.select("feature", "k", *values, "direction", "status")
 
 
 def tau2_iterative(s: DataFrame, method: str) -> DataFrame:
-    """(feature, k, q, tau2) with Paule-Mandel or REML, for batches of features at a time."""
-    rows = s.groupBy("feature").agg(F.collect_list("y").alias("y"), F.collect_list("v").alias("v"))
-    kind = dict(rows.dtypes)["feature"]
+    """(feature, d, k, q, tau2) with Paule-Mandel or REML, for batches of features at a time; d are the studies by cohort."""
+    rows = s.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("cohort", "y", "v"))).alias("d"))
+    rows = rows.select("feature", "d", F.transform("d", lambda x: x["y"]).alias("y"), F.transform("d", lambda x: x["v"]).alias("v"))
+    kinds = dict(rows.dtypes)
 
     def run(batches):
         for batch in batches:
@@ -87,9 +95,9 @@ def tau2_iterative(s: DataFrame, method: str) -> DataFrame:
             w = 1 / v
             mean = (w * y).sum(1) / w.sum(1)
             q = (w * (y - mean[:, None]) ** 2).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column("feature"), pa.array(k), pa.array(q), pa.array(np.where(k > 1, tau2, 0.0))], names=["feature", "k", "q", "tau2"])
+            yield pa.RecordBatch.from_arrays([batch.column("feature"), batch.column("d"), pa.array(k), pa.array(q), pa.array(np.where(k > 1, tau2, 0.0))], names=["feature", "d", "k", "q", "tau2"])
 
-    return rows.mapInArrow(run, f"feature {kind}, k long, q double, tau2 double")
+    return rows.mapInArrow(run, f"feature {kinds['feature']}, d {kinds['d']}, k long, q double, tau2 double")
 
 
 def _q(y, v, tau2):
@@ -154,7 +162,7 @@ def prediction_interval(pooled: DataFrame, alpha: float = 0.05) -> DataFrame:
 def leave_one_out(df: DataFrame, feature: str, cohort: str, effect: str, se: str) -> DataFrame:
     """Fixed-effect pooling without each cohort in turn: totals minus the one, no refit."""
     s = studies(df, feature, cohort, effect, se)
-    t = _sums(s).select("feature", "k", "sw", "swy")
+    t = s.groupBy("feature").agg(F.count(F.lit(1)).alias("k"), F.sum(1 / F.col("v")).alias("sw"), F.sum(F.col("y") / F.col("v")).alias("swy"))
     out = s.join(t, "feature").filter("k > 1").withColumn("w", 1 / F.col("v"))
     out = out.select("feature", F.col("cohort").alias("left_out"), ((F.col("swy") - F.col("w") * F.col("y")) / (F.col("sw") - F.col("w"))).alias("estimate"), F.sqrt(1 / (F.col("sw") - F.col("w"))).alias("se"))
     return out.withColumn("p_value", pv.p_normal(F.col("estimate") / F.col("se")))

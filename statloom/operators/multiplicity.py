@@ -5,10 +5,12 @@ Missing p-values (null or NaN) take no part in a family and keep a null result,
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from statloom.functions.special import digamma
 from statloom.operators.ordered import running_sum
 from statloom.session import materialize
 
@@ -50,9 +52,9 @@ def bh(df: DataFrame, p: str, key: str, out: str = "q", by: list[str] = (), fact
 
 
 def by_adjust(df: DataFrame, p: str, key: str, out: str = "q") -> DataFrame:
-    """Benjamini-Yekutieli: as bh, times the harmonic number of the family's size."""
+    """Benjamini-Yekutieli: as bh, times the harmonic number of the family's size, which is digamma(m + 1) plus Euler's constant."""
     m = df.filter(finite(p).isNotNull()).count()
-    harmonic = sum(1.0 / i for i in range(1, m + 1)) if m < 10_000_000 else float(__import__("math").log(m) + 0.5772156649015329 + 1 / (2 * m))
+    harmonic = float(digamma(np.array([m + 1.0]))[0]) + float(np.euler_gamma)
     return bh(df, p, key, out, factor=F.lit(harmonic))
 
 

@@ -30,6 +30,20 @@ def running_sum(df: DataFrame, value: str, order: list[str], name: str, by: list
     return ranged.withColumn(name, own).join(F.broadcast(before), _P).withColumn(name, F.col(name) + F.col("_before")).drop(_P, "_before")
 
 
+def running_sums(df: DataFrame, values: dict, order: list, by: list[str] = ()) -> DataFrame:
+    """As ``running_sum`` for several columns at once: ``values`` maps new names to columns, ``order`` holds sort columns without ties."""
+    if by:
+        w = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+        return df.select("*", *[F.sum(c).over(w).alias(n) for n, c in values.items()])
+    ranged = _ranged(df, order)
+    totals = ranged.groupBy(_P).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in values.items()])
+    upto = W.orderBy(_P).rowsBetween(W.unboundedPreceding, -1)  # one row for each partition
+    before = totals.select(_P, *[F.coalesce(F.sum(n).over(upto), F.lit(0)).alias(f"_before_{n}") for n in values])
+    own = W.partitionBy(_P).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = ranged.select("*", *[F.sum(c).over(own).alias(n) for n, c in values.items()]).join(F.broadcast(before), _P)
+    return out.select(*df.columns, *[(F.coalesce(F.col(n), F.lit(0)) + F.col(f"_before_{n}")).alias(n) for n in values])
+
+
 def average_ranks(df: DataFrame, value: str, name: str = "rank", by: list[str] = ()) -> DataFrame:
     """``df`` with the average rank of ``value`` (ties share the mean of their ranks) and the number of ties, ``name`` + '_ties'.
 

@@ -551,39 +551,41 @@ def penalized_path(df: DataFrame, y: str, predictors: list[str], alpha: float =
 def scan(features: DataFrame, phenotype: DataFrame, y: str, covariates: list[str], sample: str = "sample_id", feature: str = "feature_id", value: str = "value") -> DataFrame:
     """Least squares of ``y`` on covariates and each feature of a long table (feature, sample, value), covariates factored once.
 
-    The covariates' Cholesky factor and orthonormal scores are computed on the (sample) table, so that each feature needs only sums with p + 2
-    products by (feature): x.x, x.r and x.q. Missing values take the feature's mean. Features that the covariates explain wholly are ``non_estimable``.
+    The covariates' orthonormal scores are computed on the (sample) table, so that each feature needs only centred sums of p + 2 products by
+    (feature): x.x, x.r and x.q. Missing values take the feature's mean. Features that do not vary, or that the covariates explain but for 1e-12
+    of their variation, are ``non_estimable``.
     """
     terms = [ONE, *covariates]
     d = complete(phenotype, y, *covariates)
     fit = ols(d, y, terms)
     r = moments(d, terms, {}).collect()[0]
-    factor = np.linalg.inv(np.linalg.cholesky(gram(r, len(terms)))).T
+    # scores of the covariates: orthonormal, as many as they have rank, so that repeated or constant covariates do no harm
+    scale = np.sqrt(np.maximum(np.diag(gram(r, len(terms))), np.finfo(float).tiny))
+    size, axes = np.linalg.eigh(gram(r, len(terms)) / np.outer(scale, scale))
+    live = size > 1e-12 * size.max()
+    factor = axes[:, live] / np.sqrt(size[live]) / scale[:, None]
+    k = int(live.sum())
     q = []
-    for k in range(len(terms)):
+    for i in range(k):
         col = F.lit(0.0)
         for j, t in enumerate(terms):
-            col = col + _col(t) * F.lit(float(factor[j, k]))
-        q.append(col.alias(f"q{k}"))
+            col = col + _col(t) * F.lit(float(factor[j, i]))
+        q.append(col.alias(f"q{i}"))
     null = d.select(F.col(sample).alias("_sample"), (F.col(y).cast("double") - _eta(terms, fit.beta, None)).alias("r"), *q)
-    n, rank = fit.n, fit.extra["rank"]
+    n, rank = fit.n, k
     x = features.select(F.col(feature).alias("feature_id"), F.col(sample).alias("_sample"), finite(value).alias("x")).join(null, "_sample")
-    mean = F.avg("x").alias("mean")
-    k = len(terms)
+    # co-moments are centred while they are summed, so a large mean costs no digits; missing entries count as the mean, that is zero
+    own = lambda c: F.when(F.col("x").isNotNull(), F.col(c))
+    called = F.count("x").cast("double")
     sums = x.groupBy("feature_id").agg(
-        F.count("x").alias("called"), mean, F.sum("r").alias("sr0"),
-        F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.when(F.col("x").isNotNull(), F.lit(1.0))).alias("c"), F.sum(F.col("x") * F.col("r")).alias("xr"), F.sum(F.when(F.col("x").isNotNull(), F.col("r"))).alias("cr"),
-        *[F.sum(F.col("x") * F.col(f"q{i}")).alias(f"xq{i}") for i in range(k)], *[F.sum(F.when(F.col("x").isNotNull(), F.col(f"q{i}"))).alias(f"cq{i}") for i in range(k)],
+        F.count("x").alias("called"), (F.var_pop("x") * called).alias("sxx"), (F.covar_pop("x", own("r")) * called).alias("sxr"), *[(F.covar_pop("x", own(f"q{i}")) * called).alias(f"xq{i}") for i in range(k)],
     )
-    # centred on the feature's mean: missing entries are then zero
-    m = F.col("mean")
-    sums = sums.withColumn("sxx", F.col("xx") - m * m * F.col("c")).withColumn("sxr", F.col("xr") - m * F.col("cr"))
     explained = F.lit(0.0)
     for i in range(k):
-        explained = explained + (F.col(f"xq{i}") - m * F.col(f"cq{i}")) * (F.col(f"xq{i}") - m * F.col(f"cq{i}"))
+        explained = explained + F.col(f"xq{i}") * F.col(f"xq{i}")
     sums = sums.withColumn("left", F.col("sxx") - explained)
     dof = n - rank - 1
-    ok = (F.col("left") > 1e-12 * F.col("xx")) & (F.col("sxx") > 0)
+    ok = F.coalesce((F.col("sxx") > 0) & (F.col("left") > 1e-12 * F.col("sxx")), F.lit(False))
     out = sums.withColumn("beta", F.when(ok, F.try_divide("sxr", "left")))
     rss = F.greatest(F.lit(0.0), F.lit(float(fit.extra["rss"])) - F.col("beta") * F.col("sxr"))
     out = out.withColumn("standard_error", F.sqrt(F.try_divide(rss / F.lit(float(dof)), F.when(ok, F.col("left"))))).withColumn("statistic", F.try_divide("beta", "standard_error")).withColumn("df", F.lit(float(dof)))
@@ -612,5 +614,7 @@ def score_scan(features: DataFrame, phenotype: DataFrame, y: str, covariates: li
     for i in range(k):
         for j in range(k):
             var = var - F.lit(float(inv[i, j])) * F.col(f"b{i}") * F.col(f"b{j}")
-    s = s.withColumn("variance", var).withColumn("beta", F.try_divide("score", "variance")).withColumn("statistic", F.try_divide(F.col("score"), F.sqrt(F.col("variance") * F.lit(float(phi)))))
-    return s.withColumn("p_value", pv.p_normal(F.col("statistic"))).select("feature_id", "called", "score", "variance", "beta", "statistic", "p_value")
+    s = s.withColumn("variance", var).withColumn("beta", F.try_divide("score", "variance")).withColumn("statistic", F.try_divide(F.col("score"), F.sqrt(F.greatest(F.lit(0.0), F.col("variance")) * F.lit(float(phi)))))
+    ok = F.coalesce((F.col("variance") > 1e-12 * F.col("xx")) & (F.col("xx") > 0), F.lit(False))
+    s = s.withColumn("p_value", pv.p_normal(F.col("statistic")))
+    return s.select("feature_id", "called", "score", "variance", *[F.when(ok, F.col(c)).alias(c) for c in ("beta", "statistic", "p_value")], F.when(ok, "ok").otherwise("non_estimable").alias("status"))

@@ -12,8 +12,10 @@ from pyspark.sql import Window as W
 
 from statloom.functions import pvalues as pv
 from statloom.functions import special as sp
+from statloom.operators import ordered as od
 from statloom.operators import regression as rg
 from statloom.operators.multiplicity import finite
+from statloom.session import materialize
 
 
 def difference(df: DataFrame, by: list[str], time: str, value: str, lag: int = 1, name: str = "diff") -> DataFrame:
@@ -201,14 +203,14 @@ def risk_sets(df: DataFrame, time: str, event: str, terms: list[str] = (), eta=N
     parts = {"r": e} | {f"x{i}": e * a for i, a in enumerate(x)} | {f"x{i}_{j}": e * a * x[j] for i, a in enumerate(x) for j in range(i, len(x))}
     dead = F.col(event).cast("int") == 1
     ends = df.groupBy(*keys, F.col(time).alias("t")).agg(F.count_if(dead).alias("deaths"), *[F.sum(v).alias(k) for k, v in parts.items()], *[F.sum(F.when(dead, v)).alias(f"d{k}") for k, v in parts.items()], *[F.sum(F.when(dead, a)).alias(f"s{i}") for i, a in enumerate(x)], F.count(F.lit(1)).alias("leaving"))
-    w = W.partitionBy(*keys).orderBy(F.desc("t"))
+    order = [F.desc("t")]
     if start:
         begins = df.groupBy(*keys, F.col(start).alias("t")).agg(*[(-F.sum(v)).alias(k) for k, v in parts.items()], (-F.count(F.lit(1))).alias("leaving"))
         both = ends.withColumn("o", F.lit(1)).unionByName(begins.withColumn("o", F.lit(0)), allowMissingColumns=True)
         # going back in time: rows that end at t join, rows that begin at t leave after t's own events are counted
-        w = W.partitionBy(*keys).orderBy(F.desc("t"), F.desc("o"))
+        order = [F.desc("t"), F.desc("o")]
         ends = both
-    run = ends.select("*", *[F.sum(k).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias(f"c{k}") for k in parts], F.sum("leaving").over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("at_risk"))
+    run = od.running_sums(ends, {f"c{k}": F.col(k) for k in parts} | {"at_risk": F.col("leaving")}, order, keys)
     return run.filter("deaths > 0")
 
 
@@ -216,11 +218,10 @@ def kaplan_meier(df: DataFrame, time: str, event: str, by: list[str] = ()) -> Da
     """(by, t, at_risk, deaths, survival) at event times."""
     keys = list(by)
     r = df.groupBy(*keys, F.col(time).alias("t")).agg(F.count_if(F.col(event).cast("int") == 1).alias("deaths"), F.count(F.lit(1)).alias("n"))
-    r = r.withColumn("at_risk", F.sum("n").over(W.partitionBy(*keys).orderBy(F.desc("t")).rowsBetween(W.unboundedPreceding, W.currentRow))).filter("deaths > 0")
-    step = F.when(F.col("deaths") < F.col("at_risk"), F.log(1 - F.col("deaths") / F.col("at_risk")))
-    w = W.partitionBy(*keys).orderBy("t").rowsBetween(W.unboundedPreceding, W.currentRow)
-    ended = F.max((F.col("deaths") == F.col("at_risk")).cast("int")).over(w)
-    return r.withColumn("survival", F.when(ended == 1, 0.0).otherwise(F.exp(F.coalesce(F.sum(step).over(w), F.lit(0.0))))).drop("n")
+    r = od.running_sums(r, {"at_risk": F.col("n")}, [F.desc("t")], keys).filter("deaths > 0")
+    step = F.when(F.col("deaths") < F.col("at_risk"), F.log(1 - F.col("deaths") / F.col("at_risk"))).otherwise(0.0)
+    r = od.running_sums(r, {"logs": step, "ended": (F.col("deaths") == F.col("at_risk")).cast("int")}, [F.asc("t")], keys)
+    return r.withColumn("survival", F.when(F.col("ended") > 0, 0.0).otherwise(F.exp("logs"))).drop("n", "logs", "ended")
 
 
 def cox(df: DataFrame, time: str, event: str, terms: list[str], ties: str = "efron", start: str | None = None, stratum: str | None = None, tol: float = 1e-9, max_iter: int = 30) -> rg.Fit:
@@ -232,6 +233,8 @@ def cox(df: DataFrame, time: str, event: str, terms: list[str], ties: str = "efr
         d = d.withColumn(f"_z{i}", F.col(t).cast("double") - F.lit(centre[f"m{i}"]))
     names = [f"_z{i}" for i in range(len(terms))]
     p = len(terms)
+    d = materialize(d.select(time, event, *names, *([start] if start else []), *([stratum] if stratum else [])))  # one pass over the source; each step reads this
+    s = d.filter(F.col(event).cast("int") == 1).agg(*[F.sum(n).alias(f"s{i}") for i, n in enumerate(names)], F.count(F.lit(1)).alias("n")).collect()[0]
 
     def evaluate(beta):
         eta = F.lit(0.0)
@@ -247,7 +250,6 @@ def cox(df: DataFrame, time: str, event: str, terms: list[str], ties: str = "efr
         aggs += [F.sum(less(f"x{i}") / den).alias(f"g{i}") for i in range(p)]
         aggs += [F.sum(less(f"x{i}_{j}") / den - less(f"x{i}") * less(f"x{j}") / (den * den)).alias(f"a{i}_{j}") for i in range(p) for j in range(i, p)]
         a = e.agg(*aggs).collect()[0]
-        s = d.filter(F.col(event).cast("int") == 1).agg(*[F.sum(n).alias(f"s{i}") for i, n in enumerate(names)], F.count(F.lit(1)).alias("n")).collect()[0]
         score = np.array([s[f"s{i}"] - a[f"g{i}"] for i in range(p)])
         ll = float(sum(b * s[f"s{i}"] for i, b in enumerate(beta)) - a["logs"])
         return ll, score, rg.gram(a, p), int(s["n"])

@@ -48,7 +48,7 @@ def associate(phenotype: DataFrame, features: DataFrame, formula: str, family: s
     if kind == "gaussian":
         out = rg.scan(use, d, f.response[0], covariates)
     else:
-        out = rg.score_scan(use, d, f.response[0], covariates, kind).withColumn("status", F.lit("ok"))
+        out = rg.score_scan(use, d, f.response[0], covariates, kind)
     ok = out.filter("status = 'ok'").drop("status")
     failed = out.filter("status <> 'ok'").withColumn("failure_reason", F.col("status")).drop("status")
     table = sinks.results(ok, filtered, failed)

@@ -121,12 +121,12 @@ def hwe_counts(spark, sf):
     return ge.hardy_weinberg(_doses(spark, sf)).select("variant_id", "hom_ref", "het", "hom_alt")
 
 
-_PANEL = "SELECT f AS variant_id, vec_id AS sample_id, CASE WHEN v < -0.05 THEN 0 WHEN v < 0.05 THEN 1 ELSE 2 END::DOUBLE AS dosage FROM (" + _LONG + ") WHERE vec_id < 60"
+_PANEL = "SELECT f AS variant_id, vec_id AS sample_id, CASE WHEN v < -0.05 THEN 0 WHEN v < 0.05 THEN 1 ELSE 2 END::DOUBLE AS dosage FROM (" + _LONG + ")"
 
 
 def _panel(spark, sf):
     v = F.col("v")
-    return _long(spark, sf).filter("vec_id < 60").select(F.col("f").alias("variant_id"), F.col("vec_id").alias("sample_id"), F.when(v < -0.05, 0.0).when(v < 0.05, 1.0).otherwise(2.0).alias("dosage"))
+    return _long(spark, sf).select(F.col("f").alias("variant_id"), F.col("vec_id").alias("sample_id"), F.when(v < -0.05, 0.0).when(v < 0.05, 1.0).otherwise(2.0).alias("dosage"))
 
 
 @query(
@@ -164,7 +164,7 @@ def prs_score(spark, sf):
     return ge.polygenic_score(d, w).select("sample_id", "score")
 
 
-_LBF = f"SELECT brand AS v, nation % 2 AS trait, (ln(1 - r) + r * z * z) / 2 AS l FROM (SELECT brand, nation, 0.04e10 / (0.04e10 + se * se) AS r, effect / se AS z FROM ({_EFFECTS}) WHERE nation IN (SELECT min(nation) FROM ({_EFFECTS}) GROUP BY nation % 2))"
+_LBF = f"SELECT brand AS v, nation % 2 AS trait, (ln(1 - r) + r * z * z) / 2 AS l FROM (SELECT brand, nation, 0.04e10 / (0.04e10 + se * se) AS r, effect / se AS z FROM (SELECT brand, nation % 2 AS nation, sum(effect / (se * se)) / sum(1 / (se * se)) AS effect, sqrt(1 / sum(1 / (se * se))) AS se FROM ({_EFFECTS}) GROUP BY 1, 2))"
 
 
 @query(
@@ -175,8 +175,8 @@ _LBF = f"SELECT brand AS v, nation % 2 AS trait, (ln(1 - r) + r * z * z) / 2 AS
     floats=("h0", "h1", "h2", "h3", "h4",),
 )
 def coloc_pairs(spark, sf):
-    e = effects(spark, sf).withColumn("trait", F.col("nation") % 2)
-    e = e.join(F.broadcast(e.groupBy("trait").agg(F.min("nation").alias("nation"))), ["trait", "nation"])
+    w = 1 / (F.col("se") * F.col("se"))
+    e = effects(spark, sf).groupBy("brand", (F.col("nation") % 2).alias("trait")).agg((F.sum(F.col("effect") * w) / F.sum(w)).alias("effect"), F.sqrt(1 / F.sum(w)).alias("se"))
     e = e.select(F.lit(0).alias("g"), "trait", F.col("brand").alias("variant_id"), ge.approximate_lbf(F.col("effect"), F.col("se"), 0.04e10).alias("lbf"))
     return ge.coloc(e.filter("trait = 0"), e.filter("trait = 1"), ["g"]).drop("top")
 
@@ -220,7 +220,7 @@ def score_meta(spark, sf):
 
 @query("set_tests_burden_skat")
 def set_tests_burden_skat(spark, sf):
-    d = _panel(spark, sf).filter("variant_id < 24")
+    d = _panel(spark, sf)
     y = d.select("sample_id").distinct().withColumn("y", F.col("sample_id") % 7)
     null = y.join(F.broadcast(y.agg(F.avg("y").alias("m"))), F.lit(True)).select("sample_id", (F.col("y") - F.col("m")).alias("r"))
     u = st.scores(d, null).withColumn("set_id", F.col("variant_id") % 4).withColumn("weight", F.lit(1.0))
@@ -240,12 +240,12 @@ def corr_network(spark, sf):
 
 @query(
     "diff_corr_fisher_z",
-    f"""WITH d AS (SELECT * FROM ({_LONG}) WHERE f < 12), c AS (SELECT x.vec_id % 2 AS g, x.f AS a, y.f AS b, corr(x.v, y.v) AS r, count(*) AS n FROM d x JOIN d y ON x.vec_id = y.vec_id AND x.f < y.f GROUP BY 1, 2, 3)
+    f"""WITH d AS (SELECT * FROM ({_LONG})), c AS (SELECT x.vec_id % 2 AS g, x.f AS a, y.f AS b, corr(x.v, y.v) AS r, count(*) AS n FROM d x JOIN d y ON x.vec_id = y.vec_id AND x.f < y.f GROUP BY 1, 2, 3)
         SELECT p.a, p.b, (atanh(p.r) - atanh(q.r)) / sqrt(1.0 / (p.n - 3) + 1.0 / (q.n - 3)) AS statistic FROM c p JOIN c q ON p.a = q.a AND p.b = q.b WHERE p.g = 0 AND q.g = 1""",
     floats=("statistic",),
 )
 def diff_corr_fisher_z(spark, sf):
-    d = _long(spark, sf).filter("f < 12").withColumn("g", F.col("vec_id") % 2)
+    d = _long(spark, sf).withColumn("g", F.col("vec_id") % 2)
     return gr.differential_correlation(d, "vec_id", "f", "v", "g", 0, 1).select("a", "b", "statistic")
 
 
@@ -513,7 +513,7 @@ def log_rank(spark, sf):
 
 @query("genomic_factor")
 def genomic_factor(spark, sf):
-    e = effects(spark, sf).filter("nation % 6 < 4").withColumn("trait", F.col("nation") % 6)
+    e = effects(spark, sf).withColumn("trait", F.col("nation") % 4)
     w = e.groupBy("brand").pivot("trait", [0, 1, 2, 3]).agg(F.avg("effect")).dropna()
     r = w.agg(*[F.corr(str(i), str(j)).alias(f"c{i}{j}") for i in range(4) for j in range(4)]).collect()[0]
     s = np.array([[float(r[f"c{i}{j}"] or 0) * 0.5 + 0.5 * 0.36 + (0.3 if i == j else 0) for j in range(4)] for i in range(4)])

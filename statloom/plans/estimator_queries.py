@@ -115,13 +115,14 @@ def sem_one_factor(spark, sf):
 # -- feature-wide ---------------------------------------------------------------------------------------------------------------------------
 
 
-def _matrix(spark, sf, samples: int = 24):
-    d = _long(spark, sf).filter(F.col("vec_id") < samples)
-    return d.select(F.col("f").cast("string").alias("feature_id"), F.col("vec_id").alias("sample_id"), F.col("v").alias("value"))
+def _matrix(spark, sf):
+    return _long(spark, sf).select(F.col("f").cast("string").alias("feature_id"), F.col("vec_id").alias("sample_id"), F.col("v").alias("value"))
 
 
-def _design(samples: int = 24) -> np.ndarray:
-    return np.stack([np.ones(samples), (np.arange(samples) % 2).astype(float)], 1)
+def _design(spark, sf) -> np.ndarray:
+    """Intercept and group of every sample, in the order of their ids."""
+    ids = np.array([r[0] for r in table(spark, sf, "embeddings").select("vec_id").distinct().orderBy("vec_id").collect()])
+    return np.stack([np.ones(len(ids)), ids % 2.0], 1)
 
 
 @query("pca_samples")
@@ -131,18 +132,19 @@ def pca_samples(spark, sf):
 
 @query("surrogate_variables")
 def surrogate_variables(spark, sf):
-    sv = omics.surrogate_variables(_matrix(spark, sf), _design(), k=2)
+    sv = omics.surrogate_variables(_matrix(spark, sf), _design(spark, sf), k=2)
     return spark.createDataFrame(pd.DataFrame(sv, columns=["sv1", "sv2"]))
 
 
 @query("batch_adjust")
 def batch_adjust(spark, sf):
-    return omics.combat(_matrix(spark, sf), pd.Series(np.arange(24) % 3, index=range(24)))
+    ids = [r[0] for r in table(spark, sf, "embeddings").select("vec_id").distinct().orderBy("vec_id").collect()]
+    return omics.combat(_matrix(spark, sf), pd.Series(np.array(ids) % 3, index=ids))
 
 
 @query("moderated_t")
 def moderated_t(spark, sf):
-    return omics.moderated(_matrix(spark, sf), _design(), 1)
+    return omics.moderated(_matrix(spark, sf), _design(spark, sf), 1)
 
 
 def _counts(spark, sf):
@@ -151,12 +153,12 @@ def _counts(spark, sf):
 
 @query("count_differential")
 def count_differential(spark, sf):
-    return omics.nb_differential(_counts(spark, sf), _design(), 1)
+    return omics.nb_differential(_counts(spark, sf), _design(spark, sf), 1)
 
 
 @query("voom_differential")
 def voom_differential(spark, sf):
-    return omics.voom(_counts(spark, sf), _design(), 1)
+    return omics.voom(_counts(spark, sf), _design(spark, sf), 1)
 
 
 @query("multiple_imputation")
@@ -167,7 +169,9 @@ def multiple_imputation(spark, sf):
 
 @query("kinship_pairs")
 def kinship_pairs(spark, sf):
-    p = table(spark, sf, "part").filter("p_partkey <= 60").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 12, F.floor(F.col("p_partkey") / 2)).alias("sire"), F.when(F.col("p_partkey") > 12, F.floor(F.col("p_partkey") / 3)).alias("dam"))
+    p = table(spark, sf, "part").withColumn("k", F.col("p_partkey") % 8)  # families of eight: two founders, their children and these children's
+    first = F.col("p_partkey") - F.col("k")
+    p = p.select(F.col("p_partkey").alias("id"), F.when(F.col("k") >= 2, first + F.when(F.col("k") < 5, 0).otherwise(2)).alias("sire"), F.when(F.col("k") >= 2, first + F.when(F.col("k") < 5, 1).otherwise(F.col("k") - 2)).alias("dam"))
     return omics.kinship(p)
 
 
@@ -190,7 +194,7 @@ def association_scan(spark, sf):
 
 @query("rare_set_tests")
 def rare_set_tests(spark, sf):
-    d = _panel(spark, sf).filter("variant_id < 16").withColumn("cohort", F.col("sample_id") % 2)
+    d = _panel(spark, sf).withColumn("cohort", F.col("sample_id") % 2)
     m = d.groupBy("variant_id", "cohort").agg(F.avg("dosage").alias("m"), F.sum("dosage").alias("mac"))
     c = d.join(m, ["variant_id", "cohort"]).select("variant_id", "cohort", "sample_id", (F.col("dosage") - F.col("m")).alias("x"))
     u = c.groupBy("variant_id", "cohort").agg(F.sum(F.col("x") * ((F.col("sample_id") % 7) - 3)).alias("u"))
@@ -226,7 +230,7 @@ def driver_permutation(spark, sf):
 @query("sparse_network")
 def sparse_network(spark, sf):
     shared = table(spark, sf, "embeddings").select("vec_id", (F.col("label") / 20.0).alias("l"))
-    return gr.sparse_network(_long(spark, sf).filter("f < 16").join(shared, "vec_id").withColumn("v", F.col("v") + F.col("l")), "vec_id", "f", "v", 0.05, "or")
+    return gr.sparse_network(_long(spark, sf).join(shared, "vec_id").withColumn("v", F.col("v") + F.col("l")), "vec_id", "f", "v", 0.05, "or")
 
 
 @query(

@@ -26,33 +26,57 @@ def effects_by_brand_nation(spark, sf):
     return effects(spark, sf)
 
 
+def _pooled(spark, sf, *how, **options):
+    """Pooled over all nations, in the order of their keys."""
+    nations = [r[0] for r in table(spark, sf, "nation").select("n_nationkey").orderBy("n_nationkey").collect()]
+    return meta.pool(effects(spark, sf), "brand", "nation", "effect", "se", *how, cohorts=nations, **options)
+
+
 _POOL = f"""WITH e AS ({_EFFECTS}), s AS (SELECT brand, count(*) AS k, sum(1 / (se * se)) AS sw, sum(1 / power(se, 4)) AS sw2, sum(effect / (se * se)) / sum(1 / (se * se)) AS mu FROM e GROUP BY brand),
     q AS (SELECT brand, k, sw, sw2, mu, sum(power(effect - mu, 2) / (se * se)) AS q FROM e JOIN s USING (brand) GROUP BY ALL)"""
 
 
 @query("meta_fixed", f"{_POOL} SELECT brand AS feature, k, mu AS estimate, sqrt(1 / sw) AS se, q, greatest(0, 100 * (q - (k - 1)) / q) AS i2, greatest(1, q / (k - 1)) AS h2 FROM q", floats=("estimate", "se", "q", "i2", "h2",))
 def meta_fixed(spark, sf):
-    return meta.pool(effects(spark, sf), "brand", "nation", "effect", "se").select("feature", "k", "estimate", "se", "q", "i2", "h2")
+    return _pooled(spark, sf).select("feature", "k", "estimate", "se", "q", "i2", "h2")
 
 
 _DL = f"""{_POOL}, t AS (SELECT *, greatest(0, (q - (k - 1)) / (sw - sw2 / sw)) AS tau2 FROM q)
     SELECT brand AS feature, any_value(t.k) AS k, any_value(tau2) AS tau2, sum(effect / (se * se + tau2)) / sum(1 / (se * se + tau2)) AS estimate, sqrt(1 / sum(1 / (se * se + tau2))) AS se,
-    string_agg(CASE WHEN effect > 0 THEN '+' WHEN effect < 0 THEN '-' ELSE '0' END, '' ORDER BY nation) AS direction FROM e JOIN t USING (brand) GROUP BY brand"""
+    any_value(direction) AS direction FROM e JOIN t USING (brand)
+    JOIN (SELECT b.brand, string_agg(CASE WHEN effect > 0 THEN '+' WHEN effect < 0 THEN '-' WHEN effect = 0 THEN '0' ELSE '?' END, '' ORDER BY n_nationkey) AS direction
+          FROM (SELECT DISTINCT brand FROM e) b CROSS JOIN nation LEFT JOIN e ON e.brand = b.brand AND nation = n_nationkey GROUP BY b.brand) USING (brand) GROUP BY brand"""
 
 
 @query("meta_dl", _DL, floats=("tau2", "estimate", "se",))
 def meta_dl(spark, sf):
-    return meta.pool(effects(spark, sf), "brand", "nation", "effect", "se", "dl").select("feature", "k", "tau2", "estimate", "se", "direction")
+    return _pooled(spark, sf, "dl").select("feature", "k", "tau2", "estimate", "se", "direction")
+
+
+_HK = f"""{_POOL}, t AS (SELECT brand, greatest(0, (q - (k - 1)) / (sw - sw2 / sw)) AS tau2 FROM q),
+    m AS (SELECT brand, count(*) AS k, any_value(tau2) AS tau2, sum(1 / (se * se + tau2)) AS w, sum(effect / (se * se + tau2)) / sum(1 / (se * se + tau2)) AS estimate FROM e JOIN t USING (brand) GROUP BY brand),
+    r AS (SELECT brand, sum(power(effect - estimate, 2) / (se * se + m.tau2)) / (any_value(k) - 1) AS scale FROM e JOIN m USING (brand) GROUP BY brand)
+    SELECT brand AS feature, k, estimate, sqrt({{}} / w) AS se, estimate / sqrt({{}} / w) AS statistic FROM m JOIN r USING (brand)"""
+
+
+@query("meta_hartung_knapp", _HK.format("scale", "scale"), floats=("estimate", "se", "statistic"))
+def meta_hartung_knapp(spark, sf):
+    return _pooled(spark, sf, "dl", "hk").select("feature", "k", "estimate", "se", "statistic")
+
+
+@query("meta_modified_hartung_knapp", _HK.format("greatest(1, scale)", "greatest(1, scale)"), floats=("estimate", "se", "statistic"))
+def meta_modified_hartung_knapp(spark, sf):
+    return _pooled(spark, sf, "dl", "mhk").select("feature", "k", "estimate", "se", "statistic")
 
 
 @query("meta_pm")
 def meta_pm(spark, sf):
-    return meta.pool(effects(spark, sf), "brand", "nation", "effect", "se", "pm")
+    return _pooled(spark, sf, "pm")
 
 
 @query("meta_reml")
 def meta_reml(spark, sf):
-    return meta.pool(effects(spark, sf), "brand", "nation", "effect", "se", "reml", test="hk")
+    return _pooled(spark, sf, "reml", test="hk")
 
 
 @query(

@@ -183,3 +183,74 @@ def test_overlap_and_joint_outcomes(spark):
     j = mr.joint_outcomes(both, ["g"], pd.DataFrame(np.eye(2), ["a", "b"], ["a", "b"])).collect()[0]
     assert j.n == 5 and j.estimates == pytest.approx([plain.estimate, plain.estimate / 2])
     assert j.statistic == pytest.approx((plain.estimate / plain.se) ** 2 * 1.25)
+
+
+def test_pooling_keeps_the_digits_of_large_effects_and_the_place_of_missing_cohorts(spark):
+    from statloom.operators import meta
+
+    rows = [("f", "b", 1e7, 0.01), ("f", "a", 1e7 + 0.02, 0.01), ("g", "a", 0.5, 0.1), ("g", "b", None, 0.1), ("g", "c", -0.5, 0.0), ("h", "c", 0.0, 0.2)]
+    df = spark.createDataFrame(rows, "f string, c string, y double, s double")
+    got = {r.feature: r for r in meta.pool(df, "f", "c", "y", "s").collect()}
+    assert got["f"].q == pytest.approx(2.0, rel=1e-6) and got["f"].estimate == pytest.approx(1e7 + 0.01, abs=1e-8)
+    assert [got[x].direction for x in "fgh"] == ["++?", "+??", "??0"]
+    order = {r.feature: r.direction for r in meta.pool(df, "f", "c", "y", "s", "dl", cohorts=["c", "b", "a"]).collect()}
+    assert order == {"f": "?++", "g": "??+", "h": "0??"}
+    hk = {r.feature: r for r in meta.pool(df, "f", "c", "y", "s", "fixed", "hk").collect()}["f"]
+    assert hk.se == pytest.approx(math.sqrt(2.0 / (2 / 0.01**2)), rel=1e-6)
+
+
+@pytest.mark.parametrize("mean", [0.0, 1e4, 1e7])
+def test_a_scan_does_not_depend_on_the_mean_of_a_feature(spark, mean):
+    rng = np.random.default_rng(2)
+    x, z, e = rng.normal(size=200), rng.normal(size=200), rng.normal(size=200)
+    y = 2 * x + z + e
+    pheno = spark.createDataFrame([(i, float(y[i]), float(z[i]), float(2 * z[i] + 1)) for i in range(200)], "sample_id int, y double, z double, again double")
+    feats = [(f, i, v) for i in range(200) for f, v in (("x", float(x[i] + mean)), ("z", float(3 * z[i] + mean)), ("one", mean))] + [("gap", i, float(x[i] + mean) if i % 5 else None) for i in range(200)]
+    feats = spark.createDataFrame(feats, "feature_id string, sample_id int, value double")
+    want = np.linalg.lstsq(np.stack([np.ones(200), z, x], 1), y, rcond=None)[0][2]
+    for covariates in (["z"], ["z", "again"]):  # a covariate that repeats another is left out
+        got = {r.feature_id: r for r in rg.scan(feats, pheno, "y", covariates).collect()}
+        assert got["x"].beta == pytest.approx(want, rel=1e-6) and got["x"].df == 197
+        assert got["z"].status == got["one"].status == "non_estimable" and got["z"].beta is None and got["gap"].status == "ok"
+
+
+def test_score_scan_tells_what_cannot_be_estimated(spark):
+    rng = np.random.default_rng(3)
+    pheno = spark.createDataFrame([(i, int(rng.random() < 0.4), float(rng.normal())) for i in range(120)], "sample_id int, y int, z double")
+    z = {r.sample_id: r.z for r in pheno.collect()}
+    feats = spark.createDataFrame([(f, i, v) for i in range(120) for f, v in (("ok", float(rng.normal())), ("z", z[i]), ("none", 0.0))], "feature_id string, sample_id int, value double")
+    got = {r.feature_id: r for r in rg.score_scan(feats, pheno, "y", ["z"], "binomial").collect()}
+    assert {f: r.status for f, r in got.items()} == {"ok": "ok", "z": "non_estimable", "none": "non_estimable"} and got["z"].p_value is None
+
+
+def test_limits_raise_instead_of_dropping(spark, monkeypatch):
+    from statloom.operators import likelihood as lk
+
+    monkeypatch.setattr(lk, "MOST_CATEGORIES", 3)
+    with pytest.raises(ValueError):
+        lk.multinomial(spark.range(40).select((F.col("id") % 5).alias("y"), F.rand(1).alias("x")), "y", [rg.ONE, "x"])
+    monkeypatch.setattr(gr, "MOST_EDGES", 2)
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0)], "source int, target int")
+    with pytest.raises(ValueError):
+        gr.moran_permutation(edges, spark.createDataFrame([(0, "f", 1.0)], "node int, feature_id string, value double"))
+
+
+def test_harmonic_factor_is_one_formula_for_all_sizes(spark):
+    from statloom.operators import multiplicity as mu
+
+    ps = [0.001, 0.02, 0.03, 0.5, 0.9]
+    got = {r.i: r.q for r in mu.by_adjust(spark.createDataFrame(list(enumerate(ps)), "i int, p double"), "p", "i").collect()}
+    assert got[0] == pytest.approx(0.001 * 5 * sum(1 / k for k in range(1, 6)), rel=1e-12)
+
+
+def test_running_sums_over_many_partitions_and_risk_sets(spark):
+    from statloom.operators import ordered as od
+    from statloom.operators import series
+
+    df = spark.createDataFrame([(float(t), t % 3, t % 2) for t in range(50)], "t double, v int, g int").repartition(7)
+    up = {r.t: (r.a, r.b) for r in od.running_sums(df, {"a": F.col("v"), "b": F.col("t")}, [F.desc("t")]).collect()}
+    assert up == {float(t): (sum(k % 3 for k in range(t, 50)), float(sum(range(t, 50)))) for t in range(50)}
+    own = {r.t: r.a for r in od.running_sums(df, {"a": F.col("v")}, [F.asc("t")], ["g"]).collect()}
+    assert own[7.0] == 1 % 3 + 3 % 3 + 5 % 3 + 7 % 3
+    km = {r.t: (r.at_risk, r.survival) for r in series.kaplan_meier(spark.createDataFrame([(1.0, 1), (2.0, 0), (3.0, 1), (4.0, 1)], "t double, e int"), "t", "e").collect()}
+    assert km[1.0] == (4, pytest.approx(0.75)) and km[3.0] == (2, pytest.approx(0.375)) and km[4.0] == (1, 0.0)
