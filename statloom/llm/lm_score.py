@@ -207,7 +207,7 @@ class Model:
         ended = np.arange(self.node.shape[1])[None, :] >= self.depth[:, None]
         self.guessed = np.concatenate([np.where(ended, -1, self.node.astype(np.int64)), np.full((1, self.node.shape[1]), -1)]).astype(np.int32).T.copy()
         self.guessed_sign = np.concatenate([self.sign, np.zeros((1, self.sign.shape[1]), np.float32)]).T.copy()
-        self.mixed_at, self.sign_at, self.path = self.mixed.T.copy(), self.sign.T.copy(), self.node.astype(np.int32).T.copy()
+        self.mixed_at, self.against, self.path = self.mixed.T.copy(), -self.sign.T.copy(), self.node.astype(np.int32).T.copy()
         self.tables, self.bits = tables, [len(t).bit_length() - 1 for t in tables]
 
     def log10(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -248,7 +248,7 @@ class Model:
             if not len(symbols):
                 break
             gate = min(k, GATES - 1)
-            mixed, sign = self.mixed_at[k].take(symbols), self.sign_at[k].take(symbols)
+            mixed, against = self.mixed_at[k].take(symbols), self.against[k].take(symbols)
             count = np.diff(bounds)
             odds = [t.take(_slot(c, mixed, b)) for t, c, b in zip(self.tables, contexts, self.bits)]
             # the guess speaks as long as its path is that of the decisions so far
@@ -259,17 +259,19 @@ class Model:
             z = odds[0] * np.repeat(weights[own, gate, 0], count)
             for o in range(1, len(START)):
                 z += odds[o] * np.repeat(weights[own, gate, o], count)
-            z *= sign
+            z *= against
             np.clip(z, -20, 20, out=z)
-            np.negative(z, out=z)
             np.exp(z, out=z)
             z += 1  # 1 / probability of the bit that came
             some = np.flatnonzero(count)
             cuts = bounds[:-1][some]
             total[own[some]] -= np.add.reduceat(np.log(z), cuts, dtype=np.float64)
-            miss = (1 - 1 / z) * sign
+            miss = np.reciprocal(z, out=z)
+            miss -= 1
+            miss *= against
             for o in range(len(START)):
-                steps[some, gate, o] += np.add.reduceat(miss * odds[o], cuts)
+                odds[o] *= miss
+                steps[some, gate, o] += np.add.reduceat(odds[o], cuts)
             seen[some, gate] += count[some]
         weights[own] += np.float32(RATE) * steps / np.sqrt(np.maximum(seen, 1))[:, :, None]
 
