@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+from statloom.functions import exact as ex
 from statloom.functions import pvalues as pv
 from statloom.functions import special as sp
 from statloom.operators.multiplicity import finite
@@ -261,8 +262,23 @@ def _with_ties(out: DataFrame, d: DataFrame, value: str, by: list[str]) -> DataF
     return out.join(ties, by) if by else out.crossJoin(ties)
 
 
-def rank_sum(df: DataFrame, value: str, group: str, first, second, by: list[str] = (), correct: bool = True) -> DataFrame:
-    """Wilcoxon's rank sum W of ``first``, normal approximation with ties and continuity correction."""
+def _exact_or(exact: bool | None, fn, otherwise: Column, *sizes: Column, statistic: str = "statistic") -> Column:
+    """``fn(statistic, *sizes)`` without ties where ``exact`` (by default where all sizes are below ``ex.SMALL``), else ``otherwise``; needs the column ``ties``."""
+    if exact is False:
+        return otherwise
+
+    @F.pandas_udf("double")
+    def run(x: pd.Series, *n: pd.Series) -> pd.Series:
+        return pd.Series([fn(a, *(int(c) for c in b)) if all(c > 0 for c in b) and not math.isnan(a) else math.nan for a, *b in zip(x, *n)], dtype=float)
+
+    small = F.col("ties") == 0
+    for n in sizes if exact is None else ():
+        small &= n < ex.SMALL
+    return F.when(small, run(F.when(small, F.col(statistic)), *[F.when(small, n).otherwise(0.0) for n in sizes])).otherwise(otherwise)
+
+
+def rank_sum(df: DataFrame, value: str, group: str, first, second, by: list[str] = (), correct: bool = True, exact: bool | None = None) -> DataFrame:
+    """Wilcoxon's rank sum W of ``first``: exact p without ties (by default with under 50 values on both sides), else the normal approximation with ties and continuity correction."""
     by = list(by)
     d = _clean(df, value).filter(F.col(group).isin(first, second)).select(*by, group, value)
     r = average_ranks(d, value, "r", by)
@@ -270,22 +286,27 @@ def rank_sum(df: DataFrame, value: str, group: str, first, second, by: list[str]
     s = _with_ties(s, d, value, by)
     n = F.col("n1") + F.col("n2")
     s = s.withColumn("statistic", F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2).withColumn("centred", F.col("statistic") - F.col("n1") * F.col("n2") / 2)
-    sigma = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    s = s.withColumn("z", (F.col("centred") - (F.signum("centred") * 0.5 if correct else F.lit(0.0))) / sigma)
-    return s.withColumn("p_value", pv.p_normal(F.col("z"))).drop("rs", "centred", "ties")
+    sigma = F.sqrt(F.col("n1") * F.col("n2") / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
+    s = s.withColumn("z", F.try_divide(F.col("centred") - (F.signum("centred") * 0.5 if correct else F.lit(0.0)), sigma))  # null with one side only
+    p = _exact_or(exact, lambda w, m, k: ex.two_sided(ex.rank_sums(m, k), w), pv.p_normal(F.col("z")), F.col("n1"), F.col("n2"))
+    return s.withColumn("p_value", p).drop("rs", "centred", "ties")
 
 
-def signed_rank(df: DataFrame, x: str, y: str | None = None, by: list[str] = (), correct: bool = True) -> DataFrame:
-    """Wilcoxon's signed rank V of x (or x - y), zeros dropped, normal approximation."""
+def signed_rank(df: DataFrame, x: str, y: str | None = None, by: list[str] = (), correct: bool = True, exact: bool | None = None) -> DataFrame:
+    """Wilcoxon's signed rank V of x (or x - y): exact p without ties and zeros (by default with under 50 values), else zeros dropped and the normal approximation."""
     by = list(by)
-    d = _clean(df, x, *([y] if y else [])).withColumn("_d", F.col(x) - F.col(y) if y else F.col(x)).filter("_d <> 0").withColumn("_a", F.abs("_d")).select(*by, "_d", "_a")
+    d = _clean(df, x, *([y] if y else [])).withColumn("_d", F.col(x) - F.col(y) if y else F.col(x)).withColumn("_a", F.abs("_d")).select(*by, "_d", "_a")
+    zeros = d.groupBy(*by).agg(F.count_if(F.col("_d") == 0).alias("zeros"))
+    d = d.filter("_d <> 0")
     r = average_ranks(d, "_a", "r", by)
     s = r.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("r")).otherwise(0.0)).alias("statistic"))
     s = _with_ties(s, d, "_a", by)
     centred = F.col("statistic") - F.col("n") * (F.col("n") + 1) / 4
     sigma = F.sqrt(F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) / 24 - F.col("ties") / 48)
-    s = s.withColumn("z", (centred - (F.signum(centred) * 0.5 if correct else F.lit(0.0))) / sigma)
-    return s.withColumn("p_value", pv.p_normal(F.col("z"))).drop("ties")
+    s = s.withColumn("z", F.try_divide(centred - (F.signum(centred) * 0.5 if correct else F.lit(0.0)), sigma))
+    s = (s.join(zeros, by) if by else s.crossJoin(zeros)).withColumn("ties", F.col("ties") + F.col("zeros"))  # either rules the exact way out
+    p = _exact_or(exact, lambda v, n: ex.two_sided(ex.signed_ranks(n), v), pv.p_normal(F.col("z")), F.col("n"))
+    return s.withColumn("p_value", p).drop("ties", "zeros")
 
 
 def kruskal_wallis(df: DataFrame, value: str, group: str, by: list[str] = ()) -> DataFrame:
@@ -295,7 +316,7 @@ def kruskal_wallis(df: DataFrame, value: str, group: str, by: list[str] = ()) ->
     s = g.groupBy(*by).agg(F.sum(F.col("rs") * F.col("rs") / F.col("m")).alias("q"), F.sum("m").alias("n"), F.count(F.lit(1)).alias("k"))
     s = _with_ties(s, d, value, by)
     n = F.col("n")
-    h = (12 * F.col("q") / (n * (n + 1)) - 3 * (n + 1)) / (1 - F.col("ties") / (n * n * n - n))
+    h = F.try_divide(12 * F.col("q") / (n * (n + 1)) - 3 * (n + 1), 1 - F.try_divide(F.col("ties"), n * n * n - n))
     return s.withColumn("statistic", h).withColumn("df", (F.col("k") - 1).cast("double")).withColumn("p_value", pv.p_chi2(F.col("statistic"), F.col("df"))).drop("q", "ties")
 
 
@@ -398,8 +419,49 @@ def kendall_tau(x, y) -> tuple[int, float, float]:
     return n, s / den if den else float("nan"), s / math.sqrt(var) if var > 0 else float("nan")
 
 
-def ks_two_sample(df: DataFrame, value: str, group: str, first, second, by: list[str] = ()) -> DataFrame:
-    """Largest distance of two distribution functions, over values counted once; asymptotic p."""
+def _kolmogorov(z):
+    """Asymptotic P(sqrt(n) D >= z)."""
+    k = sp.np.arange(1, 101)[None, :]
+    upper = 2 * ((-1.0) ** (k - 1) * sp.np.exp(-2 * k * k * z[:, None] ** 2)).sum(1)
+    return sp.np.where(z < 0.2, 1.0, sp.np.clip(upper, 0, 1))
+
+
+def ks_one_sample(df: DataFrame, value: str, cdf: Column, by: list[str] = (), exact: bool | None = None) -> DataFrame:
+    """Largest distance from a continuous distribution function, ``cdf`` in terms of ``value``: exact p without ties (by default under 100 values), else asymptotic."""
+    by = list(by)
+    d = _clean(df, value).select(*by, F.col(value).alias("_v"), cdf.alias("_f"))
+    r = average_ranks(d, "_v", "r", by)
+    last = F.col("r") + (F.col("r_ties") - 1) / 2
+    size = d.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    r = r.join(size, by) if by else r.crossJoin(F.broadcast(size))
+    far = F.greatest(last / F.col("n") - F.col("_f"), F.col("_f") - (last - F.col("r_ties")) / F.col("n"))
+    s = r.groupBy(*by).agg(F.max(far).alias("statistic"), F.first("n").alias("n"), F.max("r_ties").alias("most"))
+
+    @F.pandas_udf("double")
+    def p(d: pd.Series, n: pd.Series, most: pd.Series) -> pd.Series:
+        far = _kolmogorov(d.to_numpy() * sp.np.sqrt(n.to_numpy()))
+        use = [m == 1 and (exact or exact is None and k < ex.SAMPLE) for k, m in zip(n, most)]
+        return pd.Series([ex.distance_one_sample(a, int(k)) if e else b for a, k, e, b in zip(d, n, use, far)], dtype=float)
+
+    return s.withColumn("p_value", p("statistic", "n", "most")).drop("most")
+
+
+def poisson_exact(df: DataFrame, count: str, exposure: str, rate: float = 1.0, by: list[str] = (), alpha: float = 0.05) -> DataFrame:
+    """Exact two-sided test of a rate (sum of outcomes no likelier than the one seen) with the exact interval of the rate."""
+    s = df.groupBy(*by).agg(F.sum(count).cast("long").alias("x"), F.sum(exposure).cast("double").alias("exposure"))
+
+    @F.pandas_udf("p_value double, ci_low double, ci_high double")
+    def test(x: pd.Series, t: pd.Series) -> pd.DataFrame:
+        rows = [ex.poisson_two_sided(int(a), rate * b) for a, b in zip(x, t)]
+        low = [0.0 if a == 0 else float(sp.chi2_ppf(alpha / 2, 2.0 * a)) / 2 / b for a, b in zip(x, t)]
+        high = [float(sp.chi2_ppf(1 - alpha / 2, 2.0 * a + 2)) / 2 / b for a, b in zip(x, t)]
+        return pd.DataFrame({"p_value": rows, "ci_low": low, "ci_high": high})
+
+    return s.filter("x is not null and exposure > 0").withColumn("estimate", F.col("x") / F.col("exposure")).withColumn("_t", test("x", "exposure")).select(*by, "x", "exposure", "estimate", "_t.*")
+
+
+def ks_two_sample(df: DataFrame, value: str, group: str, first, second, by: list[str] = (), exact: bool | None = None) -> DataFrame:
+    """Largest distance of two distribution functions, over values counted once: exact p without ties (by default with n1 n2 under 10,000), else asymptotic."""
     from statloom.operators.ordered import running_sum
 
     by = list(by)
@@ -409,31 +471,32 @@ def ks_two_sample(df: DataFrame, value: str, group: str, first, second, by: list
     r = running_sum(c, "c1", [value], "u1", by)
     r = running_sum(r, "c2", [value], "u2", by)
     r = r.join(n, by) if by else r.crossJoin(F.broadcast(n))
-    s = r.groupBy(*by).agg(F.max(F.abs(F.col("u1") / F.col("n1") - F.col("u2") / F.col("n2"))).alias("statistic"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+    s = r.groupBy(*by).agg(F.max(F.abs(F.try_divide("u1", "n1") - F.try_divide("u2", "n2"))).alias("statistic"), F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.max(F.col("c1") + F.col("c2")).alias("most"))
 
     @F.pandas_udf("double")
-    def p(d: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        z = d * sp.np.sqrt(a * b / (a + b))
-        k = sp.np.arange(1, 101)[None, :]
-        upper = 2 * ((-1.0) ** (k - 1) * sp.np.exp(-2 * k * k * z.to_numpy()[:, None] ** 2)).sum(1)
-        return pd.Series(sp.np.where(z < 0.2, 1.0, sp.np.clip(upper, 0, 1)))
+    def p(d: pd.Series, a: pd.Series, b: pd.Series, most: pd.Series) -> pd.Series:
+        far = _kolmogorov((d * sp.np.sqrt(a * b / (a + b))).to_numpy())  # NaN with one side only
+        use = [m == 1 and x > 0 and y > 0 and (exact or exact is None and x * y < ex.CELLS) for x, y, m in zip(a, b, most)]
+        return pd.Series([ex.distance_two_sample(v, int(x), int(y)) if e else f for v, x, y, e, f in zip(d, a, b, use, far)], dtype=float)
 
-    return s.withColumn("p_value", p("statistic", "n1", "n2"))
+    return s.withColumn("p_value", p("statistic", "n1", "n2", "most")).drop("most")
 
 
-def ansari_bradley(df: DataFrame, value: str, group: str, first, second, by: list[str] = ()) -> DataFrame:
-    """AB = sum of min(rank, N + 1 - rank) over ``first``, normal approximation with ties."""
+def ansari_bradley(df: DataFrame, value: str, group: str, first, second, by: list[str] = (), exact: bool | None = None) -> DataFrame:
+    """AB = sum of min(rank, N + 1 - rank) over ``first``: exact p without ties (by default with under 50 values on both sides), else the normal approximation with ties."""
     by = list(by)
     d = _clean(df, value).filter(F.col(group).isin(first, second)).select(*by, group, value)
     size = d.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.count_if(F.col(group) == F.lit(first)).cast("double").alias("m"))
     r = average_ranks(d, value, "r", by)
     r = r.join(size, by) if by else r.crossJoin(F.broadcast(size))
-    r = r.withColumn("s", F.least("r", F.col("n") + 1 - F.col("r")))
-    s = r.groupBy(*by).agg(F.sum(F.when(F.col(group) == F.lit(first), F.col("s"))).alias("statistic"), F.sum(F.col("s") * F.col("s")).alias("s2"), F.sum("s").alias("s1"), F.first("n").alias("n"), F.first("m").alias("m"))
+    r = r.withColumn("_s", F.least("r", F.col("n") + 1 - F.col("r")))
+    s = r.groupBy(*by).agg(F.sum(F.when(F.col(group) == F.lit(first), F.col("_s"))).alias("statistic"), F.sum(F.col("_s") * F.col("_s")).alias("s2"), F.sum("_s").alias("s1"), F.first("n").alias("n"), F.first("m").alias("m"), F.max(F.col("r_ties") - 1).alias("ties"))
     n, m = F.col("n"), F.col("m")
     mean = m * F.col("s1") / n
-    var = m * (n - m) / (n * (n - 1)) * (F.col("s2") - F.col("s1") * F.col("s1") / n)
-    return s.withColumn("z", (F.col("statistic") - mean) / F.sqrt(var)).withColumn("p_value", pv.p_normal(F.col("z"))).select(*by, "n", "m", "statistic", "z", "p_value")
+    var = F.try_divide(m * (n - m), n * (n - 1)) * (F.col("s2") - F.col("s1") * F.col("s1") / n)
+    s = s.withColumn("z", F.try_divide(F.col("statistic") - mean, F.sqrt(var)))  # null with one side only
+    p = _exact_or(exact, lambda v, a, b: ex.two_sided(ex.ansari(a, b), v), pv.p_normal(F.col("z")), m, n - m)
+    return s.withColumn("p_value", p).select(*by, "n", "m", "statistic", "z", "p_value")
 
 
 def mood(df: DataFrame, value: str, group: str, first, second, by: list[str] = ()) -> DataFrame:
@@ -445,7 +508,7 @@ def mood(df: DataFrame, value: str, group: str, first, second, by: list[str] = (
     r = r.join(size, by) if by else r.crossJoin(F.broadcast(size))
     s = r.groupBy(*by).agg(F.sum(F.when(F.col(group) == F.lit(first), F.pow(F.col("r") - (F.col("n") + 1) / 2, F.lit(2)))).alias("statistic"), F.first("n").alias("n"), F.first("m").alias("m"))
     n, m = F.col("n"), F.col("m")
-    s = s.withColumn("z", (F.col("statistic") - m * (n * n - 1) / 12) / F.sqrt(m * (n - m) * (n + 1) * (n + 2) * (n - 2) / 180))
+    s = s.withColumn("z", F.try_divide(F.col("statistic") - m * (n * n - 1) / 12, F.sqrt(m * (n - m) * (n + 1) * (n + 2) * (n - 2) / 180)))
     return s.withColumn("p_value", pv.p_normal(F.col("z"))).select(*by, "n", "m", "statistic", "z", "p_value")
 
 

@@ -292,6 +292,69 @@ def mood_scale(spark, sf):
     return h.mood(table(spark, sf, "events"), "value", "event_type", "click", "view").select("statistic", "z")
 
 
+# how many subsets of the ranks 1..k have m members and the sum s
+_SUBSETS = """u AS (SELECT 0 AS k, 0 AS m, 0 AS s, 1.0::DOUBLE AS c, (SELECT max(n) FROM t WHERE exact)::BIGINT AS top
+    UNION ALL SELECT k + 1, m + x, s + x * (k + 1), sum(c), any_value(top) FROM u, (VALUES (0), (1)) b(x) WHERE k < top GROUP BY ALL)"""
+_TAIL = "least(1, 2 * least(sum(c) FILTER (s <= v), sum(c) FILTER (s >= v)) / sum(c)) AS p_value"
+
+
+@query(
+    "signed_rank_exact_by_nation",
+    f"""WITH RECURSIVE r AS (SELECT s_nationkey AS f, s_acctbal AS d, {_rank("abs(s_acctbal)", "s_nationkey")} AS r FROM supplier WHERE s_acctbal <> 0),
+        t AS (SELECT f, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS v, count(*) < 50 AND count(*) = count(DISTINCT abs(d)) AND f NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal = 0) AS exact FROM r GROUP BY f),
+        {_SUBSETS}, p AS (SELECT f, {_TAIL} FROM t JOIN u ON u.k = t.n WHERE exact GROUP BY f, v)
+        SELECT f AS s_nationkey, n::DOUBLE AS n, v AS statistic, p_value FROM t LEFT JOIN p USING (f)""",
+    floats=("n", "statistic", "p_value",),
+)
+def signed_rank_exact_by_nation(spark, sf):
+    """All nations; the p-value where the exact rule holds (small, without ties and zeros)."""
+    s = table(spark, sf, "supplier")
+    a = F.abs("s_acctbal")
+    rule = s.groupBy("s_nationkey").agg(((F.count(F.lit(1)) < 50) & (F.count(F.lit(1)) == F.countDistinct(a)) & (F.min(a) > 0)).alias("exact"))
+    return h.signed_rank(s, "s_acctbal", by=["s_nationkey"]).join(rule, "s_nationkey").select("s_nationkey", "n", "statistic", F.when(F.col("exact"), F.col("p_value")).alias("p_value"))
+
+
+@query(
+    "rank_sum_exact_by_nation",
+    f"""WITH RECURSIVE r AS (SELECT s_nationkey AS f, s_acctbal AS d, s_suppkey % 2 = 0 AS even, {_rank("s_acctbal", "s_nationkey")} AS r FROM supplier),
+        t AS (SELECT f, count(*) AS n, count(*) FILTER (even) AS m, sum(r) FILTER (even) AS v, count(*) < 50 AND count(*) = count(DISTINCT d) AND count(DISTINCT even) = 2 AS exact FROM r GROUP BY f),
+        {_SUBSETS}, p AS (SELECT f, {_TAIL} FROM t JOIN u ON u.k = t.n AND u.m = t.m WHERE exact GROUP BY f, v)
+        SELECT f AS s_nationkey, m::DOUBLE AS n1, (n - m)::DOUBLE AS n2, v - m * (m + 1) / 2 AS statistic, p_value FROM t LEFT JOIN p USING (f)""",
+    floats=("n1", "n2", "statistic", "p_value",),
+)
+def rank_sum_exact_by_nation(spark, sf):
+    """All nations, suppliers of even against those of odd number; the p-value where the exact rule holds (small, both sides, without ties)."""
+    s = table(spark, sf, "supplier").withColumn("odd", F.col("s_suppkey") % 2)
+    rule = s.groupBy("s_nationkey").agg(((F.count(F.lit(1)) < 50) & (F.count(F.lit(1)) == F.countDistinct("s_acctbal")) & (F.countDistinct("odd") == 2)).alias("exact"))
+    out = h.rank_sum(s, "s_acctbal", "odd", 0, 1, by=["s_nationkey"]).join(rule, "s_nationkey")
+    return out.select("s_nationkey", "n1", "n2", "statistic", F.when(F.col("exact"), F.col("p_value")).alias("p_value"))
+
+
+@query(
+    "ks_one_sample_price",
+    """WITH c AS (SELECT l_returnflag, l_extendedprice AS v, count(*) AS k FROM lineitem GROUP BY 1, 2), t AS (SELECT max(l_extendedprice) + 1 AS top FROM lineitem),
+       u AS (SELECT l_returnflag, v / top AS f, sum(k) OVER w AS upto, k, sum(k) OVER (PARTITION BY l_returnflag) AS n FROM c, t WINDOW w AS (PARTITION BY l_returnflag ORDER BY v ROWS UNBOUNDED PRECEDING))
+       SELECT l_returnflag, any_value(n)::DOUBLE AS n, max(greatest(upto / n - f, f - (upto - k) / n)) AS statistic FROM u GROUP BY 1""",
+    floats=("n", "statistic",),
+)
+def ks_one_sample_price(spark, sf):
+    d = table(spark, sf, "lineitem")
+    top = d.agg(F.max("l_extendedprice")).collect()[0][0]
+    return h.ks_one_sample(d, "l_extendedprice", F.col("l_extendedprice") / F.lit(float(top) + 1), by=["l_returnflag"]).select("l_returnflag", "n", "statistic")
+
+
+@query(
+    "poisson_exact_by_nation",
+    """WITH t AS (SELECT s_nationkey, count(*) AS x, 4.5::DOUBLE AS mu FROM supplier GROUP BY 1), p AS (SELECT s_nationkey, x, mu, k, exp(k * ln(mu) - mu - lgamma(k + 1)) AS m FROM (SELECT *, unnest(range(0, 2 * x + 100)) AS k FROM t)),
+       o AS (SELECT s_nationkey, m AS own FROM p WHERE k = x)
+       SELECT s_nationkey, any_value(x) AS x, any_value(x / mu) AS estimate, least(1, sum(m) FILTER (m <= own * (1 + 1e-7))) AS p_value FROM p JOIN o USING (s_nationkey) GROUP BY 1""",
+    floats=("estimate", "p_value",),
+)
+def poisson_exact_by_nation(spark, sf):
+    s = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("c")).withColumn("t", F.lit(4.5))
+    return h.poisson_exact(s, "c", "t", 1.0, by=["s_nationkey"]).select("s_nationkey", "x", "estimate", "p_value")
+
+
 @query("fligner_killeen")
 def fligner_killeen(spark, sf):
     return h.fligner_killeen(table(spark, sf, "orders"), "o_totalprice", "o_orderpriority")
