@@ -207,8 +207,8 @@ def risk_sets(df: DataFrame, time: str, event: str, terms: list[str] = (), eta=N
     if start:
         begins = df.groupBy(*keys, F.col(start).alias("t")).agg(*[(-F.sum(v)).alias(k) for k, v in parts.items()], (-F.count(F.lit(1))).alias("leaving"))
         both = ends.withColumn("o", F.lit(1)).unionByName(begins.withColumn("o", F.lit(0)), allowMissingColumns=True)
-        # going back in time: rows that end at t join, rows that begin at t leave after t's own events are counted
-        order = [F.desc("t"), F.desc("o")]
+        # going back in time: a row is at risk after its start, so rows that begin at t leave before t's own events are counted
+        order = [F.desc("t"), F.asc("o")]
         ends = both
     run = od.running_sums(ends, {f"c{k}": F.col(k) for k in parts} | {"at_risk": F.col("leaving")}, order, keys)
     return run.filter("deaths > 0")
