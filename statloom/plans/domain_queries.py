@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from statloom.operators import genetics as ge
 from statloom.operators import graphs as gr
-from statloom.operators import meta, series
+from statloom.operators import meta, series, survival
 from statloom.operators import settests as st
 from statloom.operators import transforms as tr
 from statloom.plans import expression as ex
@@ -500,6 +500,46 @@ def cox_regression(spark, sf):
     return series.cox(_surv(spark, sf), "t", "e", ["x"], stratum="g").frame(spark)
 
 
+@query(
+    "cox_residuals",
+    """WITH d AS (SELECT l_orderkey, l_linenumber, CAST(date_diff('day', o_orderdate, l_shipdate) AS DOUBLE) AS t, CAST(l_returnflag <> 'N' AS INTEGER) AS e, l_linestatus AS g FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+        c AS (SELECT g, t, sum(e) AS m, count(*) AS k FROM d GROUP BY g, t), n AS (SELECT g, t, m, sum(k) OVER (PARTITION BY g ORDER BY t DESC ROWS UNBOUNDED PRECEDING) AS n FROM c),
+        h AS (SELECT g, t, sum(m / n::DOUBLE) OVER (PARTITION BY g ORDER BY t ROWS UNBOUNDED PRECEDING) AS hazard FROM n)
+        SELECT l_orderkey, l_linenumber, e - hazard AS martingale FROM d JOIN h USING (g, t)""",
+    floats=("martingale",),
+)
+def cox_residuals(spark, sf):
+    j = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    d = j.select("l_orderkey", "l_linenumber", F.datediff("l_shipdate", "o_orderdate").cast("double").alias("t"), (F.col("l_returnflag") != "N").alias("e"), F.col("l_linestatus").alias("g"))
+    return survival.cox_residuals(d, "t", "e", ties="breslow", stratum="g").select("l_orderkey", "l_linenumber", "martingale")
+
+
+_FOLLOWED = "SELECT vec_id, CAST(vec_id % 97 + 1 AS DOUBLE) AS t, label > 3 AS e, embedding FROM embeddings"
+
+
+@query(
+    "cox_score_scan",
+    f"""WITH d AS (SELECT t, e, generate_subscripts(embedding, 1) - 1 AS f, unnest(embedding)::DOUBLE AS x FROM ({_FOLLOWED})),
+        m AS (SELECT f, avg(x) AS centre FROM d GROUP BY f), c AS (SELECT f, t, count(*) AS n, count(*) FILTER (e) AS k, sum(x - centre) AS s, sum((x - centre) * (x - centre)) AS ss, sum(x - centre) FILTER (e) AS sd FROM d JOIN m USING (f) GROUP BY f, t),
+        r AS (SELECT f, n AS here, k, coalesce(sd, 0) AS sd, sum(n) OVER w AS n, sum(s) OVER w AS s, sum(ss) OVER w AS ss FROM c WINDOW w AS (PARTITION BY f ORDER BY t DESC ROWS UNBOUNDED PRECEDING)),
+        v AS (SELECT f, sum(here) AS called, sum(sd - k * s / n) AS score, sum(k * (ss / n - (s / n) * (s / n))) AS variance FROM r GROUP BY f)
+        SELECT f AS feature_id, CAST(called AS BIGINT) AS called, score, variance, score / variance AS beta, score / sqrt(variance) AS statistic FROM v""",
+    floats=("score", "variance", "beta", "statistic",),
+)
+def cox_score_scan(spark, sf):
+    e = table(spark, sf, "embeddings")
+    long = e.select(F.col("vec_id").alias("sample_id"), F.posexplode("embedding").alias("feature_id", "value"))
+    followed = e.select(F.col("vec_id").alias("sample_id"), (F.col("vec_id") % 97 + 1).cast("double").alias("t"), (F.col("label") > 3).alias("e"))
+    return survival.cox_scan(long, followed, "t", "e", ties="breslow").select("feature_id", "called", "score", "variance", "beta", "statistic")
+
+
+@query("cox_proportional_hazards")
+def cox_proportional_hazards(spark, sf):
+    d = _surv(spark, sf)
+    fit = series.cox(d, "t", "e", ["x"], stratum="g")
+    return spark.createDataFrame(survival.proportional_hazards(d, fit, "t", "e", stratum="g"))
+
+
 @query(
     "log_rank",
     f"""WITH d AS ({_SURV}), c AS (SELECT t, count(*) FILTER (e) AS m, count(*) FILTER (e AND g = 'O') AS m1, count(*) AS k, count(*) FILTER (g = 'O') AS k1 FROM d GROUP BY t),
