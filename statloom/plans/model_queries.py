@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statloom.operators import meta, mr
+from statloom.operators import factored, meta, mr
 from statloom.operators import regression as rg
 from statloom.plans.registry import query, table
 
@@ -275,6 +275,48 @@ def ols_scan_features(spark, sf):
     return rg.scan(long, e.select(F.col("vec_id").alias("sample_id"), "label"), "label", []).select("feature_id", "called", "beta", "standard_error")
 
 
+_LINES = "SELECT l_discount::DOUBLE AS x, l_quantity::DOUBLE AS y0, l_extendedprice::DOUBLE AS y1, l_tax::DOUBLE AS y2 FROM lineitem"
+
+
+def _lines(spark, sf):
+    cols = {"x": "l_discount", "y0": "l_quantity", "y1": "l_extendedprice", "y2": "l_tax"}
+    return table(spark, sf, "lineitem").select(*[F.col(c).cast("double").alias(n) for n, c in cols.items()])
+
+
+@query(
+    "multivariate_regression",
+    " UNION ALL ".join(
+        f"""SELECT '{y}' AS outcome, '{t}' AS term, {e} AS estimate, sqrt((regr_syy({y}, x) - regr_slope({y}, x) * regr_sxy({y}, x)) / (count(*) - 2) * {v}) AS se FROM ({_LINES})"""
+        for y in ("y0", "y1", "y2") for t, e, v in (("(Intercept)", f"regr_intercept({y}, x)", "(1.0 / count(*) + avg(x) * avg(x) / regr_sxx(x, x))"), ("x", f"regr_slope({y}, x)", "1.0 / regr_sxx(x, x)"))
+    ),
+    floats=("estimate", "se",),
+)
+def multivariate_regression(spark, sf):
+    fit = factored.multivariate(_lines(spark, sf), ["y0", "y1", "y2"], [rg.ONE, "x"])
+    return spark.createDataFrame(fit.table()).select("outcome", "term", "estimate", "se")
+
+
+@query(
+    "residual_covariance",
+    " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, (covar_pop({a}, {b}) * count(*) - regr_slope({a}, x) * regr_sxy({b}, x)) / (count(*) - 2) AS covariance FROM ({_LINES})" for a, b in (("y0", "y0"), ("y0", "y1"), ("y0", "y2"), ("y1", "y1"), ("y1", "y2"), ("y2", "y2"))),
+    floats=("covariance",),
+)
+def residual_covariance(spark, sf):
+    return spark.createDataFrame(factored.multivariate(_lines(spark, sf), ["y0", "y1", "y2"], [rg.ONE, "x"]).covariance_table())
+
+
+@query(
+    "ols_min_norm",
+    f"""WITH f AS (SELECT regr_intercept(y1, x) AS a, regr_slope(y1, x) AS b FROM ({_LINES}))
+        SELECT '(Intercept)' AS term, a AS estimate FROM f UNION ALL SELECT 'x', b / 5 FROM f UNION ALL SELECT 'twice', 2 * b / 5 FROM f""",
+    floats=("estimate",),
+)
+def ols_min_norm(spark, sf):
+    """A term and its double: the least norm deals the slope b as b / 5 and 2 b / 5."""
+    d = _lines(spark, sf).withColumn("twice", 2 * F.col("x"))
+    return spark.createDataFrame(factored.min_norm(d, "y1", [rg.ONE, "x", "twice"]).table()).select("term", "estimate")
+
+
 @query("glm_scan_scores")
 def glm_scan_scores(spark, sf):
     e = table(spark, sf, "embeddings")
