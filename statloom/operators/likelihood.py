@@ -299,6 +299,10 @@ def nonlinear(df: DataFrame, y: str, columns: list[str], mean: Callable, start:
         sse = normal(x, trial)[2 + p + p * p :]
         k = int(np.nanargmin(sse))
         if not sse[k] < r[1] * (1 - 1e-12):
+            # the sum of squares is flat here, but a last whole step still adds digits to the coefficients
+            if sse[0] <= r[1] * (1 + 1e-12):
+                x = trial[0]
+                r = normal(x, [])
             break
         x = trial[k]
         r = normal(x, [])

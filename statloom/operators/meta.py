@@ -122,6 +122,14 @@ def paule_mandel(y, v, k, rounds: int = 100):
     return np.where(_q(y, v, np.zeros(len(k)))[0] <= goal, 0.0, (low + high) / 2)
 
 
+def _reml_score(y, v, tau2):
+    """Twice the slope of the restricted log-likelihood."""
+    w = 1 / (v + tau2[:, None])
+    total = w.sum(1)
+    mean = (w * y).sum(1) / total
+    return (w * w * (y - mean[:, None]) ** 2).sum(1) - total + (w * w).sum(1) / total
+
+
 def reml(y, v, k, rounds: int = 90):
     """Golden-section minimum of the restricted deviance over a bracket that grows fourfold; 0 where it is no worse."""
 
@@ -150,6 +158,14 @@ def reml(y, v, k, rounds: int = 90):
         a, b = high - g * (high - low), low + g * (high - low)
         fa, fb = deviance(a), deviance(b)
     best = (low + high) / 2
+    # the deviance is flat there, so the last half of the digits comes from where its slope changes sign
+    low, high = best * (1 - 1e-4), best * (1 + 1e-4)
+    inside = (_reml_score(y, v, low) > 0) & (_reml_score(y, v, high) < 0)
+    for _ in range(50):
+        mid = (low + high) / 2
+        up = _reml_score(y, v, mid) > 0
+        low, high = np.where(up, mid, low), np.where(up, high, mid)
+    best = np.where(inside, (low + high) / 2, best)
     return np.where(deviance(np.zeros(n)) <= deviance(best) + 1e-12, 0.0, best)
 
 

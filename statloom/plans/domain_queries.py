@@ -11,7 +11,7 @@ from statloom.operators import meta, series, survival
 from statloom.operators import settests as st
 from statloom.operators import transforms as tr
 from statloom.plans import expression as ex
-from statloom.plans.model_queries import _EFFECTS, effects
+from statloom.plans.model_queries import _DL, _EFFECTS, effects
 from statloom.plans.registry import query, table
 
 # -- transforms ---------------------------------------------------------------------------------------------------------------------------
@@ -254,7 +254,20 @@ def _trade(spark, sf):
     return j.groupBy(F.concat(F.lit("c"), F.col("c_nationkey").cast("string")).alias("source"), F.concat(F.lit("s"), F.col("s_nationkey").cast("string")).alias("target")).agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
-@query("rwr_propagation")
+_TRADE = """SELECT 'c' || c_nationkey AS source, 's' || s_nationkey AS target, count(*)::DOUBLE AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"""
+
+
+@query(
+    "rwr_propagation",
+    f"""WITH RECURSIVE t AS ({_TRADE}), u AS (SELECT source AS a, target AS b, weight AS w FROM t UNION ALL SELECT target, source, weight FROM t), p AS (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS p FROM u),
+        z AS (SELECT DISTINCT a AS node, CASE WHEN a = 'c1' THEN 1.0::DOUBLE ELSE 0 END AS s FROM u),
+        r AS (SELECT 0 AS k, node, s AS score, 1.0::DOUBLE AS moved FROM z UNION ALL
+            SELECT k, node, score, sum(abs(score - old)) OVER () FROM (
+                SELECT k + 1 AS k, z.node, 0.3 * any_value(z.s) + 0.7 * sum(p * score) AS score, any_value(was) AS old
+                FROM (SELECT r.k, a, b, p, r.score, o.score AS was FROM r JOIN p ON r.node = p.a JOIN r o ON o.node = p.b WHERE r.moved >= 1e-8 AND r.k < 200) JOIN z ON z.node = b GROUP BY k, z.node))
+        SELECT node, score FROM r WHERE k = (SELECT max(k) FROM r)""",
+    floats=("score",),
+)
 def rwr_propagation(spark, sf):
     return gr.random_walk(_trade(spark, sf), spark.createDataFrame([("c1",)], "node string"), tol=1e-8)
 
@@ -429,9 +442,14 @@ def selection_expression(spark, sf):
     return e.filter(ex.condition("(p < 0.3 && abs(effect) > 10) || brand == 'Brand#11'", e.columns)).select("brand", "nation")
 
 
-@query("meta_prediction_interval")
+@query(
+    "meta_prediction_interval",
+    f"SELECT feature, k, estimate, se, estimate - 1.959963984540054 * sqrt(tau2 + se * se) AS pi_low, estimate + 1.959963984540054 * sqrt(tau2 + se * se) AS pi_high FROM ({_DL})",
+    floats=("estimate", "se", "pi_low", "pi_high"),
+)
 def meta_prediction_interval(spark, sf):
-    return meta.prediction_interval(meta.pool(effects(spark, sf), "brand", "nation", "effect", "se", "dl"))
+    pooled = meta.pool(effects(spark, sf), "brand", "nation", "effect", "se", "dl")
+    return meta.prediction_interval(pooled).select("feature", "k", "estimate", "se", "pi_low", "pi_high")
 
 
 # -- series and survival ------------------------------------------------------------------------------------------------------------------------
@@ -457,7 +475,15 @@ def acf_ljung_box(spark, sf):
     return series.ljung_box(series.autocorrelation(_hourly(spark, sf), ["s"], "t", "v", 5), ["s"]).select("s", "statistic", "df")
 
 
-@query("pacf_by_type")
+@query(
+    "pacf_by_type",
+    f"""{_ACF.replace("WITH", "WITH RECURSIVE", 1)}, w AS (SELECT s, list(acf ORDER BY lag) AS r FROM a GROUP BY s),
+        p AS (SELECT s, r, 0 AS lag, []::DOUBLE[] AS phi, NULL::DOUBLE AS pacf FROM w UNION ALL
+            SELECT s, r, lag + 1, list_append(list_transform(range(1, lag + 1), lambda j: phi[j] - pacf * phi[lag - j + 1]), pacf), pacf
+            FROM (SELECT s, r, lag, phi, (r[lag + 1] - coalesce(list_sum(list_transform(range(1, lag + 1), lambda j: phi[j] * r[lag - j + 1])), 0)) / (1 - coalesce(list_sum(list_transform(range(1, lag + 1), lambda j: phi[j] * r[j])), 0)) AS pacf FROM p WHERE lag < 5))
+        SELECT s, lag, pacf FROM p WHERE lag > 0""",
+    floats=("pacf",),
+)
 def pacf_by_type(spark, sf):
     return series.partial_autocorrelation(series.autocorrelation(_hourly(spark, sf), ["s"], "t", "v", 5), ["s"])
 
@@ -495,9 +521,21 @@ def kaplan_meier(spark, sf):
     return series.kaplan_meier(_surv(spark, sf), "t", "e", ["g"])
 
 
-@query("cox_regression")
+# Newton steps from zero; the risk sets are running sums over the times of a stratum, tied deaths count by Efron
+_COX = f"""WITH RECURSIVE m AS (SELECT avg(x) AS centre FROM ({_SURV})), d AS (SELECT g, t, x::DOUBLE - centre AS x, count(*) AS n, count(*) FILTER (e) AS k FROM ({_SURV}), m GROUP BY ALL),
+    r AS (SELECT 0 AS round, 0.0::DOUBLE AS b, NULL::DOUBLE AS info UNION ALL
+        SELECT round + 1, b + sum(sx / m - s1 / s0) / sum(s2 / s0 - (s1 / s0) * (s1 / s0)), sum(s2 / s0 - (s1 / s0) * (s1 / s0))
+        FROM (SELECT round, b, m, sx, r0 - f / m * d0 AS s0, r1 - f / m * d1 AS s1, r2 - f / m * d2 AS s2 FROM (SELECT *, unnest(range(m)) AS f FROM (
+            SELECT round, b, m, sx, d0, d1, d2, sum(n0) OVER w AS r0, sum(n1) OVER w AS r1, sum(n2) OVER w AS r2
+            FROM (SELECT round, b, g, t, sum(k)::BIGINT AS m, sum(k * x) AS sx, sum(k * h) AS d0, sum(k * h * x) AS d1, sum(k * h * x * x) AS d2, sum(n * h) AS n0, sum(n * h * x) AS n1, sum(n * h * x * x) AS n2
+                FROM (SELECT round, b, g, t, x, n, k, exp(b * x) AS h FROM r, d WHERE round < 8) GROUP BY round, b, g, t)
+            WINDOW w AS (PARTITION BY round, g ORDER BY t DESC ROWS UNBOUNDED PRECEDING))))
+        GROUP BY round, b)"""
+
+
+@query("cox_regression", f"{_COX} SELECT 'x' AS term, b AS estimate, sqrt(1 / info) AS se, b * sqrt(info) AS statistic FROM r WHERE round = 8", floats=("estimate", "se", "statistic"))
 def cox_regression(spark, sf):
-    return series.cox(_surv(spark, sf), "t", "e", ["x"], stratum="g").frame(spark)
+    return series.cox(_surv(spark, sf), "t", "e", ["x"], stratum="g").frame(spark).select("term", "estimate", "se", "statistic")
 
 
 @query(

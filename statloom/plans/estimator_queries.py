@@ -59,9 +59,16 @@ def rare_events_logit(spark, sf):
     return lk.rare_events(_lines(spark, sf), "b", [rg.ONE, "t"], prevalence=0.3).frame(spark)
 
 
-@query("nonlinear_fit")
+@query(
+    "nonlinear_fit",
+    """WITH f AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b, (regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x)) / (count(*) - 2) AS s, regr_sxx(y, x) AS sxx, count(*) AS n, avg(x) AS m
+        FROM (SELECT l_extendedprice::DOUBLE / 1000 AS y, l_quantity::DOUBLE AS x FROM lineitem))
+        SELECT 'a' AS term, a AS estimate, sqrt(s * (1.0 / n + m * m / sxx)) AS se FROM f UNION ALL SELECT 'b', b, sqrt(s / sxx) FROM f""",
+    floats=("estimate", "se"),
+)
 def nonlinear_fit(spark, sf):
-    return lk.nonlinear(_lines(spark, sf), "p", ["q"], lambda th, d: th[0] + th[1] * d["q"] ** 1.0, [0.0, 1.0], ["a", "b"]).frame(spark)
+    fit = lk.nonlinear(_lines(spark, sf), "p", ["q"], lambda th, d: th[0] + th[1] * d["q"] ** 1.0, [0.0, 1.0], ["a", "b"])
+    return fit.frame(spark).select("term", "estimate", "se")
 
 
 @query("quantile_regression")

@@ -69,14 +69,35 @@ def meta_modified_hartung_knapp(spark, sf):
     return _pooled(spark, sf, "dl", "mhk").select("feature", "k", "estimate", "se", "statistic")
 
 
-@query("meta_pm")
+def _tau2_sql(above: str, top: str) -> str:
+    """Studies e, and t with the tau2 of each brand by bisection: ``above`` holds, of sums over y and weights w, while tau2 is under the root, ``top`` is over it."""
+    return f"""WITH RECURSIVE e AS ({_EFFECTS}),
+        b AS (SELECT brand, 0 AS step, 0.0::DOUBLE AS low, {top}::DOUBLE AS high FROM e GROUP BY brand UNION ALL
+            SELECT brand, step + 1, CASE WHEN {above} THEN any_value(low + high) / 2 ELSE low END, CASE WHEN {above} THEN high ELSE any_value(low + high) / 2 END
+            FROM (SELECT *, sum(y * w) OVER (PARTITION BY brand) / sum(w) OVER (PARTITION BY brand) AS mu FROM (SELECT b.brand, step, low, high, effect AS y, 1 / (se * se + (low + high) / 2) AS w FROM b JOIN e USING (brand) WHERE step < 110))
+            GROUP BY brand, step, low, high),
+        t AS (SELECT brand, (low + high) / 2 AS tau2 FROM b WHERE step = 110)"""
+
+
+@query(
+    "meta_pm",
+    f"""{_tau2_sql("sum(w * (y - mu) * (y - mu)) > count(*) - 1", "var_samp(effect)")}
+        SELECT brand AS feature, count(*) AS k, any_value(tau2) AS tau2, sum(effect / (se * se + tau2)) / sum(1 / (se * se + tau2)) AS estimate, sqrt(1 / sum(1 / (se * se + tau2))) AS se FROM e JOIN t USING (brand) GROUP BY brand""",
+    floats=("tau2", "estimate", "se"),
+)
 def meta_pm(spark, sf):
-    return _pooled(spark, sf, "pm")
+    return _pooled(spark, sf, "pm").select("feature", "k", "tau2", "estimate", "se")
 
 
-@query("meta_reml")
+@query(
+    "meta_reml",
+    f"""{_tau2_sql("sum(w * w * (y - mu) * (y - mu)) - sum(w) + sum(w * w) / sum(w) > 0", "10 * var_samp(effect)")},
+        m AS (SELECT brand, count(*) AS k, any_value(tau2) AS tau2, sum(1 / (se * se + tau2)) AS w, sum(effect / (se * se + tau2)) / sum(1 / (se * se + tau2)) AS estimate FROM e JOIN t USING (brand) GROUP BY brand)
+        SELECT brand AS feature, any_value(k) AS k, any_value(tau2) AS tau2, any_value(estimate) AS estimate, sqrt(sum(power(effect - estimate, 2) / (se * se + m.tau2)) / (any_value(k) - 1) / any_value(w)) AS se FROM e JOIN m USING (brand) GROUP BY brand""",
+    floats=("tau2", "estimate", "se"),
+)
 def meta_reml(spark, sf):
-    return _pooled(spark, sf, "reml", test="hk")
+    return _pooled(spark, sf, "reml", test="hk").select("feature", "k", "tau2", "estimate", "se")
 
 
 @query(
@@ -317,16 +338,37 @@ def ols_min_norm(spark, sf):
     return spark.createDataFrame(factored.min_norm(d, "y1", [rg.ONE, "x", "twice"]).table()).select("term", "estimate")
 
 
-@query("glm_scan_scores")
+@query(
+    "glm_scan_scores",
+    """WITH d AS (SELECT CAST(label > 4 AS INTEGER) AS y, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS f FROM embeddings), p AS (SELECT avg(CAST(label > 4 AS INTEGER)) AS p FROM embeddings),
+        s AS (SELECT f, count(*) AS called, sum(x * (y - p)) AS score, any_value(p * (1 - p)) * (sum(x * x) - sum(x) * sum(x) / count(*)) AS variance FROM d, p GROUP BY f)
+        SELECT f AS feature_id, called, score, variance, score / variance AS beta, score / sqrt(variance) AS statistic, 'ok' AS status FROM s""",
+    floats=("score", "variance", "beta", "statistic"),
+)
 def glm_scan_scores(spark, sf):
     e = table(spark, sf, "embeddings")
     long = e.select(F.col("vec_id").alias("sample_id"), F.posexplode("embedding").alias("feature_id", "value"))
-    return rg.score_scan(long, e.select(F.col("vec_id").alias("sample_id"), (F.col("label") > 4).cast("double").alias("y")), "y", [], "binomial")
+    return rg.score_scan(long, e.select(F.col("vec_id").alias("sample_id"), (F.col("label") > 4).cast("double").alias("y")), "y", [], "binomial").drop("p_value")
+
 
+# Newton steps on the counts of each pair of predictors; the inverse of the 3 x 3 information is written out
+_POISSON = """WITH RECURSIVE d AS (SELECT l_discount::DOUBLE AS x, l_tax::DOUBLE AS z, count(*) AS n, sum(l_linenumber)::DOUBLE AS s FROM lineitem GROUP BY 1, 2),
+    r AS (SELECT 0 AS k, ln(sum(s) / sum(n)) AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, NULL::DOUBLE AS v0, NULL::DOUBLE AS v1, NULL::DOUBLE AS v2 FROM d UNION ALL
+        SELECT k + 1, b0 + (c00 * g0 + c01 * g1 + c02 * g2) / det, b1 + (c01 * g0 + c11 * g1 + c12 * g2) / det, b2 + (c02 * g0 + c12 * g1 + c22 * g2) / det, c00 / det, c11 / det, c22 / det
+        FROM (SELECT *, a11 * a22 - a12 * a12 AS c00, a02 * a12 - a01 * a22 AS c01, a01 * a12 - a02 * a11 AS c02, a00 * a22 - a02 * a02 AS c11, a01 * a02 - a00 * a12 AS c12, a00 * a11 - a01 * a01 AS c22,
+                a00 * (a11 * a22 - a12 * a12) - a01 * (a01 * a22 - a12 * a02) + a02 * (a01 * a12 - a11 * a02) AS det
+            FROM (SELECT k, b0, b1, b2, sum(m) AS a00, sum(m * x) AS a01, sum(m * z) AS a02, sum(m * x * x) AS a11, sum(m * x * z) AS a12, sum(m * z * z) AS a22, sum(s - m) AS g0, sum((s - m) * x) AS g1, sum((s - m) * z) AS g2
+                FROM (SELECT r.*, x, z, s, n * exp(b0 + b1 * x + b2 * z) AS m FROM r, d WHERE k < 12) GROUP BY k, b0, b1, b2)))"""
 
-@query("glm_poisson")
+
+@query(
+    "glm_poisson",
+    f"""{_POISSON} SELECT t.term, CASE t.i WHEN 0 THEN b0 WHEN 1 THEN b1 ELSE b2 END AS estimate, sqrt(CASE t.i WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END) AS se
+        FROM r, (VALUES (0, '(Intercept)'), (1, 'l_discount'), (2, 'l_tax')) t(i, term) WHERE k = 12""",
+    floats=("estimate", "se"),
+)
 def glm_poisson(spark, sf):
-    return rg.glm(table(spark, sf, "lineitem"), "l_linenumber", [rg.ONE, "l_discount", "l_tax"], "poisson").frame(spark)
+    return rg.glm(table(spark, sf, "lineitem"), "l_linenumber", [rg.ONE, "l_discount", "l_tax"], "poisson").frame(spark).select("term", "estimate", "se")
 
 
 @query(
