@@ -174,7 +174,16 @@ def multiple_imputation(spark, sf):
     return omics.impute(d, ["a", "b"], m=3)
 
 
-@query("kinship_pairs")
+@query(
+    "kinship_pairs",
+    """WITH RECURSIVE m AS (SELECT 2 AS k, [[0.5::DOUBLE, 0], [0, 0.5]] AS phi UNION ALL
+            SELECT k + 1, list_append(list_transform(range(1, k + 1), lambda j: list_append(phi[j], v[j])), list_append(v, self)) FROM (
+                SELECT k, phi, list_transform(range(1, k + 1), lambda j: (phi[s][j] + phi[d][j]) / 2) AS v, 0.5 + phi[s][d] / 2 AS self FROM (SELECT *, CASE WHEN k < 5 THEN 1 ELSE 3 END AS s, CASE WHEN k < 5 THEN 2 ELSE k - 1 END AS d FROM m WHERE k < 8))),
+        f AS (SELECT phi FROM m WHERE k = 8)
+        SELECT a.p_partkey AS a, b.p_partkey AS b, phi[a.p_partkey % 8 + 1][b.p_partkey % 8 + 1] AS value FROM part a JOIN part b ON a.p_partkey // 8 = b.p_partkey // 8 AND a.p_partkey <= b.p_partkey, f
+        WHERE phi[a.p_partkey % 8 + 1][b.p_partkey % 8 + 1] > 0""",
+    floats=("value",),
+)
 def kinship_pairs(spark, sf):
     p = table(spark, sf, "part").withColumn("k", F.col("p_partkey") % 8)  # families of eight: two founders, their children and these children's
     first = F.col("p_partkey") - F.col("k")

@@ -412,10 +412,27 @@ def ols_cluster_cr0(spark, sf):
     return rg.ols_robust(table(spark, sf, "lineitem"), "l_extendedprice", [rg.ONE, "l_quantity"], "CR0", "l_suppkey").frame(spark).filter("term = 'l_quantity'").select("term", "se")
 
 
-@query("survey_logit")
+# Newton steps of the weighted logistic fit, then the spread of the units' score totals within strata between two copies of the inverse information
+_SURVEY = """WITH RECURSIVE q AS (SELECT avg(l_quantity) AS q FROM lineitem), d AS (SELECT l_tax::DOUBLE AS x, CASE WHEN l_discount > 0.05 THEN 1.0::DOUBLE ELSE 0 END AS y, l_returnflag AS h, l_suppkey AS u, l_quantity / q AS w FROM lineitem, q),
+    c AS (SELECT x, sum(w) AS w, sum(w * y) AS s FROM d GROUP BY x),
+    r AS (SELECT 0 AS k, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS i00, 0.0::DOUBLE AS i01, 0.0::DOUBLE AS i11 UNION ALL
+        SELECT k + 1, b0 + (a11 * g0 - a01 * g1) / det, b1 + (a00 * g1 - a01 * g0) / det, a11 / det, -a01 / det, a00 / det
+        FROM (SELECT *, a00 * a11 - a01 * a01 AS det FROM (SELECT k, b0, b1, sum(w * p * (1 - p)) AS a00, sum(w * p * (1 - p) * x) AS a01, sum(w * p * (1 - p) * x * x) AS a11, sum(s - w * p) AS g0, sum((s - w * p) * x) AS g1
+            FROM (SELECT k, b0, b1, x, w, s, 1 / (1 + exp(-(b0 + b1 * x))) AS p FROM r, c WHERE k < 12) GROUP BY k, b0, b1))),
+    f AS (SELECT * FROM r WHERE k = 12), t AS (SELECT h, u, sum(w * (y - 1 / (1 + exp(-(b0 + b1 * x))))) AS u0, sum(w * (y - 1 / (1 + exp(-(b0 + b1 * x)))) * x) AS u1 FROM d, f GROUP BY h, u),
+    v AS (SELECT sum(m * c00) AS v00, sum(m * c01) AS v01, sum(m * c11) AS v11 FROM (SELECT count(*) AS m, var_samp(u0) AS c00, covar_samp(u0, u1) AS c01, var_samp(u1) AS c11 FROM t GROUP BY h))"""
+
+
+@query(
+    "survey_logit",
+    f"""{_SURVEY} SELECT '(Intercept)' AS term, b0 AS estimate, sqrt(i00 * i00 * v00 + 2 * i00 * i01 * v01 + i01 * i01 * v11) AS se FROM f, v UNION ALL
+        SELECT 'l_tax', b1, sqrt(i01 * i01 * v00 + 2 * i01 * i11 * v01 + i11 * i11 * v11) FROM f, v""",
+    floats=("estimate", "se"),
+)
 def survey_logit(spark, sf):
     d = table(spark, sf, "lineitem").withColumn("y", (F.col("l_discount") > 0.05).cast("double"))
-    return rg.survey(d, "y", [rg.ONE, "l_tax"], "binomial", "l_quantity", "l_returnflag", "l_suppkey").frame(spark)
+    fit = rg.survey(d, "y", [rg.ONE, "l_tax"], "binomial", "l_quantity", "l_returnflag", "l_suppkey")
+    return fit.frame(spark).select("term", "estimate", "se")
 
 
 @query(
