@@ -72,13 +72,24 @@ def t_two_sample(df: DataFrame, value: str, group: str, first, second, by: list[
     return out.withColumn("ci_low", F.col("estimate") - half).withColumn("ci_high", F.col("estimate") + half)
 
 
-def variance_ratio(df: DataFrame, value: str, group: str, first, second, by: list[str] = ()) -> DataFrame:
+def variance_ratio(df: DataFrame, value: str, group: str, first, second, by: list[str] = (), alpha: float = 0.05) -> DataFrame:
+    """F test of two variances, with the interval of their ratio; null where a side has fewer than two values or no spread."""
     d = _clean(df, value)
     side = lambda g: F.when(F.col(group) == F.lit(g), F.col(value))
     m = d.groupBy(*by).agg(F.count(side(first)).alias("n1"), F.var_samp(side(first)).alias("var1"), F.count(side(second)).alias("n2"), F.var_samp(side(second)).alias("var2"))
     out = m.withColumn("statistic", F.try_divide("var1", "var2")).withColumn("df1", (F.col("n1") - 1).cast("double")).withColumn("df2", (F.col("n2") - 1).cast("double"))
     p = pv.p_f(F.col("statistic"), F.col("df1"), F.col("df2"))
-    return out.withColumn("_p", p).withColumn("p_value", 2 * F.least("_p", 1 - F.col("_p"))).drop("_p")
+    out = out.withColumn("_p", p).withColumn("p_value", 2 * F.least("_p", 1 - F.col("_p"))).drop("_p")
+
+    @F.pandas_udf("ci_low double, ci_high double")
+    def interval(x: pd.Series, df1: pd.Series, df2: pd.Series) -> pd.DataFrame:
+        ok = x.notna() & (x > 0) & (df1 > 0) & (df2 > 0)
+        a, b = df1.where(ok, 1.0).to_numpy(float), df2.where(ok, 1.0).to_numpy(float)
+        x = x.where(ok).to_numpy(float)
+        return pd.DataFrame({"ci_low": x / sp.f_ppf(1 - alpha / 2, a, b), "ci_high": x * sp.f_ppf(1 - alpha / 2, b, a)})
+
+    bounds = out.withColumn("_c", interval("statistic", "df1", "df2")).select(*out.columns, "_c.*")
+    return bounds.withColumn("ci_low", F.nanvl("ci_low", F.lit(None))).withColumn("ci_high", F.nanvl("ci_high", F.lit(None)))
 
 
 def _moments(df: DataFrame, value: str, group: str, by: list[str]) -> DataFrame:
@@ -158,8 +169,8 @@ def mcnemar(df: DataFrame, first: Column, second: Column, by: list[str] = (), co
     return out.withColumn("p_value", pv.p_chi2(F.col("statistic"), F.col("df")))
 
 
-def proportion(df: DataFrame, success: Column, group: str, by: list[str] = (), correct: bool = True) -> DataFrame:
-    """Equality of k proportions; the continuity correction applies to two groups only."""
+def proportion(df: DataFrame, success: Column, group: str, by: list[str] = (), correct: bool = True, alpha: float = 0.05) -> DataFrame:
+    """Equality of k proportions; the continuity correction applies to two groups only, and so does the interval of their difference (first less second)."""
     g = df.groupBy(*by, group).agg(F.count_if(success).cast("double").alias("x"), F.count(F.lit(1)).cast("double").alias("n"))
     s = g.groupBy(*by).agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum(1 / F.col("n")).alias("inv"), F.count(F.lit(1)).alias("k"), F.collect_list(F.struct(F.col(group).alias("g"), "x", "n")).alias("c"))
     s = s.withColumn("p", F.col("x") / F.col("n"))
@@ -170,7 +181,14 @@ def proportion(df: DataFrame, success: Column, group: str, by: list[str] = (), c
     term = lambda o, e: F.pow(F.abs(o - e) - F.col("y"), F.lit(2)) / e
     stat = F.aggregate("c", F.lit(0.0), lambda a, c: a + term(c["x"], c["n"] * F.col("p")) + term(c["n"] - c["x"], c["n"] * (1 - F.col("p"))))
     out = s.withColumn("statistic", stat).withColumn("df", (F.col("k") - 1).cast("double"))
-    return out.withColumn("p_value", pv.p_chi2(F.col("statistic"), F.col("df"))).select(*by, "k", "n", "p", "statistic", "df", "p_value")
+    share = lambda c: c["x"] / c["n"]
+    spread = lambda c: share(c) * (1 - share(c)) / c["n"]
+    a, b = F.get(ordered, F.lit(0)), F.get(ordered, F.lit(1))
+    half = F.lit(float(sp.normal_ppf(1 - alpha / 2))) * F.sqrt(spread(a) + spread(b)) + F.col("y") * F.col("inv")
+    two = F.col("k") == 2
+    out = out.withColumn("difference", F.when(two, share(a) - share(b)))
+    out = out.withColumn("ci_low", F.when(two, F.greatest(F.lit(-1.0), F.col("difference") - half))).withColumn("ci_high", F.when(two, F.least(F.lit(1.0), F.col("difference") + half)))
+    return out.withColumn("p_value", pv.p_chi2(F.col("statistic"), F.col("df"))).select(*by, "k", "n", "p", "statistic", "df", "p_value", "difference", "ci_low", "ci_high")
 
 
 def proportion_trend(df: DataFrame, success: Column, score: str, by: list[str] = ()) -> DataFrame:

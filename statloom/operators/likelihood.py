@@ -397,7 +397,7 @@ def gee(df: DataFrame, y: str, terms: list[str], cluster: str, family: str = "ga
 
     With exchangeable correlation a cluster's inverse needs its size and sums of scaled rows only, so clusters are one aggregate, of any size.
     """
-    fam = rg.FAMILIES[family]()
+    fam = rg.family_of(family)
     d = rg.complete(df, y, *terms)
     p = len(terms)
     beta, rho = rg.glm(d, y, terms, family).beta, 0.0

@@ -29,7 +29,7 @@ def _standardised(df: DataFrame, fit: rg.Fit, fam: rg.Family, settings: list[dic
 
 def contrast(df: DataFrame, fit: rg.Fit, family: str | rg.Family, first: dict, second: dict | None = None, kind: str = "difference", alpha: float = 0.05) -> dict:
     """Expected response at ``first``, or its difference or ratio with ``second``; delta-method SE, ratios on the log scale."""
-    fam = rg.FAMILIES[family]() if isinstance(family, str) else family
+    fam = rg.family_of(family)
     settings = [first] + ([second] if second is not None else [])
     h = 1e-5 * np.maximum(1.0, np.abs(fit.beta))
     eye = np.eye(len(fit.beta))

@@ -7,6 +7,7 @@ alone. Iterative fits make one pass over the data a step. Terms are columns; bui
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -284,7 +285,11 @@ class InverseGaussian(Poisson):
 
 
 class NegativeBinomial(Poisson):
+    """Log link, given size."""
+
     def __init__(self, theta: float):
+        if not (math.isfinite(theta) and theta > 0):
+            raise ValueError("the size must be positive and finite")
         self.theta = theta
 
     def variance(self, mu):
@@ -295,9 +300,13 @@ class NegativeBinomial(Poisson):
 
 
 class Tweedie(Poisson):
+    """Quasi-likelihood with log link and variance mu ** power; for powers 1 and 2 take quasi_poisson and gamma."""
+
     dispersion = True
 
     def __init__(self, power: float):
+        if not math.isfinite(power) or power in (1, 2):
+            raise ValueError("the power must be finite and neither 1 nor 2")
         self.power = power
 
     def variance(self, mu):
@@ -311,6 +320,18 @@ class Tweedie(Poisson):
 FAMILIES = {"gaussian": Gaussian, "binomial": Binomial, "probit": Probit, "poisson": Poisson, "gamma": Gamma, "inverse_gaussian": InverseGaussian, "quasi_poisson": QuasiPoisson, "quasi_binomial": QuasiBinomial}
 
 
+def family_of(family: str | Family) -> Family:
+    """A family by name; ``negative_binomial(size)`` and ``tweedie(power)`` take their parameter in brackets."""
+    if not isinstance(family, str):
+        return family
+    given = re.fullmatch(r"(negative_binomial|tweedie)\((.+)\)", family.strip())
+    if given:
+        return {"negative_binomial": NegativeBinomial, "tweedie": Tweedie}[given[1]](float(given[2]))
+    if family not in FAMILIES:
+        raise ValueError(f"unknown family {family}")
+    return FAMILIES[family]()
+
+
 def _eta(terms: list[str], beta: np.ndarray, offset: str | None) -> Column:
     out = F.col(offset).cast("double") if offset else F.lit(0.0)
     for t, b in zip(terms, beta):
@@ -320,7 +341,7 @@ def _eta(terms: list[str], beta: np.ndarray, offset: str | None) -> Column:
 
 def glm(df: DataFrame, y: str, terms: list[str], family: str | Family, weight: str | None = None, offset: str | None = None, tol: float = 1e-9, max_iter: int = 50) -> Fit:
     """Iteratively reweighted least squares with step halving on the deviance; one pass a step and one for each trial."""
-    fam = FAMILIES[family]() if isinstance(family, str) else family
+    fam = family_of(family)
     if isinstance(fam, Gaussian):
         return ols(df, y, terms, weight, offset)
     d = complete(df, y, *terms, *([weight] if weight else []), *([offset] if offset else []))
@@ -364,7 +385,7 @@ def glm(df: DataFrame, y: str, terms: list[str], family: str | Family, weight: s
 
 def predict(df: DataFrame, fit: Fit, family: str | Family = "gaussian", name: str = "predicted", offset: str | None = None) -> DataFrame:
     """Mean predictions with the delta-method SE of the linear predictor."""
-    fam = FAMILIES[family]() if isinstance(family, str) else family
+    fam = family_of(family)
     eta = _eta(fit.terms, fit.beta, offset)
     cov = np.nan_to_num(fit.cov)
     var = F.lit(0.0)
@@ -376,7 +397,7 @@ def predict(df: DataFrame, fit: Fit, family: str | Family = "gaussian", name: st
 
 def average_marginal_effect(df: DataFrame, fit: Fit, term: str, family: str | Family) -> tuple[float, float]:
     """Mean slope of the expected response in ``term`` and its delta-method SE (numerical derivative in the coefficients)."""
-    fam = FAMILIES[family]() if isinstance(family, str) else family
+    fam = family_of(family)
     k = fit.terms.index(term)
 
     def effect(beta) -> Column:
@@ -478,7 +499,7 @@ def survey(df: DataFrame, y: str, terms: list[str], family: str, weight: str, st
     mean = df.agg(F.avg(weight)).collect()[0][0]
     d = complete(df, y, *terms, weight).withColumn("_sw", F.col(weight) / F.lit(float(mean)))
     fit = glm(d, y, terms, family, weight="_sw")
-    fam = FAMILIES[family]()
+    fam = family_of(family)
     eta = _eta(terms, fit.beta, None)
     mu = fam.mean(eta)
     slope = fam.slope(eta, mu)
@@ -595,7 +616,7 @@ def scan(features: DataFrame, phenotype: DataFrame, y: str, covariates: list[str
 def score_scan(features: DataFrame, phenotype: DataFrame, y: str, covariates: list[str], family: str, sample: str = "sample_id", feature: str = "feature_id", value: str = "value") -> DataFrame:
     """Score tests of each feature against one fitted null GLM: no refit, sums by feature only."""
     terms = [ONE, *covariates]
-    fam = FAMILIES[family]()
+    fam = family_of(family)
     d = complete(phenotype, y, *covariates)
     fit = glm(d, y, terms, family)
     if not fit.extra.get("converged", True):

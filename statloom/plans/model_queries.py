@@ -371,6 +371,35 @@ def glm_poisson(spark, sf):
     return rg.glm(table(spark, sf, "lineitem"), "l_linenumber", [rg.ONE, "l_discount", "l_tax"], "poisson").frame(spark).select("term", "estimate", "se")
 
 
+# With a term for each of two groups a log link puts each group at its mean, whatever the family, so estimates and information have closed forms
+_GROUP_FAMILIES = {
+    "glm_negative_binomial": ("negative_binomial(3)", "l_linenumber::DOUBLE", "(m + m * m / 3)", False),
+    "glm_tweedie": ("tweedie(1.5)", "l_extendedprice::DOUBLE / 1000", "power(m, 1.5)", True),
+    "glm_gamma": ("gamma", "l_extendedprice::DOUBLE / 1000", "(m * m)", True),
+    "glm_inverse_gaussian": ("inverse_gaussian", "l_extendedprice::DOUBLE / 1000", "(m * m * m)", True),
+}
+
+
+def _group_glm(name: str):
+    family, y, variance, dispersion = _GROUP_FAMILIES[name]
+    phi = f"(SELECT sum((y - m) * (y - m) / {variance}) / (count(*) - 2) FROM d JOIN g USING (x))" if dispersion else "1.0"
+
+    @query(
+        name,
+        f"""WITH d AS (SELECT l_linestatus = 'O' AS x, {y} AS y FROM lineitem), g AS (SELECT x, count(*) AS n, avg(y) AS m FROM d GROUP BY x), w AS (SELECT x, ln(m) AS l, {phi} / (n * m * m / {variance}) AS v FROM g)
+            SELECT CASE WHEN x THEN 'open' ELSE 'filled' END AS term, l AS estimate, sqrt(v) AS se FROM w""",
+        floats=("estimate", "se"),
+    )
+    def run(spark, sf):
+        value = F.col("l_linenumber").cast("double") if "linenumber" in y else F.col("l_extendedprice") / 1000
+        d = table(spark, sf, "lineitem").select(value.alias("y"), *[(F.col("l_linestatus") == v).cast("double").alias(n) for n, v in (("open", "O"), ("filled", "F"))])
+        return rg.glm(d, "y", ["open", "filled"], family).frame(spark).select("term", "estimate", "se")
+
+
+for _name in _GROUP_FAMILIES:
+    _group_glm(_name)
+
+
 @query(
     "glm_logit_saturated",
     """WITH g AS (SELECT l_linestatus = 'O' AS x, avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0 END) AS p FROM lineitem GROUP BY 1), a AS (SELECT ln(p / (1 - p)) AS l FROM g WHERE NOT x), b AS (SELECT ln(p / (1 - p)) AS l FROM g WHERE x)

@@ -152,6 +152,18 @@ def proportion_two_groups(spark, sf):
     return h.proportion(table(spark, sf, "lineitem"), F.col("l_discount") > 0.05, "l_linestatus").select("statistic")
 
 
+@query(
+    "proportion_difference",
+    """WITH g AS (SELECT l_linestatus AS g, count(*)::DOUBLE AS n, avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0 END)::DOUBLE AS p FROM lineitem GROUP BY 1),
+        d AS (SELECT a.p - b.p AS d, a.p * (1 - a.p) / a.n + b.p * (1 - b.p) / b.n AS v, 1 / a.n + 1 / b.n AS inv FROM g a JOIN g b ON a.g < b.g),
+        h AS (SELECT d, 1.959963984540054 * sqrt(v) + least(0.5, abs(d) / inv) * inv AS half FROM d)
+        SELECT d AS difference, greatest(-1, d - half) AS ci_low, least(1, d + half) AS ci_high FROM h""",
+    floats=("difference", "ci_low", "ci_high"), rest=False,
+)
+def proportion_difference(spark, sf):
+    return h.proportion(table(spark, sf, "lineitem"), F.col("l_discount") > 0.05, "l_linestatus").select("difference", "ci_low", "ci_high")
+
+
 @query(
     "proportion_trend",
     """WITH g AS (SELECT l_linenumber AS s, count(*) FILTER (l_discount > 0.05)::DOUBLE AS x, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1),
