@@ -163,7 +163,8 @@ def cox_scan(
     null = d.withColumn("_r", F.exp(eta)).join(rows, "_sample").join(times, F.col("_g").eqNullSafe(F.col("_gt")) & (F.col("_t") == F.col("_tt")))
     null = materialize(null.drop("_gt", "_tt"))
     x = features.select(F.col(feature).alias("feature_id"), F.col(sample).alias("_sample"), finite(value).alias("x")).filter("x is not null").join(null, "_sample")
-    x = x.join(x.groupBy("feature_id").agg(F.avg("x").alias("_mean")), "feature_id").withColumn("x", F.col("x") - F.col("_mean"))
+    # one shuffle by feature serves the mean, the sums by event time and the running sums
+    x = x.withColumn("x", F.col("x") - F.avg("x").over(W.partitionBy("feature_id")))
     expected = F.col("_e") - F.col("_m")
     part = x.groupBy("feature_id", "_g", "_t").agg(
         F.count(F.lit(1)).alias("called"), F.sum(F.col("x") * F.col("_m")).alias("score"), F.sum(expected * F.col("x") * F.col("x")).alias("xx"),
