@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from statloom.operators import factored, meta, mr
@@ -152,9 +153,15 @@ _HARM = f"""SELECT 'x' || a.trait AS exposure, 'y' || b.trait AS outcome, a.vari
 
 
 def _traits(spark, sf):
-    j = table(spark, sf, "lineitem").join(table(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("trait")), F.col("l_suppkey") == F.col("s_suppkey"))
-    se = lambda c: (F.stddev_samp(c) / F.sqrt(F.count(F.lit(1))))
-    t = j.groupBy(F.col("l_partkey").alias("variant"), "trait").agg(F.count(F.lit(1)).alias("n"), (F.avg("l_discount") - 0.05).alias("bx"), se("l_discount").alias("sx"), (F.avg("l_tax") - 0.04).alias("by"), se("l_tax").alias("sy")).filter("n > 2 and sx > 0 and sy > 0")
+    # a mean of exactly 0.05 is zero or rounding noise by the order of addition, and ``a.bx <> 0`` keeps the noise: rows are added in the order of the file, as the SQL does on one thread
+    lines = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_discount", "l_tax", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    j = lines.join(table(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("trait")), F.col("l_suppkey") == F.col("s_suppkey")).withColumnRenamed("l_partkey", "variant")
+    own = W.partitionBy("variant", "trait").orderBy("_file", "_row")
+    whole = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    n = F.count(F.lit(1)).over(whole)
+    se = lambda c: F.stddev_samp(c).over(whole) / F.sqrt(n)
+    t = j.select("variant", "trait", n.alias("n"), (F.avg("l_discount").over(whole) - 0.05).alias("bx"), se("l_discount").alias("sx"), (F.avg("l_tax").over(whole) - 0.04).alias("by"), se("l_tax").alias("sy"), F.row_number().over(own).alias("_k"))
+    t = t.filter("_k = 1 and n > 2 and sx > 0 and sy > 0").drop("_k")
     base = lambda e: F.substring(F.lit("ACGT"), (F.lit(1) + e % 4).cast("int"), F.lit(1))
     return t.withColumn("ea", base(F.col("variant"))).withColumn("oa", base(F.floor(F.col("variant") / 4))).filter("true")
 
