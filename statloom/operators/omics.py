@@ -9,6 +9,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,10 @@ from statloom.operators.likelihood import totals
 from statloom.operators.multiplicity import finite
 from statloom.session import ship
 
-#: Sample by sample matrices live on the driver; beyond this many samples components come from the features' side.
+#: A sample by sample matrix, where features outnumber the samples, lives on the driver up to this many samples.
 MAX_SAMPLES = 20_000
+#: With at most this many features, and no more of them than samples, components come from the features' side.
+MAX_FEATURES = 2_048
 
 
 def _rows(df: DataFrame, feature: str, sample: str, value: str, samples: list) -> DataFrame:
@@ -30,25 +33,74 @@ def _rows(df: DataFrame, feature: str, sample: str, value: str, samples: list) -
     n, kind = len(samples), dict(df.dtypes)[feature]
 
     def run(batches):
-        for pdf in batches:
-            out = []
-            for r in pdf["r"]:
-                x = np.full(n, np.nan)
-                for e in r:
-                    x[e["_i"]] = np.nan if e["v"] is None else e["v"]
-                out.append(x)
-            yield pd.DataFrame({"feature_id": pdf["feature_id"], "x": out})
+        for batch in batches:
+            step = max(1, _CELLS // n)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                x = np.full((part.num_rows, n), np.nan)
+                for row in range(part.num_rows):
+                    i, v = part.column("r").slice(row, 1).flatten().flatten()
+                    x[row, i.to_numpy()] = v.to_numpy(zero_copy_only=False)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * n, pa.int32()), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column("feature_id"), lists], ["feature_id", "x"])
+
+    return g.mapInArrow(run, f"feature_id {kind}, x array<double>")
+
+
+#: Doubles of a matrix that a task works on at once.
+_CELLS = 1_000_000
 
-    return g.mapInPandas(run, f"feature_id {kind}, x array<double>")
+
+def _pieces(pdf: pd.DataFrame, n: int):
+    """Some features at a time: their temporary matrices stay small however many samples there are."""
+    step = max(1, _CELLS // max(n, 1))
+    for at in range(0, len(pdf), step):
+        yield pdf.iloc[at : at + step]
 
 
 def samples_of(df: DataFrame, sample: str = "sample_id") -> list:
-    ids = [r[0] for r in df.select(sample).distinct().orderBy(sample).limit(MAX_SAMPLES + 1).collect()]
+    return [r[0] for r in df.select(sample).distinct().orderBy(sample).collect()]
+
+
+def _few(ids: list) -> list:
     if len(ids) > MAX_SAMPLES:
-        raise ValueError(f"more than {MAX_SAMPLES} samples")
+        raise ValueError(f"more than {MAX_SAMPLES} samples and more than {MAX_FEATURES} features")
     return ids
 
 
+def _by_sample(df: DataFrame, feature: str, sample: str, value: str, n: int) -> tuple[DataFrame, np.ndarray] | None:
+    """Rows of samples over all features and the features' means, where the features' side is the smaller one."""
+    names = [r[0] for r in df.select(feature).distinct().limit(MAX_FEATURES + 1).collect()]
+    if len(names) > min(MAX_FEATURES, n):
+        return None
+    rows = _rows(df, sample, feature, value, sorted(names))
+
+    def one(pdf):
+        x = np.stack(pdf["x"])
+        return np.concatenate([(~np.isnan(x)).sum(0), np.nansum(x, 0)])
+
+    seen, sums = totals(rows, one).reshape(2, -1)
+    return rows, sums / np.maximum(seen, 1)
+
+
+def _centred(pdf: pd.DataFrame, means: np.ndarray) -> np.ndarray:
+    return np.nan_to_num(np.stack(pdf["x"]) - means)
+
+
+def _scored(rows: DataFrame, ids: list, k: int, fn) -> np.ndarray:
+    """``k`` numbers for each sample, in the order of ``ids``."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"s": pdf["feature_id"], "v": list(fn(pdf))})
+
+    place, out = {s: i for i, s in enumerate(ids)}, np.zeros((len(ids), k))
+    got = rows.mapInPandas(run, f"s {dict(rows.dtypes)['feature_id']}, v array<double>").toPandas()
+    if len(got):
+        out[[place[s] for s in got["s"]]] = np.stack(got["v"])
+    return out
+
+
 def _matrix(pdf: pd.DataFrame) -> np.ndarray:
     x = np.stack([np.asarray(v, float) for v in pdf["x"]])
     m = np.nanmean(x, axis=1, keepdims=True)
@@ -56,9 +108,28 @@ def _matrix(pdf: pd.DataFrame) -> np.ndarray:
 
 
 def pca(df: DataFrame, k: int = 10, feature: str = "feature_id", sample: str = "sample_id", value: str = "value", scale: bool = True) -> pd.DataFrame:
-    """Sample scores of the leading components and their variance shares, from the sample Gram matrix of centred features (one pass)."""
+    """Sample scores of the leading components and their variance shares, from the Gram matrix of centred features: of the features, or of the samples if they are fewer."""
     ids = samples_of(df, sample)
     n = len(ids)
+    side = _by_sample(df, feature, sample, value, n)
+    if side is not None:
+        rows, means = side
+        m = len(means)
+        gram = totals(rows, lambda pdf: (lambda x: x.T @ x)(_centred(pdf, means)).ravel()).reshape(m, m)
+        sd = np.sqrt(np.diag(gram) / max(n - 1, 1)) if scale else np.ones(m)
+        unit = np.where(sd > 0, 1 / np.where(sd > 0, sd, 1), 0)
+        live = max(int((sd > 0).sum()), 1)
+        gram = gram * unit * unit[:, None] / live
+        vals, vecs = np.linalg.eigh(gram)
+        order = np.argsort(-vals)[:k]
+        turn = vecs[:, order] * unit[:, None] / math.sqrt(live)
+        pc = np.zeros((n, min(k, n)))
+        pc[:, : len(order)] = _scored(rows, ids, len(order), lambda pdf: _centred(pdf, means) @ turn)
+        pc = pc * np.where(pc[np.abs(pc).argmax(0), np.arange(pc.shape[1])] < 0, -1, 1)
+        out = pd.DataFrame({sample: ids, **{f"PC{i + 1}": pc[:, i] for i in range(pc.shape[1])}})
+        out.attrs["share"] = np.pad(vals[order], (0, pc.shape[1] - len(order))) / max(gram.trace(), 1e-300)
+        return out
+    _few(ids)
 
     def one(pdf):
         x = _matrix(pdf)
@@ -82,11 +153,14 @@ def surrogate_variables(df: DataFrame, design: np.ndarray, null: np.ndarray | No
     """Iteratively reweighted surrogate variables: components of features that follow hidden factors and not the design.
 
     ``design`` and ``null`` are rows in the order of ``samples_of``. The number of factors, if not given, is by permuted residuals of a
-    bounded number of features with the smallest hash.
+    bounded number of features with the smallest hash. Where features are fewer than samples all steps are algebra of their cross products.
     """
     ids = samples_of(df, sample)
     n = len(ids)
     null = np.ones((n, 1)) if null is None else null
+    side = _by_sample(df, feature, sample, value, n)
+    if side is None:
+        _few(ids)
     rows = _rows(df, feature, sample, value, ids).persist()
     resid = lambda x, d: x - (x @ d) @ np.linalg.pinv(d.T @ d) @ d.T
     try:
@@ -103,6 +177,8 @@ def surrogate_variables(df: DataFrame, design: np.ndarray, null: np.ndarray | No
             k = int((p <= 0.10).sum())
         if k == 0:
             return np.zeros((n, 0))
+        if side is not None:
+            return _surrogates_by_feature(*side, ids, design, null, k, rounds)
 
         def gram(weight):
             def one(pdf):
@@ -141,6 +217,61 @@ def surrogate_variables(df: DataFrame, design: np.ndarray, null: np.ndarray | No
         rows.unpersist()
 
 
+def _surrogates_by_feature(rows: DataFrame, means: np.ndarray, ids: list, design: np.ndarray, null: np.ndarray, k: int, rounds: int) -> np.ndarray:
+    """The same steps from the cross products of centred features x and of fixed columns e: every column over the samples is x' p + e q."""
+    n, m, place = len(ids), len(means), {s: i for i, s in enumerate(ids)}
+    e = np.hstack([np.ones((n, 1)), design, null])
+    w = e.shape[1]
+
+    def one(pdf):
+        x, own = _centred(pdf, means), e[[place[s] for s in pdf["feature_id"]]]
+        return np.concatenate([(x.T @ x).ravel(), (x.T @ own).ravel()])
+
+    t = totals(rows, one)
+    xx, xe, ee = t[: m * m].reshape(m, m), t[m * m :].reshape(m, w), e.T @ e
+    fixed = lambda a, b: (np.zeros((m, b - a)), np.eye(w)[:, a:b])
+    joined = lambda *f: tuple(np.hstack([c[i] for c in f]) for i in (0, 1))
+    full0, small0 = fixed(1, 1 + design.shape[1]), fixed(1 + design.shape[1], w)
+    # residuals are those of centred values where both models hold the constant
+    spans = lambda d: np.allclose(d @ (np.linalg.pinv(d) @ e[:, 0]), 1, atol=1e-9)
+    mu = np.zeros(m) if spans(design) and spans(null) else means
+
+    def products(f):
+        p, q = f
+        return xx @ p + xe @ q + np.outer(mu, ee[0] @ q + xe[:, 0] @ p), p.T @ xx @ p + p.T @ xe @ q + q.T @ xe.T @ p + q.T @ ee @ q
+
+    def squares(f):
+        xf, ff = products(f)
+        return np.maximum(np.diag(xx) + n * mu**2 - ((xf @ np.linalg.pinv(ff)) * xf).sum(1), 0)
+
+    def root(gram):
+        vals, vecs = np.linalg.eigh(gram)
+        return vecs * np.sqrt(np.maximum(vals, 0))
+
+    def leading(half):
+        u, size, _ = np.linalg.svd(half)  # of the root: small weights keep their digits
+        return u[:, :k] * np.where(size[:k] > 1e-14 * max(size[0], 1e-300), 1 / np.maximum(size[:k], 1e-300), 0)
+
+    def f_p(full, small):
+        a, b = squares(full), squares(small)
+        d1, d2 = full[0].shape[1] - small[0].shape[1], n - full[0].shape[1]
+        return sp.f_sf(((b - a) / d1) / np.maximum(a / d2, 1e-300), d1, d2)
+
+    xd, dd = products(full0)
+    back = np.linalg.pinv(dd)
+    p = leading(root(xx + n * np.outer(mu, mu) - xd @ back @ xd.T))
+    q = np.zeros((w, p.shape[1]))
+    q[0] = mu @ p
+    q[1 : 1 + design.shape[1]] -= back @ xd.T @ p
+    sv, half = (p, q), root(xx)
+    for _ in range(rounds):
+        weight = np.clip(1 - f_p(joined(small0, sv), small0), 0, 1) * np.clip(f_p(joined(full0, sv), joined(small0, sv)), 0, 1)
+        p = leading(half * weight[:, None]) * weight[:, None]
+        sv = (p, np.zeros((w, p.shape[1])))
+    p, q = sv
+    return _scored(rows, ids, p.shape[1], lambda pdf: _centred(pdf, means) @ p + e[[place[s] for s in pdf["feature_id"]]] @ q)
+
+
 def combat(df: DataFrame, batch: pd.Series, design: np.ndarray | None = None, reference=None, mean_only: bool = False, feature: str = "feature_id", sample: str = "sample_id", value: str = "value") -> DataFrame:
     """Empirical Bayes batch adjustment. ``batch`` is indexed by sample; ``design`` (without intercept) is kept. Result: (feature_id, sample_id, value).
 
@@ -172,9 +303,12 @@ def combat(df: DataFrame, batch: pd.Series, design: np.ndarray | None = None, re
         return z, base, np.sqrt(np.where(ok, var, 1)), gamma, delta, ok
 
     def moments(pdf):
-        _, _, _, g, d, ok = standard(_matrix(pdf))
-        g, d = g[ok], d[ok]
-        return np.concatenate([[ok.sum()], g.sum(0), (g * g).sum(0), d.sum(0), (d * d).sum(0)])
+        total = 0
+        for piece in _pieces(pdf, n):
+            _, _, _, g, d, ok = standard(_matrix(piece))
+            g, d = g[ok], d[ok]
+            total = total + np.concatenate([[ok.sum()], g.sum(0), (g * g).sum(0), d.sum(0), (d * d).sum(0)])
+        return total
 
     t, k = totals(rows, moments), len(levels)
     m = t[0]
@@ -183,8 +317,10 @@ def combat(df: DataFrame, batch: pd.Series, design: np.ndarray | None = None, re
     a, b = (2 * d2 + d1**2) / d2, (d1 * d2 + d1**3) / d2
     kind, skind = dict(df.dtypes)[feature], dict(df.dtypes)[sample]
 
+    names = np.array(ids, dtype=object if skind == "string" else None)
+
     def adjust(batches):
-        for pdf in batches:
+        for pdf in (piece for whole in batches for piece in _pieces(whole, n)):
             x = _matrix(pdf)
             z, base, sd, gamma, delta, ok = standard(x)
             out = z.copy()
@@ -207,7 +343,7 @@ def combat(df: DataFrame, batch: pd.Series, design: np.ndarray | None = None, re
             y = np.where(ok[:, None], out * sd[:, None] + base, x)
             if ref is not None:
                 y[:, lab == levels[ref]] = x[:, lab == levels[ref]]
-            yield pd.DataFrame({"feature_id": np.repeat(pdf["feature_id"].to_numpy(), n), "sample_id": np.tile(np.array(ids, dtype=object), len(pdf)), "value": y.ravel()})
+            yield pd.DataFrame({"feature_id": np.repeat(pdf["feature_id"].to_numpy(), n), "sample_id": np.tile(names, len(pdf)), "value": y.ravel()})
 
     return rows.mapInPandas(adjust, f"feature_id {kind}, sample_id {skind}, value double")
 
@@ -237,14 +373,23 @@ def variance_prior(mean_log: float, var_log: float, df: float) -> tuple[float, f
 def moderated(df: DataFrame, design: np.ndarray, coef: int, feature: str = "feature_id", sample: str = "sample_id", value: str = "value", weights: DataFrame | None = None) -> DataFrame:
     """Least squares by feature with variances shrunk to a common prior: effect, t, df, p. Two passes: the prior's moments, then the tests."""
     ids = samples_of(df, sample)
-    n, p = design.shape
     rows = _rows(df, feature, sample, value, ids)
     if weights is not None:
         rows = rows.join(_rows(weights, feature, sample, "weight", ids).withColumnRenamed("x", "w"), "feature_id")
+    return _moderated(rows, design, coef)
+
+
+def _moderated(rows: DataFrame, design: np.ndarray, coef: int) -> DataFrame:
+    """``rows`` (feature_id, x) in the order of the design's rows, optionally with weights w."""
+    n, p = design.shape
     dof = n - p
-    kind = dict(df.dtypes)[feature]
+    kind = dict(rows.dtypes)["feature_id"]
 
     def fits(pdf):
+        parts = [some(piece) for piece in _pieces(pdf, n)]
+        return tuple(np.concatenate([part[i] for part in parts]) for i in range(3))
+
+    def some(pdf):
         x = _matrix(pdf)
         if "w" not in pdf:
             inv = np.linalg.inv(design.T @ design)
@@ -298,32 +443,27 @@ def voom(df: DataFrame, design: np.ndarray, coef: int, feature: str = "feature_i
     shift = np.log2(libs + 1).mean() - math.log2(1e6)
 
     # the trend: mean root deviation in bins of mean log count, by sums
-    def spans(pdf):
-        x = _matrix(pdf).mean(1) + shift
-        return np.bincount(np.clip(((x + 20) * 5).astype(int), 0, 299), minlength=300).astype(float)
-
     def sums(pdf):
-        x = _matrix(pdf)
-        s = np.sqrt(np.sqrt(((x - x @ design @ inv @ design.T) ** 2).sum(1) / (n - p)))
-        at = np.clip(((x.mean(1) + shift + 20) * 5).astype(int), 0, 299)
-        return np.concatenate([np.bincount(at, minlength=300), np.bincount(at, weights=s, minlength=300)]).astype(float)
+        total = np.zeros(600)
+        for piece in _pieces(pdf, n):
+            x = _matrix(piece)
+            s = np.sqrt(np.sqrt(((x - x @ design @ inv @ design.T) ** 2).sum(1) / (n - p)))
+            at = np.clip(((x.mean(1) + shift + 20) * 5).astype(int), 0, 299)
+            total += np.concatenate([np.bincount(at, minlength=300), np.bincount(at, weights=s, minlength=300)])
+        return total
 
     t = totals(rows, sums)
     count, total = t[:300], t[300:]
     live = np.flatnonzero(count)
     centre = (live + 0.5) / 5 - 20
     y = np.array([(count[live] * np.exp(-((centre - c) ** 2) / 2) @ (total[live] / count[live])) / (count[live] @ np.exp(-((centre - c) ** 2) / 2)) for c in centre])
-    kind, skind = dict(df.dtypes)[feature], dict(df.dtypes)[sample]
-
     def weigh(batches):
-        for pdf in batches:
+        for pdf in (piece for whole in batches for piece in _pieces(whole, n)):
             x = _matrix(pdf)
             fitted = x @ design @ inv @ design.T + np.log2(libs + 1) - math.log2(1e6)
-            w = 1 / np.interp(fitted, centre, y) ** 4
-            yield pd.DataFrame({"feature_id": np.repeat(pdf["feature_id"].to_numpy(), n), "sample_id": np.tile(np.array(ids, dtype=object), len(pdf)), "weight": w.ravel()})
+            yield pd.DataFrame({"feature_id": pdf["feature_id"], "x": pdf["x"], "w": list(1 / np.interp(fitted, centre, y) ** 4)})
 
-    w = rows.mapInPandas(weigh, f"feature_id {kind}, sample_id {skind}, weight double").withColumnRenamed("feature_id", feature).withColumnRenamed("sample_id", sample)
-    return moderated(log, design, coef, feature, sample, "value", w)
+    return _moderated(rows.mapInPandas(weigh, f"feature_id {dict(df.dtypes)[feature]}, x array<double>, w array<double>"), design, coef)
 
 
 def nb_differential(df: DataFrame, design: np.ndarray, coef: int, feature: str = "feature_id", sample: str = "sample_id", value: str = "value", tol: float = 1e-8, rounds: int = 100) -> DataFrame:
@@ -342,7 +482,7 @@ def nb_differential(df: DataFrame, design: np.ndarray, coef: int, feature: str =
         return np.maximum(1e-8, (scaled.var(1, ddof=1) - noise) / np.maximum(mu, 1e-12) ** 2)
 
     def logs(pdf):
-        z = np.log(dispersion(_matrix(pdf)))
+        z = np.concatenate([np.log(dispersion(_matrix(piece))) for piece in _pieces(pdf, n)])
         return np.array([len(z), z.sum(), (z * z).sum()])
 
     t = totals(rows, logs)
@@ -351,7 +491,7 @@ def nb_differential(df: DataFrame, design: np.ndarray, coef: int, feature: str =
     shrink = max(var - noise, 0.0) / var
 
     def run(batches):
-        for pdf in batches:
+        for pdf in (piece for whole in batches for piece in _pieces(whole, n)):
             x = _matrix(pdf)
             alpha = np.exp(mean + shrink * (np.log(dispersion(x)) - mean))
             out = []

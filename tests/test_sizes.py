@@ -6,6 +6,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 
+from statloom.operators import omics
 from statloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -31,3 +32,47 @@ def test_mr_effects_do_not_depend_on_how_rows_are_dealt(spark, tmp_path):
         for k, v in was.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == want
+
+
+def _long(spark, x):
+    rows = [(f"f{i}", j, None if np.isnan(v) else float(v)) for i, r in enumerate(x) for j, v in enumerate(r)]
+    return spark.createDataFrame(pd.DataFrame(rows, columns=["feature_id", "sample_id", "value"]), "feature_id string, sample_id long, value double")
+
+
+def test_feature_wide_models_take_more_samples_than_the_sample_matrix_may_have(spark, monkeypatch):
+    monkeypatch.setattr(omics, "MAX_SAMPLES", 50)
+    rng = np.random.default_rng(5)
+    n = 90
+    x = rng.normal(size=(6, n)) + np.arange(6)[:, None]
+    x[2, 7] = np.nan
+    design = np.stack([np.ones(n), np.arange(n) % 2.0], 1)
+    filled = np.where(np.isnan(x), np.nanmean(x, 1, keepdims=True), x)
+    d = _long(spark, x)
+    got = omics.moderated(d, design, 1).toPandas().set_index("feature_id").sort_index()
+    assert np.allclose(got["effect"], [np.linalg.lstsq(design, v, rcond=None)[0][1] for v in filled])
+    counts = _long(spark, rng.poisson(20, size=(6, n)))
+    assert len(omics.nb_differential(counts, design, 1).dropna().collect()) == 6 and len(omics.voom(counts, design, 1).dropna().collect()) == 6
+    monkeypatch.setattr(omics, "_CELLS", 100)
+    fixed = omics.combat(d, pd.Series(np.arange(n) % 3, index=range(n))).toPandas().pivot(index="feature_id", columns="sample_id", values="value").to_numpy()
+    assert fixed.shape == (6, n) and np.isfinite(fixed).all()
+    gap = lambda v: np.abs([v[:, np.arange(n) % 3 == k].mean(1) - v.mean(1) for k in range(3)]).max()
+    assert gap(fixed) <= gap(filled)
+
+
+def test_components_from_the_features_side_agree_with_those_of_the_samples(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 70
+    hidden = rng.normal(size=(2, n))
+    x = rng.normal(size=(12, n)) + rng.normal(size=(12, 2)) @ hidden + 0.1 * np.arange(12)[:, None]
+    x[4, 9] = np.nan
+    d = _long(spark, x)
+    design = np.stack([np.ones(n), np.arange(n) % 2.0], 1)
+    run = lambda: (omics.pca(d, 3), omics.surrogate_variables(d, design, k=2), omics.surrogate_variables(d, design[:, 1:], design[:, :0], k=2))
+    monkeypatch.setattr(omics, "MAX_FEATURES", 0)
+    pc, sv, bare = run()
+    monkeypatch.setattr(omics, "MAX_FEATURES", 2048)
+    monkeypatch.setattr(omics, "MAX_SAMPLES", 50)
+    pc2, sv2, bare2 = run()
+    assert np.allclose(pc.to_numpy(), pc2.to_numpy(), atol=1e-8) and np.allclose(pc.attrs["share"], pc2.attrs["share"])
+    same = lambda a, b: np.allclose(np.abs(a.T @ b), np.eye(2), atol=1e-6)
+    assert same(sv, sv2) and same(bare, bare2)
