@@ -148,9 +148,14 @@ def contamination_mixture(df: DataFrame, by: list[str], points: int = 401, extra
         grid = np.linspace(ratio.min() - span, ratio.max() + span, points)
         share = np.arange(0.05, 0.951, 0.05)
         var = (sy / x) ** 2
-        density = lambda m, v: np.exp(-((ratio[None, :] - m[:, None]) ** 2) / (2 * v)) / np.sqrt(2 * np.pi * v)
-        good, bad = density(grid, var[None, :]), density(grid, var[None, :] + extra)
-        ll = np.log(share[None, :, None] * good[:, None, :] + (1 - share[None, :, None]) * bad[:, None, :] + 1e-300).sum(2)
+        ll = np.zeros((points, len(share)))
+        step = max(1, 1_000_000 // ll.size)
+        for at in range(0, len(x), step):  # some instruments at a time: the table of all of them does not fit
+            r, v = ratio[at : at + step], var[at : at + step]
+            density = lambda v: np.exp(-((r - grid[:, None]) ** 2) / (2 * v)) / np.sqrt(2 * np.pi * v)  # noqa: B023, E731
+            good, bad = density(v), density(v + extra)
+            for k, c in enumerate(share):
+                ll[:, k] += np.log(c * good + (1 - c) * bad + 1e-300).sum(1)
         i, j = np.unravel_index(ll.argmax(), ll.shape)
         h = grid[1] - grid[0]
         curve = (ll[i - 1, j] - 2 * ll[i, j] + ll[i + 1, j]) / h**2 if 0 < i < points - 1 else np.nan

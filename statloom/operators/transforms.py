@@ -117,7 +117,7 @@ def genomic_order(chromosome: str):
 def regions(df: DataFrame, chromosome: str, position: str, estimate: str, p: str, feature: str, max_gap: int = 500, min_probes: int = 3, length: float = 200.0) -> DataFrame:
     """Gaps and islands of probes: a region ends where the gap is over ``max_gap``; signed Stouffer z with covariance exp(-distance / length).
 
-    Pairs are joined inside a region only.
+    The covariances of all pairs of a region are summed from running sums inside stretches of 32 lengths and the stretches' totals before them.
     """
     w = W.partitionBy(chromosome).orderBy(position, feature)
     d = df.withColumn("_new", (F.col(position) - F.lag(position).over(w) > max_gap) | F.lag(position).over(w).isNull())
@@ -125,8 +125,17 @@ def regions(df: DataFrame, chromosome: str, position: str, estimate: str, p: str
     tail = F.when(finite(p).isNotNull(), F.greatest(finite(p) / 2, F.lit(1e-300)))
     d = d.withColumn("z", F.signum(estimate) * -pv.normal_quantile(tail))
     s = d.groupBy(chromosome, "region").agg(F.count(F.lit(1)).alias("probes"), F.min(position).alias("start"), F.max(position).alias("end"), F.sum("z").alias("sum_z")).filter(F.col("probes") >= min_probes)
-    own = d.join(s.select(chromosome, "region"), [chromosome, "region"]).select(chromosome, "region", F.col(position).alias("_x"))
-    other = own.withColumnRenamed("_x", "_y")
-    v = own.join(other, [chromosome, "region"]).groupBy(chromosome, "region").agg(F.sum(F.exp(-F.abs(F.col("_x") - F.col("_y")) / F.lit(float(length)))).alias("var"))
-    out = s.join(v, [chromosome, "region"]).withColumn("z", F.col("sum_z") / F.sqrt("var"))
+    keys, size = [chromosome, "region"], F.lit(float(length))
+    own = d.join(s.select(*keys), keys).filter(F.col(position).isNotNull()).groupBy(*keys, F.col(position).cast("double").alias("_x")).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+    own = own.withColumn("_k", F.floor(F.col("_x") / (32 * size)))
+    stretch = W.partitionBy(*keys, "_k")
+    own = own.withColumn("_a", F.min("_x").over(stretch)).withColumn("_u", (F.col("_x") - F.col("_a")) / size)
+    up, down = F.col("_n") * F.exp("_u"), F.col("_n") * F.exp(-F.col("_u"))
+    own = own.withColumn("_pairs", down * F.coalesce(F.sum(up).over(stretch.orderBy("_x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)))
+    parts = own.groupBy(*keys, "_k").agg(F.first("_a").alias("_a"), F.sum(up).alias("_up"), F.sum(down).alias("_down"), F.sum("_pairs").alias("_pairs"), F.sum(F.col("_n") * F.col("_n")).alias("_same"))
+    # from 26 stretches on, exp(-distance / length) is zero in a double
+    before = F.collect_list(F.struct("_a", "_up")).over(W.partitionBy(*keys).orderBy("_k").rangeBetween(-26, -1))
+    carried = F.aggregate(before, F.lit(0.0), lambda t, e: t + e["_up"] * F.exp((e["_a"] - F.col("_a")) / size))
+    v = parts.withColumn("_carried", carried).groupBy(*keys).agg((F.sum("_same") + 2 * F.sum(F.col("_pairs") + F.col("_down") * F.col("_carried"))).alias("var"))
+    out = s.join(v, keys, "left").withColumn("z", F.col("sum_z") / F.sqrt("var"))
     return out.withColumn("p_value", pv.p_normal(F.col("z")))

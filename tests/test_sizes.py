@@ -6,7 +6,9 @@ import duckdb
 import numpy as np
 import pandas as pd
 
-from statloom.operators import omics
+from pyspark.sql import functions as F
+
+from statloom.operators import mr, omics, transforms
 from statloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +78,32 @@ def test_components_from_the_features_side_agree_with_those_of_the_samples(spark
     assert np.allclose(pc.to_numpy(), pc2.to_numpy(), atol=1e-8) and np.allclose(pc.attrs["share"], pc2.attrs["share"])
     same = lambda a, b: np.allclose(np.abs(a.T @ b), np.eye(2), atol=1e-6)
     assert same(sv, sv2) and same(bare, bare2)
+
+
+def test_regions_sum_covariances_of_all_pairs_without_pairing(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.integers(0, 400, 300), 10_000 + rng.integers(0, 30_000, 400), [99_000, 99_001]])
+    d = spark.createDataFrame(pd.DataFrame({"c": "1", "x": x, "b": rng.normal(size=len(x)), "p": rng.uniform(size=len(x)), "id": np.arange(len(x))}))
+    plan = transforms.regions(d, "c", "x", "b", "p", "id", max_gap=1_000, min_probes=2, length=37.0)
+    assert not any("Join" in line and "_y" in line for line in plan._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    got = plan.orderBy("region").toPandas()
+    own = [np.sort(x[(x >= a) & (x <= b)]).astype(float) for a, b in zip(got["start"], got["end"])]
+    assert sum(len(o) for o in own) == len(x) and len(own) == 3
+    assert np.allclose(got["var"], [np.exp(-np.abs(o[:, None] - o) / 37.0).sum() for o in own], rtol=1e-12)
+
+
+def test_contamination_mixture_keeps_no_table_of_all_instruments(spark):
+    rng = np.random.default_rng(9)
+    n = 20_000
+    x = rng.normal(1, 0.1, n)
+    d = spark.createDataFrame(pd.DataFrame({"e": "x", "beta_x": x, "beta_y": 0.4 * x + rng.normal(0, 0.1, n), "se_x": 0.01, "se_y": 0.1}))
+
+    def peak(pdf):
+        import resource
+
+        return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024
+
+    row = mr.contamination_mixture(d, ["e"]).collect()[0]
+    assert row.n == n and abs(row.estimate - 0.4) < 0.02
+    used = d.repartition(4).mapInPandas(lambda it: (pd.DataFrame({"m": [peak(p)]}) for p in it), "m long").agg(F.max("m")).collect()[0][0]
+    assert used < 900
