@@ -8,7 +8,7 @@ import pandas as pd
 
 from pyspark.sql import functions as F
 
-from statloom.operators import likelihood, mr, omics, transforms
+from statloom.operators import genetics, likelihood, mr, omics, transforms
 from statloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -135,3 +135,15 @@ def test_mixed_logit_takes_many_groups_at_a_time(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     fit = likelihood.glmm_intercept(d, "b", ["x"], "g")
     assert fit.n == 3000
+
+
+def test_relationships_by_blocks_join_no_rows_by_variant(spark):
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 3, size=(1500, 3)).astype(float)
+    d = spark.createDataFrame(pd.DataFrame({"variant_id": np.tile(np.arange(3), 1500), "sample_id": np.repeat(np.arange(1500), 3), "dosage": x.ravel()}))
+    plan = genetics.grm(d)
+    assert "zb" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    got = plan.toPandas().set_index(["a", "b"])["value"].unstack().to_numpy()
+    p = x.mean(0) / 2
+    z = (x - 2 * p) / np.sqrt(2 * p * (1 - p))
+    assert np.allclose(got[np.triu_indices(1500)], (z @ z.T / 3)[np.triu_indices(1500)]) and np.isnan(got[np.tril_indices(1500, -1)]).all()
