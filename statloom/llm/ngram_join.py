@@ -35,6 +35,8 @@ LEAF, SMALL_LEAF = 128, 8
 FANOUT = 8
 #: Rounds in which blocks above ``LEAF`` sets are thinned by a pivot; what is left unattached goes through the tree all the same.
 PIVOTS = 4
+#: Members that the prefixes of two linked sets share at least, where that many are sure to be shared.
+SHORT = 64
 BITS = 2048
 _U = np.uint64
 _WORDS = tx.word_table(tx.SPACE_BYTES)
@@ -46,8 +48,11 @@ def _at_least(n: np.ndarray) -> np.ndarray:
 
 
 def _shared_least(n: np.ndarray) -> np.ndarray:
-    """How many members the prefixes of two linked sets share, the smaller of them of size ``n``."""
-    return np.maximum(1, n // 10)
+    """How many members the prefixes of two linked sets share, the smaller of them of size ``n``.
+
+    Short sets send (nearly) all members: a few common phrases in a short prefix would make candidates of them, and one block of all such.
+    """
+    return np.maximum(np.minimum(_at_least(n), SHORT), n // 10)
 
 
 def _size_code(n: np.ndarray) -> np.ndarray:
@@ -55,7 +60,27 @@ def _size_code(n: np.ndarray) -> np.ndarray:
     return np.searchsorted(_SIZES, n, "right") - 1
 
 
-_SIZES = np.unique(np.concatenate([np.arange(0, 40), np.floor(40 * 1.09 ** np.arange(0, 215))]).astype(np.int64))[:256]
+_SIZES = np.unique(np.concatenate([np.arange(0, 128), np.floor(128 * 1.09 ** np.arange(0, 128))]).astype(np.int64))[:256]
+#: The largest size of each code.
+_LARGEST = np.append(_SIZES[1:] - 1, np.iinfo(np.int64).max // (2 * NUM))
+
+
+def _runs(token: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries (hash, class), each once: hash, class and number of classes, for the classes that meet another of a size they can link with.
+
+    Classes of one hash are parted where the next larger one is too large for the one before; no link crosses such a gap, and each run has a hash of its own.
+    """
+    code = (own & _U(0xFF)).astype(np.int64)
+    order = np.lexsort((own, code, token))
+    token, own, code = token[order], own[order], code[order]
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (own[1:] != own[:-1])])
+    token, own, code = token[new], own[new], code[new]
+    head = np.flatnonzero(np.concatenate([[True], (token[1:] != token[:-1]) | (_LARGEST[code[:-1]] < _at_least(_SIZES[code[1:]]))]))
+    count = np.diff(np.append(head, len(token)))
+    token = tx.mix(token ^ (np.repeat(code[head], count).astype(_U) << _U(56)))
+    count = np.repeat(count, count)
+    keep = count >= 2
+    return token[keep], own[keep], count[keep].astype(np.uint32)
 
 
 def document_sets(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +172,7 @@ PACK = 1 << 19
 
 
 def _shared(n_parts: int):
-    """Reduce by hash: hashes in the prefixes of two classes or more go on to their classes, with the number of classes.
+    """Reduce by hash: hashes in the prefixes of two classes or more (of sizes that can link) go on to their classes, with the number of classes.
 
     Entries (class, hash, count) are packed into a blob for each part of the classes, so the rows follow tasks times parts, not classes times hashes.
     """
@@ -171,17 +196,10 @@ def _shared(n_parts: int):
             own = np.concatenate([np.frombuffer(c, _U) for *_, c in blobs])
             del blobs
             token |= _U(part & 0x7FFFFF) << _U(40)
-            order = np.lexsort((own, token))
-            token, own = token[order], own[order]
-            new = np.concatenate([[True], (token[1:] != token[:-1]) | (own[1:] != own[:-1])])
-            token, own = token[new], own[new]
-            head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            count = np.diff(np.append(head, len(token)))
-            count = np.repeat(count, count)
-            keep = count >= 2
-            if keep.any():
-                entries.append((token[keep], own[keep], count[keep].astype(np.uint32)))
-                held += int(keep.sum())
+            token, own, count = _runs(token, own)
+            if len(token):
+                entries.append((token, own, count))
+                held += len(token)
             if held >= PACK:
                 yield pack(entries)
                 entries, held = [], 0

@@ -119,3 +119,31 @@ def test_pivots_spare_the_pairs_of_a_hot_group(spark, monkeypatch):
     docs = [(i, " ".join(words[:i] + ["x"] + words[i:])) for i in range(100)] + [(500 + i, " ".join(["y"] * 3 + words[: 150 + i])) for i in range(40)]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in nj.join(frame).collect()} == brute(docs)
+
+
+def test_common_phrases_of_short_documents_make_no_block(spark):
+    """Documents of which a third is common phrases, the rest their own: no candidates, except for the near copies among them."""
+    rng = random.Random(11)
+    phrases = [" ".join(f"p{k}x{j}" for j in range(9)) for k in range(12)]
+    docs = []
+    for i in range(400):
+        own = [f"o{i}y{j}" for j in range(30)]
+        docs.append((i, " ".join([*own[:10], rng.choice(phrases), *own[10:20], rng.choice(phrases), *own[20:]])))
+    docs += [(1000 + i, t + " one") for i, t in docs[:20]]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    _, blocks = nj.classes(frame)
+    assert max(r["count"] for r in blocks.groupBy("block").count().collect()) == 2
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in nj.join(frame).collect()} == brute(docs)
+
+
+def test_runs_keep_sizes_that_can_link_together():
+    size = np.unique(np.concatenate([np.arange(1, 400), np.random.default_rng(3).integers(400, 10**7, 400)]))
+    code = nj._size_code(size)
+    for a in range(0, len(size), 7):
+        near = np.flatnonzero((100 * np.minimum(size[a], size) >= 80 * np.maximum(size[a], size)) & (size != size[a]))
+        for b in near[:: max(1, len(near) // 5)]:
+            own = np.array([1 << 8 | code[a], 2 << 8 | code[b]], np.uint64)
+            token, met, count = nj._runs(np.array([9, 9], np.uint64), own)
+            assert len(set(token.tolist())) == 1 and set(met.tolist()) == set(own.tolist()) and count.tolist() == [2, 2]
+    own = np.array([1 << 8 | nj._size_code(np.array([50]))[0], 2 << 8 | nj._size_code(np.array([100]))[0]], np.uint64)
+    assert not len(nj._runs(np.array([9, 9], np.uint64), own)[0])
