@@ -46,6 +46,8 @@ MATCH, MATCH_ODDS, MATCH_RUN = 6, 0.25, 16
 FREQUENT = 1 << 17
 SLICES = 32
 PIECE = 2 << 20
+#: Places whose contexts are hashed at once: few enough to stay near the processor.
+TILE = 1 << 15
 END = 256
 #: No guess, in place of a symbol.
 _NONE = END + 1
@@ -84,23 +86,32 @@ def code_tree(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _symbols(data: np.ndarray, offs: np.ndarray, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """Symbols of all documents (bytes, then the end mark), where each document begins, and the hashed contexts of every symbol."""
     pad, lens = max(orders), np.diff(offs)
-    start = np.arange(len(lens)) * (pad + 1) + offs[:-1] + pad
-    laid = np.zeros(len(data) + len(lens) * (pad + 1), np.uint16)
-    doc = np.repeat(np.arange(len(lens)), lens)
-    laid[np.arange(len(data)) + (doc + 1) * (pad + 1) - 1] = data.astype(np.uint16) + 1  # 0 stands before the text
-    ends = start + lens
-    laid[ends] = END + 1
-    keep = np.ones(len(laid), np.bool_)
+    docs, n = len(lens), len(data) + len(lens)
+    first = np.append(offs[:-1] + np.arange(docs), n)
+    symbols, byte = np.full(n, END, np.uint16), np.ones(n, np.bool_)
+    byte[first[1:] - 1] = False
+    symbols[byte] = data
+    start = first[:-1] + (np.arange(docs) + 1) * pad
+    keep = np.ones(n + docs * pad, np.bool_)
     for k in range(1, pad + 1):
         keep[start - k] = False
+    kept = np.flatnonzero(keep)
+    laid = np.zeros(len(keep), _I)  # 0 stands before the text
+    laid[kept] = symbols + np.uint16(1)
     contexts = []
+    h, shifted = np.zeros(len(laid), _I), np.empty(TILE, _I)
     for order in orders:
-        h = np.full(len(laid), order * 0x9E3779B1 & 0xFFFFFFFF, _I)
-        for k in range(1, order + 1):
-            h[k:] = (h[k:] ^ laid[:-k]) * _I(0x85EBCA6B)
-            h ^= h >> _I(13)
-        contexts.append(h[keep])
-    return laid[keep] - 1, np.append(offs[:-1] + np.arange(len(lens)), offs[-1] + len(lens)), contexts
+        for a in range(pad, len(laid), TILE):
+            b = min(a + TILE, len(laid))
+            own, moved = h[a:b], shifted[: b - a]
+            own.fill(order * 0x9E3779B1 & 0xFFFFFFFF)
+            for k in range(1, order + 1):
+                own ^= laid[a - k : b - k]
+                own *= _I(0x85EBCA6B)
+                np.right_shift(own, _I(13), out=moved)
+                own ^= moved
+        contexts.append(h.take(kept))
+    return symbols, first, contexts
 
 
 def _slot(context: np.ndarray, mixed: np.ndarray, bits: int) -> np.ndarray:
@@ -140,26 +151,28 @@ class Counts:
 
     def add(self, data: np.ndarray, offs: np.ndarray) -> None:
         symbols, _, contexts = _symbols(data, offs)
-        slots: list[list] = [[] for _ in ORDERS]
-        for k in range(self.depth.max()):
-            live = self.depth[symbols] > k
-            if not live.all():
-                symbols, contexts = symbols[live], [c[live] for c in contexts]
-            if not len(symbols):
-                break
-            mixed, bit = self.mixed[:, k][symbols], self.bit[:, k][symbols]
-            for o in range(len(ORDERS)):
-                slot = _slot(contexts[o], mixed, self.bits[o])
+        symbols = symbols.astype(_U)
+        for o, context in enumerate(contexts):
+            # equal symbols after equal contexts make the same decisions, so each such pair is walked once
+            pair = context.astype(_U)
+            pair <<= _U(9)
+            pair |= symbols
+            pair.sort()
+            head = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, np.int64)
+            times = np.diff(np.append(head, len(pair))).astype(np.uint32)
+            pair = pair[head]
+            symbol, context = (pair & _U(511)).astype(np.intp), (pair >> _U(9)).astype(_I)
+            for k in range(self.depth.max()):
+                live = self.depth[symbol] > k
+                if not live.all():
+                    live = np.flatnonzero(live)
+                    symbol, context, times = symbol.take(live), context.take(live), times.take(live)
+                if not len(symbol):
+                    break
+                slot = _slot(context, self.mixed[:, k].take(symbol), self.bits[o])
                 slot <<= _I(1)
-                slot |= bit
-                slots[o].append(slot)
-        for o, found in enumerate(slots):
-            if found:
-                slot = np.concatenate(found)
-                if self.bits[o] > 21:  # a histogram as long as the table would cost more than the table
-                    np.add.at(self.tables[o], slot, _I(1))
-                else:
-                    self.tables[o] += np.bincount(slot, minlength=len(self.tables[o])).astype(np.uint32)
+                slot |= self.bit[:, k].take(symbol)
+                np.add.at(self.tables[o], slot, times)
 
     def blobs(self) -> list[bytes]:
         """The tables in ``SLICES`` compressed slices."""
@@ -208,6 +221,13 @@ class Model:
         self.guessed = np.concatenate([np.where(ended, -1, self.node.astype(np.int64)), np.full((1, self.node.shape[1]), -1)]).astype(np.int32).T.copy()
         self.guessed_sign = np.concatenate([self.sign, np.zeros((1, self.sign.shape[1]), np.float32)]).T.copy()
         self.mixed_at, self.against, self.path = self.mixed.T.copy(), -self.sign.T.copy(), self.node.astype(np.int32).T.copy()
+        # decisions from level GATES - 1 on share a gate: those of each symbol side by side
+        last = GATES - 1
+        self.rest = np.maximum(self.depth - last, 0)
+        self.rest_first = np.cumsum(self.rest) - self.rest
+        own, self.rest_level = np.nonzero(~ended[:, last:])
+        self.rest_level += last
+        self.rest_mixed, self.rest_against, self.rest_path = self.mixed[own, self.rest_level], -self.sign[own, self.rest_level], self.node[own, self.rest_level].astype(np.int32)
         self.tables, self.bits = tables, [len(t).bit_length() - 1 for t in tables]
 
     def log10(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -239,22 +259,34 @@ class Model:
         """One block of each document in ``own``: score it with the weights so far, then refine them."""
         bounds = np.concatenate([[0], np.cumsum(n)])
         steps, seen = np.zeros((len(own), GATES, len(START)), np.float32), np.zeros((len(own), GATES), np.float32)
-        for k in range(self.depth.max()):
-            live = self.depth[symbols] > k
+        for gate in range(min(GATES, self.depth.max())):
+            live = self.depth.take(symbols) > gate
             if not live.all():
                 kept = np.concatenate([[0], np.cumsum(live)])
-                bounds = kept[bounds]
-                symbols, contexts, guess, strength = symbols[live], [c[live] for c in contexts], guess[live], strength[live]
+                bounds, live = kept[bounds], np.flatnonzero(live)
+                symbols, contexts, guess, strength = symbols.take(live), [c.take(live) for c in contexts], guess.take(live), strength.take(live)
             if not len(symbols):
                 break
-            gate = min(k, GATES - 1)
-            mixed, against = self.mixed_at[k].take(symbols), self.against[k].take(symbols)
+            if gate < GATES - 1:
+                mixed, against, path = self.mixed_at[gate].take(symbols), self.against[gate].take(symbols), self.path[gate].take(symbols)
+                guessed, match = self.guessed[gate].take(guess), self.guessed_sign[gate].take(guess)
+            else:  # all further decisions at once, those of a symbol side by side
+                times = self.rest.take(symbols)
+                ends = np.cumsum(times)
+                at = np.repeat(self.rest_first.take(symbols) - (ends - times), times)
+                at += np.arange(len(at))
+                mixed, against, path = self.rest_mixed.take(at), self.rest_against.take(at), self.rest_path.take(at)
+                at = self.rest_level.take(at)
+                at *= self.guessed.shape[1]
+                at += np.repeat(guess, times)
+                guessed, match = self.guessed.take(at), self.guessed_sign.take(at)
+                contexts, strength = [np.repeat(c, times) for c in contexts], np.repeat(strength, times)
+                bounds = np.append(0, ends)[bounds]
             count = np.diff(bounds)
             odds = [t.take(_slot(c, mixed, b)) for t, c, b in zip(self.tables, contexts, self.bits)]
             # the guess speaks as long as its path is that of the decisions so far
-            match = self.guessed_sign[k].take(guess)
             match *= strength
-            match *= self.guessed[k].take(guess) == self.path[k].take(symbols)
+            match *= (guessed == path).view(np.uint8).astype(np.float32)
             odds.append(match)
             z = odds[0] * np.repeat(weights[own, gate, 0], count)
             for o in range(1, len(START)):
@@ -319,15 +351,18 @@ _SEEN = 1 << 44
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Symbols with their counts, and the sampled contexts with the symbols that follow (n = 0)."""
-    count, seen = np.zeros(END + 1, np.int64), np.zeros(0, np.int64)
+    count, seen, fresh, held = np.zeros(END + 1, np.int64), np.zeros(0, np.int64), [], 0
     for batch in batches:
         for _, _, data, offs in _pieces(batch):
             symbols, _, contexts = _symbols(data, offs)
             count += np.bincount(symbols, minlength=END + 1)
             for o, c in enumerate(contexts):
                 kept = np.flatnonzero(c & _I(SAMPLED - 1) == 0)
-                found = _SEEN + (o << 41) + (c[kept].astype(np.int64) << 9) + symbols[kept]
-                seen = np.union1d(seen, found)
+                fresh.append(_SEEN + (o << 41) + (c[kept].astype(np.int64) << 9) + symbols[kept])
+                held += len(kept)
+            if held > max(1 << 20, len(seen)):
+                seen, fresh, held = np.unique(np.concatenate([seen, *fresh])), [], 0
+    seen = np.unique(np.concatenate([seen, *fresh]))
     live = np.flatnonzero(count)
     keys, n = np.concatenate([live, seen]), np.concatenate([count[live], np.zeros(len(seen), np.int64)])
     yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["symbol", "n"])
@@ -384,8 +419,11 @@ def _sum_up(n_parts: int):
                 if kind == 0:
                     words.setdefault(key, []).append(np.frombuffer(blob.as_buffer(), _WORD_COUNT).copy())
                 else:
-                    got = np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint32).astype(np.uint64)
-                    tables[key] = got if key not in tables else tables[key] + got
+                    got = np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint32)
+                    if key in tables:
+                        tables[key] += got
+                    else:
+                        tables[key] = got.astype(np.uint64)
         for key, blobs in words.items():
             rows = np.concatenate(blobs)
             word, place = np.unique(rows["word"], return_inverse=True)
@@ -404,6 +442,22 @@ class Fitted:
 
     def __init__(self, model: Model, tokens: int, types: int, words: np.ndarray, counts: np.ndarray):
         self.model, self.tokens, self.types, self.words, self.counts = model, tokens, types, words, counts
+        self.shift = _U(64 - max(1, len(words).bit_length()))
+        self.start = np.searchsorted(words >> self.shift, np.arange((1 << 64 - int(self.shift)) + 1, dtype=_U)).astype(np.intp)
+
+    def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the commonest words have each of ``words`` (hashes), and whether they have it: a look at the few with the same leading bits."""
+        lead = (words >> self.shift).astype(np.intp)
+        at, end = self.start.take(lead), self.start.take(lead + 1)
+        hit = np.zeros(len(words), np.bool_)
+        rest = np.flatnonzero(at < end)
+        while len(rest):
+            same = self.words.take(at.take(rest)) == words.take(rest)
+            hit[rest[same]] = True
+            rest = rest[~same]
+            at[rest] += 1
+            rest = rest[at.take(rest) < end.take(rest)]
+        return at, hit
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: tuple[int, int] = (7, 2)) -> Fitted:
@@ -457,8 +511,7 @@ def _score(shared, n_parts: int):
             for i, j, data, offs in _pieces(batch, PIECE // 2):
                 words, doc = _words(data, offs)
                 words, doc = np.concatenate([words, np.full(j - i, _END_WORD)]), np.concatenate([doc, np.arange(j - i)])
-                at = np.minimum(np.searchsorted(fitted.words, words), max(0, len(fitted.words) - 1))
-                hit = fitted.words[at] == words if len(fitted.words) else np.zeros(len(words), np.bool_)
+                at, hit = fitted.find(words)
                 out["tokens"][i:j] = np.bincount(doc, minlength=j - i)
                 out["known"][i:j] = np.bincount(doc[hit], minlength=j - i)
                 out["log"][i:j] = np.bincount(doc[hit], weights=log[at[hit]], minlength=j - i)

@@ -134,3 +134,50 @@ def test_tables_have_a_slot_for_each_decision_of_the_corpus(spark, monkeypatch):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(frame).count() == 0
+
+
+def a_tree():
+    return lm.code_tree(np.bincount(np.frombuffer(b"the quick brown fox jumps over the lazy dog, and the rest", np.uint8), minlength=257))
+
+
+def test_equal_symbols_after_equal_contexts_are_counted_at_once(monkeypatch):
+    """Counts are those of every decision of every symbol, but the work follows the different pairs of context and symbol."""
+    tree = a_tree()
+    texts = [b"", b"the lazy dog " * 300, "é the quick fox ".encode() * 200, b"x"]
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = [np.zeros(2 << b, np.uint32) for b in (8, 12, 22)]
+    symbols, _, contexts = lm._symbols(data, offs)
+    for o, (context, bits) in enumerate(zip(contexts, (8, 12, 22))):
+        for k in range(tree[0].max()):
+            own = tree[0][symbols] > k
+            slot = lm._slot(context[own], lm._mixed(tree[1])[symbols[own], k], bits)
+            np.add.at(want[o], slot.astype(np.int64) * 2 + tree[2][symbols[own], k], 1)
+    work, slots = [], lm._slot
+    monkeypatch.setattr(lm, "_slot", lambda c, m, b: work.append(len(c)) or slots(c, m, b))
+    counts = lm.Counts(tree, [8, 12, 22])
+    counts.add(data, offs)
+    counts.add(data[:0], np.zeros(1, np.int64))
+    assert all((a == b).all() for a, b in zip(want, counts.tables))
+    assert sum(work) < len(data)
+
+
+def test_decisions_that_share_a_gate_are_scored_at_once(monkeypatch):
+    calls, slots = [], lm._slot
+    monkeypatch.setattr(lm, "_slot", lambda c, m, b: calls.append(len(c)) or slots(c, m, b))
+    tree, text = a_tree(), bytes(range(256))
+    model = lm.Model(tree, [np.zeros(1 << b, np.float32) for b in lm.TABLE_BITS])
+    score = model.log10(np.frombuffer(text, np.uint8), np.array([0, 256]))
+    # even odds and no matches: one bit a decision
+    assert score[0] == pytest.approx(-tree[0].sum() * math.log10(2), rel=1e-6)
+    blocks = int(np.log2(257 / lm.FIRST_BLOCK + 1)) + 1
+    assert len(calls) <= blocks * lm.GATES * len(lm.ORDERS)
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 5000])
+def test_common_words_are_found(n):
+    rng = np.random.default_rng(n)
+    words = np.unique(np.append(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2), [np.uint64(2**64 - 1)] * min(n, 1)).astype(np.uint64))
+    fitted = lm.Fitted(None, 0, 0, words, np.ones(len(words), np.int64))
+    asked = np.concatenate([words, words + np.uint64(1), rng.integers(0, 2**63, 300).astype(np.uint64)])
+    at, hit = fitted.find(asked)
+    assert (hit == np.isin(asked, words)).all() and (words[at[hit]] == asked[hit]).all()
