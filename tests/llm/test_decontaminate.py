@@ -98,3 +98,27 @@ def test_rows_without_an_id_or_with_a_repeated_one_are_judged_by_their_text(spar
     spans = {r.text_key: r.text for r in dc.clean(docs, bench, 4, mode="spans").collect()}
     assert spans == {1: "zero", 2: "nothing here", 3: "", 4: "clean text", 5: None}
     assert dc.clean(docs.limit(0), bench, 4).count() == 0 and dc.clean(docs, bench.limit(0), 4).count() == 5
+
+
+def test_texts_are_read_and_parted_into_words_once(spark):
+    docs = spark.createDataFrame([(1, "zero one two three four"), (2, None)], "doc_id long, doc_text string")
+    bench = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")
+    plan = dc.hits(docs, bench, 4, text_col="doc_text")[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("split(" in line and "doc_text" in line for line in plan.splitlines()) == 1
+    out = dc.report(docs, bench, 4, text_col="doc_text")
+    assert "doc_text" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.doc_id, r.n_words, r.n_hit) for r in out.orderBy("doc_id").collect()] == [(1, 5, 4), (2, 0, 0)]
+
+
+@pytest.mark.parametrize("limit", [dc.BROADCAST_BYTES, 0])
+def test_windows_of_every_length_are_found_at_every_place(spark, monkeypatch, limit):
+    monkeypatch.setattr(dc, "BROADCAST_BYTES", limit)
+    items = [(n, " ".join(f"i{n}w{k}" for k in range(n))) for n in range(1, 14)] + [(20, "K İx Q"), (21, "k ix q")]
+    docs, at = [], 0
+    for n, text in items:
+        for before in range(12):
+            for after in (0, 1, 7):
+                docs.append((at := at + 1, " ".join(["x"] * before + [text.upper() if n < 20 else text] + ["Yé"] * after)))
+    docs += [(0, "i13w0 i13w1 i13w2 i13w3 i13w4 i13w5 i13w6 i13w7 i13w8"), (-1, "K İX q. K iX Q")]
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in dc.report(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == brute(docs, items, 10)
