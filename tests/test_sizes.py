@@ -147,3 +147,32 @@ def test_relationships_by_blocks_join_no_rows_by_variant(spark):
     p = x.mean(0) / 2
     z = (x - 2 * p) / np.sqrt(2 * p * (1 - p))
     assert np.allclose(got[np.triu_indices(1500)], (z @ z.T / 3)[np.triu_indices(1500)]) and np.isnan(got[np.tril_indices(1500, -1)]).all()
+
+
+def test_relationships_shuffle_no_copies_of_samples(spark):
+    rng = np.random.default_rng(12)
+    n, m = 2300, 5  # three blocks
+    x = rng.integers(0, 3, size=(n, m)).astype(float)
+    d = pd.DataFrame({"variant_id": np.tile(np.arange(m), n), "sample_id": np.repeat([f"s{i:04d}" for i in range(n)], m), "dosage": x.ravel()})
+    there = rng.random(n * m) > 0.03
+    plan = genetics.grm(spark.createDataFrame(d[there]), min_call=0.9)
+    assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()  # each block was dealt once for every other before
+    got = plan.toPandas()
+    there = there.reshape(n, m)
+    p = np.where(there, x, 0).sum(0) / there.sum(0) / 2
+    z = np.where(there, (x - 2 * p) / np.sqrt(2 * p * (1 - p)), 0)
+    meet = np.triu(there.astype(int) @ there.T > 0)
+    a, b = got["a"].str[1:].astype(int).to_numpy(), got["b"].str[1:].astype(int).to_numpy()
+    assert len(got) == meet.sum() and meet[a, b].all() and len(set(zip(a, b))) == len(got)
+    assert np.allclose(got["value"], (z @ z.T / m)[a, b])
+
+
+def test_relationships_over_many_variants(spark):
+    rng = np.random.default_rng(13)
+    n, m = 40, 1500  # two groups of variants
+    x = rng.integers(0, 3, size=(n, m)).astype(float)
+    d = spark.createDataFrame(pd.DataFrame({"variant_id": np.tile(np.arange(m), n), "sample_id": np.repeat(np.arange(n), m), "dosage": x.ravel()}))
+    got = genetics.grm(d).toPandas().set_index(["a", "b"])["value"].unstack().to_numpy()
+    p = x.mean(0) / 2
+    z = (x - 2 * p) / np.sqrt(2 * p * (1 - p))
+    assert np.allclose(got[np.triu_indices(n)], (z @ z.T / m)[np.triu_indices(n)])
