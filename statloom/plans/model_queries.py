@@ -155,7 +155,8 @@ _HARM = f"""SELECT 'x' || a.trait AS exposure, 'y' || b.trait AS outcome, a.vari
 def _traits(spark, sf):
     # a mean of exactly 0.05 is zero or rounding noise by the order of addition, and ``a.bx <> 0`` keeps the noise: rows are added in the order of the file, as the SQL does on one thread
     lines = table(spark, sf, "lineitem").select("l_partkey", "l_suppkey", "l_discount", "l_tax", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    j = lines.join(table(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("trait")), F.col("l_suppkey") == F.col("s_suppkey")).withColumnRenamed("l_partkey", "variant")
+    j = lines.join(table(spark, sf, "supplier").select("s_suppkey", (F.col("s_nationkey") % 5).alias("trait")), F.col("l_suppkey") == F.col("s_suppkey"))
+    j = j.join(table(spark, sf, "part").select(F.col("p_partkey").alias("variant")), F.col("l_partkey") == F.col("variant"))
     own = W.partitionBy("variant", "trait").orderBy("_file", "_row")
     whole = own.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     n = F.count(F.lit(1)).over(whole)

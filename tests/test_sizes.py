@@ -5,6 +5,7 @@ import os
 import duckdb
 import numpy as np
 import pandas as pd
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -149,6 +150,21 @@ def test_relationships_by_blocks_join_no_rows_by_variant(spark):
     assert np.allclose(got[np.triu_indices(1500)], (z @ z.T / 3)[np.triu_indices(1500)]) and np.isnan(got[np.tril_indices(1500, -1)]).all()
 
 
+@pytest.mark.parametrize("name", ["mr_harmonize", "mr_ivw", "xwas_mr_grid", "mr_egger", "mr_steiger", "mr_weighted_median"])
+def test_mr_lines_of_unlisted_parts_are_left_out(spark, tmp_path, name):
+    con = duckdb.connect()
+    con.execute("SET threads = 1")
+    for t in ("lineitem", "supplier"):
+        os.symlink(f"{SF}/{t}.parquet", tmp_path / f"{t}.parquet")
+    con.execute(f"COPY (FROM '{SF}/part.parquet' WHERE p_partkey % 5 <> 0) TO '{tmp_path}/part.parquet'")
+    for t in ("part", "supplier", "lineitem"):
+        con.execute(f"CREATE VIEW {t} AS FROM '{tmp_path}/{t}.parquet'")
+    want = con.execute(catalogue.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    got = catalogue.queries()[name](spark, str(tmp_path)).select(*names).toPandas()
+    pd.testing.assert_frame_equal(*(d.sort_values([c for c in ("exposure", "outcome", "variant") if c in d]).reset_index(drop=True) for d in (got, want.df())), check_dtype=False, rtol=1e-6)
+
+
 def test_relationships_shuffle_no_copies_of_samples(spark):
     rng = np.random.default_rng(12)
     n, m = 2300, 5  # three blocks
